@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._arrow import append, bytes_of, prefix_hash, span_hash, spans
+from paperloom.llm._arrow import append, bytes_of, pieces, prefix_hash, span_hash, spans
 
 #: Labelled documents that a fit reads at most, taken in the order of a hash of their id.
 SAMPLE_ROWS = 8_000
@@ -70,16 +70,24 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", steps: in
     target = rows.column(label).to_numpy().astype(np.float64)
     if not len(target) or target.min() == target.max():
         return Model(np.zeros(1 << BITS, np.float32), -1e9)
-    bucket, sentence, row, _, _ = _words(rows.column(text))
     # A feature counts once a sentence; only those whose documents differ from chance in their labels are kept.
-    pair = np.unique(sentence * (1 << BITS) + bucket)
+    batches = [piece for batch in rows.to_batches() for piece in pieces(batch, text)]
+    begins = np.cumsum([0, *(piece.num_rows for piece in batches)])
+    documents, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for begin, piece in zip(begins, batches, strict=False):
+        bucket, sentence, row, _, _ = _words(piece.column(text))
+        seen = np.unique(row[sentence] * (1 << BITS) + bucket)
+        documents += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
+        toxic += np.bincount(seen & ((1 << BITS) - 1), target[begin + (seen >> BITS)], 1 << BITS)
+    share = target.mean()
+    keep = (np.abs(toxic - share * documents) > LEAST_Z * np.sqrt(share * (1 - share) * documents)) & (documents > 2)
+    pairs, owner = [], []
+    for begin, piece in zip(begins, batches, strict=False):
+        bucket, sentence, row, _, _ = _words(piece.column(text))
+        pairs.append(np.unique(sentence[keep[bucket]] * (1 << BITS) + bucket[keep[bucket]]) + (sum(map(len, owner)) << BITS))
+        owner.append(row + begin)
+    pair, row = np.concatenate(pairs), np.concatenate(owner)
     sentence, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-    seen = np.unique(row[sentence] * (1 << BITS) + bucket)
-    toxic, seen, share = target[seen >> BITS], seen & ((1 << BITS) - 1), target.mean()
-    documents = np.bincount(seen, minlength=1 << BITS)
-    excess = np.bincount(seen, toxic, 1 << BITS) - share * documents
-    keep = (np.abs(excess) > LEAST_Z * np.sqrt(share * (1 - share) * np.maximum(documents, 1)))[bucket] & (documents[bucket] > 2)
-    sentence, bucket = sentence[keep], bucket[keep]
     used, column = np.unique(bucket, return_inverse=True)
     w, b = np.zeros(len(used)), -5.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
