@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, neardup, toxicity, urls
+from paperloom.llm import bpe, fingerprints, neardup, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,29 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "log_odds", "verdict")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM repeated
+), lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, len(coalesce(ks, [])) AS n_removed,
+         array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ks, k)) END, ' ') AS t
+  FROM words LEFT JOIN lists USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(t) AS kept_sha256 FROM kept"""
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -91,8 +114,8 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op8_bpe, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op5_substring, op8_bpe, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.oracle(), "op10_neardup": OP10_SQL}
+    return {"op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL}
