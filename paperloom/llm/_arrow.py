@@ -21,9 +21,11 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def text_of(array: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as large strings, null as the empty string."""
+    """The column as large strings (bytes as large binary), null as the empty string."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
+    if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type):
+        return pc.fill_null(array.cast(pa.large_binary()), b"")
     return pc.fill_null(array.cast(pa.large_string()), "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, neardup, packing, substring, toxicity, urls
+from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -118,7 +123,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op5_substring, op7_packing, op8_bpe, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,7 +59,7 @@ def _packed(piece: pa.RecordBatch, window: int, hot: np.ndarray) -> pa.RecordBat
 def _repeated(table: pa.Table, window: int) -> pa.RecordBatch:
     """Word ranges whose windows occur more than once among the rows."""
     packed = table.column("packed").combine_chunks()
-    data, starts, ends, row = _canonical(packed.cast(pa.large_binary()).cast(pa.large_string()))
+    data, starts, ends, row = _canonical(packed)
     count = np.bincount(row, minlength=len(packed))
     first = np.cumsum(count) - count
     n = len(starts) - window + 1
