@@ -1,7 +1,7 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be joined by a merge, so a text may be cut between such
-bytes. Every fragment is encoded independently, remembered per worker, and the ids are concatenated. The vocabulary
+bytes. Every fragment is encoded independently, and the ids are concatenated. The vocabulary
 file is a parameter; two kinds are read: byte-level BPE with its usual pattern, and a split pattern followed by
 byte-level BPE with a suffix at word ends.
 """
@@ -9,7 +9,6 @@ byte-level BPE with a suffix at word ends.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import unicodedata
 from itertools import chain
@@ -17,16 +16,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from paperloom.llm._arrow import append, text_of
 
 #: The pattern that byte-level pre-tokenizers use if they bring none. A fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and fragments that a worker remembers before it starts anew, so that its memory is bounded.
-REMEMBERED = 150_000
-#: Longer pieces aren't remembered.
-LONG = 64
+#: Stands for the end of a word in the table of fragments; texts that have it go another way.
+END = b"\x00"
 
 
 def byte_letters() -> list[str]:
@@ -37,7 +35,11 @@ def byte_letters() -> list[str]:
 
 
 class Bpe:
-    """One vocabulary with the memory of a worker. Splits, encodes and decodes as the tokenizers library does."""
+    """One vocabulary in a worker. Splits, encodes and decodes as the tokenizers library does.
+
+    Fragments are merged by tiktoken, which takes any table of byte strings with their ranks. For vocabularies with word
+    ends, END stands for the end: a byte followed by END is the first merge of all, as such vocabularies have it.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -51,31 +53,44 @@ class Bpe:
             pattern = split["pretokenizers"][0]["pattern"]["Regex"]
         else:
             raise ValueError(f"pre-tokenizer not supported: {split}")
+        self.end = model["end_of_word_suffix"] or ""
         # White space is what the Unicode property says, without the four separators that Python counts too.
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), regex.V1).findall
-        self.letters = byte_letters()
-        self.end = model["end_of_word_suffix"] or ""
-        self.vocabulary: dict[str, int] = model["vocab"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
+        vocabulary: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.tokens = {i: t for t, i in chain(self.vocabulary.items(), self.special.items())}
+        self.tokens = {i: t for t, i in chain(vocabulary.items(), self.special.items())}
+        to_byte = {c: b for b, c in enumerate(byte_letters())}
+        self.to_byte = to_byte
+
+        def raw(token: str) -> bytes:
+            word = bool(self.end) and token.endswith(self.end)
+            return bytes(to_byte[c] for c in (token[: -len(self.end)] if word else token)) + (END if word else b"")
+
+        letters = byte_letters()
+        ranked = [bytes([b]) for b in range(256)]
+        ranked += [bytes([b]) + END for b in range(256) if letters[b] + self.end in vocabulary] if self.end else []
+        ids = [vocabulary.get(letters[b], 0) for b in range(256)] + [vocabulary[letters[b] + self.end] for b in range(256) if letters[b] + self.end in vocabulary] * bool(self.end)
+        known = set(ranked)
+        for merge in model["merges"]:
+            token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+            if (r := raw(token)) not in known:
+                known.add(r)
+                ranked.append(r)
+                ids.append(vocabulary[token])
+        self.ids = np.array(ids, "<u4")
+        self.coder = tiktoken.Encoding("fragments", pat_str=r"[^\x00\x01]+\x00?" if self.end else pattern, mergeable_ranks={r: i for i, r in enumerate(ranked)}, special_tokens={})
         self.joined = bool(spec["decoder"])
-        to_byte = {c: b for b, c in enumerate(self.letters)}
         self.bytes = {i: bytes(to_byte[c] for c in t) for i, t in self.tokens.items() if self.joined and t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.inside = self._inside()
-        self.fragments: dict[tuple[str, bool], bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _inside(self) -> set[str]:
-        """Letter pairs that occur inside a token; between any others a cut is certain."""
-        found = set()
-        for t in self.vocabulary:
-            t = t.removesuffix(self.end) if self.end else t
-            found.update(map("".join, zip(t, t[1:], strict=False)))
-        return found
+        #: Pairs of bytes that occur inside a token.
+        self.inside = np.zeros((256, 256), bool)
+        for token in vocabulary:
+            token = np.frombuffer(raw(token).removesuffix(END), np.uint8)
+            self.inside[token[:-1], token[1:]] = True
+        self.inside[END[0], :] = self.inside[:, END[0]] = True
+        # Cuts are made before whole characters only.
+        self.inside[:, 0x80:0xC0] = True
 
     @functools.cached_property
     def library(self):
@@ -83,75 +98,32 @@ class Bpe:
 
         return Tokenizer.from_file(self.path)
 
-    def split(self, text: str) -> list[str]:
-        if self.compose and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if self.lower:
-            text = text.replace("Σ", "σ").lower()
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            # Code points that this Python doesn't know yet may have a class in the library's tables.
-            letters = {c: b for b, c in enumerate(self.letters)}
-            return [bytes(letters[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return self.find(text)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.pieces, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(self.fragments) > REMEMBERED:
-            self.fragments.clear()
-        for i, part in enumerate(self.cut.split(text) if self.cut and any(s in text for s in self.special) else (text,)):
-            if i % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            found = self.split(part)
-            try:
-                out += list(map(known.__getitem__, found))
-            except KeyError:
-                new = {p: self.piece(p) for p in set(found) - known.keys()}
-                known.update((p, v) for p, v in new.items() if len(p) <= LONG)
-                out.extend(new[p] if p in new else known[p] for p in found)
-        return b"".join(out)
-
-    def piece(self, piece: str) -> bytes:
-        """Cuts at forced boundaries and encodes each fragment."""
-        s = "".join(map(self.letters.__getitem__, piece.encode()))
-        out, begin, known = [], 0, self.fragments
-        for i in range(1, len(s) + 1):
-            if i == len(s) or s[i - 1 : i + 1] not in self.inside:
-                key = (s[begin:i], i == len(s))
-                if (ids := known.get(key)) is None:
-                    ids = self.fragment(*key)
-                    if len(key[0]) <= LONG:
-                        known[key] = ids
-                out.append(ids)
-                begin = i
-        return b"".join(out)
-
-    def fragment(self, letters: str, last: bool) -> bytes:
-        """Merges by rank, leftmost first, with a heap over a linked list: n log n for any length."""
-        symbols: list[str | None] = [*letters]
-        if last:
-            symbols[-1] += self.end
-        n, ranks = len(symbols), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = a + b, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := ranks.get((a + b, symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, symbols[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], a + b))
-        return np.array([self.vocabulary[s] for s in symbols if s is not None], "<u4").tobytes()
+        if self.cut is None or not any(s in text for s in self.special):
+            return self.part(text)
+        return b"".join(self.special[p].to_bytes(4, "little") if i % 2 else self.part(p) for i, p in enumerate(self.cut.split(text)))
+
+    def part(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if not text:
+            return b""
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)) or self.end and ("\x00" in text or "\x01" in text):
+            # Code points that this Python doesn't know yet, and the marks that are used here: left to the library.
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.end:
+            if self.compose and not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+            if self.lower:
+                text = text.replace("Σ", "σ").lower()
+            text = self.fragments("\0".join([*self.find(text), ""]))
+        return self.ids[self.coder.encode_to_numpy(text, disallowed_special=())].tobytes()
+
+    def fragments(self, words: str) -> str:
+        """Puts a mark between bytes that no token has side by side."""
+        data = np.frombuffer(words.encode(), np.uint8)
+        cuts = np.flatnonzero(~self.inside[data[:-1], data[1:]]) + 1
+        return np.insert(data, cuts, 1).tobytes().decode() if len(cuts) else words
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space if the file has no decoder, else their bytes with invalid UTF-8 replaced."""
