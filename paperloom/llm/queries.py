@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, toxicity, urls
+from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, topk, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, k=5)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = fingerprints.with_next(documents, "doc_id", "text", {"sketch": fingerprints.sketch(F.col("text"))})
@@ -77,6 +94,11 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "log_odds", "verdict")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(warc.assigned(table(spark, sf_dir, "pages")))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -123,8 +145,8 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL}
+    return {"op2_topk": OP2_SQL, "op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL}
