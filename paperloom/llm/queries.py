@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, topk, toxicity, urls, warc
 
 
@@ -12,12 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.sample(documents, table(spark, sf_dir, "labels")))
@@ -75,11 +70,11 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.vocabulary("byte_bpe_50k.json"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
+    path = corpus_pipeline.vocabulary("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     decoded = bpe.decode(encoded, path)
     return decoded.select(
@@ -145,7 +140,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm._arrow import bytes_of, mixed, pieces, powers, prefix_hash
 from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, binary, by_bucket, collapsed, gathered, groups, runs, second_hash, sliding
@@ -291,8 +292,8 @@ def _covered(table: pa.Table, length: int, chunks: int) -> pa.RecordBatch:
     return _side({"kind": COVER, "chunk": pa.array(chunk[cut]), "blob": blob}, len(cut))
 
 
-def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool) -> pa.Table:
-    names, types = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept"], [*[pa.int64()] * 5, pa.binary()]
+def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool, carried: list[str]) -> pa.Table:
+    names, types = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", *carried], [*[pa.int64()] * 5, pa.binary(), *(docs.schema.field(c).type for c in carried)]
     blobs = [np.frombuffer(b, np.int64).reshape(-1, 4) for b in _kind(side, COVER).column("blob").to_pylist()]
     ranges = np.concatenate(blobs) if blobs else np.zeros((0, 4), np.int64)
     ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
@@ -321,7 +322,7 @@ def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool) -> pa.Table:
             removed = np.bincount(row[gone], minlength=n)
             size = np.diff(offsets)
             kept = binary(data[~gone], np.append(0, np.cumsum(size - removed)))
-            out.append(pa.RecordBatch.from_arrays([piece.column("id"), piece.column("mark"), *(pa.array(x.astype(np.int64)) for x in (size, removed, np.bincount(row[start], minlength=n))), kept], names=names))
+            out.append(pa.RecordBatch.from_arrays([piece.column("id"), piece.column("mark"), *(pa.array(x.astype(np.int64)) for x in (size, removed, np.bincount(row[start], minlength=n))), kept, *(piece.column(c) for c in carried)], names=names))
             done += n
     return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
@@ -346,17 +347,18 @@ def _hot(docs: DataFrame, length: int) -> np.ndarray:
     return np.array([r["bucket"] for r in rows], np.int64).view(np.uint64)
 
 
-def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, whole_characters: bool = False, keep: list[str] = ()) -> DataFrame:
     """id, mark (a hash of the text), n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), a row a document.
 
     A byte of a text, as UTF-8, goes if a string of `length` bytes covers it that also starts in a document with a smaller
     id; strings are judged on the input. With `whole_characters` a character stays unless all its bytes go. Null texts
     are empty. Rows that repeat an id are documents of their own, none smaller than another. Rows with a null id count as
-    one smaller than all others. Other columns are ignored.
+    one smaller than all others. The columns `keep` are carried along; other columns are ignored.
     """
     null = F.lit(-(1 << 62))
-    docs = documents.select(F.coalesce(F.col(id).cast("long"), null).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("mark"), "text")
+    docs = documents.select(F.coalesce(F.col(id).cast("long"), null).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    carried = [f"keep_{i}" for i in range(len(keep))]
     light = stored(docs.select("id", "mark", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")), "digests")
     total = light.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
@@ -377,5 +379,7 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
             yield _covered(table, length, chunks)
 
     covers = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, SIDE)
-    kept = by_chunk.cogroup(copies.unionByName(covers).groupBy("chunk")).applyInArrow(lambda d, s: _kept(d, s, length, whole_characters), "id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return kept.select(F.nullif("id", null).alias(id), "mark", "n_bytes", "n_removed", "n_spans", "kept")
+    schema = T._parse_datatype_string("id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([*schema.fields, *(T.StructField(c, docs.schema[c].dataType) for c in carried)])
+    kept = by_chunk.cogroup(copies.unionByName(covers).groupBy("chunk")).applyInArrow(lambda d, s: _kept(d, s, length, whole_characters, carried), schema)
+    return kept.select(F.nullif("id", null).alias(id), "mark", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(c).alias(n) for c, n in zip(carried, keep, strict=True)))
