@@ -5,8 +5,8 @@ hash evaluations of plain MinHash suffice. Bands of the signature bring candidat
 confirmed on the full shingle sets; the links' connected components are the groups.
 
 Equal sets are one node from the start. In each bucket all nodes are first held against the smallest one, which joins
-most of a group by a row for each member. Buckets whose nodes are then still in different components are searched
-whole, in blocks: signatures rule out pairs far below the threshold (five standard deviations), the rest is confirmed.
+most of a group by a row for each member, then against another one for each bucket. Buckets whose nodes are then still
+in different components are searched whole, in blocks: signatures rule out pairs far below the threshold (five standard deviations), the rest is confirmed.
 """
 
 from __future__ import annotations
@@ -157,6 +157,13 @@ def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInArrow(close, "a long, b long").distinct()
 
 
+def _mixed(places: DataFrame, joined: DataFrame) -> DataFrame:
+    """Places (bucket, node, n) with the node's component, in buckets that hold more than one."""
+    placed = places.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    return stored(placed.join(several, "bucket"), "mixed")
+
+
 def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id (long), n_shingles (set size), component_id (smallest id reachable), kept (id = component_id), a row a document.
 
@@ -178,9 +185,16 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     links = stored(_confirmed(star, texts, words, percent), "links")
 
     joined = components(links)
-    placed = grouped.select("bucket", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    rows = placed.join(mixed_buckets, "bucket").join(reps.select(F.col("id").alias("node"), "brief").dropDuplicates(["node"]), "node")
+    places = grouped.select("bucket", "node", "n")
+    # Once more with another centre in each bucket, so that a node meets many, for what is in different components yet.
+    rows = _mixed(places, joined)
+    centre = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("bucket", "node")).alias("c"))
+    star = rows.join(centre, "bucket").where("component <> c.component").where(F.expr(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)"))
+    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    links = stored(links.union(_confirmed(star, texts, words, percent)), "links")
+    joined = components(links)
+
+    rows = _mixed(places, joined).join(reps.select(F.col("id").alias("node"), "brief").dropDuplicates(["node"]), "node")
     more = stored(_confirmed(_close_pairs(rows, percent), texts, words, percent), "links")
 
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
