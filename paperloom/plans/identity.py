@@ -1 +1,138 @@
+"""Who is who: name forms, matching, resolution and conflicts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from paperloom.functions import names as N
+from paperloom.functions import text as T
+from paperloom.operators import linkage
+from paperloom.plans.reading import table
+from paperloom.registry import query
+
+ENDINGS = ["", " Inc.", " Co. Inc.", " GmbH", " LLC", ", Ltd."]
+
+def _normal_sql(source: str, column: str, keep: str) -> str:
+    """A chain of CTEs that normalizes `column` of `source` as `n`."""
+    steps, before = [f"s0 AS (SELECT {keep}, strip_accents(lower({column})) AS n FROM {source})"], "s0"
+    for i, e in enumerate(N.COMPANY_ENDINGS, 1):
+        steps.append(f"s{i} AS (SELECT {keep}, CASE WHEN ends_with(n, '{e}') THEN substr(n, 1, length(n) - {len(e)}) ELSE n END AS n FROM {before})")
+        before = f"s{i}"
+    steps.append(f"norm AS (SELECT {keep}, regexp_replace(regexp_replace(regexp_replace(n, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS n FROM {before})")
+    return ", ".join(steps)
+
+
+PARTY_SQL = "p AS (SELECT p_partkey, 'É' || p_name || list_extract(['', ' Inc.', ' Co. Inc.', ' GmbH', ' LLC', ', Ltd.'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS name FROM part)"
+
+
+@query(f"WITH {PARTY_SQL}, {_normal_sql('p', 'name', 'p_partkey')} SELECT p_partkey, n AS normalized FROM norm")
+def normalized_names(spark, sf_dir):
+    """Names without legal forms, marks and punctuation."""
+    name = F.concat(F.lit("É"), "p_name", F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", N.normalized(name).alias("normalized"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN split_part(p_name, ' ', 2) || ', Mrs. ' || split_part(p_name, ' ', 1) || ' J. (' || p_name || ')' WHEN 2 THEN split_part(p_name, ' ', 1) || ', Inc.' ELSE p_name END AS name FROM part),
+t AS (SELECT p_partkey, regexp_replace(regexp_replace(name, '\\(.*$', '', 's'), '^\\s+|\\s+$', '', 'g') AS t FROM p),
+h AS (SELECT *, string_split(t, ',') AS parts, regexp_replace(string_split(t, ',')[1], '^\\s+|\\s+$', '', 'g') AS head, regexp_replace(string_split(t, ',')[2], '^\\s+|\\s+$', '', 'g') AS tail FROM t),
+u AS (SELECT p_partkey, CASE WHEN len(parts) = 2 AND NOT regexp_matches(head, '[\\s\\d]') AND tail <> '' AND regexp_replace(lower(tail), '^[. ]+|[. ]+$', '', 'g') NOT IN ('inc', 'llc', 'l.l.c', 'ltd', 'co', 'corp', 'corporation', 'company', 'gmbh', 'plc', 'sa', 'nv', 'bv', 'ag', 'pty', 'llp', 'lp', 'pc', 'pllc') THEN tail || ' ' || head ELSE t END AS t FROM h)
+SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: regexp_replace(lower(w), '^[.,]+|[.,]+$', '', 'g') NOT IN ('', 'mr', 'mrs', 'dr', 'ms', 'miss')), ' ') AS form FROM u""")
+def person_forms(spark, sf_dir):
+    """Given names first, titles and brackets dropped."""
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Dr. "), "p_name")).when(F.col("p_partkey") % 4 == 1, F.concat(b, F.lit(", Mrs. "), a, F.lit(" J. ("), "p_name", F.lit(")"))).when(F.col("p_partkey") % 4 == 2, F.concat(a, F.lit(", Inc."))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.person_form(name).alias("form"))
+
+
+PAIRS_SQL = """WITH base AS (SELECT DISTINCT p_name AS n FROM part), v AS (SELECT n AS name FROM base UNION SELECT split_part(n, ' ', 1) FROM base UNION SELECT n || ' ii' FROM base WHERE length(n) % 2 = 0 UNION SELECT left(split_part(n, ' ', 1), 1) || ' ' || split_part(n, ' ', 2) FROM base UNION SELECT n || 's' FROM base WHERE length(n) % 3 = 0 UNION SELECT n || ' ' || CAST(length(n) AS VARCHAR) FROM base),
+pairs AS (SELECT x.name AS a, y.name AS b, string_split(x.name, ' ') AS wa, string_split(y.name, ' ') AS wb FROM v x JOIN v y ON x.name < y.name)"""
+
+
+def spellings(spark, sf_dir):
+    """Part names in the spellings that the tests of the ladder need."""
+    base = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct()
+    a, b = F.split_part("n", F.lit(" "), F.lit(1)), F.split_part("n", F.lit(" "), F.lit(2))
+    n = F.length("n")
+    all = F.array(F.col("n"), a, F.when(n % 2 == 0, F.concat("n", F.lit(" ii"))), F.concat(F.left(a, F.lit(1)), F.lit(" "), b), F.when(n % 3 == 0, F.concat("n", F.lit("s"))), F.concat("n", F.lit(" "), n.cast("string")))
+    return base.select(F.explode(F.array_compact(all)).alias("name")).distinct()
+
+
+@query(PAIRS_SQL + """, t AS (SELECT a, b, list_distinct(list_transform(range(1, length(a) + 2), lambda i: substr('  ' || a || ' ', i, 3))) AS x, list_distinct(list_transform(range(1, length(b) + 2), lambda i: substr('  ' || b || ' ', i, 3))) AS y FROM pairs)
+SELECT a, b, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice FROM t WHERE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.5""")
+def trigram_pairs(spark, sf_dir):
+    """C14: names alike by trigrams."""
+    pairs = linkage.name_pairs(spellings(spark, sf_dir))
+    return pairs.withColumn("dice", F.round(T.trigram_dice(F.col("a"), F.col("b")), 6)).where("dice >= 0.5").select("a", "b", "dice")
+
+
+@query(PAIRS_SQL + """, o AS (SELECT CASE WHEN length(a) >= length(b) THEN a ELSE b END AS longer, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS shorter FROM pairs), w AS (SELECT *, string_split(longer, ' ') AS x, string_split(shorter, ' ') AS y,
+ list_distinct(list_transform(range(1, length(longer) + 2), lambda i: substr('  ' || longer || ' ', i, 3))) AS gx, list_distinct(list_transform(range(1, length(shorter) + 2), lambda i: substr('  ' || shorter || ' ', i, 3))) AS gy FROM o),
+r AS (SELECT longer, shorter, CASE WHEN len(y) < len(x) AND length(shorter) >= 3 AND shorter NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'old', 'one', 'two', 'st', 'dr', 'mr', 'ms', 'mrs', 'san', 'los', 'las', 'north', 'south', 'east', 'west') AND x[1:len(y)] = y THEN 'short form' WHEN 2.0 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)) >= 0.9 THEN 'alike' END AS why FROM w) SELECT * FROM r WHERE why IS NOT NULL""")
+def merge_candidates(spark, sf_dir):
+    """Names of one thing, by blocking."""
+    return linkage.same_thing(linkage.name_pairs(spellings(spark, sf_dir)))
+
+
+@query(PAIRS_SQL + """, m AS (SELECT a, b, regexp_extract_all(a, '\\d+') AS na, regexp_extract_all(b, '\\d+') AS nb, CASE WHEN len(wa) >= 2 AND wa[-1] IN ('ii', 'iii') THEN wa[-1] END AS ga, CASE WHEN len(wb) >= 2 AND wb[-1] IN ('ii', 'iii') THEN wb[-1] END AS gb,
+ CASE WHEN len(wa) = len(wb) AND len(wa) >= 2 AND len(list_filter(list_zip(wa, wb), lambda p: p[1] <> p[2])) = 1 THEN list_filter(list_zip(wa, wb), lambda p: p[1] <> p[2])[1] END AS one, len(wa) = len(wb) AND len(wa) >= 2 AND len(list_filter(list_zip(wa, wb), lambda p: NOT (p[1] = p[2] OR (length(p[1]) = 1 AND starts_with(p[2], p[1])) OR (length(p[2]) = 1 AND starts_with(p[1], p[2]))))) = 0 AS initials FROM pairs)
+SELECT a, b, coalesce(na[1:least(len(na), len(nb))] <> nb[1:least(len(na), len(nb))], false) AS numbers_contradict, coalesce(ga <> gb, false) AS generations_differ,
+ coalesce(greatest(length(one[1]), length(one[2])) >= 4 AND levenshtein(one[1], one[2]) = 1, false) AS typo, initials FROM m
+ WHERE coalesce(greatest(length(one[1]), length(one[2])) >= 4 AND levenshtein(one[1], one[2]) = 1, false) OR initials""")
+def name_tests(spark, sf_dir):
+    """Tests of name pairs."""
+    pairs = linkage.name_pairs(spellings(spark, sf_dir))
+    a, b = F.col("a"), F.col("b")
+    tests = {"numbers_contradict": N.numbers_contradict(a, b), "generations_differ": N.generations_differ(a, b), "typo": F.coalesce(N.is_typo(a, b), F.lit(False)), "initials": N.initials_match(a, b)}
+    return pairs.select("a", "b", *(c.alias(n) for n, c in tests.items())).where("typo OR initials")
+
+
+@query()
+def match_kinds(spark, sf_dir):
+    """The ladder over blocked pairs."""
+    return linkage.matched(linkage.name_pairs(spellings(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT min(p_partkey) AS entity_id, p_name AS name, 'product' AS kind FROM part GROUP BY p_name),
+m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN n.name WHEN 1 THEN split_part(n.name, ' ', 1) ELSE 'nobody at all' END AS name FROM customer JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS k FROM e) n ON c_custkey % n.k = n.i),
+x AS (SELECT m.*, e.entity_id AS exact_id FROM m LEFT JOIN e ON m.name = e.name),
+f AS (SELECT x.mention_id, min(e.entity_id) AS only_id FROM x JOIN e ON x.exact_id IS NULL AND list_contains(string_split(e.name, ' '), x.name) GROUP BY x.mention_id HAVING count(DISTINCT e.entity_id) = 1)
+SELECT mention_id, coalesce(exact_id, only_id) AS entity_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN only_id IS NOT NULL THEN 'unambiguous' END AS resolved_by FROM x LEFT JOIN f USING (mention_id)""")
+def resolved_mentions(spark, sf_dir):
+    """Mentions and the entities that they mean; what stays open is null."""
+    e = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("kind", F.lit("product"))
+    sorted_names = e.agg(F.array_sort(F.collect_list("name")).alias("all"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(sorted_names))
+    name = F.get("all", (F.col("c_custkey") % F.size("all")).cast("int"))
+    name = F.when(F.col("c_custkey") % 3 == 0, name).when(F.col("c_custkey") % 3 == 1, F.split_part(name, F.lit(" "), F.lit(1))).otherwise("nobody at all")
+    return linkage.resolved(c.select(F.col("c_custkey").alias("mention_id"), name.alias("name"), F.lit("product").alias("kind")), e)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', -1) AS surname FROM part) SELECT name, surname, count(*) OVER (PARTITION BY surname) AS sharing FROM n""")
+def surname_frequency(spark, sf_dir):
+    """F16: how many names share the last word."""
+    return linkage.surname_frequency(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
+
+
+@query("""WITH s AS (SELECT p_size AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS spelling, lower(p_name) AS normalized, p_partkey AS seen FROM part), f AS (SELECT entity_id, normalized, arg_min(spelling, seen) AS spelling FROM s GROUP BY ALL)
+SELECT entity_id, list_sort(list(spelling)) AS aliases FROM f GROUP BY entity_id""")
+def alias_lists(spark, sf_dir):
+    """the spellings of an entity, one for each normalized form."""
+    part = table(spark, sf_dir, "part")
+    spelling = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return linkage.aliases(part.select(F.col("p_size").alias("entity_id"), spelling.alias("spelling"), F.lower("p_name").alias("normalized"), F.col("p_partkey").alias("seen")))
+
+
+@query("""WITH f AS (SELECT o_custkey AS entity_id, 'order_priority' AS field, o_orderpriority AS value, CAST(o_orderdate AS DATE) AS day, o_orderkey AS record_id FROM orders)
+SELECT * FROM (SELECT entity_id, field, count(DISTINCT lower(value)) AS "values", arg_min(value, (day, record_id)) AS oldest, arg_max(value, (day, record_id)) AS newest, arg_min(record_id, (day, record_id)) AS oldest_record, arg_max(record_id, (day, record_id)) AS newest_record FROM f GROUP BY entity_id, field) WHERE "values" > 1 AND oldest <> newest""")
+def conflicting_fields(spark, sf_dir):
+    """Fields whose oldest and newest values contradict."""
+    o = table(spark, sf_dir, "orders")
+    return linkage.conflicts(o.select(F.col("o_custkey").alias("entity_id"), F.lit("order_priority").alias("field"), F.col("o_orderpriority").alias("value"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("record_id")))
+
+
+@query("""WITH j AS (SELECT d.n_chars > 200 AS predicted, l.quality = 1 AS actual FROM documents d JOIN labels l USING (doc_id)), t AS (SELECT CAST(sum(CAST(predicted AND actual AS INT)) AS BIGINT) AS tp, CAST(sum(CAST(predicted AND NOT actual AS INT)) AS BIGINT) AS fp, CAST(sum(CAST(NOT predicted AND actual AS INT)) AS BIGINT) AS fn FROM j)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM t""")
+def quality_measures(spark, sf_dir):
+    """precision, recall and F1 of a rule."""
+    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return linkage.measures(j.select((F.col("n_chars") > 200).alias("predicted"), (F.col("quality") == 1).alias("actual")))
