@@ -28,7 +28,7 @@ LENGTH = 50
 #: Bytes of the minimisers that are counted first, and of those that choose a bucket.
 LONG_ANCHOR, SHORT_ANCHOR = 28, 16
 #: Bytes of text in a chunk, and windows in a packed string at most.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 RUN = 40
 
 SIDE = "chunk long, kind int, id long, mark long, low long, blob binary"
@@ -55,6 +55,17 @@ def _copies(docs: pa.Table, side: pa.Table) -> np.ndarray:
     return np.array([p in copies for p in pair(docs)], bool)
 
 
+def _numbered(docs: pa.Table) -> np.ndarray:
+    """A number for each row: the place of its (id, mark) among those of the chunk, the same whenever it is worked out."""
+    id, mark = (docs.column(c).to_numpy() for c in ("id", "mark"))
+    order = np.lexsort((mark, id))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (id[order][1:] != id[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _texts(docs: pa.Table, copies: np.ndarray):
     rest = docs.filter(pa.array(~copies)).combine_chunks()
     for batch in rest.to_batches():
@@ -135,18 +146,22 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_side({"kind": SHARED, "chunk": table.column("chunk").combine_chunks(), "id": pa.array(np.full(n, bucket)), "blob": blob}, n)])
 
 
-PACKED = "bucket long, packed binary, ids array<long>, marks array<long>, places array<long>"
+PACKED = "bucket long, packed binary, ids array<long>, docs array<long>, places array<int>"
 
 
 def _packed(docs: pa.Table, side: pa.Table, length: int, buckets: int, hot: np.ndarray) -> pa.Table:
     """The windows whose minimiser is shared, as packed strings."""
-    names = ["bucket", "packed", "ids", "marks", "places"]
-    types = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+    names = ["bucket", "packed", "ids", "docs", "places"]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    copies = _copies(docs, side)
+    if docs.num_rows:
+        # A document travels as its chunk and its number there.
+        docs = docs.append_column("doc", pa.array((docs.column("chunk").to_numpy() << 32) + _numbered(docs)))
     answers = _kind(side, SHARED)
     shared = [np.frombuffer(b, np.uint32).astype(np.uint64) | np.uint64(k << 32) for k, b in zip(answers.column("id").to_pylist(), answers.column("blob").to_pylist(), strict=True)]
     shared = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
     out = []
-    for piece in _texts(docs, _copies(docs, side)) if len(shared) else ():
+    for piece in _texts(docs, copies) if len(shared) and docs.num_rows else ():
         data, offsets = bytes_of(piece.column("text"))
         if len(data) < length:
             continue
@@ -172,9 +187,9 @@ def _packed(docs: pa.Table, side: pa.Table, length: int, buckets: int, hot: np.n
         value = minimum[begin].copy()
         if burning.any():
             value[burning] = _grams(sums[0], length)[begin[burning]]
-        ids, marks = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
+        ids, numbers = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("id", "doc"))
         of = row[begin]
-        made = collapsed(value, data, sums, begin, end + length, ids=ids[of], marks=marks[of], places=begin - offsets[of])
+        made = collapsed(value, data, sums, begin, end + length, ids=ids[of], docs=numbers[of], places=(begin - offsets[of]).astype(np.int32))
         out.append(pa.RecordBatch.from_arrays([made[c].cast(t) for c, t in zip(names, types, strict=True)], names=names))
     return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
@@ -251,8 +266,19 @@ def maximal_groups(data: np.ndarray, offsets: np.ndarray, least: np.ndarray, len
     return row[suffix[member]], place[suffix[member]], np.repeat(deep, sizes) + length, np.repeat(smallest, sizes)
 
 
-def _covered(table: pa.Table, length: int, chunks: int) -> pa.RecordBatch:
-    """Byte ranges that repeat a string of a document with a smaller id, packed for each chunk."""
+def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of documents, in order and without overlaps."""
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order], high[order]
+    shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33 if len(doc) else doc
+    reach = np.maximum.accumulate(high + shift)
+    first = np.flatnonzero(np.append(True, low[1:] + shift[1:] > reach[:-1])) if len(doc) else doc
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], low[first], (reach[last] - shift[last]) if len(doc) else high
+
+
+def _covered(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Byte ranges that repeat a string of a document with a smaller id, packed for each chunk as (number, low, high)."""
     data, offsets = bytes_of(table.column("packed").combine_chunks())
     sums, (_, back) = (prefix_hash(data), second_hash(data)), powers(len(data) + 1)
     one, two = (mixed((s[offsets[1:]] - s[offsets[:-1]]) * back[offsets[:-1]]) + np.diff(offsets).astype(np.uint64) for s in sums)
@@ -260,11 +286,11 @@ def _covered(table: pa.Table, length: int, chunks: int) -> pa.RecordBatch:
     string = np.empty(len(order), np.int64)
     string[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
     places = table.column("places").combine_chunks()
-    ids, marks = (table.column(c).combine_chunks().values.to_numpy() for c in ("ids", "marks"))
+    ids, docs = (table.column(c).combine_chunks().values.to_numpy() for c in ("ids", "docs"))
     places, of = places.values.to_numpy(), np.repeat(string, np.diff(places.offsets.to_numpy()))
     # Occurrences of each distinct string, one string after another.
     by = np.argsort(of, kind="stable")
-    ids, marks, places, of = ids[by], marks[by], places[by], of[by]
+    ids, docs, places, of = ids[by], docs[by], places[by].astype(np.int64), of[by]
     first = np.searchsorted(of, np.arange(len(cut) + 1))
     least = np.minimum.reduceat(ids, first[:-1])
     chosen = order[cut]
@@ -282,35 +308,35 @@ def _covered(table: pa.Table, length: int, chunks: int) -> pa.RecordBatch:
         entry = np.repeat(first[s] - np.cumsum(times) + times, times) + np.arange(times.sum())
         keep = ids[entry] > np.repeat(d, times)
         entry, p, z = entry[keep], np.repeat(p, times)[keep], np.repeat(z, times)[keep]
-        out.append(np.column_stack([ids[entry], marks[entry], places[entry] + p, places[entry] + p + z]))
-    rows = np.unique(np.concatenate(out), axis=0) if out and sum(map(len, out)) < 200_000 else np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    chunk = np.mod(rows[:, 1] ^ (rows[:, 0] << 17) ^ rows[:, 0], chunks)
-    order = np.argsort(chunk, kind="stable")
-    rows, chunk = rows[order], chunk[order]
-    cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
-    blob = binary(np.ascontiguousarray(rows).view(np.uint8).reshape(-1), np.append(cut, len(rows)) * 32)
+        out.append(_merged(docs[entry], places[entry] + p, places[entry] + p + z))
+    doc, low, high = _merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+    chunk = doc >> 32
+    cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else chunk
+    rows = np.column_stack([doc & 0xFFFFFFFF, low, high]).astype(np.uint32)
+    blob = binary(rows.view(np.uint8).reshape(-1), np.append(cut, len(rows)) * 12)
     return _side({"kind": COVER, "chunk": pa.array(chunk[cut]), "blob": blob}, len(cut))
 
 
 def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool, carried: list[str]) -> pa.Table:
     names, types = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", *carried], [*[pa.int64()] * 5, pa.binary(), *(docs.schema.field(c).type for c in carried)]
-    blobs = [np.frombuffer(b, np.int64).reshape(-1, 4) for b in _kind(side, COVER).column("blob").to_pylist()]
-    ranges = np.concatenate(blobs) if blobs else np.zeros((0, 4), np.int64)
-    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
-    cut = np.flatnonzero(np.any(np.diff(ranges[:, :2], axis=0) != 0, 1)) + 1
-    of = {(int(r[0, 0]), int(r[0, 1])): r[:, 2:] for r in np.split(ranges, cut) if len(r)}
+    blobs = [np.frombuffer(b, np.uint32).reshape(-1, 3) for b in _kind(side, COVER).column("blob").to_pylist()]
+    ranges = (np.concatenate(blobs) if blobs else np.zeros((0, 3), np.uint32)).astype(np.int64)
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    numbers = _numbered(docs) if docs.num_rows else np.zeros(0, np.int64)
+    first, last = (np.searchsorted(ranges[:, 0], numbers, s) for s in ("left", "right"))
     copies, out, done = _copies(docs, side), [], 0
     for batch in docs.to_batches():
         for piece in pieces(batch, "text"):
             data, offsets = bytes_of(piece.column("text"))
             cover = np.zeros(len(data) + 1, np.int64)
-            for k, pair in enumerate(zip(piece.column("id").to_pylist(), piece.column("mark").to_pylist(), strict=True)):
+            for k in range(piece.num_rows):
                 if copies[done + k] and offsets[k + 1] - offsets[k] >= length:
                     cover[offsets[k]] += 1
                     cover[offsets[k + 1]] -= 1
-                elif (r := of.get(pair)) is not None:
-                    np.add.at(cover, r[:, 0] + offsets[k], 1)
-                    np.add.at(cover, r[:, 1] + offsets[k], -1)
+                elif first[done + k] < last[done + k]:
+                    r = ranges[first[done + k] : last[done + k]]
+                    np.add.at(cover, r[:, 1] + offsets[k], 1)
+                    np.add.at(cover, r[:, 2] + offsets[k], -1)
             gone = np.cumsum(cover[:-1]) > 0
             if whole and gone.any():
                 # A character of several bytes goes only if all of them are covered.
@@ -375,8 +401,8 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     packed = by_chunk.cogroup(sides.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, length, chunks, hot), PACKED)
 
     def solving(batches):
-        for table in by_bucket(batches):
-            yield _covered(table, length, chunks)
+        for table in by_bucket(batches, limit=2 << 20):
+            yield _covered(table, length)
 
     covers = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, SIDE)
     schema = T._parse_datatype_string("id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
