@@ -2,8 +2,9 @@
 
 Every window of 35 words has a minimiser, the smallest hash of its word triples. Consecutive windows that share it travel
 as one packed string to the minimiser's bucket, where sorting the windows counts them exactly: equal windows always meet,
-each in one bucket. Equal packed strings of a piece of input travel once, with a list of their places. Minimisers that a
-large share of all super-k-mers have are split: their windows travel one by one to buckets of their own hash.
+each in one bucket. Minimisers are counted beforehand, as packed numbers, and those at a single place stay at home: their
+windows can't repeat. Equal packed strings of a piece of input travel once, with a list of their places. The windows of
+hot minimisers travel one by one to buckets of their own hash.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm._arrow import bytes_of, mixed, pieces, prefix_hash, span_hash, spans
+from paperloom.llm._chunks import SIDE, answered, chunk_of, chunks_for, counted_side, cover_side, covers_of, empty_side, is_shared, merged, numbered, shared_of
 from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, binary, by_bucket, collapsed, gathered, groups, runs, second_hash, sliding
 
 WINDOW = 35
@@ -32,62 +34,128 @@ def _canonical(column: pa.Array):
     return joined, cuts[:-1], cuts[1:] - 1, row
 
 
-def _packed(piece: pa.RecordBatch, window: int, hot: np.ndarray) -> pa.RecordBatch:
-    data, starts, ends, row = _canonical(piece.column("text"))
-    names = ["bucket", "packed", "ids", "marks", "places"]
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    anchor = min(ANCHOR, window)
-    if len(starts) < window:
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
-    sums = prefix_hash(data), second_hash(data)
-    word = span_hash(sums[0], starts, ends)
-    gram = word
-    for k in range(1, anchor):
-        gram = mixed(gram[:-1] * STEP + word[k:])
-    minimum = sliding(gram, window - anchor + 1)
-    n = len(minimum)
-    begin, end, hot_run = runs(minimum, row[:n] == row[window - 1 :], row[:n], hot)
-    a, z = starts[begin], ends[end + window - 1]
-    key = minimum[begin].copy()
-    key[hot_run] = span_hash(sums[0], a[hot_run], z[hot_run])
-    first = np.searchsorted(row, np.arange(piece.num_rows))
-    ids, marks = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
-    made = collapsed(key, data, sums, a, z, ids=ids[row[begin]], marks=marks[row[begin]], places=begin - first[row[begin]])
-    return pa.RecordBatch.from_arrays([made[c].cast(t) for c, t in zip(names, types, strict=True)], names=names)
+class _Words:
+    """The words of a piece of documents, their triples' hashes and the minimiser of every window."""
+
+    def __init__(self, column: pa.Array, window: int):
+        self.data, self.starts, self.ends, self.row = _canonical(column)
+        self.sums = prefix_hash(self.data)
+        self.n = max(0, len(self.starts) - window + 1)
+        if not self.n:
+            return
+        anchor = min(ANCHOR, window)
+        word = span_hash(self.sums, self.starts, self.ends)
+        gram = word
+        for k in range(1, anchor):
+            gram = mixed(gram[:-1] * STEP + word[k:])
+        self.gram, self.width = gram, window - anchor + 1
+        self.minimum = sliding(gram, self.width)
+        self.valid = self.row[: self.n] == self.row[window - 1 :]
+
+    def chosen(self) -> np.ndarray:
+        """Places of triples that are the minimiser of some window."""
+        edge = np.zeros(self.width - 1, np.uint64)
+        most = sliding(np.concatenate([edge, np.where(self.valid, self.minimum, np.uint64(0)), edge]), self.width, np.maximum)
+        return np.flatnonzero((self.gram == most) & (most > 0))
+
+
+def _counted(docs: pa.Table, window: int, buckets: int) -> pa.Table:
+    """The chunk's minimisers for each bucket; each place is an owner of its own."""
+    found = []
+    for batch in docs.combine_chunks().to_batches():
+        for piece in pieces(batch, "text"):
+            words = _Words(piece.column("text"), window)
+            if words.n:
+                found.append(words.gram[words.chosen()])
+    f = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return counted_side(f, np.arange(len(f)), docs.column("chunk")[0].as_py(), buckets) if len(f) else empty_side()
+
+
+PACKED = "bucket long, packed binary, docs array<long>, places array<int>"
+
+
+def _packed(docs: pa.Table, side: pa.Table, window: int, buckets: int, hot: np.ndarray) -> pa.Table:
+    """Windows whose minimiser occurs elsewhere, as packed strings."""
+    names, types = ["bucket", "packed", "docs", "places"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    shared, out, done = shared_of(side), [], 0
+    numbers = (docs.column("chunk").to_numpy() << 32) + numbered(docs) if docs.num_rows else None
+    for batch in docs.combine_chunks().to_batches() if len(shared) else ():
+        for piece in pieces(batch, "text"):
+            number = numbers[done : done + piece.num_rows]
+            done += piece.num_rows
+            words = _Words(piece.column("text"), window)
+            if not words.n:
+                continue
+            begin, end, _ = runs(words.minimum, words.valid, words.row[: words.n], np.zeros(0, np.uint64))
+            has = is_shared(words.minimum[begin], shared, buckets)
+            if not has.any():
+                continue
+            cover = np.zeros(words.n + 1, np.int64)
+            cover[begin[has]] = 1
+            cover[end[has] + 1] -= 1
+            begin, end, burning = runs(words.minimum, np.cumsum(cover[:-1]) > 0, words.row[: words.n], hot)
+            a, z = words.starts[begin], words.ends[end + window - 1]
+            key = words.minimum[begin].copy()
+            key[burning] = span_hash(words.sums, a[burning], z[burning])
+            first = np.searchsorted(words.row, np.arange(piece.num_rows))
+            of = words.row[begin]
+            made = collapsed(key, words.data, (words.sums, second_hash(words.data)), a, z, docs=number[of], places=(begin - first[of]).astype(np.int32))
+            out.append(pa.RecordBatch.from_arrays([made[c].cast(t) for c, t in zip(names, types, strict=True)], names=names))
+    return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
 
 def _repeated(table: pa.Table, window: int) -> pa.RecordBatch:
     """Word ranges whose windows occur more than once among the rows."""
-    packed = table.column("packed").combine_chunks()
-    data, starts, ends, row = _canonical(packed)
-    count = np.bincount(row, minlength=len(packed))
-    first = np.cumsum(count) - count
+    data, starts, ends, row = _canonical(table.column("packed").combine_chunks())
+    first = np.searchsorted(row, np.arange(table.num_rows))
     n = len(starts) - window + 1
     begin = np.flatnonzero(row[:n] == row[window - 1 :])
     sums = prefix_hash(data), second_hash(data)
     a, z = starts[begin], ends[begin + window - 1]
     order, cut = groups(span_hash(sums[0], a, z), span_hash(sums[1], a, z))
     places = table.column("places").combine_chunks()
-    times = np.diff(places.offsets.to_numpy())
-    weight = times[row[begin]]
-    total = np.add.reduceat(weight[order], cut) if len(order) else np.zeros(0, int)
+    bounds = places.offsets.to_numpy().astype(np.int64)
+    times = np.diff(bounds)
+    total = np.add.reduceat(times[row[begin]][order], cut)
     twice = np.zeros(len(begin), bool)
     twice[order] = np.repeat(total > 1, np.diff(np.append(cut, len(order))))
-    # Runs of repeated windows within a row.
+    # Runs of repeated windows within a row, at every occurrence of it.
     at, whose = begin[twice], row[begin[twice]]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (whose[1:] != whose[:-1])
     lo = np.flatnonzero(new)
-    hi = np.append(lo[1:], len(at)) - 1
-    whose = whose[lo] if len(lo) else np.zeros(0, int)
-    low, high = at[lo] - first[whose], (at[hi] if len(lo) else at) - first[whose] + window
-    # Every occurrence of the packed string has these ranges.
+    hi, whose = np.append(lo[1:], len(at))[: len(lo)] - 1, whose[lo]
+    low, high = at[lo] - first[whose], at[hi] - first[whose] + window
     copies = times[whose]
-    inner = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-    entry = np.repeat(places.offsets.to_numpy()[whose], copies) + inner
-    base = places.values.to_numpy()[entry]
-    ids, marks = (table.column(c).combine_chunks().values.take(pa.array(entry)) for c in ("ids", "marks"))
-    return pa.RecordBatch.from_arrays([ids, marks, pa.array(base + np.repeat(low, copies)), pa.array(base + np.repeat(high, copies))], names=["id", "mark", "low", "high"])
+    entry = np.repeat(bounds[whose] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+    base = places.values.to_numpy()[entry].astype(np.int64)
+    docs = table.column("docs").combine_chunks().values.to_numpy()[entry]
+    return cover_side(*merged(docs, base + np.repeat(low, copies), base + np.repeat(high, copies)))
+
+
+def _kept(docs: pa.Table, side: pa.Table) -> pa.Table:
+    names, types = ["id", "n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    ranges, begin, end = covers_of(docs, side)
+    out, done = [], 0
+    for batch in docs.combine_chunks().to_batches():
+        for piece in pieces(batch, "text"):
+            data, starts, ends, row = _canonical(piece.column("text"))
+            count = np.bincount(row, minlength=piece.num_rows)
+            first = np.cumsum(count) - count
+            times = end[done : done + piece.num_rows] - begin[done : done + piece.num_rows]
+            entry = np.repeat(begin[done : done + piece.num_rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            done += piece.num_rows
+            cover = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(cover, ranges[entry, 1] + np.repeat(first, times), 1)
+            np.add.at(cover, ranges[entry, 2] + np.repeat(first, times), -1)
+            stays = np.cumsum(cover[:-1]) == 0
+            kept_count = np.bincount(row[stays], minlength=piece.num_rows)
+            joined, cuts = gathered(data, starts[stays], ends[stays] + 1)
+            # Each document's words with a space after each, without the last space.
+            edge = np.append(0, np.cumsum(kept_count))
+            text, offsets = gathered(joined, cuts[edge[:-1]], cuts[edge[1:]] - (kept_count > 0))
+            out.append(pa.RecordBatch.from_arrays([piece.column("id"), pa.array(count), pa.array(count - kept_count), binary(text, offsets).cast(pa.string())], names=names))
+    return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
 
 def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -95,63 +163,39 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
 
     A word goes if a window of `window` consecutive words of its document covers it whose word sequence starts anywhere
     else too, in the same document or another; all windows are judged on the input. Null texts have no words. Rows that
-    repeat an id are documents of their own (an id is only carried along). Rows whose id is null are too. Other columns
-    are ignored. Words are runs of other than the six white-space bytes 0x20 and 0x09-0x0D, unchanged.
+    repeat an id, or whose id is null, are documents of their own (an id is only carried along). Other columns are
+    ignored. Words are runs of other than the six white-space bytes 0x20 and 0x09-0x0D, unchanged.
     """
-    docs = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
-
-    def packing(hot: np.ndarray):
-        def run(batches):
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    yield _packed(piece, window, hot)
-
-        return run
+    null = F.lit(-(1 << 62))
+    docs = documents.select(F.coalesce(F.col(id).cast("long"), null).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    chunks = chunks_for(docs.select(F.octet_length("text").alias("n")))
+    hot = _hot(docs, window)
+    by_chunk = docs.withColumn("chunk", chunk_of(chunks)).repartition("chunk").groupBy("chunk")
+    counted = by_chunk.applyInArrow(lambda d: _counted(d, window, chunks), SIDE)
+    answers = counted.groupBy("id").applyInArrow(answered, SIDE)
+    rows = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, window, chunks, hot), PACKED)
 
     def solving(batches):
-        for table in by_bucket(batches):
+        for table in by_bucket(batches, limit=2 << 20):
             yield _repeated(table, window)
 
-    source = docs.select(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "mark", "text")
-    schema = "bucket long, packed binary, ids array<long>, marks array<long>, places array<long>"
-    hot = hot_minimisers(source, packing(np.zeros(0, np.uint64)), schema)
-    rows = source.mapInArrow(packing(hot), schema)
-    ranges = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, "id long, mark long, low long, high long")
-    ranges = ranges.groupBy("id", "mark").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-
-    def cutting(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                yield _kept(piece)
-
-    joined = source.join(ranges, ["id", "mark"], "left")
-    out = joined.select("id", "text", "lows", "highs").mapInArrow(cutting, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.nullif("id", F.lit(-(1 << 63))).alias(id), "n_words", "n_removed", "kept")
+    covers = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, SIDE)
+    kept = by_chunk.cogroup(covers.groupBy("chunk")).applyInArrow(_kept, "id long, n_words long, n_removed long, kept string")
+    return kept.select(F.nullif("id", null).alias(id), "n_words", "n_removed", "kept")
 
 
-def hot_minimisers(source: DataFrame, packing, schema: str) -> np.ndarray:
+def _hot(docs: DataFrame, window: int) -> np.ndarray:
     """The most frequent minimisers of a sample of the documents; HOT_MOST of them at most."""
-    sample = source.where(F.pmod(F.xxhash64("id", "mark"), F.lit(HOT_SAMPLE)) == 0)
-    counts = sample.mapInArrow(packing, schema).groupBy("bucket").agg(F.sum(F.size("places")).alias("n"))
-    found = counts.where(f"n >= {HOT_LEAST}").orderBy(F.desc("n"), "bucket").limit(HOT_MOST).collect()
-    return np.array([r["bucket"] for r in found], np.int64).view(np.uint64)
-
-
-def _kept(piece: pa.RecordBatch) -> pa.RecordBatch:
-    data, starts, ends, row = _canonical(piece.column("text"))
-    count = np.bincount(row, minlength=piece.num_rows)
-    first = np.cumsum(count) - count
-    cover = np.zeros(len(starts) + 1, np.int64)
-    for side, step in (("lows", 1), ("highs", -1)):
-        values = piece.column(side)
-        sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        np.add.at(cover, values.flatten().to_numpy() + np.repeat(first, sizes), step)
-    stays = np.cumsum(cover[:-1]) == 0
-    kept_count = np.bincount(row[stays], minlength=piece.num_rows)
-    joined, cuts = gathered(data, starts[stays], ends[stays] + 1)
-    # Each document's words with a space after each, without the last space.
-    edge = np.append(0, np.cumsum(kept_count))
-    lo, hi = cuts[edge[:-1]], cuts[edge[1:]] - (kept_count > 0)
-    text, offsets = gathered(joined, lo, hi)
-    kept = binary(text, offsets).cast(pa.string())
-    return pa.RecordBatch.from_arrays([piece.column("id"), pa.array(count), pa.array(count - kept_count), kept], names=["id", "n_words", "n_removed", "kept"])
+
+    def found(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words = _Words(piece.column("text"), window)
+                if words.n:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.gram[words.chosen()].view(np.int64))], names=["bucket"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id", "mark"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(found, "bucket long").groupBy("bucket").count().where(f"count >= {HOT_LEAST}")
+    rows = counts.orderBy(F.desc("count"), "bucket").limit(HOT_MOST).collect()
+    return np.array([r["bucket"] for r in rows], np.int64).view(np.uint64)

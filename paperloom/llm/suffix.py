@@ -15,57 +15,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm._arrow import bytes_of, mixed, pieces, powers, prefix_hash
+from paperloom.llm._chunks import COPY, SIDE, answered, chunk_of, chunks_for, counted_side, cover_side, covers_of, empty_side, is_shared, merged, numbered, of_kind, row_of, shared_of
 from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, binary, by_bucket, collapsed, gathered, groups, runs, second_hash, sliding
 from paperloom.llm._tables import stored
 
 LENGTH = 50
 #: Bytes of the minimisers that are counted first, and of those that choose a bucket.
 LONG_ANCHOR, SHORT_ANCHOR = 28, 16
-#: Bytes of text in a chunk, and windows in a packed string at most.
-CHUNK_BYTES = 4 << 20
+#: Windows in a packed string at most.
 RUN = 40
 
-SIDE = "chunk long, kind int, id long, mark long, low long, blob binary"
-COPY, SHARED, COVER = 0, 1, 2
-
-
-def _side(rows: dict[str, object], n: int) -> pa.RecordBatch:
-    zero = pa.array(np.zeros(n, np.int64))
-    return pa.RecordBatch.from_arrays(
-        [rows.get("chunk", zero), pa.array(np.full(n, rows["kind"], np.int32)), rows.get("id", zero), rows.get("mark", zero), rows.get("low", zero), rows.get("blob", pa.nulls(n, pa.binary()))],
-        names=["chunk", "kind", "id", "mark", "low", "blob"],
-    )
-
-
-def _kind(side: pa.Table, kind: int) -> pa.Table:
-    return side.filter(pc.equal(side.column("kind"), kind))
-
 
 def _copies(docs: pa.Table, side: pa.Table) -> np.ndarray:
     """Which rows are copies of a text with a smaller id."""
-    known = _kind(side, COPY)
+    known = of_kind(side, COPY)
     pair = lambda t: list(zip(t.column("id").to_pylist(), t.column("mark").to_pylist(), strict=True))
     copies = set(pair(known))
     return np.array([p in copies for p in pair(docs)], bool)
 
 
-def _numbered(docs: pa.Table) -> np.ndarray:
-    """A number for each row: the place of its (id, mark) among those of the chunk, the same whenever it is worked out."""
-    id, mark = (docs.column(c).to_numpy() for c in ("id", "mark"))
-    order = np.lexsort((mark, id))
-    new = np.zeros(len(order), np.int64)
-    new[1:] = (id[order][1:] != id[order][:-1]) | (mark[order][1:] != mark[order][:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def _texts(docs: pa.Table, copies: np.ndarray):
     rest = docs.filter(pa.array(~copies)).combine_chunks()
     for batch in rest.to_batches():
@@ -77,10 +50,6 @@ def _grams(sums: np.ndarray, n: int) -> np.ndarray:
     return mixed((sums[n:] - sums[:-n]) * back[: len(sums) - n])
 
 
-def _rows(offsets: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-
-
 def _minimum(sums: np.ndarray, anchor: int, length: int) -> np.ndarray:
     return sliding(_grams(sums, anchor), length - anchor + 1)
 
@@ -91,10 +60,6 @@ def _changes(minimum: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndar
     return runs(minimum, row[:n] == row[length - 1 : length - 1 + n], row[:n], np.zeros(0, np.uint64))
 
 
-def _places(f: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((f >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (f & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def _counted(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
     """The chunk's minimisers for each bucket: first those of one of its documents, `low` in number, then those of more."""
     chunk = (docs.column("chunk")[0] if docs.num_rows else side.column("chunk")[0]).as_py()
@@ -102,48 +67,15 @@ def _counted(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Ta
     for piece in _texts(docs, _copies(docs, side)):
         data, offsets = bytes_of(piece.column("text"))
         if len(data) >= length:
-            row = _rows(offsets)
+            row = row_of(offsets)
             minimum = _minimum(prefix_hash(data), min(LONG_ANCHOR, length), length)
             begin, _, _ = _changes(minimum, row, length)
             found.append(minimum[begin])
             owner.append(row[begin] + before)
         before += piece.num_rows
     if not found:
-        return pa.Table.from_batches([_side({"kind": SHARED}, 0)])
-    f, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(f, kind="stable")
-    f, owner = f[order], owner[order]
-    new = np.append(True, f[1:] != f[:-1])
-    more = np.zeros(len(f), bool)
-    more[1:] = ~new[1:] & (owner[1:] != owner[:-1])
-    begin = np.flatnonzero(new)
-    many = np.logical_or.reduceat(more, begin)
-    bucket, rest = _places(f[begin], buckets)
-    order = np.lexsort((many, bucket))
-    bucket, rest, many = bucket[order], rest[order], many[order]
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    single = np.add.reduceat((~many).astype(np.int64), cut)
-    blob = binary(rest.view(np.uint8), np.append(cut, len(rest)) * 4)
-    return pa.Table.from_batches([_side({"kind": SHARED, "chunk": pa.array(np.full(len(cut), chunk)), "id": pa.array(bucket[cut]), "low": pa.array(single), "blob": blob}, len(cut))])
-
-
-def _answered(table: pa.Table) -> pa.Table:
-    """For each chunk of a bucket, those of its minimisers that two documents have."""
-    bucket = table.column("id")[0].as_py()
-    blobs = [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
-    sizes = np.array([len(b) for b in blobs])
-    values = np.concatenate(blobs)
-    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    weight = 1 + (at >= np.repeat(table.column("low").to_numpy(), sizes))
-    order = np.argsort(values, kind="stable")
-    cut = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
-    total = np.add.reduceat(weight[order], cut)
-    keep = np.zeros(len(values), bool)
-    keep[order] = np.repeat(total > 1, np.diff(np.append(cut, len(values))))
-    kept = np.add.reduceat(keep.astype(np.int64), np.cumsum(sizes) - sizes)
-    blob = binary(values[keep].view(np.uint8), np.append(0, np.cumsum(kept)) * 4)
-    n = table.num_rows
-    return pa.Table.from_batches([_side({"kind": SHARED, "chunk": table.column("chunk").combine_chunks(), "id": pa.array(np.full(n, bucket)), "blob": blob}, n)])
+        return empty_side()
+    return counted_side(np.concatenate(found), np.concatenate(owner), chunk, buckets)
 
 
 PACKED = "bucket long, packed binary, ids array<long>, docs array<long>, places array<int>"
@@ -156,21 +88,17 @@ def _packed(docs: pa.Table, side: pa.Table, length: int, buckets: int, hot: np.n
     copies = _copies(docs, side)
     if docs.num_rows:
         # A document travels as its chunk and its number there.
-        docs = docs.append_column("doc", pa.array((docs.column("chunk").to_numpy() << 32) + _numbered(docs)))
-    answers = _kind(side, SHARED)
-    shared = [np.frombuffer(b, np.uint32).astype(np.uint64) | np.uint64(k << 32) for k, b in zip(answers.column("id").to_pylist(), answers.column("blob").to_pylist(), strict=True)]
-    shared = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
+        docs = docs.append_column("doc", pa.array((docs.column("chunk").to_numpy() << 32) + numbered(docs)))
+    shared = shared_of(side)
     out = []
     for piece in _texts(docs, copies) if len(shared) and docs.num_rows else ():
         data, offsets = bytes_of(piece.column("text"))
         if len(data) < length:
             continue
-        row, sums = _rows(offsets), (prefix_hash(data), second_hash(data))
+        row, sums = row_of(offsets), (prefix_hash(data), second_hash(data))
         minimum = _minimum(sums[0], min(LONG_ANCHOR, length), length)
         begin, end, _ = _changes(minimum, row, length)
-        bucket, rest = _places(minimum[begin], buckets)
-        key = rest.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
-        has = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
+        has = is_shared(minimum[begin], shared, buckets)
         cover = np.zeros(len(minimum) + 1, np.int64)
         cover[begin[has]] += 1
         np.add.at(cover, end[has] + 1, -1)
@@ -266,17 +194,6 @@ def maximal_groups(data: np.ndarray, offsets: np.ndarray, least: np.ndarray, len
     return row[suffix[member]], place[suffix[member]], np.repeat(deep, sizes) + length, np.repeat(smallest, sizes)
 
 
-def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of documents, in order and without overlaps."""
-    order = np.lexsort((low, doc))
-    doc, low, high = doc[order], low[order], high[order]
-    shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33 if len(doc) else doc
-    reach = np.maximum.accumulate(high + shift)
-    first = np.flatnonzero(np.append(True, low[1:] + shift[1:] > reach[:-1])) if len(doc) else doc
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], low[first], (reach[last] - shift[last]) if len(doc) else high
-
-
 def _covered(table: pa.Table, length: int) -> pa.RecordBatch:
     """Byte ranges that repeat a string of a document with a smaller id, packed for each chunk as (number, low, high)."""
     data, offsets = bytes_of(table.column("packed").combine_chunks())
@@ -308,22 +225,14 @@ def _covered(table: pa.Table, length: int) -> pa.RecordBatch:
         entry = np.repeat(first[s] - np.cumsum(times) + times, times) + np.arange(times.sum())
         keep = ids[entry] > np.repeat(d, times)
         entry, p, z = entry[keep], np.repeat(p, times)[keep], np.repeat(z, times)[keep]
-        out.append(_merged(docs[entry], places[entry] + p, places[entry] + p + z))
-    doc, low, high = _merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
-    chunk = doc >> 32
-    cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else chunk
-    rows = np.column_stack([doc & 0xFFFFFFFF, low, high]).astype(np.uint32)
-    blob = binary(rows.view(np.uint8).reshape(-1), np.append(cut, len(rows)) * 12)
-    return _side({"kind": COVER, "chunk": pa.array(chunk[cut]), "blob": blob}, len(cut))
+        out.append(merged(docs[entry], places[entry] + p, places[entry] + p + z))
+    doc, low, high = merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+    return cover_side(doc, low, high)
 
 
 def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool, carried: list[str]) -> pa.Table:
     names, types = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", *carried], [*[pa.int64()] * 5, pa.binary(), *(docs.schema.field(c).type for c in carried)]
-    blobs = [np.frombuffer(b, np.uint32).reshape(-1, 3) for b in _kind(side, COVER).column("blob").to_pylist()]
-    ranges = (np.concatenate(blobs) if blobs else np.zeros((0, 3), np.uint32)).astype(np.int64)
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    numbers = _numbered(docs) if docs.num_rows else np.zeros(0, np.int64)
-    first, last = (np.searchsorted(ranges[:, 0], numbers, s) for s in ("left", "right"))
+    ranges, first, last = covers_of(docs, side)
     copies, out, done = _copies(docs, side), [], 0
     for batch in docs.to_batches():
         for piece in pieces(batch, "text"):
@@ -342,7 +251,7 @@ def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool, carried: lis
                 # A character of several bytes goes only if all of them are covered.
                 head = np.flatnonzero((data & 0xC0) != 0x80)
                 gone = np.repeat(np.logical_and.reduceat(gone, head), np.diff(np.append(head, len(data))))
-            row, n = _rows(offsets), piece.num_rows
+            row, n = row_of(offsets), piece.num_rows
             start = gone.copy()
             start[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
             removed = np.bincount(row[gone], minlength=n)
@@ -361,7 +270,7 @@ def _hot(docs: DataFrame, length: int) -> np.ndarray:
             for piece in pieces(batch, "text"):
                 data, offsets = bytes_of(piece.column("text"))
                 if len(data) >= length:
-                    row = _rows(offsets)
+                    row = row_of(offsets)
                     minimum = _minimum(prefix_hash(data), min(SHORT_ANCHOR, length), length)
                     begin, _, _ = _changes(minimum, row, length)
                     pair = np.unique(np.column_stack([minimum[begin], row[begin].astype(np.uint64)]), axis=0)
@@ -386,9 +295,8 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     docs = docs.withColumn("mark", F.xxhash64("text"))
     carried = [f"keep_{i}" for i in range(len(keep))]
     light = stored(docs.select("id", "mark", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")), "digests")
-    total = light.agg(F.sum("n")).first()[0] or 0
-    chunks = max(1, -(-total // CHUNK_BYTES))
-    chunk = F.pmod(F.col("mark").bitwiseXOR(F.shiftleft("id", 17)).bitwiseXOR(F.col("id")), F.lit(chunks)).cast("long")
+    chunks = chunks_for(light)
+    chunk = chunk_of(chunks)
     hot = _hot(docs, length)
     docs = docs.withColumn("chunk", chunk).repartition("chunk")
     lows = light.groupBy("digest").agg(F.min("id").alias("low"))
@@ -396,7 +304,7 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
 
     by_chunk = docs.groupBy("chunk")
     counted = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(lambda d, s: _counted(d, s, length, chunks), SIDE)
-    answers = counted.groupBy("id").applyInArrow(_answered, SIDE)
+    answers = counted.groupBy("id").applyInArrow(answered, SIDE)
     sides = copies.unionByName(answers)
     packed = by_chunk.cogroup(sides.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, length, chunks, hot), PACKED)
 
