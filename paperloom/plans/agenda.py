@@ -1 +1,191 @@
+"""Dates, findings, facts, names and what a person decided."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from paperloom.functions import dates as D
+from paperloom.functions import text as T
+from paperloom.operators import agenda
+from paperloom.plans.reading import table
+from paperloom.registry import query
+
+NOW = "2024-01-15"
+KINDS_SQL = "list_extract(['payment due', 'call back', 'signed', 'term_end', 'ship_by', 'rsvp', 'expires', 'review'], CAST(event_id % 8 + 1 AS INTEGER))"
+DATES_SQL = f"WITH dates AS (SELECT event_id AS document_id, {KINDS_SQL} AS kind, CAST(ts AS DATE) AS date, 'Event ' || event_id AS title FROM events)"
+COMMIT_SQL = "CASE WHEN kind IN ('call back') THEN 'meeting' WHEN kind = 'payment due' THEN 'payment' WHEN kind = 'rsvp' THEN 'reply' WHEN kind = 'ship_by' THEN 'milestone' ELSE 'deadline' END"
+KEY_SQL = "'d:' || document_id || ':' || replace(kind, ' ', '_') || ':' || strftime(date, '%Y%m%d')"
+
+
+def dates(spark, sf_dir):
+    kinds = ["payment due", "call back", "signed", "term_end", "ship_by", "rsvp", "expires", "review"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), kind.alias("kind"), F.to_date("ts").alias("date"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y/%m/%d') WHEN 2 THEN strftime(ts, '%m/%d/%Y') WHEN 3 THEN strftime(ts, '%B') || ' ' || day(ts) || ', ' || year(ts) WHEN 4 THEN strftime(ts, '%b') || ' ' || day(ts) || ', ' || year(ts) WHEN 5 THEN strftime(ts, '%Y-%m') WHEN 6 THEN strftime(ts, '%Y') WHEN 7 THEN '  ' || strftime(ts, '%Y-%m-%d') || ' ' ELSE 'soon' END AS text, CAST(ts AS DATE) AS d FROM events)
+SELECT event_id, CAST(CASE WHEN event_id % 9 = 8 THEN NULL WHEN event_id % 9 = 5 THEN date_trunc('month', d) WHEN event_id % 9 = 6 THEN date_trunc('year', d) ELSE d END AS DATE) AS day, CASE WHEN event_id % 9 = 8 THEN NULL ELSE true END AS plausible FROM t""")
+def parsed_dates(spark, sf_dir):
+    """C11: dates by the first pattern that fits."""
+    f = lambda p: F.date_format("ts", p)
+    n = F.col("event_id") % 9
+    text = F.when(n == 0, f("yyyy-MM-dd")).when(n == 1, f("yyyy/MM/dd")).when(n == 2, f("MM/dd/yyyy")).when(n == 3, f("MMMM d, yyyy")).when(n == 4, f("MMM d, yyyy")).when(n == 5, f("yyyy-MM")).when(n == 6, f("yyyy")).when(n == 7, F.concat(F.lit("  "), f("yyyy-MM-dd"), F.lit(" "))).otherwise("soon")
+    day = D.parsed(text)
+    return table(spark, sf_dir, "events").select("event_id", day.alias("day"), D.plausible(day, F.lit(NOW).cast("date")).alias("plausible"))
+
+
+@query(DATES_SQL + f" SELECT document_id, {COMMIT_SQL} AS commitment, kind = 'signed' AS record_keeping, {KEY_SQL} AS key, CASE WHEN date < DATE '{NOW}' THEN 'overdue' WHEN date = DATE '{NOW}' THEN 'today' WHEN date - DATE '{NOW}' = 1 THEN 'tomorrow' WHEN date - DATE '{NOW}' <= 7 THEN 'thisWeek' ELSE 'later' END AS horizon FROM dates")
+def commitment_kinds(spark, sf_dir):
+    """Kinds, horizons and stable keys of dates."""
+    d = dates(spark, sf_dir)
+    today = F.lit(NOW).cast("date")
+    return d.select("document_id", D.commitment_kind(F.col("kind")).alias("commitment"), D.is_record_keeping(F.col("kind")).alias("record_keeping"), D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"), D.horizon(F.col("date"), today).alias("horizon"))
+
+
+@query(DATES_SQL + f" SELECT document_id, kind, date FROM dates WHERE date BETWEEN DATE '{NOW}' AND DATE '{NOW}' + 7")
+def upcoming(spark, sf_dir):
+    """What falls within the next days."""
+    today = F.lit(NOW).cast("date")
+    return dates(spark, sf_dir).where(F.col("date").between(today, F.date_add(today, 7))).select("document_id", "kind", "date").orderBy("date", "document_id")
+
+
+STATES_SQL = f", raw AS (SELECT {KEY_SQL} AS key, e.ts AS made, CASE e.event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'snooze' ELSE 'undo' END AS action, CAST(e.ts AS DATE) + 20 AS until FROM dates d JOIN events e ON e.event_id = d.document_id WHERE e.event_id % 3 = 0), newest AS (SELECT key, arg_max((action, made, until), (made, action)) AS d FROM raw GROUP BY key), states AS (SELECT key, CASE WHEN d[1] = 'done' THEN d[2] END AS done_at, CASE WHEN d[1] = 'snooze' THEN d[3] END AS snoozed_until, d[2] AS decided_at FROM newest)"
+
+
+def states(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    action = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "snooze").otherwise("undo")
+    d = dates(spark, sf_dir).select("document_id", D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
+    log = e.join(d, F.col("event_id") == F.col("document_id")).select("key", F.col("ts").alias("at"), action.alias("action"), F.date_add(F.to_date("ts"), 20).alias("until"))
+    return agenda.task_states(log)
+
+
+@query(DATES_SQL + STATES_SQL + " SELECT key, done_at, snoozed_until, decided_at FROM states")
+def task_states(spark, sf_dir):
+    """The latest decision on each task."""
+    return states(spark, sf_dir)
+
+
+@query(DATES_SQL + STATES_SQL + f" SELECT key, done_at, snoozed_until, decided_at FROM states WHERE done_at IS NOT NULL OR key IN (SELECT {KEY_SQL} FROM dates WHERE document_id % 2 = 0)")
+def pruned_states(spark, sf_dir):
+    """Decisions on tasks that are gone go, finished ones stay."""
+    live = dates(spark, sf_dir).where("document_id % 2 = 0").select(D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
+    return agenda.pruned(states(spark, sf_dir), live)
+
+
+ORDERED_SQL = "od AS (SELECT o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS early FROM orders), sd AS (SELECT l_orderkey AS document_id, max(CAST(l_shipdate AS DATE)) AS late FROM lineitem GROUP BY 1), found AS (SELECT document_id, 'dateOrder' AS kind, 'Shipping was due before the order was placed — ship_by ' || strftime(late, '%Y-%m-%d') || ' is before order_date ' || strftime(early, '%Y-%m-%d') || '.' AS detail FROM od JOIN sd USING (document_id) WHERE late < early)"
+
+
+def record_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("order_date").alias("kind"), F.to_date("o_orderdate").alias("date"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit("ship_by").alias("kind"), F.to_date("l_shipdate").alias("date"))
+    return o.union(l).withColumn("derived", F.lit(False))
+
+
+@query("WITH " + ORDERED_SQL + " SELECT * FROM found")
+def date_orders(spark, sf_dir):
+    """Dates in an impossible order."""
+    return agenda.date_orders(record_dates(spark, sf_dir))
+
+
+@query("WITH " + ORDERED_SQL + " SELECT kind, count(*) AS findings, count(DISTINCT document_id) AS documents FROM found GROUP BY kind")
+def flagged(spark, sf_dir):
+    """Findings by kind."""
+    return agenda.date_orders(record_dates(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("document_id").alias("documents"))
+
+
+@query(DATES_SQL + STATES_SQL + ", " + ORDERED_SQL + f""", items AS (SELECT {KEY_SQL} AS key, document_id, title, date AS due, {COMMIT_SQL} AS kind FROM dates WHERE date BETWEEN DATE '{NOW}' - 120 AND DATE '{NOW}' + 365 AND kind <> 'signed' UNION SELECT 'a:' || document_id || ':' || kind || ':' || substr(sha256(detail), 1, 12), document_id, detail, NULL, 'check' FROM found)
+SELECT items.key, document_id, title, due, kind, CASE WHEN due IS NULL THEN 'someday' WHEN due < DATE '{NOW}' THEN 'overdue' WHEN due = DATE '{NOW}' THEN 'today' WHEN due - DATE '{NOW}' = 1 THEN 'tomorrow' WHEN due - DATE '{NOW}' <= 7 THEN 'thisWeek' ELSE 'later' END AS horizon
+FROM items LEFT JOIN states ON states.key = items.key WHERE done_at IS NULL AND (snoozed_until IS NULL OR snoozed_until <= DATE '{NOW}')""")
+def agenda_items(spark, sf_dir):
+    """The agenda on a day."""
+    return agenda.commitments(dates(spark, sf_dir), agenda.date_orders(record_dates(spark, sf_dir)), states(spark, sf_dir), NOW)
+
+
+REPORTED_SQL = """WITH r AS (SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, l_partkey AS n, l_quantity AS q FROM lineitem),
+reported AS (SELECT document_id, position, CASE n % 7 WHEN 0 THEN 'Part ' || n || ' appears twice' WHEN 1 THEN 'Total ' || n || ' does not match (5 + 5 = ' || n || ')' WHEN 2 THEN 'The sum of ' || n || ' should be 12' WHEN 3 THEN 'short' WHEN 4 THEN 'Word is misspelt here' WHEN 5 THEN 'Stated as red but elsewhere blue' ELSE 'Something odd about this row' END AS detail FROM r)"""
+
+
+def reported(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = F.col("l_partkey")
+    s = n.cast("string")
+    detail = F.when(n % 7 == 0, F.concat(F.lit("Part "), s, F.lit(" appears twice"))).when(n % 7 == 1, F.concat(F.lit("Total "), s, F.lit(" does not match (5 + 5 = "), s, F.lit(")"))).when(n % 7 == 2, F.concat(F.lit("The sum of "), s, F.lit(" should be 12"))).when(n % 7 == 3, "short").when(n % 7 == 4, "Word is misspelt here").when(n % 7 == 5, "Stated as red but elsewhere blue").otherwise("Something odd about this row")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).alias("position"), detail.alias("detail"))
+
+
+@query(REPORTED_SQL + """, k AS (SELECT *, CASE WHEN detail LIKE '%appears twice' THEN 'duplicate' WHEN detail LIKE 'The sum%' THEN 'arithmetic' WHEN detail LIKE '%misspelt%' THEN 'typo' WHEN detail LIKE 'Stated%' THEN 'contradiction' ELSE 'other' END AS kind,
+ CASE WHEN detail LIKE 'The sum%' THEN array_to_string(list_sort(regexp_extract_all(detail, '\\d+')), ' ') WHEN detail LIKE 'Part%' THEN regexp_extract(detail, '\\d+') ELSE detail END AS sig FROM reported WHERE detail NOT LIKE 'Total%' AND length(detail) >= 8),
+f AS (SELECT *, row_number() OVER (PARTITION BY document_id, sig ORDER BY position) AS first FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS place FROM f WHERE first = 1) SELECT document_id, place, kind, detail FROM p WHERE place <= 6""")
+def vetted_findings(spark, sf_dir):
+    """Reported findings that are worth showing."""
+    return agenda.vetted(reported(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT event_id AS document_id, CASE event_id % 3 WHEN 0 THEN 'term_end' WHEN 1 THEN 'expires' ELSE 'signed' END AS kind, CAST(ts AS DATE) AS date, CAST(event_id % 45 AS INTEGER) AS notice_days FROM events)
+SELECT document_id, 'notice_deadline' AS kind, date - notice_days AS date, true AS derived FROM d WHERE kind <> 'signed' AND notice_days > 0""")
+def derived_deadlines(spark, sf_dir):
+    """Deadlines counted back from the end of a term."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "term_end").when(F.col("event_id") % 3 == 1, "expires").otherwise("signed")
+    d = e.select(F.col("event_id").alias("document_id"), kind.alias("kind"), F.to_date("ts").alias("date"), F.lit(0).alias("position"))
+    return agenda.derived_deadlines(d, e.select(F.col("event_id").alias("document_id"), (F.col("event_id") % 45).cast("int").alias("notice_days")))
+
+
+@query("""WITH f AS (SELECT user_id AS subject_id, 'prefers' AS predicate, event_type AS value, CAST(ts AS DATE) AS since, CASE WHEN event_id % 2 = 0 THEN CAST(ts AS DATE) END AS until FROM events),
+b AS (SELECT subject_id, predicate, lower(value) AS low, arg_max((value, until IS NULL, since), (until IS NULL, since, value)) AS f FROM f GROUP BY ALL)
+SELECT subject_id, predicate, f[1] AS value, f[3] AS effective, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY f[2] DESC, f[3] DESC, f[1]) AS place, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY f[2] DESC, f[3] DESC, f[1]) = 1 AS is_current FROM b""")
+def profiles(spark, sf_dir):
+    """Current values and their history."""
+    e = table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    return agenda.profile(e.select(F.col("user_id").alias("subject_id"), F.lit("prefers").alias("predicate"), F.col("event_type").alias("value"), day.alias("since"), F.when(F.col("event_id") % 2 == 0, day).alias("until"), day.alias("asserted_on")))
+
+
+@query("""WITH p AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS subject_id, 'mentions' AS predicate, CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 2) WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN '' ELSE upper(substr(text, 1, 12)) END AS object, text FROM documents)
+SELECT document_id, subject_id, predicate, object, CASE WHEN subject_id IS NULL THEN 'unknown subject' WHEN length(object) NOT BETWEEN 1 AND 120 THEN 'object length' WHEN NOT (contains(lower(text), lower(object)) OR (length(regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')) >= 3 AND contains(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')))) THEN 'not in the document' END AS refused FROM p""")
+def admitted_facts(spark, sf_dir):
+    """Proposed facts and why some are refused."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    value = F.when(n % 4 == 0, F.split_part("text", F.lit(" "), F.lit(2))).when(n % 4 == 1, "zzzz qqqq").when(n % 4 == 2, "").otherwise(F.upper(F.substring("text", 1, 12)))
+    return agenda.admitted(d.select(n.alias("document_id"), F.when(n % 5 != 0, n).alias("subject_id"), F.lit("mentions").alias("predicate"), value.alias("object")), d.select(n.alias("document_id"), "text"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name || '.pdf' AS name FROM part), r AS (SELECT id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS k FROM n)
+SELECT id, CASE WHEN k = 1 THEN name ELSE substr(name, 1, length(name) - 4) || ' (' || k || ').pdf' END AS unique_name FROM r""")
+def unique_names(spark, sf_dir):
+    """Display names without repetition."""
+    return agenda.unique_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("name")))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'order of ' || lower(c_mktsegment) AS s, CASE WHEN o_orderkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS p FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT id, strftime(day, '%Y-%m-%d') || ' ' || upper(substr(s, 1, 1)) || substr(s, 2) || CASE WHEN contains(s, lower(p)) THEN '' ELSE ' — ' || p END || '.pdf' AS name FROM n""")
+def document_names(spark, sf_dir):
+    """Names derived from a record."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    subject = F.concat(F.lit("order of "), F.lower("c_mktsegment"))
+    party = F.when(F.col("o_orderkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
+    return o.select(F.col("o_orderkey").alias("id"), agenda.proposed_name(F.to_date("o_orderdate"), subject, party, ".pdf").alias("name"))
+
+
+@query("""SELECT DISTINCT p_type AS word, CASE WHEN regexp_matches(lower(p_type), '[^aeiou]y$') THEN substr(lower(p_type), 1, length(p_type) - 1) || 'ies' WHEN regexp_matches(lower(p_type), '(s|x|z|ch|sh)$') THEN lower(p_type) || 'es' ELSE lower(p_type) || 's' END AS plural FROM part""")
+def plurals(spark, sf_dir):
+    """C39."""
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("word"), T.plural(F.col("p_type")).alias("plural")).distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 2 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def backlog(spark, sf_dir):
+    """Documents that were rendered and not yet understood."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 2")
+    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def cascaded(spark, sf_dir):
+    """What belongs to deleted documents goes with them."""
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(gone, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
