@@ -52,15 +52,12 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
-def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(pattern {size: copies}, times) that cover the demand {size: items}, near the fewest."""
-    sizes = np.array(sorted(s for s, n in demand.items() if n > 0), int)
-    if not len(sizes):
-        return []
-    need = np.array([demand[s] for s in sizes], float)
-    # Revised simplex; the first basis has one pattern for each size.
+def relaxed(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Patterns, how often each is used, and the duals, of the linear program that covers `need` with fewest sequences.
+
+    Revised simplex with column generation; the first basis has one pattern for each size.
+    """
     columns = [np.eye(len(sizes), dtype=int)[i] * (capacity // s) for i, s in enumerate(sizes)]
-    basis = list(range(len(sizes)))
     inverse = np.diag(1.0 / np.array([capacity // s for s in sizes]))
     amount = inverse @ need
     for _ in range(40 * len(sizes) + 200):
@@ -68,8 +65,6 @@ def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
         value, column = price(np.maximum(duals, 0), sizes, capacity)
         if value <= 1 + 1e-7:
             break
-        entering = len(columns)
-        columns.append(column)
         move = inverse @ column
         ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
@@ -81,11 +76,20 @@ def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
         for i in np.flatnonzero(np.abs(move) > 1e-12):
             if i != out:
                 inverse[i] -= move[i] * inverse[out]
-        basis[out] = entering
+        columns[out] = column
+    return columns, amount, inverse.sum(0)
+
+
+def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern {size: copies}, times) that cover the demand {size: items}, near the fewest."""
+    sizes = np.array(sorted(s for s, n in demand.items() if n > 0), int)
+    if not len(sizes):
+        return []
+    need = np.array([demand[s] for s in sizes], float)
+    columns, amount, _ = relaxed(sizes, need, capacity)
     left, made = need.astype(int), []
-    for column, x in zip(basis, amount, strict=True):
+    for used, x in zip(columns, amount, strict=True):
         times = int(np.floor(x + 1e-9))
-        used = columns[column]
         times = min([times, *(left[i] // used[i] for i in np.flatnonzero(used))]) if used.any() else 0
         if times > 0:
             left = left - times * used

@@ -47,12 +47,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int = CELLS) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
     Both sides have id and v (array<long>, all of one length). A query's own row, the one with its id, is no candidate.
     Fewer than k candidates give fewer rows. Equal vectors are one candidate with its k + 1 smallest ids, which is all
-    that can be ranked; repeated rows (id and vector) count once.
+    that can be ranked; repeated rows (id and vector) count once. By default there are half as many cells as the root of
+    the number of queries, CELLS at most: where bounds rule out little, each vector goes to most cells.
     """
     spark = vectors.sparkSession
     # Equal vectors: their k + 1 smallest ids, by levels of partial lists, so that no task holds all ids of one vector.
@@ -60,6 +61,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int = CELLS
     vectors = stored(vectors, "vectors")
     queries = queries.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
+    queries = stored(queries, "asked")
+    cells = cells or min(CELLS, max(1, round(math.sqrt(queries.count()) / 2)))
     pool = vectors.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(cells * POOL).select("v").toArrow()
     if not pool.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
