@@ -144,13 +144,13 @@ def profiles(spark, sf_dir):
     return agenda.profile(e.select(F.col("user_id").alias("subject_id"), F.lit("prefers").alias("predicate"), F.col("event_type").alias("value"), day.alias("since"), F.when(F.col("event_id") % 2 == 0, day).alias("until"), day.alias("asserted_on")))
 
 
-@query("""WITH p AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS subject_id, 'mentions' AS predicate, CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 2) WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN '' ELSE upper(substr(text, 1, 12)) END AS object, text FROM documents)
+@query("""WITH p AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS subject_id, 'mentions' AS predicate, CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 2) WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN '' ELSE substr(text, 1, 12) END AS object, text FROM documents)
 SELECT document_id, subject_id, predicate, object, CASE WHEN subject_id IS NULL THEN 'unknown subject' WHEN length(object) NOT BETWEEN 1 AND 120 THEN 'object length' WHEN NOT (contains(lower(text), lower(object)) OR (length(regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')) >= 3 AND contains(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')))) THEN 'not in the document' END AS refused FROM p""")
 def admitted_facts(spark, sf_dir):
     """Proposed facts and why some are refused."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    value = F.when(n % 4 == 0, F.split_part("text", F.lit(" "), F.lit(2))).when(n % 4 == 1, "zzzz qqqq").when(n % 4 == 2, "").otherwise(F.upper(F.substring("text", 1, 12)))
+    value = F.when(n % 4 == 0, F.split_part("text", F.lit(" "), F.lit(2))).when(n % 4 == 1, "zzzz qqqq").when(n % 4 == 2, "").otherwise(F.substring("text", 1, 12))
     return agenda.admitted(d.select(n.alias("document_id"), F.when(n % 5 != 0, n).alias("subject_id"), F.lit("mentions").alias("predicate"), value.alias("object")), d.select(n.alias("document_id"), "text"))
 
 
