@@ -4,9 +4,10 @@ Every permutation of a document's shingle hashes gives two signature values, its
 hash evaluations of plain MinHash suffice. Bands of the signature bring candidates together; each candidate pair is
 confirmed on the full shingle sets; the links' connected components are the groups.
 
-Equal sets are one node from the start. In each bucket all nodes are first held against the smallest one, which joins
-most of a group by a row for each member, then against another one for each bucket. Buckets whose nodes are then still
-in different components are searched whole, in blocks: signatures rule out pairs far below the threshold (five standard deviations), the rest is confirmed.
+Equal sets are one node from the start. In each bucket all nodes are first held against the smallest one (in one bucket
+of four, another one), which joins most of a group by a row for each member. Buckets whose nodes are then still in
+different components are searched whole, in blocks that bring the sets along: signatures rule out pairs far below the
+threshold (five standard deviations), the sets decide on the rest, and only links leave the block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PERMUTATIONS = 60
 BAND = 5
 #: Nodes in a block of a bucket that is searched whole.
 BLOCK = 1024
+#: Shingle hashes in such a block.
+BLOCK_HASHES = 400_000
 #: Standard deviations below the threshold at which a signature rules out a pair.
 SIGMAS = 5
 
@@ -131,30 +134,56 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(tested, "a long, b long")
 
 
-def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket (bucket, node, n, component, brief) that signatures don't rule out."""
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """node and its shingle hashes, sorted, as packed 64-bit numbers."""
+
+    def packed(piece: pa.RecordBatch) -> list:
+        hashes, rows = shingles(piece.column("text"), words)
+        order = np.lexsort((hashes, rows))
+        hashes, rows = hashes[order], rows[order]
+        edges = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+        return [pa.array([np.unique(hashes[a:z]).tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
+
+    return append(texts, "text", packed, "hashes binary", ["id"]).withColumnRenamed("id", "node")
+
+
+def _links_within(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in a bucket (bucket, node, n, component, brief, hashes).
+
+    All pairs of a bucket are held against each other in blocks: by size, by signature, then on the full sets. Of the
+    links of a node with one component a single one is returned.
+    """
     share = percent / 100
     least = share - SIGMAS * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", "node", "n", "component", "brief", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "node", "n", "component", "brief", "hashes", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def close(table: pa.Table) -> pa.Table:
+    def linked(table: pa.Table) -> pa.Table:
         node, n, component, own = (table.column(c).to_numpy() for c in ("node", "n", "component", "own"))
         mark = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
         for x in left:
             y = right[(component[right] != component[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             y = y[node[y] > node[x]] if i == j else y
             y = y[(mark[y] == mark[x]).mean(1) >= least] if len(y) else y
-            found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            met: set[int] = set()
+            for part in (y[k : k + 256] for k in range(0, len(y), 256)):
+                both = np.concatenate([sets[k] for k in part])
+                at = np.minimum(np.searchsorted(sets[x], both), len(sets[x]) - 1)
+                sizes = np.array([len(sets[k]) for k in part])
+                shared = np.add.reduceat((sets[x][at] == both).astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in part[100 * shared >= percent * (sizes + len(sets[x]) - shared)]:
+                    if component[k] not in met:
+                        met.add(component[k])
+                        found.append((node[x], node[k]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(close, "a long, b long").distinct()
+    return rows.groupBy("bucket", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
 def _mixed(places: DataFrame, joined: DataFrame) -> DataFrame:
@@ -176,26 +205,23 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     nodes = part.groupBy("key").agg(F.min("id").alias("node"))
     reps = part.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     members = reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("node"), "n")
-    centre = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size"), F.min_by("n", "node").alias("centre_n")).where("size > 1")
+    order = F.when(F.pmod(F.xxhash64("bucket"), F.lit(4)) == 0, F.xxhash64("bucket", "node")).otherwise(F.col("node"))
+    centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    centre = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
     fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
     grouped = stored(members.join(centre, "bucket").select("bucket", "node", "n", "centre", "centre_n"), "buckets")
     texts = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     texts = stored(texts.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "texts")
-    star = grouped.where((F.col("node") > F.col("centre")) & fits).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # Against the smallest node of each bucket and, in one bucket of four, another one, so that a node meets several.
+    star = grouped.where("node <> centre").where(fits).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = stored(_confirmed(star, texts, words, percent), "links")
 
     joined = components(links)
     places = grouped.select("bucket", "node", "n")
-    # Once more with another centre in each bucket, so that a node meets many, for what is in different components yet.
     rows = _mixed(places, joined)
-    centre = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("bucket", "node")).alias("c"))
-    star = rows.join(centre, "bucket").where("component <> c.component").where(F.expr(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)"))
-    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    links = stored(links.union(_confirmed(star, texts, words, percent)), "links")
-    joined = components(links)
-
-    rows = _mixed(places, joined).join(reps.select(F.col("id").alias("node"), "brief").dropDuplicates(["node"]), "node")
-    more = stored(_confirmed(_close_pairs(rows, percent), texts, words, percent), "links")
+    rows = rows.join(reps.select(F.col("id").alias("node"), "brief").dropDuplicates(["node"]), "node")
+    rows = rows.join(_sets(texts.dropDuplicates(["id"]), words), "node")
+    more = stored(_links_within(rows, percent), "links")
 
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # Equal sets are one node; a document's component is that of its node.
