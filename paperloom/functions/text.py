@@ -61,7 +61,8 @@ def bullet_items(text: Column) -> Column:
 
 def anchor(cited: Column) -> Column:
     """A cited anchor in its plain form e<digits>, or null."""
-    return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(cited, "[ \\t\\n\\[\\](),.;:'\"“”]", "")), r"^e\d+$", 0), F.lit(""))
+    around = r"[ \t\n\[\](),.;:'\"“”]+"
+    return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(cited, f"^{around}|{around}$", "")), r"^e\d+\z", 0), F.lit(""))
 
 
 def without_anchors(text: Column) -> Column:

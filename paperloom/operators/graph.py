@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.session import checkpointed
 
 HUB_SHARE, HUB_SHARE_LARGE, LARGE, HUB_RECORDS, HUB_REACH = 0.6, 0.35, 20, 5, 3
 BREADTH = 5
@@ -84,14 +83,11 @@ def alike(texts: DataFrame, least: float = ALIKE) -> DataFrame:
 def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
     """record_id and label: each record takes the label of most weight among its neighbours, in order of ids, ties to the
     smallest label, until nothing changes. Components are apart from each other and are swept independently."""
-    context = ties.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # on a cluster the session names a shared folder
-        context.setCheckpointDir(ties.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     both = ties.select("a", "b", "weight").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component"))
     while True:
         step = both.join(label.select(F.col("a").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        new = label.join(step, "a").select("a", F.least("component", "other").alias("component")).checkpoint()
+        new = checkpointed(label.join(step, "a").select("a", F.least("component", "other").alias("component")))
         changed = new.join(label.withColumnRenamed("component", "before"), "a").where("component <> before").limit(1).count()
         label = new
         if not changed:

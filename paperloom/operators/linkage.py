@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
 from paperloom.functions import text as T
+from paperloom.session import checkpointed
 
 
 def name_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
@@ -43,6 +44,34 @@ def same_thing(pairs: DataFrame) -> DataFrame:
     return pairs.select(longer.alias("longer"), shorter.alias("shorter"), why.alias("why")).where("why IS NOT NULL")
 
 
+def merged(names: DataFrame, same: DataFrame) -> DataFrame:
+    """Each name with its `keeper`: names in order of length (longest first, ties alphabetical) absorb all later ones that
+    are the same thing (longer, shorter) and that no name before has absorbed; a name that was absorbed absorbs nothing.
+
+    Decided in rounds, each a join: a name is absorbed once the first of its neighbours before it that may still absorb is
+    a keeper, and keeps its place once none is left. Rounds are as many as the longest chain of such decisions.
+    """
+    order = lambda c: F.struct((-F.length(c)).alias("n"), c.alias("name"))
+    x, y = F.col("longer"), F.col("shorter")
+    edges = same.select(F.least(order(x), order(y)).alias("before"), F.greatest(order(x), order(y)).alias("after"))
+    edges = checkpointed(edges.select(F.col("before.name").alias("before"), F.col("after.name").alias("after")).distinct())
+    state = checkpointed(names.select("name", F.lit(None).cast("string").alias("keeper")).distinct())
+    while state.where("keeper IS NULL").limit(1).count():
+        known = state.select(F.col("name").alias("before"), F.col("keeper").alias("of"))
+        # Neighbours that were absorbed no longer count.
+        rest = edges.join(known, "before").where("of IS NULL OR of = before")
+        first = rest.groupBy(F.col("after").alias("name")).agg(F.min_by(F.struct("before", "of"), order(F.col("before"))).alias("first"))
+        new = F.when(F.col("first").isNull(), F.col("name")).otherwise(F.col("first.of"))
+        state = checkpointed(state.join(first, "name", "left").select("name", F.coalesce("keeper", new).alias("keeper")))
+    return state
+
+
+def salient(proposed: DataFrame, most: int = 15) -> DataFrame:
+    """Proposed entities (document_id, name, confidence, mentions) with their place in the document; `most` are admitted."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("confidence"), F.desc("mentions"), "name"))
+    return proposed.withColumn("place", place).withColumn("admitted", F.col("place") <= most)
+
+
 def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Each mention (mention_id, name, kind) with the entity that it means: by equal name, else by the only entity of its
     kind in whose name all its words occur in order. More than one candidate leaves it unresolved (null)."""

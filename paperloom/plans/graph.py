@@ -96,18 +96,14 @@ def orphaned_links(spark, sf_dir):
     return links(spark, sf_dir).join(records(spark, sf_dir).where("record_id % 10 <> 0"), "record_id", "left_anti")
 
 
-@query("""WITH t AS (SELECT count(*) AS total FROM orders), r AS (SELECT o_orderpriority AS p, count(*) AS reach FROM orders GROUP BY 1), l AS (SELECT ascii(substr(p, 1, 1)) AS entity_id, reach, row_number() OVER (ORDER BY reach DESC, ascii(substr(p, 1, 1))) AS k FROM r UNION ALL SELECT 99, (SELECT total FROM t) - (SELECT total // 4 FROM t), 0)
-SELECT entity_id, CAST(reach AS BIGINT) AS reach FROM l WHERE k = 0""")
+@query("""WITH l AS (SELECT 99 AS entity_id, o_orderkey AS record_id FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT ascii(substr(o_orderpriority, 1, 1)), o_orderkey FROM orders),
+r AS (SELECT entity_id, count(DISTINCT record_id) AS reach FROM l GROUP BY entity_id), p AS (SELECT *, row_number() OVER (ORDER BY reach DESC, entity_id) AS k FROM r), t AS (SELECT count(*) AS total FROM orders)
+SELECT CAST(entity_id AS BIGINT) AS entity_id, reach FROM p, t WHERE k = 1 AND total >= 8 AND reach / total >= 0.3 AND reach >= 1.25 * coalesce((SELECT reach FROM p WHERE k = 2), 0)""")
 def library_owner(spark, sf_dir):
     """the entity that most records name, if it stands out."""
     o = table(spark, sf_dir, "orders")
-    from pyspark.sql import Window
-
-    n = o.agg(F.count(F.lit(1)).alias("n"))
-    rows = o.select(F.col("o_orderkey").alias("record_id"), F.ascii(F.substring("o_orderpriority", 1, 1)).cast("long").alias("entity_id"))
-    numbered = o.select(F.col("o_orderkey").alias("record_id"), F.row_number().over(Window.orderBy("o_orderkey")).alias("i")).join(n)
-    mine = numbered.where(F.col("i") > F.expr("n div 4")).select("record_id", F.lit(99).cast("long").alias("entity_id"))
-    return graph.owner(rows.union(mine), o)
+    row = lambda df, entity: df.select(F.col("o_orderkey").alias("record_id"), entity.cast("long").alias("entity_id"))
+    return graph.owner(row(o, F.ascii(F.substring("o_orderpriority", 1, 1))).union(row(o.where("o_orderkey % 4 <> 0"), F.lit(99))), o)
 
 
 TIES_SQL = """, few AS (SELECT record_id, rel, entity_id FROM links WHERE rel IN ('party_to', 'covers')), wide AS (SELECT record_id FROM few GROUP BY record_id HAVING count(DISTINCT entity_id) <= 5),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import gate
 from paperloom.functions import names as N
 from paperloom.functions import text as T
 from paperloom.operators import linkage
@@ -12,13 +13,13 @@ from paperloom.registry import query
 
 ENDINGS = ["", " Inc.", " Co. Inc.", " GmbH", " LLC", ", Ltd."]
 
-def _normal_sql(source: str, column: str, keep: str) -> str:
-    """A chain of CTEs that normalizes `column` of `source` as `n`."""
-    steps, before = [f"s0 AS (SELECT {keep}, strip_accents(lower({column})) AS n FROM {source})"], "s0"
+def _normal_sql(source: str, column: str, keep: str, name: str = "norm") -> str:
+    """A chain of CTEs, the last one `name`, that normalizes `column` of `source` as `n`."""
+    steps, before = [f"{name}_0 AS (SELECT {keep}, strip_accents(lower({column})) AS n FROM {source})"], f"{name}_0"
     for i, e in enumerate(N.COMPANY_ENDINGS, 1):
-        steps.append(f"s{i} AS (SELECT {keep}, CASE WHEN ends_with(n, '{e}') THEN substr(n, 1, length(n) - {len(e)}) ELSE n END AS n FROM {before})")
-        before = f"s{i}"
-    steps.append(f"norm AS (SELECT {keep}, regexp_replace(regexp_replace(regexp_replace(n, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS n FROM {before})")
+        steps.append(f"{name}_{i} AS (SELECT {keep}, CASE WHEN ends_with(n, '{e}') THEN substr(n, 1, length(n) - {len(e)}) ELSE n END AS n FROM {before})")
+        before = f"{name}_{i}"
+    steps.append(f"{name} AS (SELECT {keep}, regexp_replace(regexp_replace(regexp_replace(n, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS n FROM {before})")
     return ", ".join(steps)
 
 
@@ -93,18 +94,16 @@ def match_kinds(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT min(p_partkey) AS entity_id, p_name AS name, 'product' AS kind FROM part GROUP BY p_name),
-m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN n.name WHEN 1 THEN split_part(n.name, ' ', 1) ELSE 'nobody at all' END AS name FROM customer JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS k FROM e) n ON c_custkey % n.k = n.i),
+m AS (SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) ELSE 'nobody at all' END AS name FROM part),
 x AS (SELECT m.*, e.entity_id AS exact_id FROM m LEFT JOIN e ON m.name = e.name),
 f AS (SELECT x.mention_id, min(e.entity_id) AS only_id FROM x JOIN e ON x.exact_id IS NULL AND list_contains(string_split(e.name, ' '), x.name) GROUP BY x.mention_id HAVING count(DISTINCT e.entity_id) = 1)
 SELECT mention_id, coalesce(exact_id, only_id) AS entity_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN only_id IS NOT NULL THEN 'unambiguous' END AS resolved_by FROM x LEFT JOIN f USING (mention_id)""")
 def resolved_mentions(spark, sf_dir):
     """Mentions and the entities that they mean; what stays open is null."""
-    e = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("kind", F.lit("product"))
-    sorted_names = e.agg(F.array_sort(F.collect_list("name")).alias("all"))
-    c = table(spark, sf_dir, "customer").join(F.broadcast(sorted_names))
-    name = F.get("all", (F.col("c_custkey") % F.size("all")).cast("int"))
-    name = F.when(F.col("c_custkey") % 3 == 0, name).when(F.col("c_custkey") % 3 == 1, F.split_part(name, F.lit(" "), F.lit(1))).otherwise("nobody at all")
-    return linkage.resolved(c.select(F.col("c_custkey").alias("mention_id"), name.alias("name"), F.lit("product").alias("kind")), e)
+    part = table(spark, sf_dir, "part")
+    e = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("kind", F.lit("product"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise("nobody at all")
+    return linkage.resolved(part.select(F.col("p_partkey").alias("mention_id"), name.alias("name"), F.lit("product").alias("kind")), e)
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', -1) AS surname FROM part) SELECT name, surname, count(*) OVER (PARTITION BY surname) AS sharing FROM n""")
@@ -136,3 +135,51 @@ def quality_measures(spark, sf_dir):
     """precision, recall and F1 of a rule."""
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return linkage.measures(j.select((F.col("n_chars") > 200).alias("predicted"), (F.col("quality") == 1).alias("actual")))
+
+
+def _listed_sql(values: str) -> str:
+    return ", ".join(f"'{v}'" for v in gate.listed(values))
+
+
+PROPOSED = ["Tenant", "invoice", "California", "2026", "stakeholder", "x", "nobody at all", "!!"]
+GATE_SQL = (
+    "WITH q AS (SELECT doc_id, text, unnest([split_part(text, ' ', 2), split_part(text, ' ', 9) || ' ' || split_part(text, ' ', 10), "
+    + ", ".join(f"'{p}'" for p in PROPOSED)
+    + "]) AS name FROM (SELECT doc_id, 'Sworn before ' || text AS text FROM documents)), p AS (SELECT doc_id, text, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS name FROM q GROUP BY ALL), t AS (SELECT DISTINCT doc_id, text FROM p), "
+    + _normal_sql("p", "name", "doc_id, text, name", "plain")
+    + ", "
+    + _normal_sql("t", "text", "doc_id", "body")
+    + f""", a AS (SELECT plain.doc_id, name, plain.n AS plain, body.n AS body, instr(lower(text), lower(name)) AS spot, lower(text) AS low FROM plain JOIN body USING (doc_id)),
+ l AS (SELECT *, CASE WHEN spot > 1 THEN list_filter([{_listed_sql(gate.HANDLERS)}], lambda h: contains(substr(low, greatest(spot - 60, 1), spot - greatest(spot - 60, 1)), h))[1] END AS role FROM a)
+SELECT doc_id, name, CASE WHEN length(plain) < 2 THEN 'too short' WHEN NOT regexp_matches(name, '\\p{{L}}') THEN 'no letters' WHEN regexp_matches(plain, '^[\\p{{N}}\\s]*$') THEN 'just a number' WHEN plain IN ({_listed_sql(gate.ROLES)}) THEN 'generic role'
+ WHEN plain IN ({_listed_sql(gate.PAPERWORK)}) THEN 'paperwork term' WHEN NOT contains(plain, ' ') AND regexp_matches(plain, '(holder|payer|payee|signer|writer)$') AND length(plain) > 5 THEN 'generic role' WHEN role IS NOT NULL THEN 'named as the ' || role
+ WHEN plain IN ({_listed_sql(gate.REGIONS)}) THEN 'too broad a place' WHEN NOT contains(body, plain) THEN 'not in the document' END AS refused FROM l"""
+)
+
+
+@query(GATE_SQL)
+def gated_names(spark, sf_dir):
+    """Proposed names, and why some are no entities."""
+    text = F.concat(F.lit("Sworn before "), "text")
+    part = lambda n: F.split_part(F.col("text"), F.lit(" "), F.lit(n))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    names = F.array(part(2), F.concat(part(9), F.lit(" "), part(10)), *map(F.lit, PROPOSED))
+    rows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(names, T.trimmed))).alias("name"))
+    return rows.select("doc_id", "name", gate.refused(F.col("name"), F.col("text")).alias("refused"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS document_id, l_partkey AS name, max(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.75 END) AS confidence, count(*) AS mentions FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, mentions DESC, name) AS place FROM p)
+SELECT document_id, name, place, place <= 15 AS admitted FROM r""")
+def salient_entities(spark, sf_dir):
+    """The 15 most salient entities of a document; the rest is refused."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("document_id"), F.col("l_partkey").alias("name"))
+    p = p.agg(F.max(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.75)).alias("confidence"), F.count(F.lit(1)).alias("mentions"))
+    return linkage.salient(p).select("document_id", "name", "place", "admitted")
+
+
+@query()
+def merged_names(spark, sf_dir):
+    """names that are one thing, longest first, and the name that each is merged into."""
+    names = spellings(spark, sf_dir)
+    return linkage.merged(names, linkage.same_thing(linkage.name_pairs(names)))

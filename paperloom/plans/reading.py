@@ -108,10 +108,10 @@ def text_measures(spark, sf_dir):
 
 
 @query("""SELECT doc_id, replace(replace('ﬁ' || text, 'ﬁ', 'fi'), 'ﬀ', 'ff') = replace('fi' || text, 'ﬀ', 'ff') AS repaired,
- list_filter(list_transform(regexp_split_to_array('• ' || replace(substr(text, 1, 200), ' ', ' • '), '[●•▪◦‣·]'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 2) AS items FROM documents WHERE len(regexp_split_to_array('• ' || replace(substr(text, 1, 200), ' ', ' • '), '[●•▪◦‣·]')) >= 4""")
+ list_filter(list_transform(regexp_split_to_array('• ' || replace(text, ' ', ' • '), '[●•▪◦‣·]'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 2) AS items FROM documents WHERE len(regexp_split_to_array('• ' || replace(text, ' ', ' • '), '[●•▪◦‣·]')) >= 4""")
 def tidied(spark, sf_dir):
     """Ligatures repaired, inline bullets split."""
-    listed = F.concat(F.lit("• "), F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit(" • ")))
+    listed = F.concat(F.lit("• "), F.replace("text", F.lit(" "), F.lit(" • ")))
     repaired = T.without_ligatures(F.concat(F.lit("ﬁ"), "text")) == F.replace(F.concat(F.lit("fi"), "text"), F.lit("ﬀ"), F.lit("ff"))
     return table(spark, sf_dir, "documents").select("doc_id", repaired.alias("repaired"), T.bullet_items(listed).alias("items")).where("items IS NOT NULL")
 
@@ -160,13 +160,13 @@ def insert_ignore(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
 
 
-@query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars > 3000 THEN 20.0 WHEN n_chars > 1500 THEN 14.0 ELSE 12.0 END AS size, doc_id % 4 = 0 AS bold, substr(text, 1, 60) AS line FROM documents)
+@query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars > 3000 THEN 20.0 WHEN n_chars > 1500 THEN 14.0 ELSE 12.0 END AS size, doc_id % 4 = 0 AS bold, split_part(text, chr(10), 1) AS line FROM documents)
 SELECT doc_id, CASE WHEN size / 12.0 >= 1.45 OR size / 12.0 >= 1.15 THEN 'title' WHEN bold AND length(line) <= 80 AND NOT ends_with(line, '.') AND NOT line ~ '^[●•▪◦‣·-].*' THEN 'title' WHEN line ~ '^[●•▪◦‣·-].*' THEN 'listItem' ELSE 'text' END AS kind,
  CASE WHEN size / 12.0 >= 1.45 THEN 0 WHEN size / 12.0 >= 1.15 THEN 1 WHEN bold AND length(line) <= 80 AND NOT ends_with(line, '.') AND NOT line ~ '^[●•▪◦‣·-].*' THEN 2 ELSE 0 END AS depth FROM f""")
 def heading_kinds(spark, sf_dir):
     """Kind and depth of a line from its size and weight."""
     size = F.when(F.col("n_chars") > 3000, 20.0).when(F.col("n_chars") > 1500, 14.0).otherwise(12.0)
-    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), (F.col("doc_id") % 4 == 0).alias("bold"), F.substring("text", 1, 60).alias("line"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), (F.col("doc_id") % 4 == 0).alias("bold"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
     kind, depth = elements.heading(F.col("line"), F.col("size"), F.lit(12.0), F.col("bold"))
     return rows.select("doc_id", kind.alias("kind"), depth.alias("depth"))
 
@@ -178,3 +178,12 @@ def boxes(spark, sf_dir):
     box = F.struct((F.col("value") / 2000).alias("x"), (F.col("value") / 1000).alias("y"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height"))
     top = elements.from_bottom_left(box)
     return e.select("event_id", F.round(top["y"], 6).alias("y"), elements.centre_within(top, 0.2, 0.2, 0.6, 0.6).alias("inside"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[E' || doc_id || '].' WHEN 1 THEN ' “e' || doc_id || '” ' WHEN 2 THEN 'e ' || doc_id ELSE lang || doc_id END AS cited FROM documents)
+SELECT doc_id, nullif(regexp_extract(lower(regexp_replace(cited, '^[ \\t\\n\\[\\](),.;:''"“”]+|[ \\t\\n\\[\\](),.;:''"“”]+$', '', 'g')), '^e\\d+$'), '') AS anchor FROM c""")
+def cited_anchors(spark, sf_dir):
+    """Cited anchors in their plain form."""
+    n, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    cited = F.when(kind == 0, F.concat(F.lit("[E"), n, F.lit("]."))).when(kind == 1, F.concat(F.lit(" “e"), n, F.lit("” "))).when(kind == 2, F.concat(F.lit("e "), n)).otherwise(F.concat("lang", n))
+    return table(spark, sf_dir, "documents").select("doc_id", T.anchor(cited).alias("anchor"))

@@ -120,8 +120,8 @@ def prompts(spark, sf_dir):
     return d.select("lang", F.concat(F.lit("Categories: "), F.array_join("s", ", "), F.lit("\nKnown fields: lang, source")).alias("prompt"))
 
 
-@query("""SELECT doc_id, 'Document ' || doc_id || ' ' || lang || ' Document ' || doc_id || ' ' || lang || ' Document ' || doc_id || ' ' || lang || ' source ' || source || ' ' || substr(text, 1, 100) AS comparable FROM documents""")
+@query("""SELECT doc_id, 'Document ' || doc_id || ' ' || lang || ' Document ' || doc_id || ' ' || lang || ' Document ' || doc_id || ' ' || lang || ' source ' || source || ' ' || text AS comparable FROM documents""")
 def comparable_texts(spark, sf_dir):
     """What a document is about, title and kind three times."""
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", *[title, F.col("lang")] * 3, F.lit("source"), "source", F.substring("text", 1, 100)).alias("comparable"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", *[title, F.col("lang")] * 3, F.lit("source"), "source", "text").alias("comparable"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -16,3 +18,11 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     }.items():
         builder = builder.config(key, value)
     return builder.config(map=conf).getOrCreate() if conf else builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of `df` in the shared folder that the session names; where it names none, as in tests, in a new one."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()

@@ -89,3 +89,24 @@ def test_communities(spark):
     ties = spark.createDataFrame([(1, 2, 10), (2, 3, 10), (1, 3, 10), (7, 8, 5)], "a long, b long, weight long")
     labels = {r.record_id: r.label for r in graph.communities(ties).collect()}
     assert labels[1] == labels[2] == labels[3] and labels[7] == labels[8] != labels[1]
+
+
+def test_merged_names(spark):
+    """In rounds, as by the loop over names, longest first."""
+    import random
+
+    from paperloom.operators import linkage
+
+    rng = random.Random(7)
+    names = [f"{'n' * rng.randint(1, 6)}{i}" for i in range(60)]
+    pairs = {tuple(rng.sample(names, 2)) for _ in range(70)}
+    near = lambda a, b: (a, b) in pairs or (b, a) in pairs
+    order, keeper = sorted(names, key=lambda x: (-len(x), x)), {}
+    for a in order:
+        if a not in keeper:
+            keeper[a] = a
+            for b in order[order.index(a) + 1 :]:
+                if b not in keeper and near(a, b):
+                    keeper[b] = a
+    made = linkage.merged(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(list(pairs), "longer string, shorter string"))
+    assert {r.name: r.keeper for r in made.collect()} == keeper
