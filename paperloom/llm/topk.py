@@ -20,8 +20,10 @@ from paperloom.llm._tables import stored
 #: Cells at most; pivots are taken from this many times as many vectors.
 CELLS = 128
 POOL = 8
-#: Parts of a cell, that is tasks that share its vectors.
+#: Parts of a cell, that is tasks that share its vectors: so many at least, and more for more vectors than TASK_ROWS in each.
 PARTS = 8
+#: Vectors, and queries of a cell, that meet in one task. Cells of more queries are split, and each part gets the vectors.
+TASK_ROWS = 1 << 16
 #: Bytes of query and vector matrices multiplied at once.
 BLOCK = 2048
 SLACK = 1e-9
@@ -85,7 +87,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
             yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("ids"), pa.array(cell.astype(np.int32)), pa.array(near)], names=["v", "ids", "cell", "near"])
 
     queries = stored(queries.select("v", "ids").mapInArrow(placed, "v array<long>, ids array<long>, cell int, near double"), "queries")
-    radius = {r["cell"]: r["r"] for r in queries.groupBy("cell").agg(F.max("near").alias("r")).collect()}
+    summary = queries.groupBy("cell").agg(F.max("near").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    radius = {r["cell"]: r["r"] for r in summary}
     if not radius:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     used = sorted(radius)
@@ -126,9 +129,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
                     part = batch.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([part.column("v"), part.column("ids"), pa.array(np.full(len(rows), c, np.int32))], names=["v", "ids", "cell"])
 
-    part = F.pmod(F.xxhash64("v"), F.lit(PARTS))
-    near = vectors.mapInArrow(sent, "v array<long>, ids array<long>, cell int").withColumn("part", part)
-    asked = queries.select("v", "ids", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    parts = max(PARTS, math.ceil(vectors.count() / TASK_ROWS))
+    shares = {r["cell"]: math.ceil(r["n"] / TASK_ROWS) for r in summary}
+    share = F.get(F.array(*(F.lit(shares.get(c, 1)).cast("long") for c in range(len(chosen)))), F.col("cell"))
+    near = vectors.mapInArrow(sent, "v array<long>, ids array<long>, cell int").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    near = near.select("v", "ids", "cell", "part", upto(share).alias("share"))
+    asked = queries.select("v", "ids", "cell", F.pmod(F.xxhash64("v", "ids"), share).alias("share"), upto(F.lit(parts).cast("long")).alias("part"))
 
     def solved(query: pa.Table, data: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -156,9 +163,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
                         out["score"].extend(best[0][row][keep].tolist())
         return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
-    parts = asked.groupBy("cell", "part").cogroup(near.groupBy("cell", "part")).applyInArrow(solved, "query_id long, vec_id long, score long")
+    keys = ["cell", "share", "part"]
+    best = asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(solved, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return best.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
 def _least_ids(vectors: DataFrame, k: int) -> DataFrame:

@@ -238,7 +238,9 @@ def test_patterns_cover_the_demand():
         assert bound - 1e-6 <= sum(t for _, t in made) <= bound + len(demand)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("task_rows", [topk.TASK_ROWS, 3])
+def test_top_k(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(topk, "TASK_ROWS", task_rows)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     vectors = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=8) * 0.2]) for i in range(400)]
