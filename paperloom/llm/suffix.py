@@ -73,9 +73,8 @@ def _counted(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Ta
             found.append(minimum[begin])
             owner.append(row[begin] + before)
         before += piece.num_rows
-    if not found:
-        return empty_side()
-    return counted_side(np.concatenate(found), np.concatenate(owner), chunk, buckets)
+    f = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return counted_side(f, np.concatenate(owner), chunk, buckets) if len(f) else empty_side()
 
 
 PACKED = "bucket long, packed binary, ids array<long>, docs array<long>, places array<int>"

@@ -142,6 +142,16 @@ def test_byte_repeats(docs, length):
     assert got == sorted(expected, key=repr)
 
 
+def test_chunks_of_short_texts_only(spark, monkeypatch):
+    """Texts that are shorter than a window each, but not together, in all chunks and in all but those of two documents."""
+    short = [(i, f"short text {i}") for i in range(40)]
+    shared = "one and the same passage of more than fifty bytes, twice"
+    for table, removed in ((short, {}), ([*short, (50, "a" + shared), (51, "bc" + shared)], {51: len(shared)})):
+        monkeypatch.setattr("paperloom.llm._chunks.CHUNK_BYTES", 100 if removed else 1 << 22)
+        got = suffix.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == {i: (len(t), removed.get(i, 0)) for i, t in table}
+
+
 def test_hot_windows_travel_alone(docs, monkeypatch):
     """The result is the same when every minimiser counts as hot."""
     plain = rows(substring.remove_repeats(docs, window=5), "doc_id", "n_removed", "kept"), rows(suffix.remove_repeats(docs), "doc_id", "n_removed", "n_spans")
