@@ -113,10 +113,14 @@ def terms(text: Column, considered: int = 4000) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 3) & (F.length(w) < 24) & ~w.rlike(r"\d") & ~w.isin(STOP_WORDS))
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct character trigrams of a padded text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(F.concat(F.lit("  "), text, F.lit(" ")), i, F.lit(3))))
+
+
 def trigram_dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the distinct character trigrams of two padded texts."""
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) + 1), lambda i: F.substring(F.concat(F.lit("  "), t, F.lit(" ")), i, F.lit(3))))
-    x, y = grams(a), grams(b)
+    x, y = trigrams(a), trigrams(b)
     return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
@@ -13,8 +13,8 @@ from paperloom.session import checkpointed
 def name_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
     """Pairs a < b of distinct normalized names (column name) that share a word, a word's beginning or all initials.
 
-    Blocking keys: every word, the first three letters of every word, and the initials. Names that meet by no key share
-    nothing that the ladder could use.
+    Blocking keys: every word, the first three letters of every word, and the initials. All rungs of the ladder but the
+    last have one of them in common; names that are merely alike need not (see `ladder_pairs` and `alike_pairs`).
     """
     keys = [kind] if kind else []
     w = N.words(F.col("name"))
@@ -25,6 +25,62 @@ def name_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
     return a.join(b, ["block", *keys]).where("a < b").select("a", "b", *keys).distinct()
 
 
+def _combinations(items: Column, k: int) -> Column:
+    """All choices of k items of an array, in order."""
+    if k == 1:
+        return F.transform(items, lambda x: F.array(x))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(_combinations(F.slice(items, i + 2, F.size(items)), k - 1), lambda c: F.concat(F.array(x), c))))
+
+
+def _sharing(names: DataFrame, keys: list[str], tokens: Column, share: float, together: int) -> DataFrame:
+    """Pairs a < b of names (x and y: their tokens) that can have `share` of the tokens of each in common, at least
+    `together` in number; with no loss.
+
+    Two such names have `together` tokens in common among the rarest of each, all but `share` of its own and `together`
+    more; a pair is made at the first of these only.
+    """
+    t = names.select("name", *keys).distinct().withColumn("token", F.explode(tokens))
+    t = t.join(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    sets = t.groupBy("name", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("tokens"))
+    n = F.size("tokens")
+    head = F.slice("tokens", F.lit(1), (n - F.ceil(n * share - 1e-9) + together).cast("int"))
+    rows = sets.withColumn("head", head).withColumn("key", F.explode(_combinations(F.col("head"), together)))
+    side = lambda name, t, head: rows.select(F.col("name").alias(name), F.col("tokens").alias(t), F.col("head").alias(head), "key", *keys)
+    first = F.slice(F.array_intersect("p", "q"), 1, together) == F.col("key")
+    return side("a", "x", "p").join(side("b", "y", "q"), ["key", *keys]).where((F.col("a") < F.col("b")) & first).select("a", "b", "x", "y", *keys)
+
+
+def alike_pairs(names: DataFrame, least: float, kind: str | None = None) -> DataFrame:
+    """All pairs a < b of distinct names with a Dice coefficient of their trigrams of `least` and more."""
+    keys = [kind] if kind else []
+    pairs = _sharing(names, keys, T.trigrams(F.col("name")), least / (2 - least), 1)
+    x, y = F.size("x"), F.size("y")
+    return pairs.where(2.0 * F.size(F.array_intersect("x", "y")) / (x + y) >= least).select("a", "b", *keys)
+
+
+def ladder_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
+    """Pairs a < b of distinct names that can meet on a rung of the ladder: those of `name_pairs`, and for the last rung
+    those whose letters can reach a Jaro-Winkler likeness of SIMILAR.
+
+    Names of several words that share no word and no word's first three letters have two letters of prefix at most, so
+    their Jaro likeness j has SIMILAR <= j + 0.2 (1 - j), and m common letters have m / |a| + m / |b| >= 3 j - 1.
+    """
+    keys = [kind] if kind else []
+    both = 3 * (N.SIMILAR - 0.2) / 0.8 - 1
+    letters = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)))
+    # Each letter with how often it came before, so that sets count as bags.
+    letters = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    pairs = _sharing(names.where(F.size(N.words(F.col("name"))) > 1), keys, letters, both - 1, 3)
+    m = F.size(F.array_intersect("x", "y"))
+    near = pairs.where(m / F.size("x") + m / F.size("y") >= both - 1e-9).select("a", "b", *keys)
+    return name_pairs(names, kind).union(near).distinct()
+
+
+def merge_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
+    """Pairs a < b of distinct names that `same_thing` can find to be one: those of `name_pairs`, and all alike by MERGE."""
+    return name_pairs(names, kind).union(alike_pairs(names, N.MERGE, kind)).distinct()
+
+
 def matched(pairs: DataFrame) -> DataFrame:
     """match_kind of each pair; likeness is worked out only for pairs that no cheaper rung takes."""
     cheap = N.match_kind(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0))

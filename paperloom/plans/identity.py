@@ -62,8 +62,8 @@ def spellings(spark, sf_dir):
 SELECT a, b, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice FROM t WHERE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.5""")
 def trigram_pairs(spark, sf_dir):
     """C14: names alike by trigrams."""
-    pairs = linkage.name_pairs(spellings(spark, sf_dir))
-    return pairs.withColumn("dice", F.round(T.trigram_dice(F.col("a"), F.col("b")), 6)).where("dice >= 0.5").select("a", "b", "dice")
+    pairs = linkage.alike_pairs(spellings(spark, sf_dir), 0.5)
+    return pairs.select("a", "b", F.round(T.trigram_dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
 @query(PAIRS_SQL + """, o AS (SELECT CASE WHEN length(a) >= length(b) THEN a ELSE b END AS longer, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS shorter FROM pairs), w AS (SELECT *, string_split(longer, ' ') AS x, string_split(shorter, ' ') AS y,
@@ -71,7 +71,7 @@ def trigram_pairs(spark, sf_dir):
 r AS (SELECT longer, shorter, CASE WHEN len(y) < len(x) AND length(shorter) >= 3 AND shorter NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'old', 'one', 'two', 'st', 'dr', 'mr', 'ms', 'mrs', 'san', 'los', 'las', 'north', 'south', 'east', 'west') AND x[1:len(y)] = y THEN 'short form' WHEN 2.0 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)) >= 0.9 THEN 'alike' END AS why FROM w) SELECT * FROM r WHERE why IS NOT NULL""")
 def merge_candidates(spark, sf_dir):
     """Names of one thing, by blocking."""
-    return linkage.same_thing(linkage.name_pairs(spellings(spark, sf_dir)))
+    return linkage.same_thing(linkage.merge_pairs(spellings(spark, sf_dir)))
 
 
 @query(PAIRS_SQL + """, m AS (SELECT a, b, regexp_extract_all(a, '\\d+') AS na, regexp_extract_all(b, '\\d+') AS nb, CASE WHEN len(wa) >= 2 AND wa[-1] IN ('ii', 'iii') THEN wa[-1] END AS ga, CASE WHEN len(wb) >= 2 AND wb[-1] IN ('ii', 'iii') THEN wb[-1] END AS gb,
@@ -89,8 +89,8 @@ def name_tests(spark, sf_dir):
 
 @query()
 def match_kinds(spark, sf_dir):
-    """The ladder over blocked pairs."""
-    return linkage.matched(linkage.name_pairs(spellings(spark, sf_dir)))
+    """The ladder over all pairs that can meet on it."""
+    return linkage.matched(linkage.ladder_pairs(spellings(spark, sf_dir)))
 
 
 @query("""WITH e AS (SELECT min(p_partkey) AS entity_id, p_name AS name, 'product' AS kind FROM part GROUP BY p_name),
@@ -182,4 +182,4 @@ def salient_entities(spark, sf_dir):
 def merged_names(spark, sf_dir):
     """names that are one thing, longest first, and the name that each is merged into."""
     names = spellings(spark, sf_dir)
-    return linkage.merged(names, linkage.same_thing(linkage.name_pairs(names)))
+    return linkage.merged(names, linkage.same_thing(linkage.merge_pairs(names)))

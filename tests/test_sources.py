@@ -1,11 +1,12 @@
 import io
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
-from paperloom.operators import graph
+from paperloom.operators import graph, linkage
 from paperloom.sources import readers
 from paperloom.sources.mailbox import MailboxSource
 from paperloom.streaming import intake
@@ -110,3 +111,30 @@ def test_merged_names(spark):
                     keeper[b] = a
     made = linkage.merged(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(list(pairs), "longer string, shorter string"))
     assert {r.name: r.keeper for r in made.collect()} == keeper
+
+
+def trigrams(s):
+    return {("  " + s + " ")[i : i + 3] for i in range(len(s) + 1)}
+
+
+def test_alike_names_without_a_common_block(spark):
+    """Candidates against all pairs, with names that differ in their first letters."""
+    rng = random.Random(3)
+    base = ["katherine", "sandoval", "jonathan", "elisabeth", "christopher", "montgomery", "abernathy", "extraordinarily long unbroken"]
+    spelled = lambda w: (lambda i: w[:i] + rng.choice(["", "x", w[i : i + 1] * 2]) + w[i + 1 :])(rng.randrange(3))
+    names = {"katherine", "catherine", "sandoval", "andoval", "counterrevolutionarieswithoutblanks", "xounterrevolutionarieswithoutblanks", "bcdefghijklmnopq rstuvwxyzabcdefghi", "acdefghijklmnopq sstuvwxyzabcdefghi"}
+    names |= {" ".join(spelled(w) for w in rng.sample(base, rng.choice([1, 2, 2, 3]))) for _ in range(120)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = [(a, b) for a in names for b in names if a < b]
+    dice = {(a, b): 2 * len(trigrams(a) & trigrams(b)) / (len(trigrams(a)) + len(trigrams(b))) for a, b in pairs}
+    for least in (0.5, 0.9):
+        got = [(r.a, r.b) for r in linkage.alike_pairs(df, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in pairs if dice[p] >= least}
+    assert dice["catherine", "katherine"] >= 0.5 and dice["andoval", "sandoval"] >= 0.5
+    same = {(r.longer, r.shorter) for r in linkage.same_thing(linkage.merge_pairs(df)).where("why = 'alike'").collect()}
+    assert ("counterrevolutionarieswithoutblanks", "xounterrevolutionarieswithoutblanks") in {tuple(sorted(p)) for p in same}
+    whole = spark.createDataFrame(pairs, "a string, b string")
+    found, all_pairs = ({tuple(r) for r in linkage.matched(p).collect()} for p in (linkage.ladder_pairs(df), whole))
+    assert found == all_pairs
+    blocked = {tuple(r) for r in linkage.matched(linkage.name_pairs(df)).collect()}
+    assert all_pairs - blocked
