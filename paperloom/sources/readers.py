@@ -51,6 +51,12 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])]) if rows else ""
 
 
+def tables(rows: list[list[str]], page: int | None = None) -> list[Element]:
+    """Rows as tables of ROWS rows each; further ones repeat the first row, their heading."""
+    blocks = [rows[i : i + ROWS] for i in range(0, len(rows), ROWS)]
+    return [("table", 0, page, markdown_table(b if i == 0 else [rows[0], *b])) for i, b in enumerate(blocks)]
+
+
 @register("txt", "md", "markdown")
 def plain_text(data: bytes) -> list[Element]:
     out: list[Element] = []
@@ -68,8 +74,7 @@ def plain_text(data: bytes) -> list[Element]:
 @register("csv", "tsv")
 def table(data: bytes) -> list[Element]:
     text = decoded(data)
-    rows = list(csv.reader(text.splitlines(), delimiter="\t" if "\t" in text.partition("\n")[0] else ","))[:ROWS]
-    return [("table", 0, None, markdown_table(rows))] if rows else []
+    return tables(list(csv.reader(text.splitlines(), delimiter="\t" if "\t" in text.partition("\n")[0] else ",")))
 
 
 class _Html(HTMLParser):
@@ -147,7 +152,7 @@ def _text(node: ET.Element, name: str = "t") -> str:
 
 @register("xlsx")
 def workbook(data: bytes) -> list[Element]:
-    """A title and a table for each sheet; gaps between cells are kept, blank rows at the end aren't."""
+    """A title and tables for each sheet; gaps between cells are kept, blank rows at the end aren't."""
     files = _parts(data)
     shared = [_text(s) for s in _named(ET.fromstring(files.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in files.namelist() else []
     sheets = sorted((int(m[1]), n) for n in files.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
@@ -167,9 +172,7 @@ def workbook(data: bytes) -> list[Element]:
         while rows and not any(c.strip() for c in rows[-1]):
             rows.pop()
         if rows:
-            out += [("title", 0, number, f"Sheet {number}"), ("table", 0, number, markdown_table(rows[:ROWS]))]
-            if len(rows) > ROWS:
-                out.append(("text", 0, number, f"({len(rows) - ROWS} further rows not shown)"))
+            out += [("title", 0, number, f"Sheet {number}"), *tables(rows, number)]
     return out
 
 

@@ -46,6 +46,24 @@ def test_readers(spark, tmp_path):
     assert {r.path[-5:] for r in rows if r.problem} == {"h.bin", ".xlsx"}
 
 
+def test_tables_of_many_rows(spark, tmp_path):
+    """All rows of a table are kept, in blocks below the same heading."""
+    lines = ["n,word", *(f"{i},w{i}" for i in range(1, 1203))]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    (tmp_path / "b.tsv").write_text("\n".join(x.replace(",", "\t") for x in lines[:501]))
+    cells = "".join(f'<row><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 1002))
+    (tmp_path / "c.xlsx").write_bytes(archive({"xl/worksheets/sheet1.xml": f"<s>{cells}</s>"}))
+    rows = sorted(readers.read(spark, str(tmp_path)).collect(), key=lambda r: (r.path, r.position))
+    body = lambda name: [r.text.split("\n") for r in rows if r.path.endswith(name) and r.kind == "table"]
+    for name, n in (("a.csv", 1203), ("b.tsv", 501)):
+        blocks = body(name)
+        assert all(b[:2] == ["| n | word |", "| --- | --- |"] for b in blocks)
+        assert [x for b in blocks for x in b[2:]] == ["| " + x.replace(",", " | ") + " |" for x in lines[1:n]]
+    assert len(body("a.csv")) == 3 and len(body("b.tsv")) == 2
+    assert ["| 1 |"] + [x for b in body("c.xlsx") for x in b[2:]] == [f"| {i} |" for i in range(1, 1002)]
+    assert [r.kind for r in rows if r.path.endswith("c.xlsx")] == ["title", "table", "table", "table"]
+
+
 def test_mailbox(spark, tmp_path):
     (tmp_path / "1.jsonl").write_text("\n".join(json.dumps({"cursor": c, "message_id": m, "text": "t"}) for c, m in ((1, "a"), (2, "b"), (3, "a"))))
     spark.dataSource.register(MailboxSource)
