@@ -107,9 +107,14 @@ def content_words(question: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(QUESTION_WORDS))
 
 
-def terms(text: Column, considered: int = 4000) -> Column:
-    """Words of 4 to 23 letters without digits that aren't stop words, from the beginning of a text."""
-    words = F.transform(F.split(F.substring(text, 1, considered), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.lower(w))
+def beginning(text: Column, considered: int | None) -> Column:
+    """The first `considered` characters of a text, or all of it."""
+    return text if considered is None else F.substring(text, 1, considered)
+
+
+def terms(text: Column, considered: int | None = None) -> Column:
+    """Words of 4 to 23 letters without digits that aren't stop words, of a text or its first `considered` characters."""
+    words = F.transform(F.split(beginning(text, considered), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.lower(w))
     return F.filter(words, lambda w: (F.length(w) > 3) & (F.length(w) < 24) & ~w.rlike(r"\d") & ~w.isin(STOP_WORDS))
 
 
@@ -152,7 +157,7 @@ def plural(word: Column) -> Column:
     return F.when(w.rlike("[^aeiou]y$"), ies).when(w.rlike("(s|x|z|ch|sh)$"), F.concat(w, F.lit("es"))).otherwise(F.concat(w, F.lit("s")))
 
 
-def readable(text: Column, considered: int = 2000) -> Column:
-    """Share of letters, digits, punctuation and blanks in the beginning of a text."""
-    head = F.substring(text, 1, considered)
+def readable(text: Column, considered: int | None = None) -> Column:
+    """Share of letters, digits, punctuation and blanks in a text or its first `considered` characters."""
+    head = beginning(text, considered)
     return F.length(F.regexp_replace(head, r"[^A-Za-z0-9\s.,;:!?'\"()-]", "")) / F.length(head)

@@ -65,12 +65,13 @@ def ties(links: DataFrame, records: DataFrame) -> DataFrame:
     return a.join(rows.select("entity_id", F.col("record_id").alias("b")), "entity_id").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def alike(texts: DataFrame, least: float = ALIKE) -> DataFrame:
-    """Pairs a < b of texts (id, text) with the cosine of their weighted terms, where it reaches `least`.
+def alike(texts: DataFrame, least: float = ALIKE, considered: int | None = None) -> DataFrame:
+    """Pairs a < b of texts (id, text) with the cosine of their weighted terms, where it reaches `least`. All words of a text
+    count, or those of its first `considered` characters.
 
     Terms of one text or of more than half of them count for nothing.
     """
-    counts = texts.select("id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = texts.select("id", F.explode(T.terms(F.col("text"), considered)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = texts.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where("df > 1 AND df / n <= 0.5")
     weighted = counts.join(df, "term").withColumn("w", F.col("tf") * F.log(F.col("n") / F.col("df")))

@@ -90,9 +90,9 @@ def people(names: DataFrame, mentions: DataFrame, part: str) -> DataFrame:
     return direct.union(other)
 
 
-def likely_category(text: Column, categories: list[str]) -> Column:
-    """The category whose name occurs most in the beginning of a text (ties alphabetical), or null."""
-    head = F.lower(F.substring(text, 1, 3000))
+def likely_category(text: Column, categories: list[str], considered: int | None = None) -> Column:
+    """The category whose name occurs most in a text or its first `considered` characters (ties alphabetical), or null."""
+    head = F.lower(T.beginning(text, considered))
     counts = F.array(*(F.struct((-T.occurrences(head, F.lit(c.lower()))).alias("n"), F.lit(c).alias("c")) for c in sorted(categories)))
     best = F.array_min(counts)
     return F.when(best["n"] < 0, best["c"])

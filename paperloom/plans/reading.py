@@ -102,9 +102,9 @@ def page_markers(spark, sf_dir):
   length(regexp_replace(regexp_replace(regexp_replace(text, '\\[e\\d+\\]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS plain_length,
   round(length(regexp_replace(substr(text, 1, 2000), '[^A-Za-z0-9\\s.,;:!?''"()-]', '', 'g')) / length(substr(text, 1, 2000)), 6) AS readable FROM documents""")
 def text_measures(spark, sf_dir):
-    """C01, C06, C07, C08, C45 (readable share)."""
+    """C01, C06, C07, C08, C45 (readable share, of 2,000 characters as in the SQL)."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.has_fact(t).alias("anchored"), T.token_estimate(t).alias("tokens"), F.length(T.without_anchors(t)).alias("plain_length"), F.round(T.readable(t), 6).alias("readable"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_fact(t).alias("anchored"), T.token_estimate(t).alias("tokens"), F.length(T.without_anchors(t)).alias("plain_length"), F.round(T.readable(t, considered=2000), 6).alias("readable"))
 
 
 @query("""SELECT doc_id, replace(replace('ﬁ' || text, 'ﬁ', 'fi'), 'ﬀ', 'ff') = replace('fi' || text, 'ﬀ', 'ff') AS repaired,

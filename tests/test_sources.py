@@ -6,7 +6,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
-from paperloom.operators import graph, linkage
+from paperloom.functions import text as T
+from paperloom.operators import graph, linkage, retrieval
 from paperloom.sources import readers
 from paperloom.sources.mailbox import MailboxSource
 from paperloom.streaming import intake
@@ -156,3 +157,16 @@ def test_alike_names_without_a_common_block(spark):
     assert found == all_pairs
     blocked = {tuple(r) for r in linkage.matched(linkage.name_pairs(df)).collect()}
     assert all_pairs - blocked
+
+
+def test_whole_texts_count(spark):
+    """What comes late in a long text counts: its words, the category that it names, and how readable it is."""
+    late = " granite marble basalt"
+    filler = lambda w: f"{w} " * 1000
+    df = spark.createDataFrame([(1, filler("alpha") + late * 400), (2, filler("bravo") + late * 400), (3, filler("gamma")), (4, filler("delta")), (5, filler("omega"))], "id long, text string")
+    assert [(r.a, r.b) for r in graph.alike(df).collect()] == [(1, 2)]
+    assert graph.alike(df, considered=4000).count() == 0
+    category = retrieval.likely_category(F.col("text"), ["marble", "slate"])
+    assert {r.id: r.c for r in df.select("id", category.alias("c")).collect()} == {1: "marble", 2: "marble", 3: None, 4: None, 5: None}
+    half = spark.createDataFrame([("a" * 3000 + "\u00e9" * 3000,)], "text string")
+    assert half.select(T.readable(F.col("text"))).first()[0] == 0.5
