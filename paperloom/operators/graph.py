@@ -52,8 +52,9 @@ def binding(links: DataFrame, records: DataFrame) -> DataFrame:
     return r.where(~hub).join(owner(links, records).select("entity_id"), "entity_id", "left_anti").select("entity_id", "reach")
 
 
-def ties(links: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs of records a < b that share entities, with the weight of all that they share.
+def ties(links: DataFrame, records: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs of records a < b that share entities, with the weight of all that they share; and, given the records' texts
+    (id, text), pairs of alike ones, whose cosine adds to the weight as TEXT_WEIGHT parts.
 
     Records of more than BREADTH entities bind nothing, and neither do hubs: what the join multiplies is bounded by the
     reach of the rest, whose largest are split by Spark's skew handling.
@@ -62,7 +63,10 @@ def ties(links: DataFrame, records: DataFrame) -> DataFrame:
     broad = pairs.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= BREADTH).select("record_id")
     rows = pairs.join(broad, "record_id").join(binding(links, records), "entity_id")
     a = rows.select("entity_id", F.col("record_id").alias("a"), F.greatest(F.lit(1), F.expr("1000 div reach")).alias("weight"))
-    return a.join(rows.select("entity_id", F.col("record_id").alias("b")), "entity_id").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    tied = a.join(rows.select("entity_id", F.col("record_id").alias("b")), "entity_id").where("a < b").select("a", "b", "weight")
+    if texts is not None:
+        tied = tied.union(alike(texts).select("a", "b", F.floor(F.col("cosine") * TEXT_WEIGHT).alias("weight")).where("weight > 0"))
+    return tied.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def alike(texts: DataFrame, least: float = ALIKE, considered: int | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of an utterance at most, if it has more than one piece.
+UTTERANCE = 700
+
 
 def headers(raw: Column) -> Column:
     """Headers of a message as a map with lower-case names: folded lines joined, the last of a name wins."""
@@ -38,13 +42,47 @@ def to_fetch(listed: DataFrame, seen: DataFrame) -> DataFrame:
     return listed.join(seen.select("message_id").distinct(), "message_id", "left_anti")
 
 
-def utterances(rows: DataFrame, gap: str) -> DataFrame:
-    """Groups of rows (speaker, ts, text) with no silence longer than `gap` seconds, numbered in order."""
+def utterances(rows: DataFrame, gap: str, most: int = UTTERANCE) -> DataFrame:
+    """Groups of rows (speaker, ts, id) with no silence longer than `gap` seconds, numbered in order.
+
+    Rows with a text are also parted where the next piece would take the texts of a group beyond `most` characters, and
+    groups have the joined text; blank pieces do not count.
+    """
+    spoken = "text" in rows.columns
+    if spoken:
+        rows = rows.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
     w = Window.partitionBy("speaker").orderBy("ts", "id")
     pause = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
     new = F.coalesce(pause > F.lit(float(gap) * 1e6), F.lit(True)).cast("int")
     numbered = rows.withColumn("group", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("speaker", "group").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("pieces"))
+    ends = [F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("pieces")]
+    if spoken:
+        numbered = _parted(numbered.select("speaker", "ts", "id", "text", "group"), most)
+        ends.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "text"))), lambda p: p["text"]), " ").alias("text"))
+    return numbered.groupBy("speaker", "group").agg(*ends)
+
+
+def _parted(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (speaker, ts, id, text, group) with groups of `most` characters at most, numbered anew. A task reads its
+    speakers in order of time and keeps the size of one group."""
+
+    def parted(batches):
+        before, number, size = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for speaker, group, n in zip(batch.column("speaker").to_pylist(), batch.column("group").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if before is None or before[0] != speaker:
+                    number, size = 1, n
+                elif before[1] != group or size + n > most:
+                    number, size = number + 1, n
+                else:
+                    size += 1 + n
+                before = (speaker, group)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("speaker", "ts", "id", "text")), pa.array(numbers, pa.int64())], names=["speaker", "ts", "id", "text", "group"])
+
+    ordered = rows.withColumn("size", F.length("text")).repartition("speaker").sortWithinPartitions("speaker", "ts", "id")
+    return ordered.mapInArrow(parted, rows.schema)
 
 
 def clock(seconds: Column) -> Column:

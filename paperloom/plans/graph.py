@@ -115,13 +115,13 @@ ties AS (SELECT x.record_id AS a, y.record_id AS b, CAST(sum(greatest(1, 1000 //
 
 @query(LINKS_SQL + TIES_SQL + " SELECT a, b, weight FROM ties")
 def record_ties(spark, sf_dir):
-    """Records tied by the entities that they share, hubs and broad records aside."""
+    """D11, H01, H02 in part: records tied by the entities that they share, hubs and broad records aside; not by their texts."""
     return graph.ties(links(spark, sf_dir).where("rel IN ('party_to', 'covers')"), records(spark, sf_dir))
 
 
 @query()
 def record_communities(spark, sf_dir):
-    """Labels of the communities of tied records."""
+    """H03 in part: labels of the communities of records tied by entities, not by their texts."""
     return graph.communities(graph.ties(links(spark, sf_dir).where("rel IN ('party_to', 'covers')"), records(spark, sf_dir)))
 
 

@@ -59,7 +59,7 @@ def messages_to_fetch(spark, sf_dir):
 @query("""WITH g AS (SELECT user_id AS speaker, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY speaker ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM g)
 SELECT speaker, "group", min(ts) AS start, max(ts) AS "end", count(*) AS pieces FROM n GROUP BY ALL""")
 def utterance_groups(spark, sf_dir):
-    """Utterances grouped by silence."""
+    """A22, E08 in part: utterances grouped by silence; events have no text whose length could part them."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("speaker"), "ts", F.col("event_id").alias("id"))
     return messages.utterances(e, "1800")
 

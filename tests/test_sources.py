@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
 from paperloom.functions import text as T
-from paperloom.operators import graph, linkage, retrieval
+from paperloom.operators import graph, linkage, messages, retrieval
 from paperloom.sources import readers
 from paperloom.sources.mailbox import MailboxSource
 from paperloom.streaming import intake
@@ -170,3 +170,37 @@ def test_whole_texts_count(spark):
     assert {r.id: r.c for r in df.select("id", category.alias("c")).collect()} == {1: "marble", 2: "marble", 3: None, 4: None, 5: None}
     half = spark.createDataFrame([("a" * 3000 + "\u00e9" * 3000,)], "text string")
     assert half.select(T.readable(F.col("text"))).first()[0] == 0.5
+
+
+def test_texts_tie_records(spark):
+    """Alike texts add to the weight of a pair, and tie records that share no entity."""
+    texts = spark.createDataFrame([(1, "granite marble basalt"), (2, "granite marble basalt"), (3, "granite marble quarry"), (4, "meadow quarry"), (5, "meadow orchard"), (6, "orchard")], "id long, text string")
+    links = spark.createDataFrame([(1, 10), (2, 10), (4, 11), (6, 11)], "record_id long, entity_id long")
+    records = texts.select(F.col("id").alias("record_id"))
+    weights = lambda df: {(r.a, r.b): r.weight for r in df.collect()}
+    bare, cosine = weights(graph.ties(links, records)), {(r.a, r.b): r.cosine for r in graph.alike(texts).collect()}
+    assert bare == {(1, 2): 500, (4, 6): 500} and (1, 3) in cosine and (4, 6) not in cosine
+    assert weights(graph.ties(links, records, texts)) == {p: bare.get(p, 0) + int(400 * cosine.get(p, 0)) for p in bare.keys() | cosine.keys()}
+
+
+def test_utterances_of_bounded_length(spark):
+    """Against the loop that defines it: a group ends at a silence, or before it would pass 700 characters."""
+    rng = random.Random(8)
+    rows, expected = [], set()
+    for speaker in range(5):
+        at, before, number, pieces = 0, 0, 0, []
+        for i in range(150):
+            at += rng.choice([0, 1, 1, 2, 2, 2, 2, 2, 9])
+            text = rng.choice(["", "  "]) if rng.random() < 0.1 else " " * rng.randrange(2) + "x" * rng.choice([3, 40, 100, 333, 350, 800])
+            rows.append((i, speaker, at, text))
+            if text := text.strip():
+                if pieces and (at - before > 2 or len(" ".join(p for _, p in pieces)) + len(text) > 700):
+                    expected.add((speaker, number := number + 1, pieces[0][0], pieces[-1][0], len(pieces), " ".join(p for _, p in pieces)))
+                    pieces = []
+                pieces.append((at, text))
+                before = at
+        expected.add((speaker, number + 1, pieces[0][0], pieces[-1][0], len(pieces), " ".join(p for _, p in pieces)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, speaker long, s long, text string").select("id", "speaker", F.timestamp_seconds("s").alias("ts"), "text")
+    got = messages.utterances(df, "2").select("speaker", "group", F.unix_seconds("start"), F.unix_seconds("end"), "pieces", "text")
+    assert {tuple(r) for r in got.collect()} == expected
