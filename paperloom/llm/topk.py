@@ -27,13 +27,17 @@ TASK_ROWS = 1 << 16
 #: Bytes of query and vector matrices multiplied at once.
 BLOCK = 2048
 SLACK = 1e-9
+#: Scores that stand for all that leave 64 bits.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(df: DataFrame, id: str, vector: str, scale: int = 256) -> DataFrame:
     """id and v: floor(scale * x) of every component. Vectors that are null, empty, or hold null or non-finite components
-    (or such as leave 31 bits when scaled) take no part; nor do rows with a null id."""
-    x = F.transform(F.col(vector), lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & (F.abs(c.cast("double")) * scale < 2**31))
+    take no part; nor do rows with a null id. A finite component that leaves 64 bits when scaled is an error."""
+    fits = lambda c: F.abs(c.cast("double")) * scale < float(2**63)
+    error = F.raise_error(F.lit("a scaled component leaves 64 bits")).cast("long")
+    x = F.transform(F.col(vector), lambda c: F.when(fits(c), F.floor(F.lit(scale) * c.cast("double"))).otherwise(error))
+    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf")))
     return df.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & fine).select(F.col(id).cast("long").alias("id"), x.alias("v"))
 
 
@@ -43,10 +47,18 @@ def _matrix(column) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number inner products: by floating point where all sums are exact, else in 64 bits."""
-    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Whole-number inner products: by floating point where all sums are exact, else in 64 bits, which wrap around on the
+    way without harm. Sums that leave 64 bits are LEAST or MOST."""
+    x, y = a.astype(np.float64), b.astype(np.float64).T
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if len(a) and len(b) else 0
+    if most < 2**53:
+        return (x @ y).astype(np.int64)
+    out = a @ b.T
+    if most >= 2**62:
+        error = a.shape[1] * 2.0**-50 * np.sqrt((x**2).sum(1))[:, None] * np.sqrt((y**2).sum(0))
+        for i, j in np.argwhere(np.abs(x @ y) + error >= 2**62):
+            out[i, j] = min(max(sum(p * q for p, q in zip(a[i].tolist(), b[j].tolist(), strict=True)), LEAST), MOST)
+    return out
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None = None) -> DataFrame:
@@ -54,7 +66,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
 
     Both sides have id and v (array<long>, all of one length). A query's own row, the one with its id, is no candidate.
     Fewer than k candidates give fewer rows. Equal vectors are one candidate with its k + 1 smallest ids, which is all
-    that can be ranked; repeated rows (id and vector) count once. By default there are half as many cells as the root of
+    that can be ranked; repeated rows (id and vector) count once. A score that leaves 64 bits is an error. By default there are half as many cells as the root of
     the number of queries, CELLS at most: where bounds rule out little, each vector goes to most cells.
     """
     spark = vectors.sparkSession
@@ -94,11 +106,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
     used = sorted(radius)
     reach = np.array([radius[c] for c in used])
     centre = pool[chosen][used]
+    length = reach + np.sqrt((centre**2).sum(1))  # of a cell's queries at most, and of its pivot
 
     def bounds(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = _matrix(batch.column("v")).astype(np.float64)
         middle, norm = v @ centre.T, np.sqrt((v**2).sum(1))[:, None]
-        slack = SLACK * (1 + np.abs(middle) + reach * norm)
+        slack = SLACK * (1 + length * norm)
         ids = batch.column("ids")
         return middle - reach * norm - slack, middle + reach * norm + slack, ids.value_lengths().to_numpy()
 
@@ -153,7 +166,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
                     score, id = score[:, owner[lo:hi] - j], np.broadcast_to(flat[lo:hi], (q.num_rows, hi - lo))
                     if best is not None:
                         score, id = np.concatenate([best[0], score], 1), np.concatenate([best[1], id], 1)
-                    order = np.lexsort((id, -score), axis=1)[:, : k + 1]
+                    order = np.lexsort((id, ~score), axis=1)[:, : k + 1]
                     best = np.take_along_axis(score, order, 1), np.take_along_axis(id, order, 1)
                 for row, owners in enumerate(q.column("ids").to_pylist()):
                     for own in owners:
@@ -166,7 +179,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int | None
     keys = ["cell", "share", "part"]
     best = asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(solved, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    error = F.raise_error(F.lit("a score leaves 64 bits")).cast("long")
+    score = F.when(F.col("score").isin(LEAST, MOST), error).otherwise(F.col("score")).alias("score")
+    return best.distinct().withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", score)
 
 
 def _least_ids(vectors: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -152,6 +153,24 @@ def test_chunks_of_short_texts_only(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == {i: (len(t), removed.get(i, 0)) for i, t in table}
 
 
+def test_top_k_of_large_vectors(spark):
+    """All finite vectors take part, however large; a score that 64 bits can't hold is an error, and no wrong number."""
+    rng = np.random.default_rng(4)
+    data = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(0, 4)).astype(np.float32).tolist()) for i in range(60)]
+    data += [(100, [1e9] * 4 + [0.0] * 4), (101, [0.0] * 4 + [1.0] * 4), (102, [2.0**23, -(2.0**23)] + [0.0] * 6), (103, [float("nan")] * 8), (104, [float("inf")] * 8), (105, None)]
+    table = lambda rows: topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in data if i < 103}
+    score = lambda q, d: sum(x * y for x, y in zip(whole[q], whole[d], strict=True))
+    expected = {(q, r, *sorted(((-score(q, d), d) for d in whole if d != q))[r - 1]) for q in whole for r in range(1, 6)}
+    got = topk.top_k(table(data), table(data), cells=4).collect()
+    assert {(r.query_id, r.rank, -r.score, r.vec_id) for r in got} == expected and len(got) == 5 * len(whole)
+    assert max(score(q, q) for q in whole) > 2**63
+    huge = table([(1, [1e9] * 8), (2, [1e9] * 8), (3, [-1e9] * 8)])
+    for rows in (huge, table([(1, [1e30]), (2, [1.0])])):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(rows, rows, k=1).collect()
+
+
 def test_hot_windows_travel_alone(docs, monkeypatch):
     """The result is the same when every minimiser counts as hot."""
     plain = rows(substring.remove_repeats(docs, window=5), "doc_id", "n_removed", "kept"), rows(suffix.remove_repeats(docs), "doc_id", "n_removed", "n_spans")
