@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +23,24 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return builder.config(map=conf).getOrCreate() if conf else builder.getOrCreate()
 
 
+@functools.lru_cache(4)
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="paperloom-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. A local session without one, as in tests, has a temporary folder of this machine;
+    on a cluster its absence is an error, since executors don't see each other's folders."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of `df` in the shared folder that the session names; where it names none, as in tests, in a new one."""
+    """Cuts the lineage of `df`: its rows from a table in the shared folder, written once (a checkpoint computes them twice)."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
