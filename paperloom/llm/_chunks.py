@@ -1,22 +1,27 @@
 """Chunks of documents that ask buckets about hashes, and what they are told.
 
 Documents are dealt to chunks by a hash. A chunk sends its hashes to buckets as packed numbers, each once; a bucket
-answers every chunk with those that occur elsewhere too. Ranges that were found travel to a document by its chunk and its
-number there. All side tables have the columns SIDE.
+answers every chunk with those that occur elsewhere too. Strings travel to buckets with the chunk that has them, once for a
+chunk's many occurrences; what a bucket finds goes back to these chunks by the string's hash, and the chunk, which works out
+its strings anew, knows where they are. So no task holds all occurrences of a string. All side tables have the columns SIDE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._superkmers import binary
+from paperloom.llm._superkmers import Strings, binary
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4 << 20
+#: Buckets that chunks ask are as many as the chunks up to this number.
+LEAST_BUCKETS = 64
 
 SIDE = "chunk long, kind int, id long, mark long, low long, blob binary"
 COPY, SHARED, COVER = 0, 1, 2
@@ -48,15 +53,9 @@ def chunks_for(sizes: DataFrame) -> int:
     return max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // CHUNK_BYTES))
 
 
-def numbered(docs: pa.Table) -> np.ndarray:
-    """A number for each row: the place of its (id, mark) among those of the chunk, the same whenever it is worked out."""
-    id, mark = (docs.column(c).to_numpy() for c in ("id", "mark"))
-    order = np.lexsort((mark, id))
-    new = np.zeros(len(order), np.int64)
-    new[1:] = (id[order][1:] != id[order][:-1]) | (mark[order][1:] != mark[order][:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+def buckets_for(chunks: int, each: int) -> int:
+    """Buckets that answer `chunks`: one for `each` chunks where there are many, so that a chunk asks few buckets for much."""
+    return min(chunks, max(LEAST_BUCKETS, chunks // each))
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
@@ -118,7 +117,7 @@ def is_shared(f: np.ndarray, shared: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of documents, in order and without overlaps."""
+    """Ranges of `doc` (any number), in order and without overlaps."""
     order = np.lexsort((low, doc))
     doc, low, high = doc[order], low[order], high[order]
     shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33 if len(doc) else doc
@@ -128,20 +127,41 @@ def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return doc[first], low[first], (reach[last] - shift[last]) if len(doc) else high
 
 
-def cover_side(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """Merged ranges, packed for each chunk as (number, low, high); `doc` is chunk * 2^32 + number."""
-    chunk = doc >> 32
-    cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else chunk
-    rows = np.column_stack([doc & 0xFFFFFFFF, low, high]).astype(np.uint32)
-    blob = binary(rows.view(np.uint8).reshape(-1), np.append(cut, len(rows)) * 12)
-    return side_rows({"kind": COVER, "chunk": pa.array(chunk[cut]), "blob": blob}, len(cut))
-
-
-def covers_of(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ranges of a chunk (number, low, high), and of each row of `docs` the first and the end of its own."""
-    blobs = [np.frombuffer(b, np.uint32).reshape(-1, 3) for b in of_kind(side, COVER).column("blob").to_pylist()]
-    ranges = (np.concatenate(blobs) if blobs else np.zeros((0, 3), np.uint32)).astype(np.int64)
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    numbers = numbered(docs) if docs.num_rows else np.zeros(0, np.int64)
-    first, last = (np.searchsorted(ranges[:, 0], numbers, s) for s in ("left", "right"))
-    return ranges, first, last
+#: What a bucket says of a string: its hash, and that the range [low, high) of its items goes from documents above `id`.
+ANSWER = np.dtype([("key", "<u8"), ("id", "<i8"), ("low", "<u4"), ("high", "<u4")])
+
+
+def answer_sides(strings: Strings, string: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """`records` (ANSWER) of the strings with the numbers `string`, for each chunk that has the string, packed."""
+    order = np.argsort(string, kind="stable")
+    records, begin = records[order], np.searchsorted(string[order], np.arange(len(strings.bucket) + 1))
+    of = np.repeat(np.arange(len(strings.bucket)), np.diff(strings.first))
+    asked = np.flatnonzero(np.diff(begin)[of])
+    for i in range(0, len(asked), 1 << 15):
+        part = asked[i : i + (1 << 15)]
+        part = part[np.argsort(strings.chunk[part], kind="stable")]
+        times = np.diff(begin)[of[part]]
+        entry = np.repeat(begin[of[part]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        chunk = strings.chunk[part]
+        cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        ends = np.append((np.cumsum(times) - times)[cut], len(entry)) * ANSWER.itemsize
+        yield side_rows({"kind": COVER, "chunk": pa.array(chunk[cut]), "blob": binary(records[entry].view(np.uint8), ends)}, len(cut))
+
+
+def answers_of(side: pa.Table) -> np.ndarray:
+    """All that buckets have said to a chunk, by hash."""
+    blobs = [np.frombuffer(b, ANSWER) for b in of_kind(side, COVER).column("blob").to_pylist()]
+    all = np.concatenate(blobs) if blobs else np.zeros(0, ANSWER)
+    return all[np.argsort(all["key"], kind="stable")]
+
+
+def covered(answers: np.ndarray, key: np.ndarray, id: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Which of `n` items go, given the hash, document and first item of each string."""
+    lo, hi = (np.searchsorted(answers["key"], key, s) for s in ("left", "right"))
+    times = hi - lo
+    entry = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+    base, mine = np.repeat(begin, times), np.repeat(id, times) > answers["id"][entry]
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, (base + answers["low"][entry])[mine], 1)
+    np.add.at(cover, (base + answers["high"][entry])[mine], -1)
+    return np.cumsum(cover[:-1]) > 0

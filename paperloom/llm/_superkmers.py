@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
-from paperloom.llm._arrow import mixed, powers
+from paperloom.llm._arrow import bytes_of, mixed, powers, prefix_hash
 
 #: So many of the most frequent minimisers at most are hot: their windows travel one by one, to buckets of their own.
-HOT_MOST = 2000
+#: Eight bytes each go to every task. Larger buckets that remain are solved in several passes, see `maximal_groups`.
+HOT_MOST = 100_000
 #: One document in so many is looked at to find those that occur so often in this sample. What is found decides where
 #: windows meet, never the result.
 HOT_SAMPLE = 32
@@ -39,10 +43,6 @@ def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
-
 def second_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of another polynomial than `prefix_hash`: bytes pass through a table of random numbers."""
     forward, _ = powers(len(data) + 1)
@@ -86,37 +86,102 @@ def runs(minimum: np.ndarray, valid: np.ndarray, owner: np.ndarray, hot: np.ndar
     return at[begin], at[end], burning[begin]
 
 
-def collapsed(key: np.ndarray, data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, **values: np.ndarray) -> dict[str, pa.Array]:
-    """One row for each distinct string data[start:end] with its key, and the values of all its occurrences as lists."""
-    _, back = powers(len(data) + 1)
-    one, two = (mixed((s[ends] - s[starts]) * back[starts]) + (ends - starts).astype(np.uint64) for s in sums)
-    order, begin = groups(one, two)
-    chosen = order[begin]
-    packed, offsets = gathered(data, starts[chosen], ends[chosen])
-    cuts = np.append(begin, len(order))
-    return {"bucket": pa.array(key[chosen].view(np.int64)), "packed": binary(packed, offsets)} | {n: lists(v[order], cuts) for n, v in values.items()}
+def split(begin: np.ndarray, end: np.ndarray, hot: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of at most `most` windows each: longer ones, as in repeated characters, are split."""
+    parts = (end - begin) // most + 1
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(begin, parts) + inner * most
+    return start, np.minimum(np.repeat(end, parts), start + most - 1), np.repeat(hot, parts)
 
 
-def by_bucket(batches, column: str = "bucket", size: str = "packed", limit: int = 4 << 20):
-    """Tables of whole buckets, each of about `limit` bytes or one bucket, from batches sorted by bucket."""
-    held, held_bytes = [], 0
+def string_hashes(sums: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """A hash of each string data[start:end] from each of the prefix sums."""
+    _, back = powers(len(sums[0]))
+    return [mixed((s[ends] - s[starts]) * back[starts]) + (ends - starts).astype(np.uint64) for s in sums]
+
+
+def collapsed(key: np.ndarray, data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, **values: tuple[np.ndarray, np.ufunc]) -> dict[str, pa.Array]:
+    """One row for each distinct string data[start:end] with its key, and the values of its occurrences put together."""
+    order, begin = groups(*string_hashes(sums, starts, ends))
+    chosen = order[begin]
+    packed, offsets = gathered(data, starts[chosen], ends[chosen])
+    return {"bucket": pa.array(key[chosen].view(np.int64)), "packed": binary(packed, offsets)} | {n: pa.array(put.reduceat(v[order], begin)) for n, (v, put) in values.items()}
+
+
+@dataclass
+class Strings:
+    """Distinct packed strings in order of bucket and bytes, what is known of each (`values`), and the chunks that have
+    it: chunk[first[i]:first[i + 1]]."""
+
+    bucket: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+    values: dict[str, np.ndarray]
+    first: np.ndarray
+    chunk: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, put: dict[str, np.ufunc]) -> Strings:
+        """From rows (bucket, packed, chunk and values) that are sorted by bucket and packed."""
+        bucket = batch.column("bucket").to_numpy()
+        data, offsets = bytes_of(batch.column("packed"))
+        one, two = string_hashes((prefix_hash(data), second_hash(data)), offsets[:-1], offsets[1:])
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        begin = np.flatnonzero(new)
+        values = {n: f.reduceat(batch.column(n).to_numpy(), begin) for n, f in put.items()}
+        return cls(bucket[begin], *gathered(data, offsets[begin], offsets[begin + 1]), values, np.append(begin, len(bucket)), batch.column("chunk").to_numpy())
+
+    def cut(self, lo: int, hi: int) -> Strings:
+        a, z = self.offsets[[lo, hi]]
+        b, e = self.first[[lo, hi]]
+        return Strings(self.bucket[lo:hi], self.data[a:z], self.offsets[lo : hi + 1] - a, {n: v[lo:hi] for n, v in self.values.items()}, self.first[lo : hi + 1] - b, self.chunk[b:e])
+
+    @classmethod
+    def joined(cls, parts: list[Strings], put: dict[str, np.ufunc]) -> Strings:
+        """One after another; a string that ends one part and begins the next is one."""
+        if len(parts) == 1:
+            return parts[0]
+        count = np.cumsum([0, *(len(p.bucket) for p in parts)])
+        new = np.ones(count[-1], bool)
+        for before, after, at in zip(parts[:-1], parts[1:], count[1:-1], strict=True):
+            same = before.bucket[-1] == after.bucket[0] and np.array_equal(before.data[before.offsets[-2] :], after.data[: after.offsets[1]])
+            new[at] = not same
+        begin = np.flatnonzero(new)
+        put_end = lambda arrays, ends: np.concatenate([a[:-1] + e for a, e in zip(arrays, ends, strict=True)])
+        starts = put_end([p.offsets for p in parts], np.cumsum([0, *(len(p.data) for p in parts[:-1])]))
+        sizes = np.concatenate([np.diff(p.offsets) for p in parts])
+        first = put_end([p.first for p in parts], np.cumsum([0, *(len(p.chunk) for p in parts[:-1])]))
+        chunk = np.concatenate([p.chunk for p in parts])
+        values = {n: f.reduceat(np.concatenate([p.values[n] for p in parts]), begin) for n, f in put.items()}
+        data = gathered(np.concatenate([p.data for p in parts]), starts[begin], (starts + sizes)[begin])
+        return cls(np.concatenate([p.bucket for p in parts])[begin], *data, values, np.append(first[begin], len(chunk)), chunk)
+
+
+def distinct_strings(batches: Iterator[pa.RecordBatch], put: dict[str, np.ufunc], limit: int = 1 << 20) -> Iterator[Strings]:
+    """Whole buckets, of about `limit` bytes of distinct strings or one bucket, from batches sorted by bucket and packed.
+
+    A string that many chunks have is held once, with eight bytes for each of them.
+    """
+    held: list[Strings] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(column).to_numpy()
-        new = np.flatnonzero(np.diff(keys)) + 1
-        begin = 0
-        last = held[-1].column(column)[-1].as_py() if held else None
-        sizes = np.cumsum(np.diff(np.frombuffer(batch.column(size).buffers()[1], np.int32)[batch.column(size).offset :][: batch.num_rows + 1]).astype(np.int64))
-        for cut in [*([0] if held and keys[0] != last else []), *new.tolist()]:
-            done = int(sizes[cut - 1] - (sizes[begin - 1] if begin else 0)) if cut > begin else 0
-            if held_bytes + done >= limit:
-                if cut > begin:
-                    held.append(batch.slice(begin, cut - begin))
-                yield pa.Table.from_batches(held)
-                held, held_bytes, begin = [], 0, cut
-        if begin < batch.num_rows:
-            held.append(batch.slice(begin))
-            held_bytes += int(sizes[-1] - (sizes[begin - 1] if begin else 0))
+        now, begin = Strings.of(batch, put), 0
+        edges = np.flatnonzero(np.append(not held or held[-1].bucket[-1] != now.bucket[0], now.bucket[1:] != now.bucket[:-1]))
+        while len(edges):
+            k = int(np.searchsorted(now.offsets[edges], now.offsets[begin] + limit - size))
+            if k == len(edges):
+                break
+            edge, edges = int(edges[k]), edges[k + 1 :]
+            if edge > begin:
+                held.append(now.cut(begin, edge))
+            if held:
+                yield Strings.joined(held, put)
+            held, size, begin = [], 0, edge
+        if begin < len(now.bucket):
+            held.append(now.cut(begin, len(now.bucket)))
+            size += len(held[-1].data)
     if held:
-        yield pa.Table.from_batches(held)
+        yield Strings.joined(held, put)

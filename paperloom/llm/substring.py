@@ -2,9 +2,10 @@
 
 Every window of 35 words has a minimiser, the smallest hash of its word triples. Consecutive windows that share it travel
 as one packed string to the minimiser's bucket, where sorting the windows counts them exactly: equal windows always meet,
-each in one bucket. Minimisers are counted beforehand, as packed numbers, and those at a single place stay at home: their
-windows can't repeat. Equal packed strings of a piece of input travel once, with a list of their places. The windows of
-hot minimisers travel one by one to buckets of their own hash.
+each in one bucket. Longer minimisers, of 16 words, are counted beforehand, as packed numbers, and windows whose own is at
+a single place stay at home: they can't repeat. Equal packed strings of a piece of input travel once, with their number;
+the bucket's answer goes to the chunk, which applies it to all their places. The windows of hot minimisers travel one by
+one to buckets of their own hash.
 """
 
 from __future__ import annotations
@@ -14,14 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._arrow import bytes_of, mixed, pieces, prefix_hash, span_hash, spans
-from paperloom.llm._chunks import SIDE, answered, chunk_of, chunks_for, counted_side, cover_side, covers_of, empty_side, is_shared, merged, numbered, shared_of
-from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, binary, by_bucket, collapsed, gathered, groups, runs, second_hash, sliding
+from paperloom.llm._arrow import bytes_of, pieces, prefix_hash, span_hash, spans
+from paperloom.llm._chunks import ANSWER, SIDE, answer_sides, answered, answers_of, buckets_for, chunk_of, chunks_for, counted_side, covered, empty_side, is_shared, shared_of
+from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, Strings, binary, collapsed, distinct_strings, gathered, groups, runs, second_hash, sliding, split, string_hashes
 
 WINDOW = 35
-#: Words that a minimiser spans.
-ANCHOR = 3
-STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Words of the minimisers that are counted first, which little but a repeated passage shares, and of those that choose a
+#: bucket.
+COUNTED, ANCHOR = 16, 3
+#: Windows in a packed string at most.
+RUN = 64
+#: Chunks whose minimisers meet in one bucket, where there are many.
+COUNTED_CHUNKS = 32
+#: Bytes of distinct strings that are solved at once, in whole buckets.
+TABLE_BYTES = 2 << 20
+#: Below every document's number: what is found holds for all of them.
+ALL = -1
 
 
 def _canonical(column: pa.Array):
@@ -35,28 +44,48 @@ def _canonical(column: pa.Array):
 
 
 class _Words:
-    """The words of a piece of documents, their triples' hashes and the minimiser of every window."""
+    """The words of a piece of documents and the minimisers of their windows."""
 
     def __init__(self, column: pa.Array, window: int):
         self.data, self.starts, self.ends, self.row = _canonical(column)
-        self.sums = prefix_hash(self.data)
+        self.window, self.sums = window, prefix_hash(self.data)
         self.n = max(0, len(self.starts) - window + 1)
-        if not self.n:
-            return
-        anchor = min(ANCHOR, window)
-        word = span_hash(self.sums, self.starts, self.ends)
-        gram = word
-        for k in range(1, anchor):
-            gram = mixed(gram[:-1] * STEP + word[k:])
-        self.gram, self.width = gram, window - anchor + 1
-        self.minimum = sliding(gram, self.width)
         self.valid = self.row[: self.n] == self.row[window - 1 :]
 
-    def chosen(self) -> np.ndarray:
-        """Places of triples that are the minimiser of some window."""
-        edge = np.zeros(self.width - 1, np.uint64)
-        most = sliding(np.concatenate([edge, np.where(self.valid, self.minimum, np.uint64(0)), edge]), self.width, np.maximum)
-        return np.flatnonzero((self.gram == most) & (most > 0))
+    def grams(self, anchor: int) -> np.ndarray:
+        """A hash of each `anchor` consecutive words, or of the whole window if it is shorter."""
+        anchor = min(anchor, self.window)
+        return span_hash(self.sums, self.starts[: len(self.starts) - anchor + 1], self.ends[anchor - 1 :])
+
+    def minimum(self, anchor: int) -> np.ndarray:
+        return sliding(self.grams(anchor), self.window - min(anchor, self.window) + 1)
+
+    def chosen(self, anchor: int) -> np.ndarray:
+        """The grams that are the minimiser of some window, one for each place."""
+        gram, width = self.grams(anchor), self.window - min(anchor, self.window) + 1
+        edge = np.zeros(width - 1, np.uint64)
+        most = sliding(np.concatenate([edge, np.where(self.valid, sliding(gram, width), np.uint64(0)), edge]), width, np.maximum)
+        return gram[(gram == most) & (most > 0)]
+
+    def strings(self, shared: np.ndarray, buckets: int, hot: np.ndarray):
+        """Of each packed string of windows whose minimiser is shared its first word, first and last byte, row and
+        bucket's hash; None without such windows."""
+        if not self.n or not len(shared):
+            return None
+        minimum, owner = self.minimum(COUNTED), self.row[: self.n]
+        begin, end, _ = runs(minimum, self.valid, owner, np.zeros(0, np.uint64))
+        has = is_shared(minimum[begin], shared, buckets)
+        if not has.any():
+            return None
+        cover = np.zeros(self.n + 1, np.int64)
+        cover[begin[has]] += 1
+        np.add.at(cover, end[has] + 1, -1)
+        minimum = self.minimum(ANCHOR)
+        begin, end, burning = split(*runs(minimum, np.cumsum(cover[:-1]) > 0, owner, hot), RUN)
+        a, z = self.starts[begin], self.ends[end + self.window - 1]
+        value = minimum[begin].copy()
+        value[burning] = span_hash(self.sums, a[burning], z[burning])
+        return begin, a, z, self.row[begin], value
 
 
 def _counted(docs: pa.Table, window: int, buckets: int) -> pa.Table:
@@ -66,91 +95,72 @@ def _counted(docs: pa.Table, window: int, buckets: int) -> pa.Table:
         for piece in pieces(batch, "text"):
             words = _Words(piece.column("text"), window)
             if words.n:
-                found.append(words.gram[words.chosen()])
+                found.append(words.chosen(COUNTED))
     f = np.concatenate(found) if found else np.zeros(0, np.uint64)
     return counted_side(f, np.arange(len(f)), docs.column("chunk")[0].as_py(), buckets) if len(f) else empty_side()
 
 
-PACKED = "bucket long, packed binary, docs array<long>, places array<int>"
+PACKED = "bucket long, packed binary, chunk long, times long"
+#: How often a string occurs.
+PUT = {"times": np.add}
 
 
 def _packed(docs: pa.Table, side: pa.Table, window: int, buckets: int, hot: np.ndarray) -> pa.Table:
-    """Windows whose minimiser occurs elsewhere, as packed strings."""
-    names, types = ["bucket", "packed", "docs", "places"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    shared, out, done = shared_of(side), [], 0
-    numbers = (docs.column("chunk").to_numpy() << 32) + numbered(docs) if docs.num_rows else None
+    """Windows whose minimiser occurs elsewhere, as packed strings, each once for a piece of the chunk."""
+    shared, out = shared_of(side), []
     for batch in docs.combine_chunks().to_batches() if len(shared) else ():
         for piece in pieces(batch, "text"):
-            number = numbers[done : done + piece.num_rows]
-            done += piece.num_rows
             words = _Words(piece.column("text"), window)
-            if not words.n:
-                continue
-            begin, end, _ = runs(words.minimum, words.valid, words.row[: words.n], np.zeros(0, np.uint64))
-            has = is_shared(words.minimum[begin], shared, buckets)
-            if not has.any():
-                continue
-            cover = np.zeros(words.n + 1, np.int64)
-            cover[begin[has]] = 1
-            cover[end[has] + 1] -= 1
-            begin, end, burning = runs(words.minimum, np.cumsum(cover[:-1]) > 0, words.row[: words.n], hot)
-            a, z = words.starts[begin], words.ends[end + window - 1]
-            key = words.minimum[begin].copy()
-            key[burning] = span_hash(words.sums, a[burning], z[burning])
-            first = np.searchsorted(words.row, np.arange(piece.num_rows))
-            of = words.row[begin]
-            made = collapsed(key, words.data, (words.sums, second_hash(words.data)), a, z, docs=number[of], places=(begin - first[of]).astype(np.int32))
-            out.append(pa.RecordBatch.from_arrays([made[c].cast(t) for c, t in zip(names, types, strict=True)], names=names))
-    return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
-
-
-def _repeated(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Word ranges whose windows occur more than once among the rows."""
-    data, starts, ends, row = _canonical(table.column("packed").combine_chunks())
-    first = np.searchsorted(row, np.arange(table.num_rows))
+            found = words.strings(shared, buckets, hot)
+            if found:
+                _, a, z, _, value = found
+                made = collapsed(value, words.data, (words.sums, second_hash(words.data)), a, z, times=(np.ones(len(a), np.int64), np.add))
+                chunk = pa.array(np.full(len(made["times"]), piece.column("chunk")[0].as_py()))
+                out.append(pa.RecordBatch.from_arrays([made["bucket"], made["packed"], chunk, made["times"]], names=["bucket", "packed", "chunk", "times"]))
+    return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("chunk", pa.int64()), ("times", pa.int64())]))
+
+
+def _solved(strings: Strings, window: int):
+    """What to tell the chunks of a bucket's strings: their words in windows that occur more than once."""
+    data, starts, ends, row = _canonical(pa.Array.from_buffers(pa.large_binary(), len(strings.bucket), [None, pa.py_buffer(strings.offsets), pa.py_buffer(strings.data)]))
+    first = np.searchsorted(row, np.arange(len(strings.bucket)))
     n = len(starts) - window + 1
     begin = np.flatnonzero(row[:n] == row[window - 1 :])
     sums = prefix_hash(data), second_hash(data)
     a, z = starts[begin], ends[begin + window - 1]
     order, cut = groups(span_hash(sums[0], a, z), span_hash(sums[1], a, z))
-    places = table.column("places").combine_chunks()
-    bounds = places.offsets.to_numpy().astype(np.int64)
-    times = np.diff(bounds)
-    total = np.add.reduceat(times[row[begin]][order], cut)
+    total = np.add.reduceat(strings.values["times"][row[begin]][order], cut)
     twice = np.zeros(len(begin), bool)
     twice[order] = np.repeat(total > 1, np.diff(np.append(cut, len(order))))
-    # Runs of repeated windows within a row, at every occurrence of it.
-    at, whose = begin[twice], row[begin[twice]]
+    # Runs of repeated windows within a string.
+    at, string = begin[twice], row[begin[twice]]
+    if not len(at):
+        return
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (whose[1:] != whose[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (string[1:] != string[:-1])
     lo = np.flatnonzero(new)
-    hi, whose = np.append(lo[1:], len(at))[: len(lo)] - 1, whose[lo]
-    low, high = at[lo] - first[whose], at[hi] - first[whose] + window
-    copies = times[whose]
-    entry = np.repeat(bounds[whose] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
-    base = places.values.to_numpy()[entry].astype(np.int64)
-    docs = table.column("docs").combine_chunks().values.to_numpy()[entry]
-    return cover_side(*merged(docs, base + np.repeat(low, copies), base + np.repeat(high, copies)))
+    hi, string = np.append(lo[1:], len(at)) - 1, string[lo]
+    records = np.zeros(len(lo), ANSWER)
+    records["key"] = string_hashes((prefix_hash(strings.data),), strings.offsets[:-1], strings.offsets[1:])[0][string]
+    records["id"], records["low"], records["high"] = ALL, at[lo] - first[string], at[hi] - first[string] + window
+    yield from answer_sides(strings, string, records)
 
 
-def _kept(docs: pa.Table, side: pa.Table) -> pa.Table:
+def _kept(docs: pa.Table, side: pa.Table, window: int, buckets: int, hot: np.ndarray) -> pa.Table:
     names, types = ["id", "n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    ranges, begin, end = covers_of(docs, side)
-    out, done = [], 0
+    answers, shared, out = answers_of(side), shared_of(side), []
+    shared = shared if len(answers) else shared[:0]
     for batch in docs.combine_chunks().to_batches():
         for piece in pieces(batch, "text"):
-            data, starts, ends, row = _canonical(piece.column("text"))
-            count = np.bincount(row, minlength=piece.num_rows)
-            first = np.cumsum(count) - count
-            times = end[done : done + piece.num_rows] - begin[done : done + piece.num_rows]
-            entry = np.repeat(begin[done : done + piece.num_rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            done += piece.num_rows
-            cover = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(cover, ranges[entry, 1] + np.repeat(first, times), 1)
-            np.add.at(cover, ranges[entry, 2] + np.repeat(first, times), -1)
-            stays = np.cumsum(cover[:-1]) == 0
-            kept_count = np.bincount(row[stays], minlength=piece.num_rows)
-            joined, cuts = gathered(data, starts[stays], ends[stays] + 1)
+            words = _Words(piece.column("text"), window)
+            stays = np.ones(len(words.starts), bool)
+            found = words.strings(shared, buckets, hot)
+            if found:
+                begin, a, z, _, _ = found
+                stays = ~covered(answers, string_hashes((words.sums,), a, z)[0], np.zeros(len(a), np.int64), begin, len(stays))
+            count = np.bincount(words.row, minlength=piece.num_rows)
+            kept_count = np.bincount(words.row[stays], minlength=piece.num_rows)
+            joined, cuts = gathered(words.data, words.starts[stays], words.ends[stays] + 1)
             # Each document's words with a space after each, without the last space.
             edge = np.append(0, np.cumsum(kept_count))
             text, offsets = gathered(joined, cuts[edge[:-1]], cuts[edge[1:]] - (kept_count > 0))
@@ -171,17 +181,19 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     docs = docs.withColumn("mark", F.xxhash64("text"))
     chunks = chunks_for(docs.select(F.octet_length("text").alias("n")))
     hot = _hot(docs, window)
+    buckets = buckets_for(chunks, COUNTED_CHUNKS)
     by_chunk = docs.withColumn("chunk", chunk_of(chunks)).repartition("chunk").groupBy("chunk")
-    counted = by_chunk.applyInArrow(lambda d: _counted(d, window, chunks), SIDE)
+    counted = by_chunk.applyInArrow(lambda d: _counted(d, window, buckets), SIDE)
     answers = counted.groupBy("id").applyInArrow(answered, SIDE)
-    rows = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, window, chunks, hot), PACKED)
+    packed = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, window, buckets, hot), PACKED)
 
     def solving(batches):
-        for table in by_bucket(batches, limit=2 << 20):
-            yield _repeated(table, window)
+        for strings in distinct_strings(batches, PUT, TABLE_BYTES):
+            yield from _solved(strings, window)
 
-    covers = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, SIDE)
-    kept = by_chunk.cogroup(covers.groupBy("chunk")).applyInArrow(_kept, "id long, n_words long, n_removed long, kept string")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket", "packed").mapInArrow(solving, SIDE)
+    sides = answers.unionByName(found)
+    kept = by_chunk.cogroup(sides.groupBy("chunk")).applyInArrow(lambda d, s: _kept(d, s, window, buckets, hot), "id long, n_words long, n_removed long, kept string")
     return kept.select(F.nullif("id", null).alias(id), "n_words", "n_removed", "kept")
 
 
@@ -193,7 +205,7 @@ def _hot(docs: DataFrame, window: int) -> np.ndarray:
             for piece in pieces(batch, "text"):
                 words = _Words(piece.column("text"), window)
                 if words.n:
-                    yield pa.RecordBatch.from_arrays([pa.array(words.gram[words.chosen()].view(np.int64))], names=["bucket"])
+                    yield pa.RecordBatch.from_arrays([pa.array(words.chosen(ANCHOR).view(np.int64))], names=["bucket"])
 
     sample = docs.where(F.pmod(F.xxhash64("id", "mark"), F.lit(HOT_SAMPLE)) == 0).select("text")
     counts = sample.mapInArrow(found, "bucket long").groupBy("bucket").count().where(f"count >= {HOT_LEAST}")

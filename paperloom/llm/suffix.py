@@ -3,10 +3,14 @@
 1. Documents are dealt to chunks by a hash. Of each chunk's texts the minimisers (winnowed hashes of 28 bytes) go to
    buckets as packed numbers, once a chunk; the bucket answers which of them other documents have too. A 50-byte string
    of two documents has the same minimiser in both, so only windows with a shared one can repeat.
-2. Those windows travel as packed strings (super-k-mers of a shorter minimiser), equal ones of a piece once with a list of
-   their places, so that all suffixes with equal 50-byte prefixes meet. Hot minimisers are split by window.
-3. Each bucket sorts its suffixes, scans the common-prefix lengths with a stack for the interval tree, and keeps intervals
-   whose suffixes differ in the byte to the left: the maximal repeat groups, each with all its occurrences.
+2. Those windows travel as packed strings (super-k-mers of a shorter minimiser), equal ones of a piece once, with the
+   smallest and largest id that has them, so that all suffixes with equal 50-byte prefixes meet. Hot minimisers are split
+   by window.
+3. Each bucket holds every distinct string once, sorts its suffixes, scans the common-prefix lengths with a stack for the
+   interval tree, and keeps intervals whose suffixes differ in the byte to the left: the maximal repeat groups. Groups are
+   maximal within the packed strings of their bucket, at most RUN bytes beyond the window; together they cover just the
+   bytes that repeat.
+4. What a bucket finds goes back to the chunks that have the string, which apply it to all its occurrences.
 
 Equal texts are settled beforehand: all but the one with the smallest id repeat it as a whole.
 """
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm._arrow import bytes_of, mixed, pieces, powers, prefix_hash
-from paperloom.llm._chunks import COPY, SIDE, answered, chunk_of, chunks_for, counted_side, cover_side, covers_of, empty_side, is_shared, merged, numbered, of_kind, row_of, shared_of
-from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, binary, by_bucket, collapsed, gathered, groups, runs, second_hash, sliding
+from paperloom.llm._chunks import ANSWER, COPY, SIDE, answer_sides, answered, answers_of, buckets_for, chunk_of, chunks_for, counted_side, covered, empty_side, is_shared, merged, of_kind, row_of, shared_of
+from paperloom.llm._superkmers import HOT_LEAST, HOT_MOST, HOT_SAMPLE, Strings, binary, collapsed, distinct_strings, groups, runs, second_hash, sliding, split, string_hashes
 from paperloom.llm._tables import stored
 
 LENGTH = 50
@@ -29,6 +33,10 @@ LENGTH = 50
 LONG_ANCHOR, SHORT_ANCHOR = 28, 16
 #: Windows in a packed string at most.
 RUN = 40
+#: Chunks whose minimisers meet in one bucket, where there are many.
+COUNTED_CHUNKS = 6
+#: Bytes of distinct strings that are solved at once, in whole buckets.
+TABLE_BYTES = 1 << 20
 
 
 def _copies(docs: pa.Table, side: pa.Table) -> np.ndarray:
@@ -77,64 +85,79 @@ def _counted(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Ta
     return counted_side(f, np.concatenate(owner), chunk, buckets) if len(f) else empty_side()
 
 
-PACKED = "bucket long, packed binary, ids array<long>, docs array<long>, places array<int>"
+PACKED = "bucket long, packed binary, chunk long, low long, high long"
+#: The smallest and the largest id of the documents that have a string.
+PUT = {"low": np.minimum, "high": np.maximum}
+
+
+def _strings(piece, skipped: np.ndarray, shared: np.ndarray, length: int, buckets: int, hot: np.ndarray):
+    """Of the texts of a piece that aren't `skipped`: bytes, offsets, prefix sums, and of each packed string of windows
+    whose minimiser is shared its first and last window, row and bucket's hash; None if there is no such window."""
+    data, offsets = bytes_of(piece.column("text"))
+    if len(data) < length or not len(shared):
+        return None
+    row, sums = row_of(offsets), (prefix_hash(data), second_hash(data))
+    minimum = _minimum(sums[0], min(LONG_ANCHOR, length), length)
+    begin, end, _ = _changes(minimum, row, length)
+    has = is_shared(minimum[begin], shared, buckets) & ~skipped[row[begin]]
+    cover = np.zeros(len(minimum) + 1, np.int64)
+    cover[begin[has]] += 1
+    np.add.at(cover, end[has] + 1, -1)
+    valid = np.cumsum(cover[:-1]) > 0
+    if not valid.any():
+        return None
+    minimum = _minimum(sums[0], min(SHORT_ANCHOR, length), length)
+    begin, end, burning = split(*runs(minimum, valid, row[: len(minimum)], hot), RUN)
+    value = minimum[begin].copy()
+    if burning.any():
+        value[burning] = _grams(sums[0], length)[begin[burning]]
+    return data, offsets, sums, begin, end, row[begin], value
 
 
 def _packed(docs: pa.Table, side: pa.Table, length: int, buckets: int, hot: np.ndarray) -> pa.Table:
-    """The windows whose minimiser is shared, as packed strings."""
-    names = ["bucket", "packed", "ids", "docs", "places"]
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    copies = _copies(docs, side)
-    if docs.num_rows:
-        # A document travels as its chunk and its number there.
-        docs = docs.append_column("doc", pa.array((docs.column("chunk").to_numpy() << 32) + numbered(docs)))
-    shared = shared_of(side)
-    out = []
-    for piece in _texts(docs, copies) if len(shared) and docs.num_rows else ():
-        data, offsets = bytes_of(piece.column("text"))
-        if len(data) < length:
-            continue
-        row, sums = row_of(offsets), (prefix_hash(data), second_hash(data))
-        minimum = _minimum(sums[0], min(LONG_ANCHOR, length), length)
-        begin, end, _ = _changes(minimum, row, length)
-        has = is_shared(minimum[begin], shared, buckets)
-        cover = np.zeros(len(minimum) + 1, np.int64)
-        cover[begin[has]] += 1
-        np.add.at(cover, end[has] + 1, -1)
-        valid = np.cumsum(cover[:-1]) > 0
-        if not valid.any():
-            continue
-        minimum = _minimum(sums[0], min(SHORT_ANCHOR, length), length)
-        begin, end, burning = runs(minimum, valid, row[: len(minimum)], hot)
-        # Longer runs, as in repeated characters, are split.
-        parts = (end - begin) // RUN + 1
-        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, end, burning = np.repeat(begin, parts) + inner * RUN, np.repeat(end, parts), np.repeat(burning, parts)
-        end = np.minimum(end, begin + RUN - 1)
-        value = minimum[begin].copy()
-        if burning.any():
-            value[burning] = _grams(sums[0], length)[begin[burning]]
-        ids, numbers = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("id", "doc"))
-        of = row[begin]
-        made = collapsed(value, data, sums, begin, end + length, ids=ids[of], docs=numbers[of], places=(begin - offsets[of]).astype(np.int32))
-        out.append(pa.RecordBatch.from_arrays([made[c].cast(t) for c, t in zip(names, types, strict=True)], names=names))
-    return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
+    """The windows whose minimiser is shared, as packed strings, each once for a piece of the chunk."""
+    shared, out = shared_of(side), []
+    for piece in _texts(docs, _copies(docs, side)) if len(shared) and docs.num_rows else ():
+        found = _strings(piece, np.zeros(piece.num_rows, bool), shared, length, buckets, hot)
+        if found:
+            data, _, sums, begin, end, of, value = found
+            ids = piece.column("id").to_numpy(zero_copy_only=False)[of]
+            made = collapsed(value, data, sums, begin, end + length, low=(ids, np.minimum), high=(ids, np.maximum))
+            chunk = pa.array(np.full(len(made["low"]), piece.column("chunk")[0].as_py()))
+            out.append(pa.RecordBatch.from_arrays([made["bucket"], made["packed"], chunk, made["low"], made["high"]], names=["bucket", "packed", "chunk", "low", "high"]))
+    return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+
+
+def maximal_groups(data: np.ndarray, offsets: np.ndarray, least: np.ndarray, often: np.ndarray, length: int, passes: int = 1) -> tuple[np.ndarray, ...]:
+    """Maximal repeats among distinct strings: string, place, length and the smallest id of the group, an entry for each
+    string and place of each group. `least` has each string's smallest id; `often` says which occur in several documents.
 
+    A string of several documents is a leaf of the tree that several suffixes share, and so a group of its own: whole, as
+    what is left of it differs only at its first place. The other groups are inner nodes. Windows are dealt to `passes`
+    by their hash, equal ones to the same, and each pass is solved alone, so that its arrays stay small.
+    """
+    leaves = np.flatnonzero(often)
+    out = [(leaves, np.zeros(len(leaves), np.int64), np.diff(offsets)[leaves], least[leaves])]
+    sums = prefix_hash(data), second_hash(data)
+    out += [_inner_groups(data, offsets, sums, least, length, k, passes) for k in range(passes)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-def maximal_groups(data: np.ndarray, offsets: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Maximal repeats among distinct strings: string, place, length and the smallest id of the group, an entry for each
-    string and place of each group. `least` has each string's smallest id.
+
+def _inner_groups(data: np.ndarray, offsets: np.ndarray, sums: tuple[np.ndarray, ...], least: np.ndarray, length: int, turn: int, passes: int) -> tuple[np.ndarray, ...]:
+    """Groups of the inner nodes of the interval tree.
 
     Only windows that occur more than once are suffixes worth sorting. Their order is that of the suffix array within
     each set of equal windows, which is all that the interval tree above `length` needs.
     """
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-    first = np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0)
-    place = np.arange(len(row)) - first[row]
+    sizes = np.maximum(np.diff(offsets) - length + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
     at = offsets[row] + place
-    sums, (_, back) = (prefix_hash(data), second_hash(data)), powers(len(data) + 1)
+    _, back = powers(len(data) + 1)
     one, two = (mixed((s[at + length] - s[at]) * back[at]) for s in sums)
+    if passes > 1:
+        mine = one % np.uint64(passes) == turn
+        row, place, at, one, two = row[mine], place[mine], at[mine], one[mine], two[mine]
     order, cut = groups(one, two)
     size = np.diff(np.append(cut, len(order)))
     group = np.repeat(np.arange(len(cut)), size)
@@ -193,59 +216,41 @@ def maximal_groups(data: np.ndarray, offsets: np.ndarray, least: np.ndarray, len
     return row[suffix[member]], place[suffix[member]], np.repeat(deep, sizes) + length, np.repeat(smallest, sizes)
 
 
-def _covered(table: pa.Table, length: int) -> pa.RecordBatch:
-    """Byte ranges that repeat a string of a document with a smaller id, packed for each chunk as (number, low, high)."""
-    data, offsets = bytes_of(table.column("packed").combine_chunks())
-    sums, (_, back) = (prefix_hash(data), second_hash(data)), powers(len(data) + 1)
-    one, two = (mixed((s[offsets[1:]] - s[offsets[:-1]]) * back[offsets[:-1]]) + np.diff(offsets).astype(np.uint64) for s in sums)
-    order, cut = groups(one, two)
-    string = np.empty(len(order), np.int64)
-    string[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
-    places = table.column("places").combine_chunks()
-    ids, docs = (table.column(c).combine_chunks().values.to_numpy() for c in ("ids", "docs"))
-    places, of = places.values.to_numpy(), np.repeat(string, np.diff(places.offsets.to_numpy()))
-    # Occurrences of each distinct string, one string after another.
-    by = np.argsort(of, kind="stable")
-    ids, docs, places, of = ids[by], docs[by], places[by].astype(np.int64), of[by]
-    first = np.searchsorted(of, np.arange(len(cut) + 1))
-    least = np.minimum.reduceat(ids, first[:-1])
-    chosen = order[cut]
-    distinct, bounds = gathered(data, offsets[chosen], offsets[chosen + 1])
-    whole = np.flatnonzero(np.maximum.reduceat(ids, first[:-1]) > least)
-    string, place, size, smallest = maximal_groups(distinct, bounds, least, length)
-    string = np.concatenate([whole, string])
-    place = np.concatenate([np.zeros(len(whole), np.int64), place])
-    size = np.concatenate([np.diff(bounds)[whole], size])
-    smallest = np.concatenate([least[whole], smallest])
-    out = []
-    for i in range(0, len(string), 1 << 14):
-        s, p, z, d = (x[i : i + (1 << 14)] for x in (string, place, size, smallest))
-        times = first[s + 1] - first[s]
-        entry = np.repeat(first[s] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        keep = ids[entry] > np.repeat(d, times)
-        entry, p, z = entry[keep], np.repeat(p, times)[keep], np.repeat(z, times)[keep]
-        out.append(merged(docs[entry], places[entry] + p, places[entry] + p + z))
-    doc, low, high = merged(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
-    return cover_side(doc, low, high)
-
-
-def _kept(docs: pa.Table, side: pa.Table, length: int, whole: bool, carried: list[str]) -> pa.Table:
+def _solved(strings: Strings, length: int, limit: int):
+    """What to tell the chunks of a bucket's strings: ranges that repeat a string of a document with a smaller id."""
+    low, high = strings.values["low"], strings.values["high"]
+    string, place, size, least = maximal_groups(strings.data, strings.offsets, low, high > low, length, -(-len(strings.data) // limit))
+    use = least < high[string]
+    string, place, size, least = string[use], place[use], size[use], least[use]
+    if not len(string):
+        return
+    order = np.lexsort((least, string))
+    string, place, size, least = string[order], place[order], size[order], least[order]
+    same = np.cumsum(np.append(0, (string[1:] != string[:-1]) | (least[1:] != least[:-1])))
+    first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+    of, begin, end = merged(same, place, place + size)
+    records = np.zeros(len(of), ANSWER)
+    records["key"] = string_hashes((prefix_hash(strings.data),), strings.offsets[:-1], strings.offsets[1:])[0][string[first[of]]]
+    records["id"], records["low"], records["high"] = least[first[of]], begin, end
+    yield from answer_sides(strings, string[first[of]], records)
+
+
+def _kept(docs: pa.Table, side: pa.Table, length: int, buckets: int, hot: np.ndarray, whole: bool, carried: list[str]) -> pa.Table:
     names, types = ["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", *carried], [*[pa.int64()] * 5, pa.binary(), *(docs.schema.field(c).type for c in carried)]
-    ranges, first, last = covers_of(docs, side)
+    answers, shared = answers_of(side), shared_of(side)
     copies, out, done = _copies(docs, side), [], 0
+    shared = shared if len(answers) else shared[:0]
     for batch in docs.to_batches():
         for piece in pieces(batch, "text"):
             data, offsets = bytes_of(piece.column("text"))
-            cover = np.zeros(len(data) + 1, np.int64)
-            for k in range(piece.num_rows):
-                if copies[done + k] and offsets[k + 1] - offsets[k] >= length:
-                    cover[offsets[k]] += 1
-                    cover[offsets[k + 1]] -= 1
-                elif first[done + k] < last[done + k]:
-                    r = ranges[first[done + k] : last[done + k]]
-                    np.add.at(cover, r[:, 1] + offsets[k], 1)
-                    np.add.at(cover, r[:, 2] + offsets[k], -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            gone = np.zeros(len(data), bool)
+            copied = copies[done : done + piece.num_rows]
+            found = _strings(piece, copied, shared, length, buckets, hot)
+            if found:
+                _, _, sums, begin, end, of, _ = found
+                ids = piece.column("id").to_numpy(zero_copy_only=False)[of]
+                gone = covered(answers, string_hashes(sums[:1], begin, end + length)[0], ids, begin, len(data))
+            gone |= np.repeat(copied & (np.diff(offsets) >= length), np.diff(offsets))
             if whole and gone.any():
                 # A character of several bytes goes only if all of them are covered.
                 head = np.flatnonzero((data & 0xC0) != 0x80)
@@ -301,18 +306,19 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     lows = light.groupBy("digest").agg(F.min("id").alias("low"))
     copies = light.join(lows, "digest").where("id > low").select(chunk.alias("chunk"), F.lit(COPY).alias("kind"), "id", "mark", F.lit(0).cast("long").alias("low"), F.lit(None).cast("binary").alias("blob")).distinct()
 
+    buckets = buckets_for(chunks, COUNTED_CHUNKS)
     by_chunk = docs.groupBy("chunk")
-    counted = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(lambda d, s: _counted(d, s, length, chunks), SIDE)
+    counted = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(lambda d, s: _counted(d, s, length, buckets), SIDE)
     answers = counted.groupBy("id").applyInArrow(answered, SIDE)
     sides = copies.unionByName(answers)
-    packed = by_chunk.cogroup(sides.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, length, chunks, hot), PACKED)
+    packed = by_chunk.cogroup(sides.groupBy("chunk")).applyInArrow(lambda d, s: _packed(d, s, length, buckets, hot), PACKED)
 
     def solving(batches):
-        for table in by_bucket(batches, limit=2 << 20):
-            yield _covered(table, length)
+        for strings in distinct_strings(batches, PUT, TABLE_BYTES):
+            yield from _solved(strings, length, 2 * TABLE_BYTES)
 
-    covers = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solving, SIDE)
+    found = packed.repartition("bucket").sortWithinPartitions("bucket", "packed").mapInArrow(solving, SIDE)
     schema = T._parse_datatype_string("id long, mark long, n_bytes long, n_removed long, n_spans long, kept binary")
     schema = T.StructType([*schema.fields, *(T.StructField(c, docs.schema[c].dataType) for c in carried)])
-    kept = by_chunk.cogroup(copies.unionByName(covers).groupBy("chunk")).applyInArrow(lambda d, s: _kept(d, s, length, whole_characters, carried), schema)
+    kept = by_chunk.cogroup(sides.unionByName(found).groupBy("chunk")).applyInArrow(lambda d, s: _kept(d, s, length, buckets, hot, whole_characters, carried), schema)
     return kept.select(F.nullif("id", null).alias(id), "mark", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(c).alias(n) for c, n in zip(carried, keep, strict=True)))
