@@ -6,8 +6,9 @@ confirmed on the full shingle sets; the links' connected components are the grou
 
 Equal sets are one node from the start. In each bucket all nodes are first held against the smallest one (in one bucket
 of four, another one), which joins most of a group by a row for each member. Buckets whose nodes are then still in
-different components are searched whole, in blocks that bring the sets along: signatures rule out pairs far below the
-threshold (five standard deviations), the sets decide on the rest, and only links leave the block.
+different components are searched whole, in blocks, for pairs of different components: signatures rule out pairs far
+below the threshold (five standard deviations); only nodes with a partner left bring their sets to a second search of
+the block, where the sets decide and only links leave the block.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._arrow import append, bytes_of, mixed, pieces, prefix_hash, span_hash, spans
-from paperloom.llm._tables import stored
+from paperloom.llm._arrow import append, bytes_of, mixed, pieces, prefix_hash, span_hash, spans, whole_groups
+from paperloom.llm._tables import drop, stored
 from paperloom.llm.components import components
 
 PERMUTATIONS = 60
@@ -105,37 +106,8 @@ def _signed(documents: DataFrame, id: str, text: str, words: int) -> DataFrame:
     return append(documents.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", signed, "n long, key binary, bands array<long>, brief binary", ["id"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-
-    def tested(batches):
-        for batch in batches:
-            for part in pieces(batch, "text_a", 1 << 20):
-                sets = []
-                for side in ("text_a", "text_b"):
-                    hashes, rows = shingles(part.column(part.schema.get_field_index(side)), words)
-                    both = np.empty(len(rows), [("row", np.int64), ("hash", np.uint64)])
-                    both["row"], both["hash"] = rows, hashes
-                    order = np.lexsort((hashes, rows))
-                    both = both[order]
-                    new = np.ones(len(both), bool)
-                    new[1:] = (both["row"][1:] != both["row"][:-1]) | (both["hash"][1:] != both["hash"][:-1])
-                    sets.append(both[new])
-                rows, hashes = np.concatenate([s["row"] for s in sets]), np.concatenate([s["hash"] for s in sets])
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
-                twice = (rows[1:] == rows[:-1]) & (hashes[1:] == hashes[:-1])
-                shared = np.bincount(rows[1:][twice], minlength=part.num_rows)
-                total = np.bincount(rows, minlength=part.num_rows) - shared
-                yield part.filter(pa.array((100 * shared >= percent * total) & (shared > 0))).select(["a", "b"])
-
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(tested, "a long, b long")
-
-
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """node and its shingle hashes, sorted, as packed 64-bit numbers."""
+    """node and its distinct shingle hashes, sorted, as packed 64-bit numbers."""
 
     def packed(piece: pa.RecordBatch) -> list:
         hashes, rows = shingles(piece.column("text"), words)
@@ -147,43 +119,122 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return append(texts, "text", packed, "hashes binary", ["id"]).withColumnRenamed("id", "node")
 
 
-def _links_within(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between different components in a bucket (bucket, node, n, component, brief, hashes).
+def _least(percent: int) -> float:
+    """The share of equal signature values below which a pair is ruled out."""
+    share = percent / 100
+    return share - SIGMAS * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
+
+
+def _marks(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _agreeing(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, centre, n) whose signatures don't rule them out."""
+    least = _least(percent)
+
+    def near(batches):
+        for batch in batches:
+            for part in pieces(batch, "x"):
+                yield part.filter(pa.array((_marks(part.column("x")) == _marks(part.column("y"))).mean(1) >= least)).select(["node", "centre", "n"])
+
+    both = pairs.join(briefs.select("node", F.col("brief").alias("x")), "node").join(briefs.select(F.col("node").alias("centre"), F.col("brief").alias("y")), "centre")
+    return both.select("node", "centre", "n", "x", "y").mapInArrow(near, "node long, centre long, n long").distinct()
 
-    All pairs of a bucket are held against each other in blocks: by size, by signature, then on the full sets. Of the
-    links of a node with one component a single one is returned.
+
+def _shared(one: np.ndarray, other: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    return int(np.count_nonzero(one[at] == other))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, centre, n) whose full sets have 100 * intersection >= percent * union, as links (a, b).
+
+    A centre's set travels once for each part of its members, a part having BLOCK_HASHES of them or so.
     """
-    share = percent / 100
-    least = share - SIGMAS * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
-    sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "node", "n", "component", "brief", "hashes", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def linked(table: pa.Table) -> pa.Table:
-        node, n, component, own = (table.column(c).to_numpy() for c in ("node", "n", "component", "own"))
-        mark = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    parts = pairs.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("parts"))
+    pairs = pairs.join(parts, "centre").select("node", "centre", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    members = pairs.join(sets, "node").select("centre", "part", F.lit(1).alias("place"), "node", "hashes")
+    centres = pairs.select("centre", "part").distinct().join(sets.withColumnRenamed("node", "centre"), "centre")
+    rows = members.union(centres.select("centre", "part", F.lit(0).alias("place"), F.col("centre").alias("node"), "hashes"))
+
+    def tested(batches):
+        """Rows come sorted: a part's centre, then its members."""
+        known, mine = None, []
+        for batch in batches:
+            a, b = [], []
+            for centre, part, place, node, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                own = np.frombuffer(packed, np.uint64)
+                if place == 0:
+                    mine = [*mine, own] if known == (centre, part) else [own]
+                    known = (centre, part)
+                    continue
+                for other in mine:
+                    both = _shared(other, own)
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        a.append(node), b.append(centre)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "place").mapInArrow(tested, "a long, b long")
+
+
+def _blocks(places: DataFrame) -> DataFrame:
+    """Places (bucket, node, n, component, brief) in the blocks i <= j of their buckets that hold pairs of different
+    components; `own` is the node's side. What a bucket's largest component has isn't held against itself, so blocks grow
+    with the product of the other nodes and all nodes."""
+    of = places.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    top = of.groupBy("bucket").agg(F.max_by(F.struct("k", "n", "component"), F.struct("k", "component")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    need = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_HASHES))
+    few, many = need(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")), need(F.col("top.k"), F.col("top.n"))
+    top = top.select("bucket", F.col("top.component").alias("largest"), few.alias("few"), many.alias("many"), (need(F.col("k"), F.col("n")) == 1).alias("single"))
+    rows = places.join(top, "bucket")
+    mark, inside = F.xxhash64("node"), F.col("component") == F.col("largest")
+    own = F.when(F.col("single"), 0).when(inside, F.col("few") + F.pmod(mark, "many")).otherwise(F.pmod(mark, "few"))
+    last = F.when(F.col("single"), 0).when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    rows = rows.select("bucket", "node", "n", "component", "brief", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component", "brief")
+
+
+def _searched(rows: DataFrame, percent: int, schema: str, full: bool) -> DataFrame:
+    """Blocks, searched for pairs of different components: by size and by signature; with `full` on the sets too.
+
+    Without `full` the rows that have a partner come back; with it links (a, b), one at most for two components: what a
+    link has joined counts as one component from there on.
+    """
+    least = _least(percent)
+
+    def within(table: pa.Table):
+        node, n, component, own = (table.column(c).to_numpy().copy() for c in ("node", "n", "component", "own"))
+        mark = _marks(table.column("brief"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()] if full else None
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found, keep = [], np.zeros(len(node), bool)
         for x in left:
             y = right[(component[right] != component[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             y = y[node[y] > node[x]] if i == j else y
             y = y[(mark[y] == mark[x]).mean(1) >= least] if len(y) else y
-            met: set[int] = set()
-            for part in (y[k : k + 256] for k in range(0, len(y), 256)):
-                both = np.concatenate([sets[k] for k in part])
-                at = np.minimum(np.searchsorted(sets[x], both), len(sets[x]) - 1)
-                sizes = np.array([len(sets[k]) for k in part])
-                shared = np.add.reduceat((sets[x][at] == both).astype(np.int64), np.cumsum(sizes) - sizes)
-                for k in part[100 * shared >= percent * (sizes + len(sets[x]) - shared)]:
-                    if component[k] not in met:
-                        met.add(component[k])
+            if not full:
+                keep[y] = True
+                keep[x] |= len(y) > 0
+                continue
+            for k in y:
+                if component[k] != component[x]:
+                    both = _shared(sets[x], sets[k])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[k]) - both):
                         found.append((node[x], node[k]))
+                        component[component == component[k]] = component[x]
+        if not full:
+            return table.filter(pa.array(keep))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(linked, "a long, b long").distinct()
+    def search(batches):
+        for table in whole_groups(batches, ["bucket", "i", "j"]):
+            yield from within(table).to_batches()
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(search, schema)
 
 
 def _mixed(places: DataFrame, joined: DataFrame) -> DataFrame:
@@ -211,19 +262,22 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     fits = F.expr(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
     grouped = stored(members.join(centre, "bucket").select("bucket", "node", "n", "centre", "centre_n"), "buckets")
     texts = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    texts = stored(texts.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "texts")
+    # Sets of the nodes that meet others, worked out once.
+    sets = stored(_sets(texts.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
+    briefs = reps.select(F.col("id").alias("node"), "brief")
     # Against the smallest node of each bucket and, in one bucket of four, another one, so that a node meets several.
-    star = grouped.where("node <> centre").where(fits).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    links = stored(_confirmed(star, texts, words, percent), "links")
+    pairs = grouped.where("node <> centre").where(fits).select("node", "centre", "n").distinct()
+    star = stored(_agreeing(pairs, briefs, percent), "star")
+    links = stored(_confirmed(star, sets, percent), "links")
 
     joined = components(links)
-    places = grouped.select("bucket", "node", "n")
-    rows = _mixed(places, joined)
-    rows = rows.join(reps.select(F.col("id").alias("node"), "brief").dropDuplicates(["node"]), "node")
-    rows = rows.join(_sets(texts.dropDuplicates(["id"]), words), "node")
-    more = stored(_links_within(rows, percent), "links")
+    mixed = _mixed(grouped.select("bucket", "node", "n"), joined)
+    block = "bucket long, i int, j int, own int, node long, n long, component long, brief binary"
+    close = stored(_searched(_blocks(mixed.join(briefs, "node")), percent, block, full=False), "close")
+    more = stored(_searched(close.join(sets, "node"), percent, "a long, b long", full=True).distinct(), "links")
 
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    drop(grouped, sets, star, links, joined, mixed, close, more)
     # Equal sets are one node; a document's component is that of its node.
     labels = nodes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("id", "n", "key").join(labels, "key", "left")
