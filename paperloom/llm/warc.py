@@ -112,54 +112,101 @@ def write(rows: DataFrame, folder: str | None = None) -> DataFrame:
     return stored(rows.select("page_id", "url", "html", "refers_to").mapInArrow(archives, "path string, records long"), "manifest")
 
 
+class Member:
+    """One gzip member of an archive, inflated as its bytes are asked for."""
+
+    def __init__(self, stream, held: bytes):
+        self.stream, self.held, self.ready = stream, held, bytearray()
+        self.inflate = zlib.decompressobj(31)
+
+    def more(self) -> bool:
+        """Inflates another piece; False at the end of the member."""
+        while not self.inflate.eof:
+            self.held = self.held or self.stream.read(READ_BYTES)
+            if not self.held:
+                raise ValueError("the archive ends within a record")
+            out = self.inflate.decompress(self.held, READ_BYTES)
+            self.held = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if out:
+                self.ready += out
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes:
+        """Bytes up to a mark, which is passed over."""
+        begin = 0
+        while (at := self.ready.find(mark, begin)) < 0:
+            begin = max(0, len(self.ready) - len(mark) + 1)
+            if not self.more():
+                raise ValueError("a member without a record")
+        out = bytes(self.ready[:at])
+        del self.ready[: at + len(mark)]
+        return out
+
+    def exactly(self, n: int) -> bytes:
+        while len(self.ready) < n:
+            if not self.more():
+                raise ValueError("a record is shorter than its Content-Length")
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
+        return out
+
+
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, in order, holding one record at a time."""
-    held = b""
-    while True:
-        inflate, out = zlib.decompressobj(31), []
-        while not inflate.eof:
-            held = held or stream.read(READ_BYTES)
-            if not held:
-                if out:
-                    raise ValueError("the archive ends within a record")
-                return
-            out.append(inflate.decompress(held))
-            held = inflate.unused_data
-        whole = b"".join(out)
-        head, found, rest = whole.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not found or not lines[0].startswith("WARC/"):
+    """Headers (lower-case names; the last of a name counts) and block of each record of an archive, in order.
+
+    A record begins with its member; Content-Length says where its block ends, and two line ends follow. One record is held
+    at a time, with READ_BYTES of what follows.
+    """
+    held = stream.read(READ_BYTES)
+    while held:
+        member = Member(stream, held)
+        lines = member.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        if not lines[0].startswith("WARC/") or not headers.get("content-length", "").isdigit():
             raise ValueError("a member without a record")
-        headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-        length = int(headers["content-length"])
-        if rest[length:] != b"\r\n\r\n":
-            raise ValueError("a record's length isn't its Content-Length")
-        yield headers, rest[:length]
+        block = member.exactly(int(headers["content-length"]))
+        if member.exactly(4) != b"\r\n\r\n" or member.ready or member.more():
+            raise ValueError("a record is longer than its Content-Length")
+        yield headers, block
+        held = member.held or stream.read(READ_BYTES)
+
+
+def parsed(headers: dict[str, str], block: bytes) -> tuple:
+    """A row of RECORD. Digests in other than SHA-1 are not verified (null), nor is a record without digests."""
+    digest = lambda data: f"sha1:{base32(hashlib.sha1(data).digest())}"
+    number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
+    kind, http = headers.get("warc-type", ""), headers.get("content-type", "").startswith("application/http")
+    payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if http else block
+    said = [(headers.get("warc-block-digest"), block), (headers.get("warc-payload-digest"), payload)]
+    tests = [(d, x) for d, x in said if d and d.startswith("sha1:") and x is not None]
+    right = all(d == digest(x) for d, x in tests) if tests else None
+    named = headers.get("warc-payload-digest") or (digest(payload) if payload is not None else None)
+    size = number(headers.get("x-payload-length")) if payload is None else len(payload)
+    return number(headers.get("x-page-id")), headers.get("warc-target-uri"), kind, number(headers.get("x-refers-to-page-id")), named and named.removeprefix("sha1:"), size, payload, right
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """One row a record of the archives (column path): see RECORD. `payload` is null for revisits; `verified` says whether
-    the block's digest, and a response's payload digest, are those of the headers. Damaged framing raises an error."""
+    """One row a record of the archives (column path; others are ignored): see RECORD.
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    `payload` is null for revisits, and for records that are no HTTP message it is the whole block; a payload without a
+    digest header gets one. `verified` says whether the block's digest, and that of a payload, are those of the headers;
+    null if there are none. A revisit's payload is verified by `checked`. Damaged framing raises an error.
+    """
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         names = [c.split()[0] for c in RECORD.split(", ")]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        number = lambda x: None if x is None else int(x)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(name, compression=None) as stream:
-                    for h, block in records(stream):
-                        digest = h["warc-payload-digest"].removeprefix("sha1:")
-                        payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
-                        right = h["warc-block-digest"] == f"sha1:{base32(hashlib.sha1(block).digest())}"
-                        right = right and (payload is None or base32(hashlib.sha1(payload).digest()) == digest)
-                        size = number(h.get("x-payload-length")) if payload is None else len(payload)
-                        rows.append((number(h.get("x-page-id")), h.get("warc-target-uri"), h["warc-type"], number(h.get("x-refers-to-page-id")), digest, size, payload, right))
+                    for headers, block in records(stream):
+                        rows.append(parsed(headers, block))
                         held += len(block) + 200
                         if held > 4 << 20:
                             yield batch_of(rows)
@@ -168,4 +215,14 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield batch_of(rows)
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(parts).mapInArrow(parsed, RECORD)
+    return manifest.select("path").repartition(parts).mapInArrow(rows_of, RECORD)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """Records without their payloads. A revisit is verified if its own digests are, and if a verified response of the page
+    that it refers to has the payload digest and length that it states."""
+    rows = stored(records.drop("payload"), "records")
+    responses = rows.where("record_type = 'response' AND verified").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("known")).distinct()
+    joined = rows.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    sure = F.when(F.col("record_type") == "revisit", F.col("verified") & F.coalesce("known", F.lit(False))).otherwise(F.col("verified"))
+    return joined.withColumn("verified", sure).select(*rows.columns)
