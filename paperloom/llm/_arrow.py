@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of text that one vectorized pass holds; a single longer text is a pass of its own.
-PIECE_BYTES = 1 << 20
+#: Bytes of text that one vectorized pass holds, with a few dozen arrays of eight times as much; a single longer text is a
+#: pass of its own.
+PIECE_BYTES = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,6 +52,31 @@ def pieces(batch: pa.RecordBatch | pa.Table, column: str, limit: int = PIECE_BYT
         lo = hi
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each run of rows with equal `keys` (numbers) as one table, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        if held and last != tuple(c[0] for c in columns):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def append(df: DataFrame, text: str, func: Callable[[pa.RecordBatch], list], fields: str, keep: list[str] | None = None) -> DataFrame:
     """`keep` (all columns if None) followed by `fields`, which `func` computes for each piece of a batch.
 
@@ -95,7 +121,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             column = np.full(size, base, np.uint64)
             column[0] = 1
             made.append(np.multiply.accumulate(column))
-        if size > 16 * PIECE_BYTES:
+        if size > PIECE_BYTES + 1:  # not kept: a worker outlives its longest text
             return made[0][:n], made[1][:n]
         _powers[:] = made
     return _powers[0][:n], _powers[1][:n]

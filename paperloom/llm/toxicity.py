@@ -11,13 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm._arrow import append, bytes_of, pieces, prefix_hash, span_hash, spans
+from paperloom.llm._tables import stored
 
 #: Labelled documents that a fit reads at most, taken in the order of a hash of their id.
 SAMPLE_ROWS = 8_000
+#: Bytes of text that they have together at most.
+SAMPLE_BYTES = 64 << 20
 #: log2 of the number of word buckets.
 BITS = 18
 
@@ -107,12 +110,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", steps: in
     return Model(weights, float(b))
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of at most `rows` documents that `labels` marks and that are not held out."""
+def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> DataFrame:
+    """text and label of documents that `labels` marks and that are not held out, in the order of a hash of their id: at most
+    `rows` of them, and of these as many as have `limit` bytes of text together. A document whose id repeats counts once, with
+    its smallest text; one with several labels is toxic if one of them says so. Labels without an id or a mark are ignored.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = stored(texts, "labelled")
+    # The running sum is over `rows` numbers at most.
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    fits = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("upto") <= limit)
+    return texts.join(F.broadcast(fits.select("doc_id")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
 
 def held_out(doc_id: str):
