@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,7 @@ class Bpe:
                 ranked.append(r)
                 ids.append(vocabulary[token])
         self.ids = np.array(ids, "<u4")
+        self.rank = {(r[:-1], True) if len(r) > 1 and r.endswith(END) else (r, False): i for i, r in enumerate(ranked)} if self.end else {}
         self.coder = tiktoken.Encoding("fragments", pat_str=r"[^\x00\x01]+\x00?" if self.end else pattern, mergeable_ranks={r: i for i, r in enumerate(ranked)}, special_tokens={})
         self.joined = bool(spec["decoder"])
         self.bytes = {i: bytes(to_byte[c] for c in t) for i, t in self.tokens.items() if self.joined and t not in self.special}
@@ -108,16 +109,51 @@ class Bpe:
         """Ids of a text without special tokens."""
         if not text:
             return b""
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)) or self.end and ("\x00" in text or "\x01" in text):
-            # Code points that this Python doesn't know yet, and the marks that are used here: left to the library.
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.end:
-            if self.compose and not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            if self.lower:
-                text = text.replace("Σ", "σ").lower()
-            text = self.fragments("\0".join([*self.find(text), ""]))
-        return self.ids[self.coder.encode_to_numpy(text, disallowed_special=())].tobytes()
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return b"".join(self.known(t) if known else self.unknown(t) for known, t in self.parted(text))
+        return self.known(text)
+
+    def parted(self, text: str):
+        """Pieces of a text by turns without and with code points that this Python doesn't know yet, cut at white space,
+        which no token spans in vocabularies with word ends; whole for others."""
+        has = lambda t: any(unicodedata.category(c) == "Cn" for c in set(t))
+        if not self.end:
+            return [(False, text)]
+        words = regex.split(r"\p{White_Space}+", text)
+        return [(known, " ".join(group)) for known, group in groupby(words, lambda w: not has(w))]
+
+    def unknown(self, text: str) -> bytes:
+        """By the library, which classes new code points by its own tables."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def known(self, text: str) -> bytes:
+        if not self.end:
+            return self.ids[self.coder.encode_to_numpy(text, disallowed_special=())].tobytes()
+        if self.compose and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.lower:
+            text = text.replace("Σ", "σ").lower()
+        words = self.find(text)
+        if "\x00" in text or "\x01" in text:
+            # Words that have the marks used below are merged one by one.
+            return b"".join(self.merged(w.encode()) if "\x00" in w or "\x01" in w else self.marked([w]) for w in words)
+        return self.marked(words)
+
+    def marked(self, words: list[str]) -> bytes:
+        return self.ids[self.coder.encode_to_numpy(self.fragments("\0".join([*words, ""])), disallowed_special=())].tobytes()
+
+    def merged(self, word: bytes) -> bytes:
+        """Ids of one word with its end: the merge of least rank first, the leftmost of equal ones."""
+        parts = [word[i : i + 1] for i in range(len(word))]
+        end = [False] * (len(parts) - 1) + [True]
+        table = self.rank
+        while len(parts) > 1:
+            ranks = [table.get((parts[i] + parts[i + 1], end[i + 1]), len(table)) for i in range(len(parts) - 1)]
+            i = min(range(len(ranks)), key=ranks.__getitem__)
+            if ranks[i] == len(table):
+                break
+            parts[i : i + 2], end[i : i + 2] = [parts[i] + parts[i + 1]], [end[i + 1]]
+        return self.ids[[table[p, e] for p, e in zip(parts, end, strict=True)]].tobytes()
 
     def fragments(self, words: str) -> str:
         """Puts a mark between bytes that no token has side by side."""
@@ -133,6 +169,13 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, numbers))
 
 
+def named(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Bpe:
     return Bpe(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, topk, toxicity, urls, warc
 
 
@@ -70,11 +69,11 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.named("byte_bpe_50k.json"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = corpus_pipeline.vocabulary("word_bpe_49k.json")
+    path = bpe.named("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     decoded = bpe.decode(encoded, path)
     return decoded.select(
@@ -91,7 +90,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(warc.assigned(table(spark, sf_dir, "pages")))
-    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return warc.checked(warc.read(manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +139,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,9 +73,10 @@ def log_odds(text: Column, model: tuple[int, tuple[int, ...]]) -> Column:
     """Bias and weights of all three-character n-grams of `text`, in units of 1/SCALE."""
     bias, weights = model
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
-    code = lambda i: F.ascii(text.substr(i, F.lit(1)))
-    gram = lambda i: (code(i) * FACTORS[0] + code(i + 1) * FACTORS[1] + code(i + 2) * FACTORS[2]) % BUCKETS
-    total = F.aggregate(F.sequence(F.lit(1), F.length(text) - 2), F.lit(bias), lambda acc, i: acc + F.get(table, gram(i)))
+    gram = lambda c, i: (F.get(c, i) * FACTORS[0] + F.get(c, i + 1) * FACTORS[1] + F.get(c, i + 2) * FACTORS[2]) % BUCKETS
+    # Code points as an array, named by a one-element transform so that they are taken apart once.
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    total = F.get(F.transform(F.array(codes), lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 3), F.lit(bias), lambda acc, i: acc + F.get(table, gram(c, i)))), F.lit(0))
     return F.when(F.length(text) < 3, F.lit(bias)).otherwise(total)
 
 

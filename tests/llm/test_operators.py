@@ -184,7 +184,7 @@ def test_maximal_groups_are_maximal():
     """Each group is the longest common extension of its members, and has all of them."""
     strings = [b"abcdeXYZabcdef", b"QQabcdeXYZab", b"zzabcdezz"]
     data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
-    string, place, size, smallest = suffix.maximal_groups(data, offsets, np.array([3, 1, 2]), 4)
+    string, place, size, smallest = suffix.maximal_groups(data, offsets, np.array([3, 1, 2]), np.zeros(3, bool), 4)
     found = {(strings[s][p : p + z], int(d)) for s, p, z, d in zip(string, place, size, smallest, strict=True)}
     assert (b"abcdeXYZab", 1) in found and (b"abcde", 1) in found
 
@@ -200,7 +200,7 @@ def test_whole_characters(spark):
 def test_bpe_round_trip(spark, docs, name):
     from tokenizers import Tokenizer
 
-    path = corpus_pipeline.vocabulary(name)
+    path = bpe.named(name)
     library = Tokenizer.from_file(path)
     rng = random.Random(2)
     odd = ["".join(rng.choice(["a", "Z", "é", "Σ", "İ", "ß", " ", "\n", "'s", "1", "!?", "<|endoftext|>", "漢", "🙂", "\x1c", "\x00", "\x01", "qz"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
@@ -233,7 +233,7 @@ def check_packing(got, table, path, capacity=2048):
 
 
 def test_packing(docs):
-    path = corpus_pipeline.vocabulary("byte_bpe_50k.json")
+    path = bpe.named("byte_bpe_50k.json")
     got = packing.pack(docs, path).collect()
     assert check_packing(got, texts(), path) < 0.05
     from tokenizers import Tokenizer
@@ -396,7 +396,7 @@ def test_toxicity(spark, empty):
 
 
 def test_empty_tables(empty):
-    path = corpus_pipeline.vocabulary("byte_bpe_50k.json")
+    path = bpe.named("byte_bpe_50k.json")
     assert neardup.near_duplicates(empty).count() == 0
     assert substring.remove_repeats(empty).count() == 0
     assert suffix.remove_repeats(empty).count() == 0
