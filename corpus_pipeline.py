@@ -6,20 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import neardup, packing, suffix, toxicity
-from paperloom.llm._tables import stored
+from paperloom.llm import bpe, neardup, packing, suffix, toxicity
+from paperloom.llm._tables import drop, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score from which a document is rejected.
 TOXIC = 0.3
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC. The model learns from labelled documents that are not held out."""
     model = toxicity.fit(toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -41,7 +35,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 2048 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, bpe.named("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("repeats", unrepeated), ("packing", packed)]
@@ -52,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
