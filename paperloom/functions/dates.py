@@ -51,3 +51,21 @@ def horizon(due: Column, today: Column) -> Column:
 def task_key(document_id: Column, kind: Column, day: Column) -> Column:
     name = F.regexp_replace(F.replace(F.lower(kind), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
     return F.concat_ws(":", F.lit("d"), document_id.cast("string"), name, F.date_format(day, "yyyyMMdd"))
+
+
+def stable_hash(text: Column) -> Column:
+    """64-bit FNV-1a of the UTF-8 bytes, in base 36. The hash is kept as two halves of 32 bits, which never overflow."""
+    low32, times = F.lit(0xFFFFFFFF), 0x1B3  # the prime is 2^40 + times
+
+    def step(h: Column, byte: Column) -> Column:
+        low = h["low"].bitwiseXOR(byte)
+        product = low * times
+        high = h["high"] * times + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(low32).alias("high"), product.bitwiseAND(low32).alias("low"))
+
+    code = F.hex(F.encode(text, "UTF-8"))
+    bytes = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("long"))
+    begin = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    halves = F.aggregate(F.when(F.length(code) > 0, bytes).otherwise(F.array().cast("array<bigint>")), begin, step)
+    joined = F.get(F.transform(F.array(halves), lambda h: F.concat(F.hex(h["high"]), F.lpad(F.hex(h["low"]), 8, "0"))), F.lit(0))
+    return F.lower(F.conv(joined, 16, 36))

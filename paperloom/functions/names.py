@@ -25,6 +25,8 @@ COMMON_BEGINNINGS = "the a an and for new old one two st dr mr ms mrs san los la
 #: Generation marks.
 GENERATIONS = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx jr sr junior senior 2nd 3rd 4th 5th".split()
 SIMILAR, DISTINGUISHING, MERGE = 0.92, 0.82, 0.90
+#: A weak likeness decides only among so many names of the kind at least, and where so many at most share the last word.
+POPULATION, RARE = 12, 3
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -95,21 +97,34 @@ def initials_disagree(a: Column, b: Column) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
 
 
-def is_subsequence(shorter: Column, longer: Column) -> Column:
-    """Whether all words of the shorter name occur in the longer one, in order."""
+def equivalent(x: Column, y: Column, nicknames: Column | None) -> Column:
+    """Whether two words are equal or one is a short form of the other, by a map from short forms to arrays of full names."""
+    if nicknames is None:
+        return x == y
+    stands = lambda short, full: F.coalesce(F.array_contains(F.try_element_at(nicknames, short), full), F.lit(False))
+    return (x == y) | stands(x, y) | stands(y, x)
+
+
+def is_subsequence(shorter: Column, longer: Column, nicknames: Column | None = None) -> Column:
+    """Whether all words of the shorter name, or what they are short for, occur in the longer one, in order."""
     s = words(shorter)
-    found = F.aggregate(words(longer), F.lit(0), lambda i, w: i + F.when(F.coalesce(F.get(s, i) == w, F.lit(False)), 1).otherwise(0))
+    found = F.aggregate(words(longer), F.lit(0), lambda i, w: i + F.when(F.coalesce(equivalent(F.get(s, i), w, nicknames), F.lit(False)), 1).otherwise(0))
     return found == F.size(s)
 
 
-def initials_match(a: Column, b: Column) -> Column:
-    """Equal word counts of two at least; each pair is equal or one is the other's initial; one initial at least."""
+def initials_match(a: Column, b: Column, nicknames: Column | None = None) -> Column:
+    """Equal word counts of two at least; each pair is equivalent or one is the other's initial; one initial at least."""
     pairs = F.arrays_zip(words(a).alias("x"), words(b).alias("y"))
-    initial = lambda p: (p["x"] != p["y"]) & (((F.length(p["x"]) == 1) & p["y"].startswith(p["x"])) | ((F.length(p["y"]) == 1) & p["x"].startswith(p["y"])))
-    fits = F.forall(pairs, lambda p: (p["x"] == p["y"]) | initial(p)) & F.exists(pairs, initial)
+    same = lambda p: equivalent(p["x"], p["y"], nicknames)
+    initial = lambda p: ~same(p) & (((F.length(p["x"]) == 1) & p["y"].startswith(p["x"])) | ((F.length(p["y"]) == 1) & p["x"].startswith(p["y"])))
+    fits = F.forall(pairs, lambda p: same(p) | initial(p)) & F.exists(pairs, initial)
     return F.when((F.size(words(a)) == F.size(words(b))) & (F.size(words(a)) >= 2), fits).otherwise(F.lit(False))
 
 
+def is_abbreviated(name: Column) -> Column:
+    return F.exists(words(name), lambda w: F.length(w) == 1)
+
+
 def is_typo(a: Column, b: Column) -> Column:
     """One word of at least two differs, by one edit, and the longer spelling has four letters at least."""
     pairs = F.filter(F.arrays_zip(words(a).alias("x"), words(b).alias("y")), lambda p: p["x"] != p["y"])
@@ -190,11 +205,11 @@ def distinguishing_similarity(a: Column, b: Column) -> Column:
     return scores(a, b)
 
 
-def match_kind(a: Column, b: Column, similar: Column, distinct: Column, nickname: Column | None = None) -> Column:
+def match_kind(a: Column, b: Column, similar: Column, distinct: Column, nicknames: Column | None = None) -> Column:
     """The first rung of the ladder on which two normalized names meet, or null.
 
-    `similar` and `distinct` are the likenesses of the two functions above; `nickname` says whether they match when short
-    forms stand for full names (a table that the caller brings).
+    `similar` and `distinct` are the likenesses of the two functions above; `nicknames` is a map from short forms to arrays
+    of the names that they stand for, which the caller brings.
     """
     longer = F.when(F.size(words(a)) >= F.size(words(b)), a).otherwise(b)
     shorter = F.when(F.size(words(a)) >= F.size(words(b)), b).otherwise(a)
@@ -205,8 +220,8 @@ def match_kind(a: Column, b: Column, similar: Column, distinct: Column, nickname
         .when(generations_differ(a, b) | numbers_contradict(a, b), F.lit(None))
         .when(lone, F.when((F.length(shorter) >= 3) & F.array_contains(words(longer), shorter), "surname"))
         .when(is_subsequence(shorter, longer), "subsequence")
-        .when(initials_match(a, b), "initials")
-        .when(F.lit(False) if nickname is None else nickname, "nickname")
+        .when(initials_match(a, b, nicknames), "initials")
+        .when(F.lit(False) if nicknames is None else is_subsequence(shorter, longer, nicknames), "nickname")
         .when(is_typo(a, b), "typo")
         .when((similar >= SIMILAR) & (distinct >= DISTINGUISHING), "similar")
     )

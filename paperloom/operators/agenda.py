@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
 from paperloom.functions import text as T
+from paperloom.session import checkpointed
 
 #: Pairs of dates of one document whose order is fixed by their meaning, and what to say if it isn't kept.
 MUST_PRECEDE = [
@@ -33,6 +35,18 @@ FINDINGS = {
     "countMismatch": ["lists only", "but only", "count", "listed but"],
     "contradiction": ["two different", "contradict", "stated as", "conflict", "but elsewhere", "inconsistent with"],
 }
+#: What a reporter may call a kind of finding, lower case with underscores, and the kind that it means.
+LABELS = {
+    "arithmetic": ["arithmetic", "math", "total_mismatch", "sum_mismatch"],
+    "countMismatch": ["count", "count_mismatch"],
+    "contradiction": ["contradiction", "inconsistency", "conflict"],
+    "duplicate": ["duplicate", "duplicate_row", "duplicate_id"],
+    "dateOrder": ["date_order", "dateorder"],
+    "impossibleDate": ["impossible_date", "invalid_date"],
+    "implausibleDate": ["implausible_date"],
+    "typo": ["typo", "misspelling", "spelling"],
+    "inconsistentFormat": ["inconsistent_format", "format", "formatting", "type_mismatch", "inconsistent_type", "unit_mismatch"],
+}
 PER_DOCUMENT = 6
 
 
@@ -60,8 +74,28 @@ def finding_kind(detail: Column) -> Column:
     return out
 
 
+def labelled_kind(label: Column) -> Column:
+    """The kind that a reporter's own word for it means, or other."""
+    word, out = F.replace(F.lower(label), F.lit(" "), F.lit("_")), F.when(F.lit(False), "")
+    for kind, words in LABELS.items():
+        out = out.when(word.isin(words), kind)
+    return out.otherwise("other")
+
+
+def _short(number: Column) -> Column:
+    """A decimal number with six significant digits, as printf's %g writes it."""
+    x = number.cast("double")
+    size = F.floor(F.log10(F.greatest(x, F.lit(1e-300))))
+    mantissa = lambda t: F.regexp_replace(t, r"\.?0+(?=e|$)", "")
+    far = mantissa(F.format_string("%.5e", x))
+    # Rounded to five places behind the first digit by way of its scientific form.
+    near = F.regexp_replace(F.format_string("%.5e", x).cast("double").cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
+    return F.when(x == 0, "0").when((size < -4) | (size >= 6), far).otherwise(near)
+
+
 def figures(text: Column) -> Column:
-    return F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    return F.transform(found, lambda n: F.when(n.contains("."), _short(n)).otherwise(n))
 
 
 def refutes_itself(detail: Column) -> Column:
@@ -79,14 +113,33 @@ def signature(detail: Column) -> Column:
 
 
 def vetted(reported: DataFrame) -> DataFrame:
-    """Reported findings (document_id, position, detail) worth showing: of 8 to 300 characters, not self-refuting, the
-    first of each signature, and PER_DOCUMENT of a document at most."""
+    """Reported findings (document_id, position, detail and, if there is one, label) worth showing.
+
+    Those labelled impossible_date come first, all of them. Of the others those of 8 to 300 characters that don't refute
+    themselves, the first of each signature, and PER_DOCUMENT of a document at most. What the detail says decides on the
+    kind, then the label.
+    """
+    d = F.trim(F.regexp_replace("detail", r"^\s+|\s+$", ""))
+    label = F.col("label") if "label" in reported.columns else F.lit(None).cast("string")
+    rows = reported.select("document_id", "position", "detail", label.alias("label")).withColumn("sure", F.coalesce(F.col("label") == "impossible_date", F.lit(False)))
+    sure = rows.where("sure").select("document_id", "position", F.lit("impossibleDate").alias("kind"), "detail", "sure")
+    rest = rows.where("NOT sure").withColumn("detail", d)
     d = F.col("detail")
-    rows = reported.where(F.length(d).between(8, 300) & ~refutes_itself(d)).withColumn("signature", signature(d))
+    rest = rest.where(F.length(d).between(8, 300) & ~refutes_itself(d)).withColumn("signature", signature(d))
     first = F.row_number().over(Window.partitionBy("document_id", "signature").orderBy("position"))
-    rows = rows.withColumn("first", first).where("first = 1")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("position"))).where(F.col("place") <= PER_DOCUMENT)
-    return rows.select("document_id", "place", F.coalesce(finding_kind(d), F.lit("other")).alias("kind"), "detail")
+    rest = rest.withColumn("first", first).where("first = 1")
+    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("position"))).where(F.col("place") <= PER_DOCUMENT)
+    rest = rest.select("document_id", "position", F.coalesce(finding_kind(d), labelled_kind(F.col("label"))).alias("kind"), "detail", "sure")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("sure"), "position"))
+    return sure.union(rest).select("document_id", place.alias("place"), "kind", "detail")
+
+
+def flagged(findings: DataFrame, limit: int = 200) -> DataFrame:
+    """document_id, findings (how many) and details of the documents with most findings (document_id, detail), most first,
+    ties by id; `limit` documents at most."""
+    top = findings.groupBy("document_id").agg(F.count(F.lit(1)).alias("findings")).orderBy(F.desc("findings"), "document_id").limit(limit)
+    details = findings.join(F.broadcast(top.select("document_id")), "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list("detail")).alias("details"))
+    return top.join(details, "document_id").orderBy(F.desc("findings"), "document_id")
 
 
 def derived_deadlines(dates: DataFrame, notices: DataFrame) -> DataFrame:
@@ -101,8 +154,10 @@ def commitments(dates: DataFrame, findings: DataFrame, states: DataFrame, now: s
     today = F.lit(now).cast("date")
     inside = F.col("date").between(F.date_sub(today, back), F.date_add(today, ahead)) & ~D.is_record_keeping(F.col("kind"))
     dated = dates.where(inside).select(D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"), "document_id", "title", F.col("date").alias("due"), D.commitment_kind(F.col("kind")).alias("kind"))
-    checks = findings.select(F.concat_ws(":", F.lit("a"), F.col("document_id").cast("string"), "kind", F.substring(F.sha2("detail", 256), 1, 12)).alias("key"), "document_id", F.col("detail").alias("title"), F.lit(None).cast("date").alias("due"), F.lit("check").alias("kind"))
-    items = dated.union(checks).dropDuplicates(["key", "title"]).join(states, "key", "left")
+    checks = findings.select(F.concat_ws(":", F.lit("a"), F.col("document_id").cast("string"), "kind", D.stable_hash(F.col("detail"))).alias("key"), "document_id", F.col("detail").alias("title"), F.lit(None).cast("date").alias("due"), F.lit("check").alias("kind"))
+    # Of dates with one key the first title in the alphabet stays.
+    kept = dated.union(checks).groupBy("key", "document_id", "due", "kind").agg(F.min("title").alias("title")).select("key", "document_id", "title", "due", "kind")
+    items = kept.join(states, "key", "left")
     if not settled:
         items = items.where(F.col("done_at").isNull() & (F.col("snoozed_until").isNull() | (F.col("snoozed_until") <= today)))
     items = items.withColumn("horizon", D.horizon(F.col("due"), today))
@@ -126,13 +181,18 @@ def pruned(states: DataFrame, live: DataFrame) -> DataFrame:
 def profile(facts: DataFrame) -> DataFrame:
     """Of each subject and predicate the current value and the history of other ones, newest first.
 
-    Facts have subject_id, predicate, value, since, until, asserted_on. Standing facts go before ended ones.
+    Facts have id, subject_id, predicate, value, since, until, asserted_on. Standing facts go before ended ones, later
+    ones before earlier, undated ones last, ties by id. Values that differ in case only are one. `effective` is when the
+    current value began, and when others ended or, if that isn't known, began.
     """
     effective = F.coalesce("since", "asserted_on")
-    rows = facts.withColumn("current", F.col("until").isNull()).withColumn("effective", effective)
-    first = rows.groupBy("subject_id", "predicate", F.lower("value").alias("low")).agg(F.max_by(F.struct("value", "current", "effective"), F.struct("current", F.coalesce("effective", F.lit("0001-01-01").cast("date")), "value")).alias("f"))
-    order = Window.partitionBy("subject_id", "predicate").orderBy(F.desc("f.current"), F.col("f.effective").desc_nulls_last(), F.col("f.value"))
-    return first.withColumn("place", F.row_number().over(order)).select("subject_id", "predicate", F.col("f.value").alias("value"), F.col("f.effective").alias("effective"), "place", (F.col("place") == 1).alias("is_current"))
+    rows = facts.withColumn("standing", F.col("until").isNull()).withColumn("began", effective)
+    rank = F.struct(F.col("standing"), F.coalesce("began", F.lit("0001-01-01").cast("date")).alias("began"), (-F.col("id")).alias("id"))
+    first = rows.groupBy("subject_id", "predicate", F.lower("value").alias("low")).agg(F.max_by(F.struct("value", "until", "began"), rank).alias("f"), F.max(rank).alias("rank"))
+    order = Window.partitionBy("subject_id", "predicate").orderBy(F.desc("rank"))
+    placed = first.withColumn("place", F.row_number().over(order))
+    now = F.col("place") == 1
+    return placed.select("subject_id", "predicate", F.col("f.value").alias("value"), F.when(now, F.col("f.began")).otherwise(F.coalesce("f.until", "f.began")).alias("effective"), "place", now.alias("is_current"))
 
 
 def admitted(proposed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -147,21 +207,71 @@ def admitted(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     return proposed.join(texts, "document_id", "left").select("document_id", "subject_id", "predicate", "object", reason.alias("refused"))
 
 
+NUMBERED = r"(?s)^(.*?)( \(\d+\))*(\.[^.]*)?$"
+
+
 def unique_names(names: DataFrame) -> DataFrame:
-    """Names (id, name) that repeat get (2), (3), ... before the extension, case aside, in order of id.
+    """Names (id, name) in order of id, case aside: one that an earlier row has taken gets the first of (2), (3), ... before
+    its extension that none has. Rows with a null name or id are left out.
 
-    A number whose name is taken by another row as it stands is left out, so results never clash with arrivals.
+    Names can only clash within a family, which differ by such numbers at their end. Families that arrive without
+    numbers, as nearly all do, are numbered by rank, in ranges of ids, so that a name that many rows have is no single
+    task's work. Others are walked in order, each by one task that holds its numbered arrivals.
     """
+    lower = F.lower("name")
+    family = F.concat_ws("\n", F.regexp_extract(lower, NUMBERED, 1), F.regexp_extract(lower, NUMBERED, 3))
+    rows = names.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name", family.alias("family"), (F.regexp_extract(lower, NUMBERED, 2) != "").alias("odd"))
+    odd = rows.where("odd").select("family").distinct()
+    plain, rest = rows.join(odd, "family", "left_anti"), rows.join(odd, "family", "left_semi")
     stem, ext = F.regexp_replace("name", r"(\.[^.]*)$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    place = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))
-    rows = names.select("id", "name", place.alias("place"), stem.alias("stem"), ext.alias("ext"))
-    return rows.select("id", F.when(F.col("place") == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), F.col("place").cast("string"), F.lit(")"), "ext")).alias("unique_name"))
+    again = F.concat(stem, F.lit(" ("), F.col("place").cast("string"), F.lit(")"), ext)
+    plain = ranked(plain.select("id", "name", "family"), "family", "id").select("id", F.when(F.col("place") == 1, F.col("name")).otherwise(again).alias("unique_name"))
+    walked = rest.select("family", "id", "name").repartition("family").sortWithinPartitions("family", "id").mapInArrow(_walked, f"id {names.schema['id'].dataType.simpleString()}, unique_name string")
+    return plain.union(walked)
+
+
+def _walked(batches):
+    family, taken, next_number = None, set(), {}
+    for batch in batches:
+        out = []
+        for f, name in zip(batch.column("family").to_pylist(), batch.column("name").to_pylist(), strict=True):
+            if f != family:
+                family, taken, next_number = f, set(), {}
+            if name.lower() in taken:
+                dot = name.rfind(".")
+                stem, ext = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
+                key, k = name.lower(), next_number.get(name.lower(), 2)
+                while f"{stem} ({k}){ext}".lower() in taken:
+                    k += 1
+                # Lower numbers stay taken, so the next search goes on from here.
+                next_number[key], name = k + 1, f"{stem} ({k}){ext}"
+            taken.add(name.lower())
+            out.append(name)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "unique_name"])
+
+
+def ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds place, from 1: a row's rank by `order` within its `key`. Ranges of (key, order) are counted, so rows of one key
+    can be in many tasks."""
+    dealt = checkpointed(rows.repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.join(counts.withColumn("__before", before), [key, "__range"])
+    within = F.row_number().over(Window.partitionBy(key, "__range").orderBy(order))
+    return dealt.select(*rows.columns, (within + F.col("__before")).alias("place"))
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """At most `limit` characters, cut at the last space among them if there is one."""
+    head = F.substring(text, 1, limit)
+    cut = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head)
+    return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(cut, r"^[ .,;:\-—]+|[ .,;:\-—]+$", ""))
 
 
 def proposed_name(day: Column, subject: Column, party: Column, extension: str) -> Column:
     """`[date ]subject[ — party].ext`: the party only if neither holds the other, the subject of 96 characters at most."""
     s = T.squeezed(F.regexp_replace(subject, r"[/\\:]", " "))
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.lit(95)))
-    p = F.substring(T.squeezed(party), 1, 44)
+    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(truncated(s, 96), F.lit(2), F.lit(95)))
+    p = truncated(T.squeezed(party), 44)
     apart = p.isNotNull() & ~F.lower(s).contains(F.lower(p)) & ~F.lower(p).contains(F.lower(s))
     return F.concat(F.coalesce(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" ")), F.lit("")), s, F.when(apart, F.concat(F.lit(" — "), p)).otherwise(""), F.lit(extension))

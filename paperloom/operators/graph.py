@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -12,7 +16,7 @@ from paperloom.session import checkpointed
 HUB_SHARE, HUB_SHARE_LARGE, LARGE, HUB_RECORDS, HUB_REACH = 0.6, 0.35, 20, 5, 3
 BREADTH = 5
 OWNER_RECORDS, OWNER_SHARE, OWNER_MARGIN = 8, 0.30, 1.25
-ALIKE, TEXT_WEIGHT = 0.14, 400
+ALIKE, STRONG, TEXT_WEIGHT = 0.14, 0.30, 400
 HOLDING = "Everything else"
 
 
@@ -54,63 +58,107 @@ def binding(links: DataFrame, records: DataFrame) -> DataFrame:
 
 def ties(links: DataFrame, records: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Pairs of records a < b that share entities, with the weight of all that they share; and, given the records' texts
-    (id, text), pairs of alike ones, whose cosine adds to the weight as TEXT_WEIGHT parts.
+    (id, text), pairs of alike ones, whose cosine adds to the weight as TEXT_WEIGHT parts. `binds` says whether a pair is a
+    reason to be together on its own: it shares an entity, or its texts are very alike (STRONG).
 
-    Records of more than BREADTH entities bind nothing, and neither do hubs: what the join multiplies is bounded by the
-    reach of the rest, whose largest are split by Spark's skew handling.
+    Records of more than BREADTH entities bind nothing by entities, and neither do hubs: what the join multiplies is
+    bounded by the reach of the rest, whose largest are split by Spark's skew handling.
     """
     pairs = links.select("record_id", "entity_id").distinct()
+    bound = pairs.join(binding(links, records), "entity_id")
     broad = pairs.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= BREADTH).select("record_id")
-    rows = pairs.join(broad, "record_id").join(binding(links, records), "entity_id")
+    rows = bound.join(broad, "record_id")
     a = rows.select("entity_id", F.col("record_id").alias("a"), F.greatest(F.lit(1), F.expr("1000 div reach")).alias("weight"))
-    tied = a.join(rows.select("entity_id", F.col("record_id").alias("b")), "entity_id").where("a < b").select("a", "b", "weight")
+    tied = a.join(rows.select("entity_id", F.col("record_id").alias("b")), "entity_id").where("a < b").select("a", "b", "weight", F.lit(True).alias("binds"))
     if texts is not None:
-        tied = tied.union(alike(texts).select("a", "b", F.floor(F.col("cosine") * TEXT_WEIGHT).alias("weight")).where("weight > 0"))
-    return tied.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+        near = alike(texts).select("a", "b", F.floor(F.round("cosine", 6) * TEXT_WEIGHT).alias("weight"), (F.round("cosine", 6) >= STRONG).alias("strong")).where("weight > 0")
+        # Broad records share entities too, though these give no weight.
+        of = bound.groupBy("record_id").agg(F.collect_set("entity_id").alias("e"))
+        near = near.join(of.select(F.col("record_id").alias("a"), F.col("e").alias("ea")), "a", "left").join(of.select(F.col("record_id").alias("b"), F.col("e").alias("eb")), "b", "left")
+        shares = F.coalesce(F.arrays_overlap("ea", "eb"), F.lit(False))
+        tied = tied.union(near.select("a", "b", "weight", (F.col("strong") | shares).alias("binds")))
+    return tied.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("binds").alias("binds"))
 
 
 def alike(texts: DataFrame, least: float = ALIKE, considered: int | None = None) -> DataFrame:
     """Pairs a < b of texts (id, text) with the cosine of their weighted terms, where it reaches `least`. All words of a text
     count, or those of its first `considered` characters.
 
-    Terms of one text or of more than half of them count for nothing.
+    Terms of one text or of more than half of them count for nothing. Pairs are made by the first term that two texts have
+    in common, rarest first: the terms from there on must have a length of `least` at least in both, so the frequent terms
+    at the end of a text, which would make most pairs, make none. No pair is lost.
     """
     counts = texts.select("id", F.explode(T.terms(F.col("text"), considered)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = texts.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where("df > 1 AND df / n <= 0.5")
     weighted = counts.join(df, "term").withColumn("w", F.col("tf") * F.log(F.col("n") / F.col("df")))
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = unit.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), unit.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    # Terms of a text in order of df, then of the term: the same order in all texts.
+    item = F.struct("df", "term", "w")
+    vectors = weighted.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = F.transform("t", lambda x: F.struct(F.xxhash64(x["term"]).alias("key"), (x["w"] / F.col("norm")).alias("w")))
+    vectors = checkpointed(vectors.select("id", F.transform(unit, lambda x: x["key"]).alias("keys"), F.transform(unit, lambda x: x["w"]).alias("ws")))
+    places = vectors.select("id", F.posexplode("keys").alias("i", "key"), "ws")
+    rest = F.aggregate(F.slice("ws", F.col("i") + 1, F.size("ws")), F.lit(0.0), lambda s, w: s + w * w)
+    heads = places.where(rest >= least * least * (1 - 1e-9)).select("id", "key")
+    pairs = heads.withColumnRenamed("id", "a").join(heads.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    side = lambda n: vectors.select(F.col("id").alias(n), F.col("keys").alias(f"keys_{n}"), F.col("ws").alias(f"ws_{n}"))
+
+    def cosines(batches):
+        for batch in batches:
+            out = []
+            for ka, wa, kb, wb in zip(*(_slices(batch.column(c)) for c in ("keys_a", "ws_a", "keys_b", "ws_b")), strict=True):
+                _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+                out.append(float(wa[i] @ wb[j]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "cosine"])
+
+    id = texts.schema["id"].dataType.simpleString()
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "keys_a", "ws_a", "keys_b", "ws_b")
+    return both.mapInArrow(cosines, f"a {id}, b {id}, cosine double").where(F.col("cosine") >= least)
+
+
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if len(ends) else []
 
 
 def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
-    """record_id and label: each record takes the label of most weight among its neighbours, in order of ids, ties to the
-    smallest label, until nothing changes. Components are apart from each other and are swept independently."""
-    both = ties.select("a", "b", "weight").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    """record_id and label: in order of ids, each record takes the label of most weight among its neighbours, ties to the
+    smallest, if a neighbour with that label is bound to it, sweep after sweep until nothing changes. `ties` are pairs a, b
+    with weight and binds (see `ties`). A label is the id of a record; records without ties are not listed.
+
+    Components are apart from each other and are swept independently, each in one task, since the rule is sequential: a
+    label depends on those just given to smaller ids.
+    """
+    both = ties.select("a", "b", "weight", "binds").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "binds"))
+    both = checkpointed(both)
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component"))
     while True:
         step = both.join(label.select(F.col("a").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        new = checkpointed(label.join(step, "a").select("a", F.least("component", "other").alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "before"), "a").where("component <> before").limit(1).count()
+        near = label.join(step, "a").select("a", F.least("component", "other").alias("component"))
+        # A label's own label is a node of the component too, which halves long chains.
+        far = near.join(label.select(F.col("a").alias("component"), F.col("component").alias("beyond")), "component", "left")
+        new = checkpointed(far.select("a", F.least("component", "beyond").alias("component")))
+        same = new.join(label.withColumnRenamed("component", "before"), "a").where("component <> before").isEmpty()
         label = new
-        if not changed:
+        if same:
             break
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int]]] = {}
-        for a, b, w in pdf[["a", "b", "weight"]].itertuples(index=False):
-            near.setdefault(a, []).append((b, w))
+        near: dict[int, list[tuple[int, int, bool]]] = {}
+        for a, b, w, binds in pdf[["a", "b", "weight", "binds"]].itertuples(index=False):
+            near.setdefault(a, []).append((b, w, binds))
         labels = {a: a for a in near}
         for _ in range(sweeps):
             moved = False
             for a in sorted(near):
                 votes: dict[int, int] = {}
-                for b, w in near[a]:
+                bound = set()
+                for b, w, binds in near[a]:
                     votes[labels[b]] = votes.get(labels[b], 0) + w
+                    if binds:
+                        bound.add(labels[b])
                 best = min(votes, key=lambda x: (-votes[x], x))
-                if best != labels[a] and votes[best] > votes.get(labels[a], 0):
+                if best in bound and best != labels[a]:
                     labels[a], moved = best, True
             if not moved:
                 break
@@ -119,12 +167,38 @@ def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
     return both.join(label, "a").groupBy("component").applyInPandas(sweep, "record_id long, label long")
 
 
-def voted(groups: DataFrame) -> DataFrame:
-    """Each group (group_id, value) with its most frequent value (ties alphabetical); groups of three need two votes."""
-    votes = groups.groupBy("group_id", "value").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("group_id").agg(F.min_by(F.struct("value", "votes"), F.struct(-F.col("votes"), "value")).alias("best"), F.sum("votes").alias("size"))
-    enough = (F.col("size") >= 3) & (F.col("best.votes") >= 2)
-    return best.select("group_id", "size", F.when(enough, F.col("best.value")).otherwise(HOLDING).alias("category"))
+def voted(groups: DataFrame, least: int = 3) -> DataFrame:
+    """Names for groups of records (group_id, value: the category guessed for a record or null, kind: what it is or null).
+
+    Groups of fewer than `least` are held back. A name is the most frequent guess (ties alphabetical), or else the plural of
+    the most frequent kind; in groups of three and more it needs two votes. A group whose name a larger one has (ties by
+    group_id) is named by its most frequent kind instead, if it has one.
+    """
+    said = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    guess = F.when(said(F.col("value")) != HOLDING, said(F.col("value")))
+
+    def most(value: Column, name: str) -> DataFrame:
+        votes = groups.select("group_id", value.alias("v")).where("v IS NOT NULL").groupBy("group_id", "v").agg(F.count(F.lit(1)).alias("n"))
+        return votes.groupBy("group_id").agg(F.min_by(F.struct("v", "n"), F.struct(-F.col("n"), "v")).alias(name))
+
+    size = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    rows = size.join(most(guess, "guess"), "group_id", "left").join(most(said(F.col("kind")), "kind"), "group_id", "left")
+    plural = T.plural(F.col("kind.v"))
+    shelf = F.concat(F.upper(F.substring(plural, 1, 1)), F.substring(plural, F.lit(2), F.length(plural)))
+    wins = lambda c: (F.col("size") < 3) | (F.col(f"{c}.n") >= 2)
+    name = F.when(F.col("size") < least, HOLDING).when(F.col("guess").isNotNull() & wins("guess"), F.col("guess.v")).when(F.col("kind").isNotNull() & wins("kind"), shelf).otherwise(HOLDING)
+    rows = rows.select("group_id", "size", name.alias("first"), shelf.alias("other"), name.alias("category"))
+    rows = checkpointed(rows)
+    order = F.struct((-F.col("size")).alias("n"), "group_id")
+    while True:
+        # A name is taken by the first group that has it now; settled from the largest group on.
+        owner = rows.where(F.col("size") >= least).groupBy(F.col("category").alias("first")).agg(F.min(order).alias("owner"))
+        taken = F.coalesce(F.col("owner") < order, F.lit(False)) & F.col("other").isNotNull() & (F.col("size") >= least)
+        new = rows.join(owner, "first", "left").withColumn("new", F.when(taken, F.col("other")).otherwise(F.col("first")))
+        new = checkpointed(new.select("group_id", "size", "first", "other", F.col("category").alias("before"), F.col("new").alias("category")))
+        rows = new.drop("before")
+        if new.where("before <> category").isEmpty():
+            return rows.select("group_id", "size", "category")
 
 
 def vocabulary(fields: DataFrame, top: int = 14) -> DataFrame:
@@ -145,7 +219,30 @@ def divergent(fields: DataFrame) -> DataFrame:
 
 
 def coherence(fields: DataFrame) -> DataFrame:
-    """Of all uses of field names, the share of each category's most used one."""
+    """Of all uses of field names, the share of each category's most used one; 1 without uses."""
     uses = fields.groupBy("category", "field").agg(F.count(F.lit(1)).alias("uses"))
     best = uses.groupBy("category").agg(F.max("uses").alias("most"), F.sum("uses").alias("all"))
-    return best.agg(F.round(F.sum("most") / F.sum("all"), 6).alias("coherence"))
+    return best.agg(F.coalesce(F.round(F.sum("most") / F.sum("all"), 6), F.lit(1.0)).alias("coherence"))
+
+
+def settled(fields: DataFrame, reread: Callable[[DataFrame], DataFrame], limit: int = 3) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+    """Reads divergent records again until none is left, coherence doesn't rise, or `limit` passes are done.
+
+    `reread` takes records (category, record_id) and returns their fields (category, record_id, field) as they are read now;
+    a record that it doesn't return keeps what it had. Returns the fields, and of each pass how many records were read
+    again and the coherence before and after.
+    """
+    passes, fields = [], checkpointed(fields.select("category", "record_id", "field"))
+    for _ in range(limit):
+        before = coherence(fields).first()[0]
+        bad = checkpointed(divergent(fields).select("category", "record_id").distinct())
+        if bad.isEmpty():
+            break
+        read = checkpointed(reread(bad).select("category", "record_id", "field"))
+        again = read.select("record_id").distinct()
+        fields = checkpointed(fields.join(again, "record_id", "left_anti").union(read))
+        after = coherence(fields).first()[0]
+        passes.append((again.count(), before, after))
+        if after <= before:
+            break
+    return fields, passes

@@ -10,19 +10,32 @@ from paperloom.functions import text as T
 from paperloom.session import checkpointed
 
 
-def name_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
+def _across() -> Column:
+    """Whether one name of a pair is on the first side (bit 1 of `side`) and the other on the second (bit 2)."""
+    x, y = F.col("side_a"), F.col("side_b")
+    return (x.bitwiseAND(1) * y.bitwiseAND(2) + x.bitwiseAND(2) * y.bitwiseAND(1)) > 0
+
+
+def name_pairs(names: DataFrame, kind: str | None = None, sides: bool = False, nicknames: Column | None = None) -> DataFrame:
     """Pairs a < b of distinct normalized names (column name) that share a word, a word's beginning or all initials.
 
+    With `sides` (column side) only pairs across the sides are made, with side_a and side_b. With `nicknames` words also
+    meet under the full names that they are short for.
+
     Blocking keys: every word, the first three letters of every word, and the initials. All rungs of the ladder but the
     last have one of them in common; names that are merely alike need not (see `ladder_pairs` and `alike_pairs`).
     """
-    keys = [kind] if kind else []
+    keys, side = [kind] if kind else [], ["side"] * sides
     w = N.words(F.col("name"))
     stems = F.transform(w, lambda x: F.concat(F.lit("~"), F.substring(x, F.lit(1), F.lit(3))))
     marks = F.concat(F.lit("="), F.array_join(F.transform(w, lambda x: F.substring(x, F.lit(1), F.lit(1))), ""))
-    blocks = names.select("name", *keys).distinct().withColumn("block", F.explode(F.array_distinct(F.concat(w, stems, F.array(marks)))))
-    a, b = blocks.withColumnRenamed("name", "a"), blocks.withColumnRenamed("name", "b")
-    return a.join(b, ["block", *keys]).where("a < b").select("a", "b", *keys).distinct()
+    meet = [w, stems, F.array(marks)]
+    if nicknames is not None:
+        meet.append(F.flatten(F.array_compact(F.transform(w, lambda x: F.try_element_at(nicknames, x)))))
+    blocks = names.select("name", *keys, *side).distinct().withColumn("block", F.explode(F.array_distinct(F.concat(*meet))))
+    a, b = (blocks.withColumnRenamed("name", n).withColumnsRenamed({"side": f"side_{n}"}) for n in ("a", "b"))
+    pairs = a.join(b, ["block", *keys]).where("a < b")
+    return (pairs.where(_across()) if sides else pairs).select("a", "b", *keys, *(f"side_{n}" for n in ("a", "b") if sides)).distinct()
 
 
 def _combinations(items: Column, k: int) -> Column:
@@ -32,22 +45,24 @@ def _combinations(items: Column, k: int) -> Column:
     return F.flatten(F.transform(items, lambda x, i: F.transform(_combinations(F.slice(items, i + 2, F.size(items)), k - 1), lambda c: F.concat(F.array(x), c))))
 
 
-def _sharing(names: DataFrame, keys: list[str], tokens: Column, share: float, together: int) -> DataFrame:
+def _sharing(names: DataFrame, keys: list[str], tokens: Column, share: float, together: int, sides: bool = False) -> DataFrame:
     """Pairs a < b of names (x and y: their tokens) that can have `share` of the tokens of each in common, at least
     `together` in number; with no loss.
 
     Two such names have `together` tokens in common among the rarest of each, all but `share` of its own and `together`
     more; a pair is made at the first of these only.
     """
-    t = names.select("name", *keys).distinct().withColumn("token", F.explode(tokens))
+    own = ["side"] * sides
+    t = names.select("name", *keys, *own).distinct().withColumn("token", F.explode(tokens))
     t = t.join(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
-    sets = t.groupBy("name", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("tokens"))
+    sets = t.groupBy("name", *keys, *own).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("tokens"))
     n = F.size("tokens")
     head = F.slice("tokens", F.lit(1), (n - F.ceil(n * share - 1e-9) + together).cast("int"))
     rows = sets.withColumn("head", head).withColumn("key", F.explode(_combinations(F.col("head"), together)))
-    side = lambda name, t, head: rows.select(F.col("name").alias(name), F.col("tokens").alias(t), F.col("head").alias(head), "key", *keys)
+    side = lambda name, t, head: rows.select(F.col("name").alias(name), F.col("tokens").alias(t), F.col("head").alias(head), "key", *keys, *(F.col(c).alias(f"side_{name}") for c in own))
     first = F.slice(F.array_intersect("p", "q"), 1, together) == F.col("key")
-    return side("a", "x", "p").join(side("b", "y", "q"), ["key", *keys]).where((F.col("a") < F.col("b")) & first).select("a", "b", "x", "y", *keys)
+    pairs = side("a", "x", "p").join(side("b", "y", "q"), ["key", *keys]).where((F.col("a") < F.col("b")) & first)
+    return (pairs.where(_across()) if sides else pairs).select("a", "b", "x", "y", *keys, *(f"side_{n}" for n in ("a", "b") if sides))
 
 
 def alike_pairs(names: DataFrame, least: float, kind: str | None = None) -> DataFrame:
@@ -58,11 +73,11 @@ def alike_pairs(names: DataFrame, least: float, kind: str | None = None) -> Data
     return pairs.where(2.0 * F.size(F.array_intersect("x", "y")) / (x + y) >= least).select("a", "b", *keys)
 
 
-def ladder_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
+def ladder_pairs(names: DataFrame, kind: str | None = None, sides: bool = False, nicknames: Column | None = None) -> DataFrame:
     """Pairs a < b of distinct names that can meet on a rung of the ladder: those of `name_pairs`, and for the last rung
     those whose letters can reach a Jaro-Winkler likeness of SIMILAR.
 
-    Names of several words that share no word and no word's first three letters have two letters of prefix at most, so
+    Names that share no word and no word's first three letters have two letters of prefix at most, so
     their Jaro likeness j has SIMILAR <= j + 0.2 (1 - j), and m common letters have m / |a| + m / |b| >= 3 j - 1.
     """
     keys = [kind] if kind else []
@@ -70,10 +85,10 @@ def ladder_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
     letters = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)))
     # Each letter with how often it came before, so that sets count as bags.
     letters = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-    pairs = _sharing(names.where(F.size(N.words(F.col("name"))) > 1), keys, letters, both - 1, 3)
+    pairs = _sharing(names.where("name <> ''"), keys, letters, both - 1, 3, sides)
     m = F.size(F.array_intersect("x", "y"))
-    near = pairs.where(m / F.size("x") + m / F.size("y") >= both - 1e-9).select("a", "b", *keys)
-    return name_pairs(names, kind).union(near).distinct()
+    found = name_pairs(names, kind, sides, nicknames)
+    return found.union(pairs.where(m / F.size("x") + m / F.size("y") >= both - 1e-9).select(*found.columns)).distinct()
 
 
 def merge_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
@@ -81,14 +96,15 @@ def merge_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:
     return name_pairs(names, kind).union(alike_pairs(names, N.MERGE, kind)).distinct()
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """match_kind of each pair; likeness is worked out only for pairs that no cheaper rung takes."""
-    cheap = N.match_kind(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0))
-    barred = N.generations_differ(F.col("a"), F.col("b")) | N.numbers_contradict(F.col("a"), F.col("b")) | (F.size(N.words(F.col("a"))) == 1) | (F.size(N.words(F.col("b"))) == 1)
-    pairs = pairs.withColumn("cheap", cheap).withColumn("barred", F.coalesce(barred, F.lit(False)))
+def matched(pairs: DataFrame, nicknames: Column | None = None) -> DataFrame:
+    """match: the match_kind of each pair that has one; likeness is worked out only for pairs that no cheaper rung takes."""
+    cheap = N.match_kind(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0), nicknames)
+    barred = N.generations_differ(F.col("a"), F.col("b")) | N.numbers_contradict(F.col("a"), F.col("b")) | ((F.size(N.words(F.col("a"))) == 1) != (F.size(N.words(F.col("b"))) == 1))
+    columns = pairs.columns
+    pairs = pairs.withColumn("match", cheap).withColumn("barred", F.coalesce(barred, F.lit(False)))
     near = (N.similarity(F.col("a"), F.col("b")) >= N.SIMILAR) & (N.distinguishing_similarity(F.col("a"), F.col("b")) >= N.DISTINGUISHING)
-    rest = pairs.where("cheap IS NULL AND NOT barred").withColumn("match", F.when(near, "similar"))
-    return pairs.where("cheap IS NOT NULL").select("a", "b", F.col("cheap").alias("match")).union(rest.where("match IS NOT NULL").select("a", "b", "match"))
+    rest = pairs.where("match IS NULL AND NOT barred").withColumn("match", F.when(near, "similar"))
+    return pairs.where("match IS NOT NULL").select(*columns, "match").union(rest.where("match IS NOT NULL").select(*columns, "match"))
 
 
 def same_thing(pairs: DataFrame) -> DataFrame:
@@ -128,18 +144,62 @@ def salient(proposed: DataFrame, most: int = 15) -> DataFrame:
     return proposed.withColumn("place", place).withColumn("admitted", F.col("place") <= most)
 
 
-def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each mention (mention_id, name, kind) with the entity that it means: by equal name, else by the only entity of its
-    kind in whose name all its words occur in order. More than one candidate leaves it unresolved (null)."""
-    exact = mentions.join(entities.groupBy("name").agg(F.min("entity_id").alias("exact_id")), "name", "left")
-    rest = exact.where("exact_id IS NULL").select("mention_id", "name", "kind")
-    key = lambda df: df.withColumn("word", F.explode(F.array_distinct(N.words(F.col("name")))))
-    e = key(entities.select(F.col("entity_id"), F.col("name"), F.col("kind"))).withColumnRenamed("name", "full")
-    first = rest.withColumn("word", F.element_at(N.words(F.col("name")), 1))
-    fits = first.join(e, ["word", "kind"]).where(N.is_subsequence(F.col("name"), F.col("full")) & ~N.numbers_contradict(F.col("name"), F.col("full")))
-    single = fits.groupBy("mention_id").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("only_id")).where("n = 1")
-    out = exact.join(single, "mention_id", "left")
-    return out.select("mention_id", F.coalesce("exact_id", "only_id").alias("entity_id"), F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("only_id").isNotNull(), "unambiguous").alias("resolved_by"))
+def compatible(mentions: DataFrame, entities: DataFrame, nicknames: Column | None = None) -> DataFrame:
+    """(name, kind, entity_id, match, decides): names of mentions and the entities of their kind that they could mean.
+
+    `decides` says whether the likeness may decide alone if it is the only one: all words in order unless middle initials
+    disagree; initials against a name that is spelled out; the weaker likenesses only among POPULATION names of the kind
+    and where RARE of them at most have the mention's last word. One word of a longer name never decides, and counts for
+    persons only.
+    """
+    side = lambda df, n: df.select("name", "kind", F.lit(n).alias("side"))
+    names = side(mentions, 1).union(side(entities, 2)).where("name <> ''").groupBy("name", "kind").agg(F.bit_or("side").alias("side"))
+    pairs = matched(ladder_pairs(names, "kind", sides=True, nicknames=nicknames), nicknames)
+    turned = lambda x, y: pairs.where(F.col(f"side_{x}").bitwiseAND(1).cast("boolean") & F.col(f"side_{y}").bitwiseAND(2).cast("boolean")).select(F.col(x).alias("name"), F.col(y).alias("full"), "kind", "match")
+    fits = turned("a", "b").union(turned("b", "a")).where("match <> 'surname' OR kind = 'person'")
+    last = F.element_at(N.words(F.col("name")), -1)
+    population = entities.groupBy("kind").agg(F.count(F.lit(1)).alias("population"))
+    sharing = entities.where("name <> ''").groupBy("kind", last.alias("surname")).agg(F.count(F.lit(1)).alias("sharing"))
+    rows = fits.join(entities.select("entity_id", F.col("name").alias("full"), "kind"), ["full", "kind"]).join(population, "kind")
+    rows = rows.withColumn("surname", last).join(sharing, ["kind", "surname"], "left")
+    weak = (F.col("population") >= N.POPULATION) & (F.coalesce("sharing", F.lit(0)) <= N.RARE)
+    match = F.col("match")
+    decides = F.when(match == "subsequence", ~N.initials_disagree(F.col("name"), F.col("full"))).when(match == "initials", ~N.is_abbreviated(F.col("full"))).otherwise((match != "surname") & weak)
+    return rows.select("name", "kind", "entity_id", "match", decides.alias("decides"))
+
+
+def resolved(mentions: DataFrame, entities: DataFrame, identifiers: tuple[DataFrame, DataFrame] | None = None, context: DataFrame | None = None, nicknames: Column | None = None) -> DataFrame:
+    """Each mention (mention_id, document_id, name, kind) with the entity (entity_id, name, kind) that it means, and how it
+    was told: exact, identifier, context or unambiguous; null where it can't be.
+
+    In order: the entity of the same name, whatever its kind; the only entity of the kind that owns an identifier of the
+    document (`identifiers`: owned ones as (entity_id, identifier), seen ones as (document_id, identifier)); the only
+    compatible one that is known to appear with others that the document names (`context`: entity_id, other_id); the only
+    compatible one that decides. What a first pass finds is what a document names in a second one. Null and empty names are
+    not resolved; equal names of several entities mean the one with the smallest id.
+    """
+    named = mentions.where("name <> ''")
+    exact = named.join(entities.groupBy("name").agg(F.min("entity_id").alias("entity_id")), "name").select("mention_id", "document_id", "entity_id", F.lit("exact").alias("resolved_by"))
+    rest = checkpointed(named.join(exact.select("mention_id"), "mention_id", "left_anti").select("mention_id", "document_id", "name", "kind"))
+    only = lambda df, keys: df.groupBy(*keys).agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("last")).where("entity_id = last").drop("last")
+    how = lambda df, word: df.select("mention_id", "document_id", "entity_id", F.lit(word).alias("resolved_by"))
+    found = exact
+    if identifiers is not None:
+        owned, seen = identifiers
+        of = seen.distinct().join(owned.distinct(), "identifier").join(entities.select("entity_id", "kind"), "entity_id").select("document_id", "kind", "entity_id")
+        found = found.union(how(rest.join(only(of, ["document_id", "kind"]), ["document_id", "kind"]), "identifier"))
+    found = checkpointed(found)
+    rest = rest.join(found.select("mention_id"), "mention_id", "left_anti")
+    fits = checkpointed(rest.join(compatible(rest, entities, nicknames), ["name", "kind"]))
+    alone = how(only(fits.where("decides"), ["mention_id", "document_id"]), "unambiguous")
+    first = found.union(alone)
+    if context is not None:
+        # Pass two: what pass one left open, against what it found in the same document.
+        beside = first.select("document_id", F.col("entity_id").alias("other_id")).distinct()
+        open = fits.join(first.select("mention_id"), "mention_id", "left_anti")
+        known = open.join(context.select("entity_id", "other_id").distinct(), "entity_id").join(beside, ["document_id", "other_id"], "left_semi")
+        first = first.union(how(only(known, ["mention_id", "document_id"]), "context"))
+    return mentions.select("mention_id").join(first.select("mention_id", "entity_id", "resolved_by"), "mention_id", "left")
 
 
 def surname_frequency(names: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.agenda import unique_names
+
 #: Characters of an utterance at most, if it has more than one piece.
 UTTERANCE = 700
 
@@ -28,9 +30,8 @@ def drafts(items: DataFrame) -> DataFrame:
     a name comes again, case aside."""
     line = F.regexp_replace(F.get(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), F.lit(0)), r"^\s*(?i:subject:)\s*", "")
     clean = F.trim(F.substring(F.regexp_replace(F.regexp_replace(line, r'[/\\:*?"<>|#]', " "), r"\s+", " "), 1, 70))
-    rows = items.select("id", F.coalesce(F.nullif(clean, F.lit("")), F.lit("untitled")).alias("name")).where(F.col("name").isNotNull())
-    place = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))
-    return rows.withColumn("k", place).select("id", F.concat("name", F.when(F.col("k") > 1, F.concat(F.lit(" ("), F.col("k").cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file"))
+    named = items.select("id", F.concat(F.coalesce(F.nullif(clean, F.lit("")), F.lit("untitled")), F.lit(".md")).alias("name"))
+    return unique_names(named).withColumnRenamed("unique_name", "file")
 
 
 def changed(feed: DataFrame, since: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
@@ -49,11 +50,17 @@ def upcoming(spark, sf_dir):
     return dates(spark, sf_dir).where(F.col("date").between(today, F.date_add(today, 7))).select("document_id", "kind", "date").orderBy("date", "document_id")
 
 
-STATES_SQL = f", raw AS (SELECT {KEY_SQL} AS key, e.ts AS made, CASE e.event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'snooze' ELSE 'undo' END AS action, CAST(e.ts AS DATE) + 20 AS until FROM dates d JOIN events e ON e.event_id = d.document_id WHERE e.event_id % 3 = 0), newest AS (SELECT key, arg_max((action, made, until), (made, action)) AS d FROM raw GROUP BY key), states AS (SELECT key, CASE WHEN d[1] = 'done' THEN d[2] END AS done_at, CASE WHEN d[1] = 'snooze' THEN d[3] END AS snoozed_until, d[2] AS decided_at FROM newest)"
+def _hash_sql(text: str) -> str:
+    """64-bit FNV-1a in base 36, in two parts since only signed numbers are converted."""
+    hash = f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i - 1 AS BIGINT), 2) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+    return f"lower(ltrim(to_base(CAST({hash} // 2176782336 AS BIGINT), 36) || lpad(to_base(CAST({hash} % 2176782336 AS BIGINT), 36), 6, '0'), '0'))"
+
+
+STATES_SQL = f", raw AS (SELECT {KEY_SQL} AS key, e.ts AS made, CASE e.event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'snooze' ELSE 'undo' END AS action, CAST(e.ts AS DATE) + 20 AS until FROM dates d JOIN events e ON e.event_id = d.document_id), newest AS (SELECT key, arg_max((action, made, until), (made, action)) AS d FROM raw GROUP BY key), states AS (SELECT key, CASE WHEN d[1] = 'done' THEN d[2] END AS done_at, CASE WHEN d[1] = 'snooze' THEN d[3] END AS snoozed_until, d[2] AS decided_at FROM newest)"
 
 
 def states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     action = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "snooze").otherwise("undo")
     d = dates(spark, sf_dir).select("document_id", D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
     log = e.join(d, F.col("event_id") == F.col("document_id")).select("key", F.col("ts").alias("at"), action.alias("action"), F.date_add(F.to_date("ts"), 20).alias("until"))
@@ -66,10 +73,10 @@ def task_states(spark, sf_dir):
     return states(spark, sf_dir)
 
 
-@query(DATES_SQL + STATES_SQL + f" SELECT key, done_at, snoozed_until, decided_at FROM states WHERE done_at IS NOT NULL OR key IN (SELECT {KEY_SQL} FROM dates WHERE document_id % 2 = 0)")
+@query(DATES_SQL + STATES_SQL + f" SELECT key, done_at, snoozed_until, decided_at FROM states WHERE done_at IS NOT NULL OR key IN (SELECT {KEY_SQL} FROM dates WHERE date >= DATE '{NOW}')")
 def pruned_states(spark, sf_dir):
-    """Decisions on tasks that are gone go, finished ones stay."""
-    live = dates(spark, sf_dir).where("document_id % 2 = 0").select(D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
+    """Decisions on tasks that are gone, here past ones, go; finished ones stay."""
+    live = dates(spark, sf_dir).where(F.col("date") >= F.lit(NOW).cast("date")).select(D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
     return agenda.pruned(states(spark, sf_dir), live)
 
 
@@ -88,13 +95,7 @@ def date_orders(spark, sf_dir):
     return agenda.date_orders(record_dates(spark, sf_dir))
 
 
-@query("WITH " + ORDERED_SQL + " SELECT kind, count(*) AS findings, count(DISTINCT document_id) AS documents FROM found GROUP BY kind")
-def flagged(spark, sf_dir):
-    """Findings by kind."""
-    return agenda.date_orders(record_dates(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("document_id").alias("documents"))
-
-
-@query(DATES_SQL + STATES_SQL + ", " + ORDERED_SQL + f""", items AS (SELECT {KEY_SQL} AS key, document_id, title, date AS due, {COMMIT_SQL} AS kind FROM dates WHERE date BETWEEN DATE '{NOW}' - 120 AND DATE '{NOW}' + 365 AND kind <> 'signed' UNION SELECT 'a:' || document_id || ':' || kind || ':' || substr(sha256(detail), 1, 12), document_id, detail, NULL, 'check' FROM found)
+@query(DATES_SQL + STATES_SQL + ", " + ORDERED_SQL + f""", items AS (SELECT {KEY_SQL} AS key, document_id, title, date AS due, {COMMIT_SQL} AS kind FROM dates WHERE date BETWEEN DATE '{NOW}' - 120 AND DATE '{NOW}' + 365 AND kind <> 'signed' UNION SELECT 'a:' || document_id || ':' || kind || ':' || {_hash_sql('detail')}, document_id, detail, NULL, 'check' FROM found)
 SELECT items.key, document_id, title, due, kind, CASE WHEN due IS NULL THEN 'someday' WHEN due < DATE '{NOW}' THEN 'overdue' WHEN due = DATE '{NOW}' THEN 'today' WHEN due - DATE '{NOW}' = 1 THEN 'tomorrow' WHEN due - DATE '{NOW}' <= 7 THEN 'thisWeek' ELSE 'later' END AS horizon
 FROM items LEFT JOIN states ON states.key = items.key WHERE done_at IS NULL AND (snoozed_until IS NULL OR snoozed_until <= DATE '{NOW}')""")
 def agenda_items(spark, sf_dir):
@@ -102,28 +103,43 @@ def agenda_items(spark, sf_dir):
     return agenda.commitments(dates(spark, sf_dir), agenda.date_orders(record_dates(spark, sf_dir)), states(spark, sf_dir), NOW)
 
 
-REPORTED_SQL = """WITH r AS (SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, l_partkey AS n, l_quantity AS q FROM lineitem),
-reported AS (SELECT document_id, position, CASE n % 7 WHEN 0 THEN 'Part ' || n || ' appears twice' WHEN 1 THEN 'Total ' || n || ' does not match (5 + 5 = ' || n || ')' WHEN 2 THEN 'The sum of ' || n || ' should be 12' WHEN 3 THEN 'short' WHEN 4 THEN 'Word is misspelt here' WHEN 5 THEN 'Stated as red but elsewhere blue' ELSE 'Something odd about this row' END AS detail FROM r)"""
+REPORTED_SQL = """r AS (SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, l_partkey AS n, l_quantity AS q FROM lineitem),
+reported AS (SELECT document_id, position, CASE n % 10 WHEN 0 THEN 'Part ' || n || ' appears twice' WHEN 1 THEN 'Total ' || n || ' does not match (5 + 5 = ' || n || ')' WHEN 2 THEN 'The sum of ' || n || '.50 should be 1,2' WHEN 3 THEN 'short' WHEN 4 THEN '  Word is misspelt here ' WHEN 5 THEN 'Stated as red but elsewhere blue' WHEN 7 THEN 'Two dates on row ' || n WHEN 8 THEN 'bad' ELSE 'Something odd about this row' END AS detail,
+ CASE n % 10 WHEN 6 THEN 'Sum mismatch' WHEN 7 THEN 'FORMAT' WHEN 8 THEN 'impossible_date' WHEN 9 THEN NULL WHEN 0 THEN 'typo' ELSE 'whatever' END AS label FROM r),
+k AS (SELECT document_id, position, trim(detail) AS detail, CASE n % 10 WHEN 0 THEN 'duplicate' WHEN 2 THEN 'arithmetic' WHEN 4 THEN 'typo' WHEN 5 THEN 'contradiction' WHEN 6 THEN 'arithmetic' WHEN 7 THEN 'inconsistentFormat' ELSE 'other' END AS kind,
+ CASE n % 10 WHEN 2 THEN array_to_string(list_sort(['12', n || '.5']), ' ') WHEN 0 THEN CAST(n AS VARCHAR) WHEN 7 THEN CAST(n AS VARCHAR) ELSE detail END AS sig FROM (SELECT reported.*, r.n FROM reported JOIN r USING (document_id, position)) WHERE n % 10 NOT IN (1, 3, 8)),
+f AS (SELECT *, row_number() OVER (PARTITION BY document_id, sig ORDER BY position) AS first FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS nth FROM f WHERE first = 1),
+vetted AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY sure, position) AS place, kind, detail FROM (SELECT document_id, position, kind, detail, 1 AS sure FROM p WHERE nth <= 6 UNION ALL SELECT document_id, position, 'impossibleDate', detail, 0 FROM reported WHERE label = 'impossible_date'))"""
 
 
 def reported(spark, sf_dir):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    n = F.col("l_partkey")
-    s = n.cast("string")
-    detail = F.when(n % 7 == 0, F.concat(F.lit("Part "), s, F.lit(" appears twice"))).when(n % 7 == 1, F.concat(F.lit("Total "), s, F.lit(" does not match (5 + 5 = "), s, F.lit(")"))).when(n % 7 == 2, F.concat(F.lit("The sum of "), s, F.lit(" should be 12"))).when(n % 7 == 3, "short").when(n % 7 == 4, "Word is misspelt here").when(n % 7 == 5, "Stated as red but elsewhere blue").otherwise("Something odd about this row")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).alias("position"), detail.alias("detail"))
-
-
-@query(REPORTED_SQL + """, k AS (SELECT *, CASE WHEN detail LIKE '%appears twice' THEN 'duplicate' WHEN detail LIKE 'The sum%' THEN 'arithmetic' WHEN detail LIKE '%misspelt%' THEN 'typo' WHEN detail LIKE 'Stated%' THEN 'contradiction' ELSE 'other' END AS kind,
- CASE WHEN detail LIKE 'The sum%' THEN array_to_string(list_sort(regexp_extract_all(detail, '\\d+')), ' ') WHEN detail LIKE 'Part%' THEN regexp_extract(detail, '\\d+') ELSE detail END AS sig FROM reported WHERE detail NOT LIKE 'Total%' AND length(detail) >= 8),
-f AS (SELECT *, row_number() OVER (PARTITION BY document_id, sig ORDER BY position) AS first FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS place FROM f WHERE first = 1) SELECT document_id, place, kind, detail FROM p WHERE place <= 6""")
+    n, s = F.col("l_partkey") % 10, F.col("l_partkey").cast("string")
+    said = {0: F.concat(F.lit("Part "), s, F.lit(" appears twice")), 1: F.concat(F.lit("Total "), s, F.lit(" does not match (5 + 5 = "), s, F.lit(")")), 2: F.concat(F.lit("The sum of "), s, F.lit(".50 should be 1,2")), 3: F.lit("short")}
+    said |= {4: F.lit("  Word is misspelt here "), 5: F.lit("Stated as red but elsewhere blue"), 7: F.concat(F.lit("Two dates on row "), s), 8: F.lit("bad")}
+    labels = {6: "Sum mismatch", 7: "FORMAT", 8: "impossible_date", 0: "typo"}
+    detail, label = F.when(F.lit(False), ""), F.when(n == 9, F.lit(None))
+    for k, text in said.items():
+        detail = detail.when(n == k, text)
+    for k, text in labels.items():
+        label = label.when(n == k, text)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).alias("position"), detail.otherwise("Something odd about this row").alias("detail"), label.otherwise("whatever").alias("label"))
+
+
+@query("WITH " + REPORTED_SQL + " SELECT * FROM vetted")
 def vetted_findings(spark, sf_dir):
     """Reported findings that are worth showing."""
     return agenda.vetted(reported(spark, sf_dir))
 
 
+@query("WITH " + ORDERED_SQL + ", " + REPORTED_SQL + """, every AS (SELECT document_id, detail FROM found UNION ALL SELECT document_id, detail FROM vetted), top AS (SELECT document_id, count(*) AS findings FROM every GROUP BY document_id ORDER BY findings DESC, document_id LIMIT 200)
+SELECT document_id, findings, list_sort(list(detail)) AS details FROM top JOIN every USING (document_id) GROUP BY ALL""")
+def flagged(spark, sf_dir):
+    """The documents with most findings, checked and reported."""
+    found = agenda.date_orders(record_dates(spark, sf_dir)).select("document_id", "detail")
+    return agenda.flagged(found.union(agenda.vetted(reported(spark, sf_dir)).select("document_id", "detail")))
+
+
 @query("""WITH d AS (SELECT event_id AS document_id, CASE event_id % 3 WHEN 0 THEN 'term_end' WHEN 1 THEN 'expires' ELSE 'signed' END AS kind, CAST(ts AS DATE) AS date, CAST(event_id % 45 AS INTEGER) AS notice_days FROM events)
 SELECT document_id, 'notice_deadline' AS kind, date - notice_days AS date, true AS derived FROM d WHERE kind <> 'signed' AND notice_days > 0""")
 def derived_deadlines(spark, sf_dir):
@@ -134,14 +150,16 @@ def derived_deadlines(spark, sf_dir):
     return agenda.derived_deadlines(d, e.select(F.col("event_id").alias("document_id"), (F.col("event_id") % 45).cast("int").alias("notice_days")))
 
 
-@query("""WITH f AS (SELECT user_id AS subject_id, 'prefers' AS predicate, event_type AS value, CAST(ts AS DATE) AS since, CASE WHEN event_id % 2 = 0 THEN CAST(ts AS DATE) END AS until FROM events),
-b AS (SELECT subject_id, predicate, lower(value) AS low, arg_max((value, until IS NULL, since), (until IS NULL, since, value)) AS f FROM f GROUP BY ALL)
-SELECT subject_id, predicate, f[1] AS value, f[3] AS effective, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY f[2] DESC, f[3] DESC, f[1]) AS place, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY f[2] DESC, f[3] DESC, f[1]) = 1 AS is_current FROM b""")
+@query("""WITH f AS (SELECT event_id AS id, user_id AS subject_id, 'prefers' AS predicate, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END AS value, CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS DATE) END AS since, CASE WHEN event_id % 2 = 0 THEN CAST(ts AS DATE) + 30 END AS until, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) - 3 END AS asserted_on FROM events),
+o AS (SELECT *, until IS NULL AS standing, coalesce(since, asserted_on) AS began FROM f), w AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate, lower(value) ORDER BY standing DESC, began DESC NULLS LAST, id) AS k FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY standing DESC, began DESC NULLS LAST, id) AS place FROM w WHERE k = 1)
+SELECT subject_id, predicate, value, CASE WHEN place = 1 THEN began ELSE coalesce(until, began) END AS effective, place, place = 1 AS is_current FROM p""")
 def profiles(spark, sf_dir):
     """Current values and their history."""
-    e = table(spark, sf_dir, "events")
-    day = F.to_date("ts")
-    return agenda.profile(e.select(F.col("user_id").alias("subject_id"), F.lit("prefers").alias("predicate"), F.col("event_type").alias("value"), day.alias("since"), F.when(F.col("event_id") % 2 == 0, day).alias("until"), day.alias("asserted_on")))
+    e, n, day = table(spark, sf_dir, "events"), F.col("event_id"), F.to_date("ts")
+    value = F.when(n % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    dates = {"since": F.when(n % 5 != 0, day), "until": F.when(n % 2 == 0, F.date_add(day, 30)), "asserted_on": F.when(n % 4 != 0, F.date_sub(day, 3))}
+    return agenda.profile(e.select(n.alias("id"), F.col("user_id").alias("subject_id"), F.lit("prefers").alias("predicate"), value.alias("value"), *(c.alias(k) for k, c in dates.items())))
 
 
 @query("""WITH p AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS subject_id, 'mentions' AS predicate, CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 2) WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN '' ELSE substr(text, 1, 12) END AS object, text FROM documents)
@@ -154,11 +172,22 @@ def admitted_facts(spark, sf_dir):
     return agenda.admitted(d.select(n.alias("document_id"), F.when(n % 5 != 0, n).alias("subject_id"), F.lit("mentions").alias("predicate"), value.alias("object")), d.select(n.alias("document_id"), "text"))
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_name || '.pdf' AS name FROM part), r AS (SELECT id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS k FROM n)
-SELECT id, CASE WHEN k = 1 THEN name ELSE substr(name, 1, length(name) - 4) || ' (' || k || ').pdf' END AS unique_name FROM r""")
+def unique_sql(names: str, family: str, ext: str) -> str:
+    """Names (id, name) of a CTE source walked one by one, all families at once."""
+    stem = f"substr(n.name, 1, length(n.name) - {len(ext)})"
+    return f"""WITH RECURSIVE src AS ({names}), n AS (SELECT id, name, {family} AS family, row_number() OVER (PARTITION BY {family} ORDER BY id) AS i FROM src),
+walk AS (SELECT i, family, id, name AS unique_name, [lower(name)] AS taken FROM n WHERE i = 1 UNION ALL SELECT i, family, id, u, list_append(taken, lower(u)) FROM (SELECT n.i, n.family, n.id, walk.taken,
+ CASE WHEN list_contains(walk.taken, lower(n.name)) THEN list_filter(list_transform(range(2, n.i + 2), lambda k: {stem} || ' (' || k || ')' || substr(n.name, length(n.name) - {len(ext) - 1})), lambda c: NOT list_contains(walk.taken, lower(c)))[1] ELSE n.name END AS u FROM walk JOIN n ON n.family = walk.family AND n.i = walk.i + 1))
+SELECT id, unique_name FROM walk"""
+
+
+@query(unique_sql("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 3 AND length(p_name) % 2 = 0 THEN p_name || ' (' || (p_partkey % 3 + 2) || ').pdf' WHEN p_partkey % 11 = 5 THEN upper(p_name) || '.PDF' ELSE p_name || '.pdf' END AS name FROM part", "regexp_extract(lower(name), '^([a-z]+ [a-z]+)')", ".pdf"))
 def unique_names(spark, sf_dir):
-    """Display names without repetition."""
-    return agenda.unique_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("name")))
+    """Display names without repetition, some of which arrive with a number."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    numbered = F.concat(name, F.lit(" ("), (n % 3 + 2).cast("string"), F.lit(").pdf"))
+    name = F.when((n % 7 == 3) & (F.length(name) % 2 == 0), numbered).when(n % 11 == 5, F.concat(F.upper(name), F.lit(".PDF"))).otherwise(F.concat(name, F.lit(".pdf")))
+    return agenda.unique_names(table(spark, sf_dir, "part").select(n.alias("id"), name.alias("name")))
 
 
 @query("""WITH n AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'order of ' || lower(c_mktsegment) AS s, CASE WHEN o_orderkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS p FROM orders JOIN customer ON c_custkey = o_custkey)
@@ -177,11 +206,12 @@ def plurals(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("word"), T.plural(F.col("p_type")).alias("plural")).distinct()
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 2 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM documents WHERE coalesce(n_chars, 0) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def backlog(spark, sf_dir):
-    """Documents that were rendered and not yet understood."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 2")
-    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    """Documents that were rendered (not empty) and not yet understood (labelled)."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit("understood").alias("stage")).distinct()
+    d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("stage", F.coalesce("stage", F.lit("rendered")))
+    return d.withColumn("status", F.when(F.coalesce("n_chars", F.lit(0)) > 0, "ok").otherwise("failed")).where("stage = 'rendered' AND status <> 'failed'").select("doc_id")
 
 
 @query("SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")

@@ -96,14 +96,14 @@ def orphaned_links(spark, sf_dir):
     return links(spark, sf_dir).join(records(spark, sf_dir).where("record_id % 10 <> 0"), "record_id", "left_anti")
 
 
-@query("""WITH l AS (SELECT 99 AS entity_id, o_orderkey AS record_id FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT ascii(substr(o_orderpriority, 1, 1)), o_orderkey FROM orders),
+@query("""WITH l AS (SELECT 99 AS entity_id, o_orderkey AS record_id FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT ascii(substr(o_orderpriority, 1, 1)), o_orderkey FROM orders),
 r AS (SELECT entity_id, count(DISTINCT record_id) AS reach FROM l GROUP BY entity_id), p AS (SELECT *, row_number() OVER (ORDER BY reach DESC, entity_id) AS k FROM r), t AS (SELECT count(*) AS total FROM orders)
 SELECT CAST(entity_id AS BIGINT) AS entity_id, reach FROM p, t WHERE k = 1 AND total >= 8 AND reach / total >= 0.3 AND reach >= 1.25 * coalesce((SELECT reach FROM p WHERE k = 2), 0)""")
 def library_owner(spark, sf_dir):
     """the entity that most records name, if it stands out."""
     o = table(spark, sf_dir, "orders")
     row = lambda df, entity: df.select(F.col("o_orderkey").alias("record_id"), entity.cast("long").alias("entity_id"))
-    return graph.owner(row(o, F.ascii(F.substring("o_orderpriority", 1, 1))).union(row(o.where("o_orderkey % 4 <> 0"), F.lit(99))), o)
+    return graph.owner(row(o, F.ascii(F.substring("o_orderpriority", 1, 1))).union(row(o.where("o_orderstatus <> 'F'"), F.lit(99))), o)
 
 
 TIES_SQL = """, few AS (SELECT record_id, rel, entity_id FROM links WHERE rel IN ('party_to', 'covers')), wide AS (SELECT record_id FROM few GROUP BY record_id HAVING count(DISTINCT entity_id) <= 5),
@@ -113,27 +113,42 @@ pairs AS (SELECT DISTINCT record_id, entity_id FROM few SEMI JOIN wide USING (re
 ties AS (SELECT x.record_id AS a, y.record_id AS b, CAST(sum(greatest(1, 1000 // reach)) AS BIGINT) AS weight FROM pairs x JOIN pairs y USING (entity_id) JOIN bind USING (entity_id) WHERE x.record_id < y.record_id GROUP BY ALL)"""
 
 
-@query(LINKS_SQL + TIES_SQL + " SELECT a, b, weight FROM ties")
+@query(LINKS_SQL + TIES_SQL + " SELECT a, b, weight, true AS binds FROM ties")
 def record_ties(spark, sf_dir):
-    """D11, H01, H02 in part: records tied by the entities that they share, hubs and broad records aside; not by their texts."""
+    """Records tied by the entities that they share, hubs and broad records aside."""
     return graph.ties(links(spark, sf_dir).where("rel IN ('party_to', 'covers')"), records(spark, sf_dir))
 
 
 @query()
 def record_communities(spark, sf_dir):
-    """H03 in part: labels of the communities of records tied by entities, not by their texts."""
+    """Labels of the communities of records tied by entities."""
     return graph.communities(graph.ties(links(spark, sf_dir).where("rel IN ('party_to', 'covers')"), records(spark, sf_dir)))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(substr(text, 1, 4000), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: lower(w)), lambda w: length(w) > 3 AND length(w) < 24 AND NOT regexp_matches(w, '\\d'))) AS term FROM documents),
+ALIKE_SQL = """WITH w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array({text}, '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: lower(w)), lambda w: length(w) > 3 AND length(w) < 24 AND NOT regexp_matches(w, '\\d'))) AS term FROM documents),
 c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN ('this','that','these','those','with','from','have','has','had','been','will','shall','would','should','must','may','any','all','such','each','which','there','their','them','then','than','when','what','were','was','your','yours','you','our','ours','into','upon','under','over','also','other','more','most','some','only','same','both','here','does','made','make','page','date','dated','please','thank','regards','sincerely','email','phone','address','name','number','total','amount','document') GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM c GROUP BY term), x AS (SELECT doc_id, term, tf * ln(n / df) AS w FROM c JOIN d USING (term), n WHERE df > 1 AND df / n <= 0.5),
-m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id), u AS (SELECT doc_id, term, w / norm AS w FROM x JOIN m USING (doc_id))
-SELECT p.doc_id AS a, q.doc_id AS b, round(sum(p.w * q.w), 4) AS cosine FROM u p JOIN u q USING (term) WHERE p.doc_id < q.doc_id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.14""")
+m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id), u AS (SELECT doc_id, term, w / norm AS w FROM x JOIN m USING (doc_id)),
+pairs AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.w * q.w) AS cosine FROM u p JOIN u q USING (term) WHERE p.doc_id < q.doc_id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.14)"""
+
+
+@query(ALIKE_SQL.replace("{text}", "text") + " SELECT a, b, round(cosine, 4) AS cosine FROM pairs")
 def alike_documents(spark, sf_dir):
-    """Documents alike by their weighted terms, of 4,000 characters as in the SQL."""
+    """Documents alike by the weighted terms of their whole texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return graph.alike(d, considered=4000).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return graph.alike(d).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
+@query(ALIKE_SQL.replace("{text}", "text") + """, links AS (SELECT doc_id AS record_id, n_chars % 97 AS entity_id FROM documents), r AS (SELECT entity_id, count(*) AS reach FROM links GROUP BY 1 HAVING count(*) > 1), t AS (SELECT count(*) AS total FROM documents),
+top AS (SELECT *, row_number() OVER (ORDER BY reach DESC, entity_id) AS k FROM r), own AS (SELECT a.entity_id FROM top a, t WHERE a.k = 1 AND total >= 8 AND a.reach / total >= 0.3 AND a.reach >= 1.25 * coalesce((SELECT reach FROM top WHERE k = 2), 0)),
+bind AS (SELECT entity_id, reach FROM r, t WHERE NOT (reach >= 3 AND reach / total > CASE WHEN total >= 20 THEN 0.35 ELSE 0.6 END) AND entity_id NOT IN (SELECT entity_id FROM own)),
+e AS (SELECT x.record_id AS a, y.record_id AS b, greatest(1, 1000 // reach) AS weight, true AS binds FROM links x JOIN links y USING (entity_id) JOIN bind USING (entity_id) WHERE x.record_id < y.record_id),
+every AS (SELECT * FROM e UNION ALL SELECT a, b, CAST(floor(round(cosine, 6) * 400) AS BIGINT), round(cosine, 6) >= 0.3 OR EXISTS (SELECT 1 FROM e WHERE e.a = pairs.a AND e.b = pairs.b) FROM pairs WHERE floor(round(cosine, 6) * 400) > 0)
+SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight, bool_or(binds) AS binds FROM every GROUP BY ALL""")
+def text_ties(spark, sf_dir):
+    """Records tied by what they share and by their texts."""
+    d = table(spark, sf_dir, "documents")
+    return graph.ties(d.select(F.col("doc_id").alias("record_id"), (F.col("n_chars") % 97).alias("entity_id")), d, d.select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("WITH " + FIELDS_SQL + " SELECT category, count(DISTINCT record_id) AS records FROM fields GROUP BY category ORDER BY records DESC, category LIMIT 40")
@@ -155,11 +170,21 @@ def exemplars(spark, sf_dir):
     return n.groupBy("category").agg(F.min_by("record_id", F.struct(-F.col("n"), "record_id")).alias("record_id"), F.max("n").alias("fields"))
 
 
-@query("""WITH v AS (SELECT o_custkey AS group_id, o_orderpriority AS value, count(*) AS votes FROM orders GROUP BY ALL), s AS (SELECT group_id, arg_min(value, (-votes, value)) AS value, max(votes) AS top, CAST(sum(votes) AS BIGINT) AS size FROM v GROUP BY group_id)
-SELECT group_id, size, CASE WHEN size >= 3 AND top >= 2 THEN value ELSE 'Everything else' END AS category FROM s""")
+@query("""WITH r AS (SELECT o_custkey AS group_id, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' || o_orderpriority || ' ' ELSE 'Everything else' END AS value, CASE WHEN o_orderkey % 4 > 0 THEN lower(c_mktsegment) || o_orderstatus END AS kind FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT group_id, count(*) AS size FROM r GROUP BY 1), g AS (SELECT group_id, trim(value) AS v, count(*) AS n FROM r WHERE value IS NOT NULL AND value <> 'Everything else' GROUP BY ALL), k AS (SELECT group_id, kind AS v, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL),
+gb AS (SELECT group_id, arg_min(v, (-n, v)) AS v, max(n) AS n FROM g GROUP BY 1), kb AS (SELECT group_id, arg_min(v, (-n, v)) AS v, max(n) AS n FROM k GROUP BY 1),
+p AS (SELECT s.group_id, size, gb.v AS guess, gb.n AS gn, kb.n AS kn, upper(substr(kb.v, 1, 1)) || substr(lower(kb.v), 2) || 's' AS shelf FROM s LEFT JOIN gb USING (group_id) LEFT JOIN kb USING (group_id)),
+f AS (SELECT *, CASE WHEN size < 3 THEN 'Everything else' WHEN guess IS NOT NULL AND gn >= 2 THEN guess WHEN shelf IS NOT NULL AND kn >= 2 THEN shelf ELSE 'Everything else' END AS first FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY size DESC, group_id) AS k, min((-size, group_id)) OVER (PARTITION BY first) AS lead FROM f WHERE size >= 3),
+-- A shelf's name is taken too once a group that lost its vote has it.
+l AS (SELECT shelf AS name, min((-size, group_id)) AS lead FROM o WHERE k > 1 AND shelf IS NOT NULL GROUP BY shelf)
+SELECT f.group_id, f.size, CASE WHEN f.shelf IS NOT NULL AND (o.k > 1 OR l.lead < (-f.size, f.group_id)) THEN f.shelf ELSE f.first END AS category FROM f LEFT JOIN o USING (group_id) LEFT JOIN l ON l.name = f.first AND f.size >= 3""")
 def category_votes(spark, sf_dir):
-    """The category that a group votes for."""
-    return graph.voted(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("value")))
+    """The names that groups vote for, each for one group as far as can be."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    n = F.col("o_orderkey")
+    value = F.when(n % 3 == 1, F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).when(n % 3 == 2, graph.HOLDING)
+    return graph.voted(o.select(F.col("o_custkey").alias("group_id"), value.alias("value"), F.when(n % 4 > 0, F.concat(F.lower("c_mktsegment"), "o_orderstatus")).alias("kind")))
 
 
 @query("WITH " + FIELDS_SQL + ", z AS (SELECT category, count(DISTINCT record_id) AS records FROM fields GROUP BY category HAVING count(DISTINCT record_id) >= 3), u AS (SELECT category, field, count(*) AS uses FROM fields GROUP BY ALL), o AS (SELECT category, field, CASE WHEN uses <= records / 2 THEN 1 ELSE 0 END AS odd FROM u JOIN z USING (category)) SELECT category, record_id, round(avg(odd), 6) AS odd_share FROM fields JOIN o USING (category, field) GROUP BY ALL HAVING round(avg(odd), 6) >= 0.34")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import gate
@@ -93,17 +94,68 @@ def match_kinds(spark, sf_dir):
     return linkage.matched(linkage.ladder_pairs(spellings(spark, sf_dir)))
 
 
-@query("""WITH e AS (SELECT min(p_partkey) AS entity_id, p_name AS name, 'product' AS kind FROM part GROUP BY p_name),
-m AS (SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) ELSE 'nobody at all' END AS name FROM part),
-x AS (SELECT m.*, e.entity_id AS exact_id FROM m LEFT JOIN e ON m.name = e.name),
-f AS (SELECT x.mention_id, min(e.entity_id) AS only_id FROM x JOIN e ON x.exact_id IS NULL AND list_contains(string_split(e.name, ' '), x.name) GROUP BY x.mention_id HAVING count(DISTINCT e.entity_id) = 1)
-SELECT mention_id, coalesce(exact_id, only_id) AS entity_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN only_id IS NOT NULL THEN 'unambiguous' END AS resolved_by FROM x LEFT JOIN f USING (mention_id)""")
+# Persons: a given name from one word of a part's name and a surname from the other; documents are groups of ten parts.
+PEOPLE_SQL = """b AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) AS s FROM part),
+e AS (SELECT row_number() OVER (ORDER BY g, s) AS entity_id, CASE WHEN length(g) % 3 = 0 THEN g || ' h w ' || s WHEN length(g || s) % 5 = 0 THEN g || ' j ' || s ELSE g || ' ' || s END AS name, CASE WHEN length(s) = 6 THEN 'org' ELSE 'person' END AS kind FROM b WHERE length(g) + length(s) <> 8),
+m AS (SELECT p_partkey AS mention_id, p_partkey // 10 AS document_id, CASE p_partkey % 8 WHEN 0 THEN g || ' ' || s WHEN 1 THEN left(g, 1) || ' ' || s WHEN 2 THEN s WHEN 3 THEN g || ' w ' || s WHEN 4 THEN g || ' ' || s || 'x' WHEN 5 THEN g || ' ' || s || ' ii' WHEN 6 THEN 'nobody at all' ELSE '' END AS name, CASE WHEN length(s) = 6 THEN 'org' ELSE 'person' END AS kind FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) AS s FROM part)),
+owned AS (SELECT entity_id, 'mail:' || entity_id AS identifier FROM e WHERE entity_id % 4 = 1), seen AS (SELECT DISTINCT document_id, 'mail:' || (document_id % 40) AS identifier FROM m WHERE document_id % 3 = 0),
+context AS (SELECT x.entity_id, y.entity_id AS other_id FROM e x JOIN e y ON y.entity_id = x.entity_id + 1 OR y.entity_id = x.entity_id + 2)"""
+# The likenesses, over all pairs of a kind: this is the whole ladder without blocking.
+def _likeness_sql(i: int, j: int) -> str:
+    """Jaro-Winkler of the i-th and the j-th word that two names don't share."""
+    a, b = f"ra[{i}]", f"rb[{j}]"
+    return f"(jaro_similarity({a}, {b}) + 0.1 * least(4, len(list_filter(range(1, 5), lambda k: left({a}, k) = left({b}, k) AND length({a}) >= k AND length({b}) >= k))) * (1 - jaro_similarity({a}, {b})))"
+
+
+RESOLVED_SQL = f"WITH {PEOPLE_SQL}" + """, x AS (SELECT m.mention_id, min(e.entity_id) AS entity_id FROM m JOIN e ON m.name = e.name AND m.name <> '' GROUP BY 1),
+rest AS (SELECT * FROM m WHERE name <> '' AND mention_id NOT IN (SELECT mention_id FROM x)),
+own AS (SELECT s.document_id, e.kind, min(entity_id) AS entity_id FROM seen s JOIN owned USING (identifier) JOIN e USING (entity_id) GROUP BY ALL HAVING count(DISTINCT entity_id) = 1),
+i AS (SELECT mention_id, own.entity_id FROM rest JOIN own USING (document_id, kind)),
+n AS (SELECT DISTINCT r.name, r.kind, e.entity_id, e.name AS f, string_split(r.name, ' ') AS wa, string_split(e.name, ' ') AS wb FROM (SELECT DISTINCT name, kind FROM rest) r JOIN e ON e.kind = r.kind AND e.name <> r.name),
+o AS (SELECT *, CASE WHEN len(wa) >= len(wb) THEN wa ELSE wb END AS l, CASE WHEN len(wa) >= len(wb) THEN wb ELSE wa END AS s, CASE WHEN len(wa) = len(wb) THEN list_filter(list_zip(wa, wb), lambda p: p[1] <> p[2]) ELSE [] END AS d,
+ list_filter(wa, lambda w: NOT list_contains(wb, w) AND length(w) > 1) AS ra, list_filter(wb, lambda w: NOT list_contains(wa, w) AND length(w) > 1) AS rb,
+ CASE WHEN len(wa) > 2 THEN list_filter(wa[2:-2], lambda w: length(w) = 1) ELSE [] END AS ia, CASE WHEN len(wb) > 2 THEN list_filter(wb[2:-2], lambda w: length(w) = 1) ELSE [] END AS ib FROM n),
+j AS (SELECT *, jaro_similarity(name, f) AS jaro, least(4, len(list_filter(range(1, 5), lambda k: left(name, k) = left(f, k) AND length(name) >= k AND length(f) >= k))) AS pre FROM o),
+k AS (SELECT *, CASE WHEN len(wa) >= 2 AND len(wb) >= 2 AND wa[-1] IN ('ii', 'iii') AND wb[-1] IN ('ii', 'iii') AND wa[-1] <> wb[-1] THEN NULL
+ WHEN len(s) = 1 AND len(l) > 1 THEN CASE WHEN length(s[1]) >= 3 AND list_contains(l, s[1]) THEN 'surname' END
+ WHEN regexp_matches(' ' || array_to_string(l, ' ') || ' ', array_to_string(list_transform(s, lambda w: ' ' || w || ' '), '(.* )?')) OR (len(s) = 2 AND list_position(l, s[1]) < list_position(l, s[2])) OR (len(s) = 3 AND list_position(l, s[1]) < list_position(l, s[2]) AND list_position(l, s[2]) < list_position(l, s[3])) THEN 'subsequence'
+ WHEN len(wa) = len(wb) AND len(wa) >= 2 AND len(d) > 0 AND len(list_filter(d, lambda p: NOT ((length(p[1]) = 1 AND starts_with(p[2], p[1])) OR (length(p[2]) = 1 AND starts_with(p[1], p[2]))))) = 0 THEN 'initials'
+ WHEN len(wa) >= 2 AND len(d) = 1 AND greatest(length(d[1][1]), length(d[1][2])) >= 4 AND levenshtein(d[1][1], d[1][2]) = 1 THEN 'typo'
+ WHEN jaro + 0.1 * pre * (1 - jaro) >= 0.92 AND (len(ra) = 0 AND len(rb) = 0 OR len(ra) = 1 AND len(rb) = 1 AND §11§ >= 0.82 OR len(ra) = 2 AND len(rb) = 2 AND CASE WHEN greatest(§11§, §22§) >= greatest(§12§, §21§) THEN least(§11§, §22§) ELSE least(§12§, §21§) END >= 0.82) THEN 'similar' END AS match FROM j),
+p AS (SELECT kind, count(*) AS population FROM e GROUP BY kind), h AS (SELECT kind, string_split(name, ' ')[-1] AS surname, count(*) AS sharing FROM e GROUP BY ALL),
+fit AS (SELECT k.name, k.kind, entity_id, match, CASE match WHEN 'subsequence' THEN NOT (len(ia) > 0 AND len(ib) > 0 AND ia <> ib) WHEN 'initials' THEN len(list_filter(wb, lambda w: length(w) = 1)) = 0 WHEN 'surname' THEN false ELSE population >= 12 AND coalesce(sharing, 0) <= 3 END AS decides
+ FROM k JOIN p USING (kind) LEFT JOIN h ON h.kind = k.kind AND h.surname = wa[-1] WHERE match IS NOT NULL AND (match <> 'surname' OR k.kind = 'person')),
+c AS (SELECT mention_id, document_id, entity_id, decides FROM rest JOIN fit USING (name, kind) WHERE mention_id NOT IN (SELECT mention_id FROM i)),
+u AS (SELECT mention_id, min(entity_id) AS entity_id FROM c WHERE decides GROUP BY 1 HAVING count(DISTINCT entity_id) = 1),
+one AS (SELECT *, 'exact' AS how FROM x UNION ALL SELECT *, 'identifier' FROM i UNION ALL SELECT *, 'unambiguous' FROM u),
+beside AS (SELECT DISTINCT document_id, entity_id AS other_id FROM one JOIN m USING (mention_id)),
+two AS (SELECT mention_id, min(c.entity_id) AS entity_id, 'context' AS how FROM c JOIN context USING (entity_id) JOIN beside USING (document_id, other_id) WHERE mention_id NOT IN (SELECT mention_id FROM one) GROUP BY 1 HAVING count(DISTINCT c.entity_id) = 1)
+SELECT m.mention_id, a.entity_id, a.how AS resolved_by FROM m LEFT JOIN (SELECT * FROM one UNION ALL SELECT * FROM two) a USING (mention_id)"""
+for _i, _j in ((1, 1), (2, 2), (1, 2), (2, 1)):
+    RESOLVED_SQL = RESOLVED_SQL.replace(f"§{_i}{_j}§", _likeness_sql(_i, _j))
+
+
+@query(RESOLVED_SQL)
 def resolved_mentions(spark, sf_dir):
     """Mentions and the entities that they mean; what stays open is null."""
     part = table(spark, sf_dir, "part")
-    e = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("kind", F.lit("product"))
-    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise("nobody at all")
-    return linkage.resolved(part.select(F.col("p_partkey").alias("mention_id"), name.alias("name"), F.lit("product").alias("kind")), e)
+    g, s = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    join = lambda *c: F.concat_ws(" ", *c)
+    kind = lambda s: F.when(F.length(s) == 6, "org").otherwise("person")
+    base = part.select(g.alias("g"), s.alias("s")).distinct()
+    name = F.when(F.length("g") % 3 == 0, join("g", F.lit("h w"), "s")).when((F.length("g") + F.length("s")) % 5 == 0, join("g", F.lit("j"), "s")).otherwise(join("g", "s"))
+    # Numbered in order: fewer than a hundred names, whatever the size of the table.
+    numbered = base.where(F.length("g") + F.length("s") != 8).withColumn("entity_id", F.row_number().over(Window.orderBy("g", "s")).cast("long"))
+    entities = numbered.select("entity_id", name.alias("name"), kind(F.col("s")).alias("kind"))
+    n = F.col("p_partkey") % 8
+    said = F.when(n == 0, join(g, s)).when(n == 1, join(F.left(g, F.lit(1)), s)).when(n == 2, s).when(n == 3, join(g, F.lit("w"), s)).when(n == 4, F.concat(g, F.lit(" "), s, F.lit("x"))).when(n == 5, join(g, s, F.lit("ii"))).when(n == 6, "nobody at all").otherwise("")
+    mentions = part.select(F.col("p_partkey").alias("mention_id"), F.expr("p_partkey div 10").alias("document_id"), said.alias("name"), kind(s).alias("kind"))
+    mail = lambda c: F.concat(F.lit("mail:"), c.cast("string")).alias("identifier")
+    owned = entities.where("entity_id % 4 = 1").select("entity_id", mail(F.col("entity_id")))
+    seen = mentions.where("document_id % 3 = 0").select("document_id", mail(F.col("document_id") % 40)).distinct()
+    ids = entities.select("entity_id")
+    context = ids.select("entity_id", F.explode(F.array(F.col("entity_id") + 1, F.col("entity_id") + 2)).alias("other_id")).join(ids.withColumnRenamed("entity_id", "other_id"), "other_id", "left_semi")
+    return linkage.resolved(mentions, entities, (owned, seen), context)
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', -1) AS surname FROM part) SELECT name, surname, count(*) OVER (PARTITION BY surname) AS sharing FROM n""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import messages
+from paperloom.plans.agenda import unique_sql
 from paperloom.plans.reading import table
 from paperloom.registry import query
 
@@ -35,10 +36,10 @@ def attachment_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", messages.attachment_names(raw).alias("names"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS id, trim(substr(regexp_replace(p_name, '\\s+', ' ', 'g'), 1, 70)) AS name FROM part), k AS (SELECT id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS k FROM i) SELECT id, name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.md' AS file FROM k""")
+@query(unique_sql("SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 5 = 1 THEN ' (2).md' ELSE '.md' END AS name FROM part", "regexp_extract(lower(name), '^([a-z]+ [a-z]+)')", ".md").replace("SELECT id, unique_name FROM walk", "SELECT id, unique_name AS file FROM walk"))
 def tool_drafts(spark, sf_dir):
     """Documents from the text items of a tool's result."""
-    text = F.concat(F.lit("\n  Subject: "), "p_name", F.lit("\nmore"))
+    text = F.concat(F.lit("\n  Subject: "), "p_name", F.when(F.col("p_partkey") % 5 == 1, " (2)").otherwise(""), F.lit("\nmore"))
     return messages.drafts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
 
 

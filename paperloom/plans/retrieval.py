@@ -46,33 +46,43 @@ def content_words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.content_words(F.col("text")).alias("words"))
 
 
-@query("""WITH a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score, 0 AS layer FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CAST(n_chars AS DOUBLE), 1 FROM documents WHERE doc_id % 2 = 0), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY layer, score) AS k FROM a)
-SELECT doc_id, layer, score FROM p WHERE k = 1 ORDER BY layer, score, doc_id LIMIT 50""")
+def _layer_sql(name: str, source: str, terms: list[str]) -> str:
+    """The ten best documents of a layer that hold all terms, as a subquery."""
+    return f"{name} AS (SELECT * FROM ({bm25(terms, source)} SELECT doc_id, score FROM scored WHERE matched = {len(terms)} ORDER BY score, doc_id LIMIT 20))"
+
+
+RECORDS = "SELECT doc_id, lang || ' ' || source || ' ' || text AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1"
+
+
+@query("WITH " + _layer_sql("a", RECORDS, ["licensed", "work"]) + ", " + _layer_sql("b", "SELECT doc_id, text FROM documents", ["licensed", "work"]) + """, u AS (SELECT doc_id, score, 0 AS layer FROM a UNION ALL SELECT doc_id, score, 1 FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY layer, score) AS k FROM u)
+SELECT doc_id, layer, score FROM p WHERE k = 1 ORDER BY layer, score, doc_id LIMIT 20""")
 def layered_search(spark, sf_dir):
-    """Hits on records before hits on texts, each document once."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
-    return retrieval.layered([d.where("doc_id % 3 = 0"), d.where("doc_id % 2 = 0")], 50)
+    """The best records by what was understood of them, then the best texts, each document once."""
+    d = table(spark, sf_dir, "documents")
+    understood = d.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.concat_ws(" ", "lang", "source", "text").alias("text"))
+    layers = [retrieval.search(retrieval.index(x), retrieval.corpus(x), ["licensed", "work"]) for x in (understood, d.select("doc_id", "text"))]
+    return retrieval.layered(layers)
 
 
-@query("""WITH m AS (SELECT c_custkey AS entity_id, c_mktsegment AS surface FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT c_custkey AS entity_id, c_name AS name FROM customer)
+@query("""WITH m AS (SELECT c_custkey AS entity_id, c_mktsegment AS surface FROM customer), n AS (SELECT c_custkey AS entity_id, c_name AS name FROM customer)
 SELECT entity_id, name, contains(lower(name), '5') AS direct FROM n WHERE contains(lower(name), '5') UNION SELECT entity_id, name, false FROM n WHERE NOT contains(lower(name), '5') AND entity_id IN (SELECT entity_id FROM m WHERE contains(lower(surface), '5'))""")
 def people_lookup(spark, sf_dir):
     """People by any spelling."""
     c = table(spark, sf_dir, "customer")
     names = c.select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
-    return retrieval.people(names, c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("surface")), "5")
+    return retrieval.people(names, c.select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("surface")), "5")
 
 
-@query("""WITH c AS (SELECT conv_id AS answer_id, 'See d' || (conv_id % 9) || ':e1, d' || (conv_id % 5) || ':e' || (turn % 4) || ' and d' || (conv_id % 9) || ':e1.' AS text FROM conversations WHERE turn = 1),
-t AS (SELECT answer_id, unnest(regexp_extract_all(text, 'd\\d+:e\\d+')) AS token FROM c), u AS (SELECT DISTINCT answer_id, token, CAST(regexp_extract(token, 'd(\\d+)', 1) AS BIGINT) AS document_id, regexp_extract(token, ':(e\\d+)', 1) AS tag FROM t)
-SELECT answer_id, token, document_id, tag, NOT (document_id % 2 = 0 AND document_id < 9 AND tag IN ('e0', 'e1')) AS invented FROM u""")
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS answer_id, text || ' See [d' || (conv_id % 9) || ':e1], (d' || length(text) || ':e' || (turn % 4) || '); D' || (conv_id % 9) || ':E1.' AS text FROM conversations),
+t AS (SELECT answer_id, lower(unnest(regexp_extract_all(text, '(?i)\\bd\\d+:e\\d+'))) AS token FROM c), u AS (SELECT DISTINCT answer_id, token, CAST(regexp_extract(token, 'd(\\d+)', 1) AS BIGINT) AS document_id, regexp_extract(token, ':(e\\d+)', 1) AS tag FROM t)
+SELECT answer_id, token, document_id, tag, NOT (document_id IN (SELECT doc_id FROM documents) AND tag IN ('e0', 'e1')) AS invented FROM u""")
 def verified_citations(spark, sf_dir):
-    """Citations held against the elements that were consulted."""
-    c = table(spark, sf_dir, "conversations").where("turn = 1")
+    """Citations in all turns held against the elements that were consulted."""
+    c = table(spark, sf_dir, "conversations")
     s = lambda x: x.cast("string")
-    text = F.concat(F.lit("See d"), s(F.col("conv_id") % 9), F.lit(":e1, d"), s(F.col("conv_id") % 5), F.lit(":e"), s(F.col("turn") % 4), F.lit(" and d"), s(F.col("conv_id") % 9), F.lit(":e1."))
-    consulted = spark.range(9).where("id % 2 = 0").select(F.col("id").alias("document_id"), F.explode(F.array(F.lit("e0"), F.lit("e1"))).alias("tag"))
-    return retrieval.verified(c.select(F.col("conv_id").alias("answer_id"), text.alias("text")), consulted)
+    text = F.concat("text", F.lit(" See [d"), s(F.col("conv_id") % 9), F.lit(":e1], (d"), s(F.length("text")), F.lit(":e"), s(F.col("turn") % 4), F.lit("); D"), s(F.col("conv_id") % 9), F.lit(":E1."))
+    consulted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit("e0"), F.lit("e1"))).alias("tag"))
+    return retrieval.verified(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), text.alias("text")), consulted)
 
 
 @query("""WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, text, lang, source FROM documents) SELECT rank, doc_id, '[d' || doc_id || ']' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || CASE WHEN rank <= 3 THEN chr(10) || substr(text, 1, 3000) ELSE '' END AS material FROM h WHERE rank <= 10""")
