@@ -240,7 +240,7 @@ def settled(fields: DataFrame, reread: Callable[[DataFrame], DataFrame], limit:
             break
         read = checkpointed(reread(bad).select("category", "record_id", "field"))
         again = read.select("record_id").distinct()
-        fields = checkpointed(fields.join(again, "record_id", "left_anti").union(read))
+        fields = checkpointed(fields.join(again, "record_id", "left_anti").unionByName(read))
         after = coherence(fields).first()[0]
         passes.append((again.count(), before, after))
         if after <= before:

@@ -106,7 +106,7 @@ def test_name_ladder(spark):
 
 
 def test_communities(spark):
-    ties = spark.createDataFrame([(1, 2, 10), (2, 3, 10), (1, 3, 10), (7, 8, 5)], "a long, b long, weight long")
+    ties = spark.createDataFrame([(1, 2, 10, True), (2, 3, 10, True), (1, 3, 10, True), (7, 8, 5, True)], "a long, b long, weight long, binds boolean")
     labels = {r.record_id: r.label for r in graph.communities(ties).collect()}
     assert labels[1] == labels[2] == labels[3] and labels[7] == labels[8] != labels[1]
 
