@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     are a minimum by node and a join, whose hot nodes Spark can split. Loops and repeated edges have no effect; rows with
     a null end are ignored; without edges there are no rows.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, kept = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -23,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(least.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = stored(small, "edges")
-        drop(edges)
-        edges = new
+        edges = stored(small, "edges")
+        if kept is not None:
+            drop(kept)
+        kept = edges
         # Done when all edges are stars: a node with an edge down has one, and none leads to it.
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty():

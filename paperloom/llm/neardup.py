@@ -199,8 +199,8 @@ def _blocks(places: DataFrame) -> DataFrame:
 def _searched(rows: DataFrame, percent: int, schema: str, full: bool) -> DataFrame:
     """Blocks, searched for pairs of different components: by size and by signature; with `full` on the sets too.
 
-    Without `full` the rows that have a partner come back; with it links (a, b), one at most for two components: what a
-    link has joined counts as one component from there on.
+    Without `full` the rows that have a partner come back; with it pairs of components (a, b), each once at most: what has
+    been joined counts as one component from there on.
     """
     least = _least(percent)
 
@@ -210,7 +210,7 @@ def _searched(rows: DataFrame, percent: int, schema: str, full: bool) -> DataFra
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()] if full else None
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found, keep = [], np.zeros(len(node), bool)
+        known, found, keep = component.copy(), [], np.zeros(len(node), bool)
         for x in left:
             y = right[(component[right] != component[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             y = y[node[y] > node[x]] if i == j else y
@@ -223,7 +223,7 @@ def _searched(rows: DataFrame, percent: int, schema: str, full: bool) -> DataFra
                 if component[k] != component[x]:
                     both = _shared(sets[x], sets[k])
                     if 100 * both >= percent * (len(sets[x]) + len(sets[k]) - both):
-                        found.append((node[x], node[k]))
+                        found.append((known[x], known[k]))
                         component[component == component[k]] = component[x]
         if not full:
             return table.filter(pa.array(keep))
@@ -273,13 +273,15 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     joined = components(links)
     mixed = _mixed(grouped.select("bucket", "node", "n"), joined)
     block = "bucket long, i int, j int, own int, node long, n long, component long, brief binary"
-    close = stored(_searched(_blocks(mixed.join(briefs, "node")), percent, block, full=False), "close")
+    close = _searched(_blocks(mixed.join(briefs, "node")), percent, block, full=False)
     more = stored(_searched(close.join(sets, "node"), percent, "a long, b long", full=True).distinct(), "links")
 
-    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    drop(grouped, sets, star, links, joined, mixed, close, more)
-    # Equal sets are one node; a document's component is that of its node.
-    labels = nodes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    # Components of components, then of nodes; equal sets are one node, so a document's component is that of its node.
+    above = components(more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    of = joined.select("node", F.col("component").alias("part"))
+    part = F.coalesce("part", "node").alias("part")
+    labels = nodes.join(of, "node", "left").select("key", part).join(above, "part", "left").select("key", F.coalesce("whole", "part").alias("component_id"))
+    drop(grouped, sets, star, links, mixed, more)
     out = signed.select("id", "n", "key").join(labels, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
