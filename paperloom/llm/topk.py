@@ -114,6 +114,16 @@ def _solved(query: pa.Table, data: pa.Table, needs: np.ndarray, k: int, width: i
     return pa.table({n: np.concatenate(x) for n, x in out.items()})
 
 
+def needed(pivots: np.ndarray, reach: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """[i, j]: whether a query of cell i can have a score of its floor with a vector of cell j, which is
+    p.s + r |s| + R |p| + r R at most (pivots p and s, radii r and R of the cells' queries and vectors)."""
+    norm = np.sqrt((pivots**2).sum(1))
+    r, big = np.maximum(reach, 0)[:, None], np.maximum(radius, 0)[None, :]
+    most = pivots @ pivots.T + r * norm[None, :] + big * norm[:, None] + r * big
+    most += SLACK * (1 + (norm[:, None] + r) * (norm[None, :] + big))
+    return most >= floor[:, None]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int = CELLS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
@@ -186,12 +196,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, cells: int = CELLS
     for r in of.groupBy("cell").agg(F.min(F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))).alias("floor")).collect():
         floor[r["cell"]] = r["floor"]
 
-    # A query of cell i and a vector of cell j have p.q + r |q| + R |p| + r R at most.
-    norm = np.sqrt((pivots**2).sum(1))
-    r, big = np.maximum(reach, 0)[:, None], np.maximum(radius, 0)[None, :]
-    most = pivots @ pivots.T + r * norm[None, :] + big * norm[:, None] + r * big
-    most += SLACK * (1 + (norm[:, None] + r) * (norm[None, :] + big))
-    needs = (most >= floor[:, None]) & (asked[:, None] > 0) & (many[None, :] > 0)
+    needs = needed(pivots, reach, radius, floor)
+    needs[asked == 0], needs[:, many == 0] = False, False
     np.fill_diagonal(needs, False)
 
     # Cells of queries that need much the same data share a task, up to TASK_ROWS queries; a larger cell is split.

@@ -337,9 +337,10 @@ def brute_sketch(text):
 def test_fingerprints(spark, docs):
     got = docs.select("text", fingerprints.sketch(F.col("text")).alias("s")).collect()
     assert all(r.s == brute_sketch(r.text) for r in got)
-    a, b = F.array(*map(F.lit, (1, 2, 3, 4))), F.array(*map(F.lit, (3, 4)))
+    low = [-(1 << 63) + k for k in (1, 2, 3, 4)]
+    a, b = F.array(*map(F.lit, low)), F.array(*map(F.lit, low[2:]))
     r = spark.range(1).select(fingerprints.jaccard(a, b).alias("j"), fingerprints.containment(b, a).alias("c"), fingerprints.merged(F.array(a, b)).alias("m")).first()
-    assert (r.j, r.c, r.m) == (0.5, 1.0, [1, 2, 3, 4])
+    assert (r.j, r.c, r.m) == (0.5, 1.0, low)
 
 
 def test_next_document(spark, docs, empty):
@@ -404,23 +405,245 @@ def test_empty_tables(empty):
     assert bpe.encode(empty, path).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
-    """Each stage on its own input, against brute force."""
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    docs.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
+def plain_score(text, model):
+    """Noisy-or over sentences, word by word."""
+    from paperloom.llm._arrow import prefix_hash, span_hash
+
+    def bucket(word, i):
+        data = np.frombuffer(word, np.uint8)
+        return int(span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0] ^ np.uint64(i)) & ((1 << toxicity.BITS) - 1)
+
+    clean = 1.0
+    for sentence in re.split(rb"(?<=[\n!.?])", (text or "").encode()):
+        words = re.findall(rb"[a-z'\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), sentence))
+        if words:
+            features = {bucket(w, 0) for w in words} | {bucket(w[:n], i) for i, n in enumerate(toxicity.STEMS, 1) for w in words if len(w) > n}
+            clean *= 1 - 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + sum(float(model.weights[f]) for f in features)))))
+    return 1 - clean
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage on its own input, against brute force: a trained model scored word by word, links on full sets, strings of
+    50 bytes, and pieces that make up each document's tokens."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocabulary, bad = [f"term{i}" for i in range(300)], ["scoundrel", "fiend"]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    passage, made = say(60), []
+    for i in range(240):
+        text = say(rng.randint(20, 120)) + ". " + say(12) + "."
+        if i % 5 == 0:
+            text += f" {say(4)} {rng.choice(bad)} {say(4)}."
+        elif i % 7 == 0:
+            text += " " + passage
+        made.append((i, text))
+    made += [(300 + i, made[i][1]) for i in range(20)] + [(330 + i, made[i][1] + " tail") for i in range(20)] + [(400, None), (401, ""), (402, "é" * 90), (403, "one"), (1, made[1][1])]
+    table = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(any(w in (t or "") for w in bad))) for i, t in made[:200]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     source = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    clean = corpus_pipeline.clean(spark, source, str(tmp_path))
-    assert clean.columns == corpus_pipeline.COLUMNS and clean.count() == source.count()
+
+    model = toxicity.fit(toxicity.sample(source, spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    kept = corpus_pipeline.clean(spark, source, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, t in made if plain_score(t, model) < corpus_pipeline.TOXIC)
+    left = {r.doc_id for r in kept}
+    assert not left & {i for i in range(240) if i % 5 == 0} and left >= {i for i in range(240) if i % 5}
+
     distinct = corpus_pipeline.distinct(spark, source, str(tmp_path))
-    table = [(r.doc_id, jaccard_sets(r.text, 5)) for r in distinct.collect()]
-    for i, s in table:
-        assert not any(j < i and s and b and 100 * len(s & b) >= 80 * len(s | b) for j, b in table)
+    sets = [(i, jaccard_sets(t, 5)) for i, t in made]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    assert sorted(r.doc_id for r in distinct.collect()) == sorted(i for i, _ in made if find(i) == i)
+
     whole = corpus_pipeline.unrepeated(spark, source, str(tmp_path))
-    assert whole.columns == corpus_pipeline.COLUMNS and whole.count() == source.count()
-    assert all(r.n_chars == len(r.text) for r in whole.collect())
+    assert whole.columns == corpus_pipeline.COLUMNS
+    least: dict[bytes, int] = {}
+    for i, t in made:
+        data = (t or "").encode()
+        for k in range(len(data) - 49):
+            least[data[k : k + 50]] = min(i, least.get(data[k : k + 50], i))
+    expected = []
+    for i, t in made:
+        data, gone = (t or "").encode(), set()
+        for k in range(len(data) - 49):
+            if least[data[k : k + 50]] < i:
+                gone.update(range(k, k + 50))
+        at, out = 0, ""
+        for c in t or "":
+            size = len(c.encode())
+            out += "" if all(x in gone for x in range(at, at + size)) else c
+            at += size
+        expected.append((i, out, "en", "src", len(out)))
+    assert rows(whole, *corpus_pipeline.COLUMNS) == sorted(expected, key=repr)
+
+    library = Tokenizer.from_file(bpe.named("byte_bpe_50k.json"))
+    pieces: dict[int, list] = {}
+    for r in corpus_pipeline.packed(spark, source.where("doc_id <> 1"), str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, t in made:
+        if i != 1:
+            ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+            assert sorted(pieces[i])[0][0] == 0 and sum(n for _, n, _ in pieces[i]) == len(ids)
+            assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in pieces[i])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "packing"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= left & {i for i, _ in made if find(i) == i}
+
+    (tmp_path / "none").mkdir()
+    source.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scores_and_the_bound_of_the_sample(spark):
+    rng = random.Random(7)
+    made = [(i, " ".join(rng.choices(["Able", "baker's", "Çedille", "delta", "fiend"], k=rng.randint(1, 30))).replace("delta", "delta. ")) for i in range(300)]
+    df = spark.createDataFrame([(i, t, int("fiend" in t and i % 2)) for i, t in made], "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    model = toxicity.fit(toxicity.sample(df, labels))
+    for r in toxicity.score(df, model).collect():
+        assert abs(r.score - plain_score(r.text, model)) < 1e-9
+    twice = df.union(df)
+    assert toxicity.sample(twice, labels).count() == toxicity.sample(df, labels).count() < 300
+    few = toxicity.sample(df, labels, limit=2_000).collect()
+    assert 0 < sum(len(r.text.encode()) for r in few) <= 2_000 and toxicity.sample(df, labels, rows=7).count() == 7
+
+
+def test_fingerprint_query(spark, docs, tmp_path):
+    """All columns of the query, by a second implementation of the hash."""
+    source = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).cache()
+    source.write.parquet(str(tmp_path / "documents.parquet"))
+    table = [(r.doc_id, r.text or "") for r in source.orderBy("doc_id").collect()]
+
+    def likeness(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    expected = []
+    for k, (i, t) in enumerate(table):
+        after = table[(k + 1) % len(table)][1]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        own, other = brute_sketch(t), brute_sketch(edited)
+        text = lambda s: ",".join(f"{x & (1 << 64) - 1:X}" for x in s)
+        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(own), text(other), likeness(own, other), likeness(own, brute_sketch(after))))
+    got = queries.op3_fingerprints(spark, str(tmp_path))
+    assert rows(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == sorted(expected, key=repr)
+
+
+def test_sketch_of_a_union(spark, docs):
+    """A hash above the threshold stands for a text only where no other is below."""
+    one = [t for _, t in texts() if t and len(brute_sketch(t)) == 1 and brute_sketch(t)[0] >= -(1 << 63) + (1 << 61)]
+    many = next(t for _, t in texts() if t and len(brute_sketch(t)) > 3)
+    df = spark.createDataFrame([(one[0], many), (one[0], one[-1]), (many, many), ("", one[0])], "a string, b string")
+    for r in df.select("a", "b", fingerprints.merged(F.array(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))).alias("m")).collect():
+        whole = sorted({*brute_sketch(r.a), *brute_sketch(r.b)})
+        assert r.m == ([x for x in whole if x < -(1 << 63) + (1 << 61)] or whole[:1])
+
+
+def test_ranges_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    table = [(rng.choice([None, 5, *range(-400, 400)]), f"t{k % 90}") for k in range(300)]
+    order = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = sorted(((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)), key=repr)
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("part", F.lit("clash"))
+    assert rows(fingerprints.with_next(df, "doc_id", "text", {}), "doc_id", "text", "next_text") == expected
+
+
+def test_cells_that_bounds_rule_out(spark):
+    """On clusters most cells are not needed, the result is exact, and shorter vectors count as filled up with zeros."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16)) * 4
+    points = np.concatenate([c + rng.normal(size=(60, 16)) * 0.05 for c in centres])
+    near = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+    radius = np.array([np.sqrt(((points[near == j] - centres[j]) ** 2).sum(1)).max() for j in range(12)])
+    floor = np.array([np.sort((points[near == j] @ points[near == j].T), 1)[:, -6].min() for j in range(12)])
+    needs = topk.needed(centres, radius, radius, floor)
+    scores = points @ points.T
+    for i in range(12):
+        for j in np.flatnonzero(~needs[i]):
+            assert scores[np.ix_(near == i, near == j)].max() < floor[i]
+    assert needs.sum() < 12 * 12 / 3
+    table = {i: [float(x) for x in p] for i, p in enumerate(points)} | {9000: [3.0], 9050: []}
+    df = topk.scaled(spark.createDataFrame(list(table.items()), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    whole = {i: np.array([math.floor(256 * x) for x in v] + [0] * (16 - len(v))) for i, v in table.items()}
+    expected = []
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        expected += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert rows(topk.top_k(df.where("id % 50 = 0"), df, cells=12), "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
+def test_foreign_archive_and_false_revisit(spark, tmp_path):
+    import io
+
+    info = warc.member({"WARC-Type": "warcinfo", "Content-Type": "application/warc-fields"}, b"software: x\r\n\r\n")
+    http = b"HTTP/1.1 200 OK\r\n\r\n\x1f\x8bbody\r\n\r\n"
+    other = warc.member({"WARC-Type": "response", "Content-Type": "application/http;msgtype=response", "WARC-Block-Digest": "md5:abc"}, http)
+    (tmp_path / "a.warc.gz").write_bytes(info + other)
+    got = warc.read(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 1)], "path string, extra int")).collect()
+    assert [(r.record_type, bytes(r.payload), r.verified) for r in got] == [("warcinfo", b"software: x\r\n\r\n", None), ("response", b"\x1f\x8bbody\r\n\r\n", None)]
+    for wrong in (b"abc" + b"\r\n", b""):
+        import zlib as z
+
+        press = z.compressobj(4, z.DEFLATED, 31)
+        data = press.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\n" + wrong) + press.flush()
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(data)))
+    rows_of = [(1, "response", None, "D", 4, b"abcd", True), (2, "revisit", 1, "D", 4, None, True), (3, "revisit", 1, "D", 5, None, True), (4, "revisit", 9, "D", 4, None, True), (1, "response", None, "D", 4, b"abcd", True)]
+    df = spark.createDataFrame(rows_of, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, verified boolean")
+    assert rows(warc.checked(df), "page_id", "verified") == sorted([(1, True), (1, True), (2, True), (3, False), (4, False)], key=repr)
+
+
+def test_archives_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
+    df = spark.createDataFrame([(i, f"http://a/{i}", "x" * i) for i in range(20)], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    manifest = warc.write(warc.assigned(df).coalesce(1))
+    assert manifest.count() > 1 and sorted(r.page_id for r in warc.read(manifest).collect()) == list(range(20))
+
+
+def test_strings_across_batches(spark, docs, monkeypatch):
+    """Strings that end one batch and begin the next, tables of few bytes, and windows dealt to several passes."""
+    plain = rows(substring.remove_repeats(docs, window=5), "doc_id", "n_removed", "kept"), rows(suffix.remove_repeats(docs), "doc_id", "n_removed", "n_spans", "kept")
+    monkeypatch.setattr(substring, "TABLE_BYTES", 300)
+    monkeypatch.setattr(suffix, "TABLE_BYTES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = rows(substring.remove_repeats(docs, window=5), "doc_id", "n_removed", "kept"), rows(suffix.remove_repeats(docs), "doc_id", "n_removed", "n_spans", "kept")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain
+
+
+def test_long_and_odd_urls(spark):
+    df = spark.createDataFrame([(1, "http://host/" + "a/ü🙂" * 40_000), (2, "http://" + "h" * 90_000), (2, "http://x"), (3, "http://\n/a")], "page_id long, url string")
+    bias, weights = urls.train()
+    for r in urls.judge(df).collect():
+        u = r.host + r.path
+        z = bias + sum(weights[sum(f * ord(c) for f, c in zip(urls.FACTORS, u[i : i + 3], strict=True)) % urls.BUCKETS] for i in range(len(u) - 2))
+        assert abs(r.log_odds - z / urls.SCALE) < 1e-9
+
+
+def test_bpe_of_marks_and_new_code_points(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.named("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["a\x00b c", "\x01", "x\x01y\x00\x00 end", "before \U0003fffe after the word", "\u0378 one two\u0378 three", "don't\x00stop it's", "é\x00É ß", None, "", "a\x00b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    for r in bpe.encode(df, path).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text or "", add_special_tokens=False).ids
 
 
 def test_query_columns(spark):
