@@ -110,3 +110,72 @@ def from_bottom_left(box: Column) -> Column:
 def centre_within(box: Column, left: float, top: float, right: float, bottom: float) -> Column:
     x, y = box["x"] + box["width"] / 2, box["y"] + box["height"] / 2
     return x.between(left, right) & y.between(top, bottom)
+
+
+#: Parts into which a page's width is cut to look for a gutter, where it may lie, and how many must be free.
+BINS, FIRST_BIN, LAST_BIN, FREE_BINS = 100, 25, 75, 3
+LINE = 0.012
+
+
+def gutters(boxes: DataFrame) -> DataFrame:
+    """page_id and gutter: where the widest run of free parts in the middle of a page is, if it is wide enough. Of equal
+    ones the leftmost counts; a run that reaches the end of the middle is one part shorter."""
+    low, high = F.greatest(F.lit(0), (F.col("x") * BINS).cast("int")), F.least(F.lit(BINS - 1), ((F.col("x") + F.col("width")) * BINS).cast("int"))
+    spans = boxes.select("page_id", F.greatest(low, F.lit(FIRST_BIN)).alias("low"), F.least(high, F.lit(LAST_BIN)).alias("high"))
+    bins = spans.select("page_id", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high")).otherwise(F.array(F.lit(-1)))).alias("bin"))
+    taken = bins.groupBy("page_id").agg(F.array_sort(F.collect_set(F.when(F.col("bin") >= 0, F.col("bin")))).alias("taken"))
+    before = lambda i: F.coalesce(F.get("taken", i - 1), F.lit(FIRST_BIN - 1))
+    run = lambda width, k, at: F.struct(width.cast("int").alias("width"), (-k).cast("int").alias("k"), at.cast("double").alias("at"))
+    inner = F.transform("taken", lambda end, i: run(end - before(i) - 1, i, (before(i) + 1 + end) / 2.0 / BINS))
+    start = F.coalesce(F.try_element_at("taken", F.lit(-1)), F.lit(FIRST_BIN - 1)) + 1
+    last = run(F.lit(LAST_BIN) - start, F.size("taken"), start / BINS + (F.lit(LAST_BIN) - start) / 2.0 / BINS)
+    best = F.array_max(F.concat(inner, F.array(last)))
+    return taken.select("page_id", best.alias("best")).where(F.col("best.width") >= FREE_BINS).select("page_id", F.col("best.at").alias("gutter"))
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """page_id, position and place (from 1) of elements (page_id, position, x, y, width), with the column that each is in.
+
+    On a page with a gutter and two elements at least on either side: what spans it and stands above the left column, the
+    left column, the right one, and what else spans it, each from the top. Otherwise in lines, from left to right; a line
+    ends where the next element begins LINE lower than the one before. Pages of up to three elements, or with an element
+    without a box, stay as they are.
+    """
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull()
+    page = Window.partitionBy("page_id")
+    rows = boxes.withColumn("whole", (F.count(F.lit(1)).over(page) > 3) & F.min(whole).over(page))
+    rows = rows.join(gutters(rows.where("whole")), "page_id", "left")
+    right_edge = F.col("x") + F.col("width")
+    side = F.when((F.col("x") < F.col("gutter")) & (right_edge > F.col("gutter")), 0).when(right_edge <= F.col("gutter"), 1).when(F.col("gutter").isNotNull(), 2)
+    rows = rows.withColumn("side", side)
+    count = lambda k: F.sum((F.col("side") == k).cast("int")).over(page)
+    rows = rows.withColumn("two", F.coalesce(F.col("whole") & (count(1) >= 2) & (count(2) >= 2), F.lit(False)))
+    top = F.min(F.when(F.col("side") == 1, F.col("y"))).over(page)
+    column = F.when(F.col("two") & (F.col("side") == 0), F.when(F.col("y") < top, 0).otherwise(3)).when(F.col("two"), F.col("side")).otherwise(0)
+    down = page.orderBy("y", "x", "position")
+    lower = F.when(F.col("y") - F.lag("y").over(down) >= LINE, 1).otherwise(0)
+    rows = rows.withColumns({"column": column, "lower": lower})
+    line = F.sum("lower").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    keep = ~F.col("whole")
+    first = F.when(keep, F.lit(0.0)).when(F.col("two"), F.col("y")).otherwise(F.col("line").cast("double"))
+    second = F.when(keep | F.col("two"), F.lit(0.0)).otherwise(F.col("x"))
+    rows = rows.withColumn("line", line).withColumns({"first": first, "second": second})
+    place = F.row_number().over(page.orderBy("column", "first", "second", "position"))
+    return rows.select("page_id", "position", place.alias("place"), "column")
+
+
+def tabular(glyphs: DataFrame, bucket: float = 12.0) -> DataFrame:
+    """page_id of pages whose glyphs (page_id, line, position, x, width, in points) look like a table: three edges of columns
+    at least fall into one bucket. An edge is a glyph three times as wide as the line's median, or the end of such a gap.
+    Lines of up to eight glyphs, or of up to four that have a width, have no edges; 300 glyphs of a line are looked at.
+    """
+    line = Window.partitionBy("page_id", "line")
+    rows = glyphs.withColumn("n", F.count(F.lit(1)).over(line)).withColumn("k", F.row_number().over(line.orderBy("position"))).where("n > 8 AND k <= 300 AND width > 0")
+    widths = rows.groupBy("page_id", "line").agg(F.array_sort(F.collect_list("width")).alias("w")).where(F.size("w") > 4)
+    typical = widths.select("page_id", "line", F.get("w", F.floor(F.size("w") / 2).cast("int")).alias("typical"))
+    before = F.lag(F.col("x") + F.col("width")).over(line.orderBy("position"))
+    rows = rows.withColumn("before", before).join(typical, ["page_id", "line"])
+    wide, gap = F.col("width") > F.col("typical") * 3, F.col("x") - F.col("before") > F.col("typical") * 3
+    edge = F.when(wide, F.col("x") + F.col("width")).when(gap, F.col("x"))
+    edges = rows.select("page_id", (edge / bucket).cast("long").alias("bucket")).where("bucket IS NOT NULL").groupBy("page_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return edges.where("n >= 3").select("page_id").distinct()

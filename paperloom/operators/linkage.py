@@ -101,7 +101,8 @@ def matched(pairs: DataFrame, nicknames: Column | None = None) -> DataFrame:
     cheap = N.match_kind(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0), nicknames)
     barred = N.generations_differ(F.col("a"), F.col("b")) | N.numbers_contradict(F.col("a"), F.col("b")) | ((F.size(N.words(F.col("a"))) == 1) != (F.size(N.words(F.col("b"))) == 1))
     columns = pairs.columns
-    pairs = pairs.withColumn("match", cheap).withColumn("barred", F.coalesce(barred, F.lit(False)))
+    # Written once: filters on the rung would work it out again for each test.
+    pairs = checkpointed(pairs.withColumn("match", cheap).withColumn("barred", F.coalesce(barred, F.lit(False))))
     near = (N.similarity(F.col("a"), F.col("b")) >= N.SIMILAR) & (N.distinguishing_similarity(F.col("a"), F.col("b")) >= N.DISTINGUISHING)
     rest = pairs.where("match IS NULL AND NOT barred").withColumn("match", F.when(near, "similar"))
     return pairs.where("match IS NOT NULL").select(*columns, "match").union(rest.where("match IS NOT NULL").select(*columns, "match"))

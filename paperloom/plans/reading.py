@@ -187,3 +187,46 @@ def cited_anchors(spark, sf_dir):
     n, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
     cited = F.when(kind == 0, F.concat(F.lit("[E"), n, F.lit("]."))).when(kind == 1, F.concat(F.lit(" “e"), n, F.lit("” "))).when(kind == 2, F.concat(F.lit("e "), n)).otherwise(F.concat("lang", n))
     return table(spark, sf_dir, "documents").select("doc_id", T.anchor(cited).alias("anchor"))
+
+
+BOXES_SQL = "b AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, CASE WHEN l_partkey % 9 = 0 THEN 0.05 WHEN l_partkey % 2 = 0 THEN 0.05 + (l_suppkey % 5) / 100.0::DOUBLE ELSE 0.55 + (l_suppkey % 7) / 100.0::DOUBLE END AS x, CASE WHEN l_orderkey % 50 = 7 AND l_linenumber = 2 THEN NULL ELSE l_quantity / 60.0::DOUBLE END AS y, CASE WHEN l_partkey % 9 = 0 THEN 0.9 ELSE 0.3 + (l_suppkey % 12) / 100.0::DOUBLE END AS width FROM lineitem)"
+
+
+def boxes_of(spark, sf_dir):
+    """Boxes of the elements of pages: a page an order, an element a line of it."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n, s = F.col("l_partkey"), F.col("l_suppkey")
+    x = F.when(n % 9 == 0, 0.05).when(n % 2 == 0, 0.05 + (s % 5) / 100.0).otherwise(0.55 + (s % 7) / 100.0)
+    y = F.when(~((F.col("l_orderkey") % 50 == 7) & (F.col("l_linenumber") == 2)), F.col("l_quantity") / 60.0)
+    width = F.when(n % 9 == 0, 0.9).otherwise(0.3 + (s % 12) / 100.0)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.row_number().over(order).alias("position"), x.alias("x"), y.alias("y"), width.alias("width"))
+
+
+@query("WITH " + BOXES_SQL + """, w AS (SELECT *, count(*) OVER p > 3 AND count(y) OVER p = count(*) OVER p AS whole FROM b WINDOW p AS (PARTITION BY page_id)),
+o AS (SELECT page_id, list_sort(list_distinct(list(k) FILTER (WHERE k >= 0))) AS t FROM (SELECT page_id, unnest(CASE WHEN lo <= hi THEN range(lo, hi + 1) ELSE [-1] END) AS k FROM (SELECT page_id, greatest(25, CAST(trunc(x * 100) AS INT)) AS lo, least(75, CAST(trunc((x + width) * 100) AS INT)) AS hi FROM w WHERE whole)) GROUP BY 1),
+r AS (SELECT page_id, unnest(list_transform(range(1, len(t) + 2), lambda i: {'k': i, 'a': CASE WHEN i = 1 THEN 25 ELSE t[i - 1] + 1 END, 'e': CASE WHEN i <= len(t) THEN t[i] ELSE 75 END})) AS f FROM (SELECT page_id, coalesce(t, []) AS t FROM o)),
+g AS (SELECT page_id, arg_max((f.a + f.e) / 2.0::DOUBLE / 100, (f.e - f.a, -f.k)) AS gutter, max(f.e - f.a) AS free FROM r GROUP BY 1),
+s AS (SELECT w.*, CASE WHEN x < gutter AND x + width > gutter THEN 0 WHEN x + width <= gutter THEN 1 WHEN gutter IS NOT NULL THEN 2 END AS side FROM w LEFT JOIN (SELECT * FROM g WHERE free >= 3) g USING (page_id)),
+c AS (SELECT *, coalesce(whole AND count(*) FILTER (WHERE side = 1) OVER p >= 2 AND count(*) FILTER (WHERE side = 2) OVER p >= 2, false) AS two, min(y) FILTER (WHERE side = 1) OVER p AS top, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y NULLS FIRST, x NULLS FIRST, position) >= 0.012 THEN 1 ELSE 0 END AS lower FROM s WINDOW p AS (PARTITION BY page_id)),
+l AS (SELECT *, sum(lower) OVER (PARTITION BY page_id ORDER BY y NULLS FIRST, x NULLS FIRST, position ROWS UNBOUNDED PRECEDING) AS line, CASE WHEN two AND side = 0 THEN CASE WHEN y < top THEN 0 ELSE 3 END WHEN two THEN side ELSE 0 END AS "column" FROM c)
+SELECT page_id, position, row_number() OVER (PARTITION BY page_id ORDER BY "column", CASE WHEN NOT whole THEN 0 WHEN two THEN y ELSE line END, CASE WHEN NOT whole OR two THEN 0 ELSE x END, position) AS place, "column" FROM l""")
+def reading_orders(spark, sf_dir):
+    """Elements in the order in which a page of one or two columns is read."""
+    return elements.reading_order(boxes_of(spark, sf_dir))
+
+
+GLYPHS_SQL = "g AS (SELECT l_suppkey AS page_id, l_orderkey % 40 AS line, l_orderkey * 8 + l_linenumber AS position, (l_orderkey // 40 % 60) * 9 + l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN l_partkey % 5 * 40 ELSE 0 END AS x, CASE WHEN l_partkey % 17 = 0 THEN 0 WHEN l_partkey % 31 = 0 THEN 30 ELSE 5 + l_partkey % 3 END::DOUBLE AS width FROM lineitem)"
+
+
+@query("WITH " + GLYPHS_SQL + """, n AS (SELECT *, count(*) OVER (PARTITION BY page_id, line) AS n, row_number() OVER (PARTITION BY page_id, line ORDER BY position, x, width) AS k FROM g), r AS (SELECT * FROM n WHERE n > 8 AND k <= 300 AND width > 0),
+t AS (SELECT page_id, line, list_sort(list(width))[len(list(width)) // 2 + 1] AS typical FROM r GROUP BY ALL HAVING count(*) > 4), e AS (SELECT r.*, typical, lag(x + width) OVER (PARTITION BY page_id, line ORDER BY k) AS before FROM r JOIN t USING (page_id, line)),
+c AS (SELECT page_id, CAST(trunc(CASE WHEN width > 3 * typical THEN x + width WHEN x - before > 3 * typical THEN x END / 12.0) AS BIGINT) AS bucket FROM e)
+SELECT DISTINCT page_id FROM (SELECT page_id, bucket FROM c WHERE bucket IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)""")
+def tabular_pages(spark, sf_dir):
+    """Pages whose glyphs look like a table."""
+    n, page = F.col("l_partkey"), F.col("l_suppkey")
+    order = Window.partitionBy("page_id", "line").orderBy("at", "x", "width")
+    x = (F.expr("l_orderkey div 40 % 60") * 9 + F.col("l_linenumber") + F.when(page % 3 == 0, n % 5 * 40).otherwise(0)).cast("double")
+    width = F.when(n % 17 == 0, 0).when(n % 31 == 0, 30).otherwise(5 + n % 3).cast("double")
+    glyphs = table(spark, sf_dir, "lineitem").select(page.alias("page_id"), (F.col("l_orderkey") % 40).alias("line"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), x.alias("x"), width.alias("width"))
+    return elements.tabular(glyphs.withColumn("position", F.row_number().over(order)))
