@@ -151,6 +151,19 @@ def citations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"d\d+:e\d+"), F.lit(0))
 
 
+def cited(cite: Column) -> tuple[Column, Column]:
+    """Document id and anchor of a citation d<document>:<anchor>, with or without brackets; null where there is none."""
+    parts = F.split(F.regexp_replace(cite, r"^[ \[\]()]+|[ \[\]()]+$", ""), ":", 2)
+    reference = F.lower(F.regexp_replace(F.get(parts, F.lit(0)), r"^\s+|\s+$", ""))
+    id = F.when(F.size(parts) == 2, F.regexp_extract(reference, r"^d?(\d{1,18})$", 1))
+    return F.nullif(id, F.lit("")).cast("long"), F.when(F.size(parts) == 2, F.nullif(F.get(parts, F.lit(1)), F.lit("")))
+
+
+def owned_anchors(text: Column, document_id: Column) -> Column:
+    """A text whose anchors [e<n>] carry their document too: [d<document>:e<n>]."""
+    return F.regexp_replace(text, F.lit(r"\[(e\d+)\]"), F.concat(F.lit("[d"), document_id.cast("string"), F.lit(":$1]")))
+
+
 def plural(word: Column) -> Column:
     w = F.lower(word)
     ies = F.concat(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("ies"))

@@ -20,8 +20,9 @@ READERS = {
 FURNITURE = ("pageHeader", "pageFooter", "pageNumber")
 
 
-def added_once(df: DataFrame, hash: str, id: str) -> DataFrame:
-    """The first arrival of each content and how often it arrived."""
+def added_once(df: DataFrame, hash: str, id: str, size: str | None = None) -> DataFrame:
+    """The first arrival of each content and how often it arrived; contents without bytes (column `size`) are rejected."""
+    df = df.where(F.col(size) > 0) if size else df
     return df.groupBy(hash).agg(F.min(id).alias(id), F.count(F.lit(1)).alias("arrivals")).select(id, hash, "arrivals")
 
 

@@ -208,6 +208,13 @@ def vocabulary(fields: DataFrame, top: int = 14) -> DataFrame:
     return uses.withColumn("place", place).where(F.col("place") <= top)
 
 
+def recent_vocabulary(fields: DataFrame, records: int = 80, top: int = 14) -> DataFrame:
+    """Field names in use where no category is known: the `top` ones of the latest `records` by id."""
+    latest = fields.select("record_id").distinct().orderBy(F.desc("record_id")).limit(records)
+    uses = fields.join(F.broadcast(latest), "record_id").groupBy("field").agg(F.count(F.lit(1)).alias("uses"))
+    return uses.orderBy(F.desc("uses"), "field").limit(top)
+
+
 def divergent(fields: DataFrame) -> DataFrame:
     """Records (category, record_id, field) of which a third of the names aren't settled, in categories of three records
     at least. A name is settled if more than half of its category's records have it."""

@@ -76,7 +76,7 @@ def material(hits: DataFrame, records: DataFrame, texts: DataFrame, excerpts: in
     """One text a hit (doc_id, rank), in order: its fields sorted by name, and an excerpt for the first ones."""
     fields = records.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(": "), "value"))), "\n").alias("fields"))
     rows = hits.join(fields, "doc_id", "left").join(texts, "doc_id")
-    body = F.when(F.col("rank") <= excerpts, F.substring("text", 1, characters))
+    body = F.when(F.col("rank") <= excerpts, F.substring(T.owned_anchors(F.col("text"), F.col("doc_id")), 1, characters))
     head = F.concat(F.lit("[d"), F.col("doc_id").cast("string"), F.lit("]"))
     return rows.select("rank", "doc_id", F.concat_ws("\n", head, "fields", body).alias("material")).orderBy("rank")
 

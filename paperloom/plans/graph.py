@@ -163,6 +163,12 @@ def field_vocabulary(spark, sf_dir):
     return graph.vocabulary(fields(spark, sf_dir))
 
 
+@query("WITH " + FIELDS_SQL + ", r AS (SELECT DISTINCT record_id FROM fields ORDER BY record_id DESC LIMIT 80) SELECT field, count(*) AS uses FROM fields SEMI JOIN r USING (record_id) GROUP BY field ORDER BY uses DESC, field LIMIT 14")
+def recent_field_vocabulary(spark, sf_dir):
+    """field names of the latest records, where there is no category."""
+    return graph.recent_vocabulary(fields(spark, sf_dir))
+
+
 @query("WITH " + FIELDS_SQL + ", n AS (SELECT category, record_id, count(*) AS n FROM fields GROUP BY ALL) SELECT category, arg_min(record_id, (-n, record_id)) AS record_id, max(n) AS fields FROM n GROUP BY category")
 def exemplars(spark, sf_dir):
     """the record of a category with most fields."""

@@ -22,10 +22,11 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hash.alias("sha256"), F.concat_ws("/", F.substring(hash, 1, 2), hash, name).alias("vault_path"))
 
 
-@query("""SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS arrivals FROM documents GROUP BY sha256(text)""")
+@query("""SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS arrivals FROM documents WHERE length(text) > 0 GROUP BY sha256(text)""")
 def idempotent_add(spark, sf_dir):
-    """A content is added once, however often it arrives."""
-    return elements.added_once(table(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256)), "sha256", "doc_id")
+    """A content is added once, however often it arrives; an empty one is not."""
+    d = table(spark, sf_dir, "documents").withColumns({"sha256": F.sha2("text", 256), "size": F.octet_length("text")})
+    return elements.added_once(d, "sha256", "doc_id", "size")
 
 
 @query("""WITH n AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.jpeg' WHEN 2 THEN 'c.m4a' WHEN 3 THEN 'd.eml' WHEN 4 THEN 'e.xlsx' WHEN 5 THEN 'f.docx' WHEN 6 THEN 'g.md' WHEN 7 THEN 'h.xyz' ELSE 'none' END AS name FROM documents),

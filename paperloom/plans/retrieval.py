@@ -74,7 +74,7 @@ def people_lookup(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id * 1000 + turn AS answer_id, text || ' See [d' || (conv_id % 9) || ':e1], (d' || length(text) || ':e' || (turn % 4) || '); D' || (conv_id % 9) || ':E1.' AS text FROM conversations),
-t AS (SELECT answer_id, lower(unnest(regexp_extract_all(text, '(?i)\\bd\\d+:e\\d+'))) AS token FROM c), u AS (SELECT DISTINCT answer_id, token, CAST(regexp_extract(token, 'd(\\d+)', 1) AS BIGINT) AS document_id, regexp_extract(token, ':(e\\d+)', 1) AS tag FROM t)
+t AS (SELECT answer_id, unnest(regexp_extract_all(text, 'd\\d+:e\\d+')) AS token FROM c), u AS (SELECT DISTINCT answer_id, token, CAST(regexp_extract(token, 'd(\\d+)', 1) AS BIGINT) AS document_id, regexp_extract(token, ':(e\\d+)', 1) AS tag FROM t)
 SELECT answer_id, token, document_id, tag, NOT (document_id IN (SELECT doc_id FROM documents) AND tag IN ('e0', 'e1')) AS invented FROM u""")
 def verified_citations(spark, sf_dir):
     """Citations in all turns held against the elements that were consulted."""
@@ -135,3 +135,14 @@ def comparable_texts(spark, sf_dir):
     """What a document is about, title and kind three times."""
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", *[title, F.col("lang")] * 3, F.lit("source"), "source", "text").alias("comparable"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '[d' || doc_id || ':e1]' WHEN 1 THEN ' (D' || doc_id || ':e2) ' WHEN 2 THEN doc_id || ':e3' WHEN 3 THEN 'd' || doc_id ELSE lang || ':x:y' END AS cite FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN doc_id END AS document_id, CASE doc_id % 5 WHEN 0 THEN 'e1' WHEN 1 THEN 'e2' WHEN 2 THEN 'e3' WHEN 4 THEN 'x:y' END AS tag, 'See [d' || doc_id || ':e' || doc_id || '], [e], [d1:e2].' AS rewritten FROM c""")
+def citation_parts(spark, sf_dir):
+    """Citations taken apart, and anchors that carry their document."""
+    n, id = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    cite = F.when(n == 0, F.concat(F.lit("[d"), id, F.lit(":e1]"))).when(n == 1, F.concat(F.lit(" (D"), id, F.lit(":e2) "))).when(n == 2, F.concat(id, F.lit(":e3"))).when(n == 3, F.concat(F.lit("d"), id)).otherwise(F.concat("lang", F.lit(":x:y")))
+    document, tag = T.cited(cite)
+    rewritten = T.owned_anchors(F.concat(F.lit("See [e"), id, F.lit("], [e], [d1:e2].")), F.col("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", document.alias("document_id"), tag.alias("tag"), rewritten.alias("rewritten"))
