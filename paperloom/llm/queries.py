@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, neardup, packing, substring, suffix, topk, toxicity, urls, warc
+from paperloom.llm import bpe, fingerprints, infill, neardup, packing, substring, suffix, topk, toxicity, urls, warc, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,9 +138,47 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.doc_id"""
 
 
+def op12_wordbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.named("byte_bpe_multi_50k.tiktoken")
+    encoded = wordbpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    decoded = wordbpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm=50)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM u),
+k AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM c),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+ coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup)}
+    named = (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup, op12_wordbpe, op13_infill)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL}
+    return {"op2_topk": OP2_SQL, "op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL, "op13_infill": OP13_SQL}
