@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, infill, neardup, packing, substring, suffix, topk, toxicity, urls, warc, wordbpe
+from paperloom.llm import bpe, fingerprints, infill, neardup, negatives, packing, substring, suffix, topk, toxicity, urls, warc, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,6 +138,27 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component ON node = d.doc_id"""
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id", "embedding", "label")
+    return negatives.mine(rows.where("id % 50 = 0"), rows, positives=5, negatives=3, low=50, high=95)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3"""
+
+
 def op12_wordbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.named("byte_bpe_multi_50k.tiktoken")
     encoded = wordbpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
@@ -176,9 +197,9 @@ FROM f"""
 
 
 def queries() -> dict:
-    named = (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup, op12_wordbpe, op13_infill)
+    named = (op1_toxicity, op2_topk, op3_fingerprints, op4_warc, op5_substring, op6_suffix, op7_packing, op8_bpe, op9_urls, op10_neardup, op11_negatives, op12_wordbpe, op13_infill)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL, "op13_infill": OP13_SQL}
+    return {"op2_topk": OP2_SQL, "op9_urls": urls.oracle(), "op5_substring": OP5_SQL, "op10_neardup": OP10_SQL, "op11_negatives": OP11_SQL, "op13_infill": OP13_SQL}
