@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ BREADTH = 5
 OWNER_RECORDS, OWNER_SHARE, OWNER_MARGIN = 8, 0.30, 1.25
 ALIKE, STRONG, TEXT_WEIGHT = 0.14, 0.30, 400
 HOLDING = "Everything else"
+#: Texts, and terms of texts, in a block whose vectors travel together; the partial scores of two blocks are one matrix.
+BLOCK_TEXTS, BLOCK_TERMS = 2048, 1 << 20
+#: Products that one vectorized pass holds.
+STEP = 1 << 21
 
 
 def reach(links: DataFrame) -> DataFrame:
@@ -82,43 +87,101 @@ def ties(links: DataFrame, records: DataFrame, texts: DataFrame | None = None) -
 
 def alike(texts: DataFrame, least: float = ALIKE, considered: int | None = None) -> DataFrame:
     """Pairs a < b of texts (id, text) with the cosine of their weighted terms, where it reaches `least`. All words of a text
-    count, or those of its first `considered` characters.
+    count, or those of its first `considered` characters. Null and empty texts, and ids that are null, have no pairs; rows
+    with equal ids are one text.
 
-    Terms of one text or of more than half of them count for nothing. Pairs are made by the first term that two texts have
-    in common, rarest first: the terms from there on must have a length of `least` at least in both, so the frequent terms
-    at the end of a text, which would make most pairs, make none. No pair is lost.
+    Terms of one text or of more than half of them count for nothing. Vectors are dealt to blocks of BLOCK_TEXTS texts and
+    BLOCK_TERMS terms, and each pair of blocks is a task, so that a vector travels once for a block and not for each pair.
+    How a task finds its pairs says `_near`; none is lost.
     """
-    counts = texts.select("id", F.explode(T.terms(F.col("text"), considered)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = texts.where(F.col("id").isNotNull()).select("id", F.explode(T.terms(F.col("text"), considered)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = texts.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where("df > 1 AND df / n <= 0.5")
     weighted = counts.join(df, "term").withColumn("w", F.col("tf") * F.log(F.col("n") / F.col("df")))
     # Terms of a text in order of df, then of the term: the same order in all texts.
-    item = F.struct("df", "term", "w")
+    item = F.struct("df", F.xxhash64("term").alias("key"), "w")
     vectors = weighted.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = F.transform("t", lambda x: F.struct(F.xxhash64(x["term"]).alias("key"), (x["w"] / F.col("norm")).alias("w")))
-    vectors = checkpointed(vectors.select("id", F.transform(unit, lambda x: x["key"]).alias("keys"), F.transform(unit, lambda x: x["w"]).alias("ws")))
-    places = vectors.select("id", F.posexplode("keys").alias("i", "key"), "ws")
-    rest = F.aggregate(F.slice("ws", F.col("i") + 1, F.size("ws")), F.lit(0.0), lambda s, w: s + w * w)
-    heads = places.where(rest >= least * least * (1 - 1e-9)).select("id", "key")
-    pairs = heads.withColumnRenamed("id", "a").join(heads.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    side = lambda n: vectors.select(F.col("id").alias(n), F.col("keys").alias(f"keys_{n}"), F.col("ws").alias(f"ws_{n}"))
-
-    def cosines(batches):
-        for batch in batches:
-            out = []
-            for ka, wa, kb, wb in zip(*(_slices(batch.column(c)) for c in ("keys_a", "ws_a", "keys_b", "ws_b")), strict=True):
-                _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-                out.append(float(wa[i] @ wb[j]))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "cosine"])
-
+    vectors = checkpointed(vectors.select("id", F.col("t.key").alias("keys"), F.transform("t", lambda x: x["w"] / F.col("norm")).alias("ws")))
+    many, terms = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    blocks = max(1, -(-many // BLOCK_TEXTS), -(-terms // BLOCK_TERMS))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    a = dealt.withColumnRenamed("block", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1).cast("long"))))
+    b = dealt.withColumnRenamed("block", "j").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))))
+    # Columns of their own: a cogroup takes those that both sides share for one.
+    a, b = (df.select(*(F.col(c).alias(c) for c in ("i", "j", "id", "keys", "ws"))) for df in (a, b))
     id = texts.schema["id"].dataType.simpleString()
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "keys_a", "ws_a", "keys_b", "ws_b")
-    return both.mapInArrow(cosines, f"a {id}, b {id}, cosine double").where(F.col("cosine") >= least)
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(lambda x, y: _near(x, y, least), f"x {id}, y {id}, cosine double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
 
+def _near(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
+    """Pairs x, y of texts of two blocks (id, keys, ws, i, j) with a cosine of `least` and more; of equal blocks, each pair once.
 
-def _slices(column: pa.ListArray) -> list[np.ndarray]:
-    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
-    return np.split(values, ends[:-1]) if len(ends) else []
+    Scores are accumulated over lists of the texts that have a term, rarest terms first. What two texts can still gain from
+    a term on is the product of the lengths of the rest of both, so a term is counted only for texts whose rests make half
+    of `least` or more: lists are in order of the rest, and what a text meets is the beginning of a list. All that isn't
+    counted adds less than half of `least`; pairs whose partial score doesn't reach the other half are dropped, and the
+    cosine of those few left is worked out whole.
+    """
+    half = least / 2
+    nothing = left.schema.field("id").type if left.num_rows else pa.null()
+    empty = pa.table({"x": pa.nulls(0, nothing), "y": pa.nulls(0, nothing), "cosine": pa.nulls(0, pa.float64())})
+    if not left.num_rows or not right.num_rows:
+        return empty
+    same = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+    x, y = (t.take(pc.sort_indices(t.column("id"))) for t in (left, right))
+
+    def lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, key, weight and length of the rest, for each term of each text in its order."""
+        keys, ws = t.column("keys").combine_chunks(), t.column("ws").combine_chunks().flatten().to_numpy()
+        sizes = keys.value_lengths().to_numpy()
+        text, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+        before = np.append(0, np.cumsum(ws * ws))
+        return text, keys.flatten().to_numpy(), ws, np.sqrt(np.maximum(before[ends][text] - before[:-1], 0))
+
+    (tx, kx, wx, rx), (ty, ky, wy, ry) = lists(x), lists(y)
+    common = np.intersect1d(kx, ky)
+    # Terms that only one side has are of no use; the others are numbered.
+    cx, cy = np.isin(kx, common), np.isin(ky, common)
+    tx, wx, rx, kx = tx[cx], wx[cx], rx[cx], np.searchsorted(common, kx[cx])
+    ty, wy, ry, ky = ty[cy], wy[cy], ry[cy], np.searchsorted(common, ky[cy])
+    order = np.lexsort((-ry, ky))
+    by_rest = ky[order] * 2.0 + 1 - ry[order]
+    begin = np.searchsorted(ky[order], kx)
+    until = np.searchsorted(by_rest, kx * 2.0 + 1 - np.minimum(half / np.maximum(rx, 1e-12), 1.5) + 1e-9, "right")
+    times = np.maximum(until - begin, 0)
+    partial = np.zeros((x.num_rows, y.num_rows))
+    flat, done = partial.reshape(-1), np.cumsum(times)
+    lo = 0
+    while lo < len(times):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + STEP, "right")))
+        n = times[lo:hi]
+        entry = order[np.repeat(begin[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.add.at(flat, np.repeat(tx[lo:hi], n) * y.num_rows + ty[entry], np.repeat(wx[lo:hi], n) * wy[entry])
+        lo = hi
+    i, j = np.nonzero(partial >= least - half - 1e-9)
+    if same:
+        i, j = i[i < j], j[i < j]
+    del partial, flat
+    # Whole cosines: the terms of x looked up among those of y.
+    first, sizes = np.searchsorted(tx, np.arange(x.num_rows)), np.bincount(tx, minlength=x.num_rows)
+    place = ty * np.int64(len(common) + 1) + ky
+    by_place = np.argsort(place)
+    place = place[by_place]
+    out = [empty]
+    lo, done = 0, np.cumsum(sizes[i])
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + STEP, "right")))
+        n = sizes[i[lo:hi]]
+        entry = np.repeat(first[i[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        asked = np.repeat(j[lo:hi], n) * np.int64(len(common) + 1) + kx[entry]
+        at = np.minimum(np.searchsorted(place, asked), max(len(place) - 1, 0))
+        product = np.where(place[at] == asked, wx[entry] * wy[by_place[at]], 0.0)
+        cosine = np.bincount(np.repeat(np.arange(hi - lo), n), product, hi - lo)
+        keep = cosine >= least
+        out.append(pa.table({"x": x.column("id").take(pa.array(i[lo:hi][keep])), "y": y.column("id").take(pa.array(j[lo:hi][keep])), "cosine": cosine[keep]}))
+        lo = hi
+    return pa.concat_tables(out)
 
 
 def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
