@@ -1,53 +1,97 @@
-"""Full-text retrieval over an inverted index, answer material and verified citations."""
+"""Full-text retrieval over a stemmed inverted index, answer material and verified citations."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import names as N
 from paperloom.functions import text as T
+from paperloom.functions.stems import stem
+from paperloom.session import kept_table
 
 K1, B = 1.2, 0.75
+#: What parts words.
+SPLIT = r"[^\p{L}\p{M}\p{N}]+"
+
+
+class Index(NamedTuple):
+    """postings (doc_id, length, token, tf), vocabulary (token, term: its stem), corpus (one row: n documents, mean length)."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    corpus: DataFrame
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text in lower case without diacritic marks."""
+    return F.filter(F.split(N.folded(text), SPLIT), lambda w: w != "")
+
+
+def query_terms(query: str) -> list[str]:
+    """The distinct stems of a query's words."""
+    folded = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    return sorted({stem(w) for w in re.split(r"[\W_]+", folded) if w})
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """The inverted index (doc_id, term, tf, length) of texts (doc_id, text). Write it once, filter it by term often."""
-    tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    rows = docs.select("doc_id", tokens.alias("tokens"))
-    return rows.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def index(docs: DataFrame) -> Index:
+    """The inverted index of texts (doc_id, text). Null texts count as empty ones, which are documents of length 0; rows with
+    a null id have no place in it. Stems are worked out once for each distinct word, not for each occurrence."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    postings = rows.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
+    return Index(postings, _vocabulary(postings), rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")))
 
-def scored(postings: DataFrame, corpus: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents with any of the terms: how many match, and the BM25 score (smaller is better, as in SQLite).
 
-    `postings` is an index, `corpus` one row (n, mean) of the number of documents and their mean length. Only the
-    postings of the query's terms are read.
-    """
-    hit = postings.where(F.col("term").isin(terms))
+def _vocabulary(postings: DataFrame) -> DataFrame:
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(stem, batch.column(0).to_pylist()), pa.string())], names=["token", "term"])
+
+    return postings.select("token").distinct().mapInArrow(stems, "token string, term string")
+
+
+def written(docs: DataFrame, name: str) -> Index:
+    """The index as tables in the shared folder, made where they aren't there yet. Postings are in order of their words and
+    the vocabulary in that of its stems, so that a query reads a few row groups of each."""
+    made = index(docs)
+    postings = kept_table(f"{name}-postings", lambda: made.postings.repartitionByRange("token").sortWithinPartitions("token"), docs.sparkSession)
+    vocabulary = kept_table(f"{name}-vocabulary", lambda: _vocabulary(postings).repartitionByRange("term").sortWithinPartitions("term"), docs.sparkSession)
+    return Index(postings, vocabulary, kept_table(f"{name}-corpus", lambda: made.corpus, docs.sparkSession))
+
+
+def scored(index: Index, terms: list[str]) -> DataFrame:
+    """Documents with any word of the stems `terms`: how many of them match, and the BM25 score (smaller is better, as in
+    SQLite). Only the words of these stems and their postings are read."""
+    words = index.vocabulary.where(F.col("term").isin(terms))
+    hit = index.postings.join(words, "token").groupBy("doc_id", "length", "term").agg(F.sum("tf").alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(F.broadcast(corpus))
+    rows = hit.join(F.broadcast(df), "term").join(F.broadcast(index.corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), (-F.sum(part)).alias("score"))
 
 
-def corpus(docs: DataFrame) -> DataFrame:
-    tokens = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(tokens).alias("mean"))
-
-
-def search(postings: DataFrame, corpus: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
-    """The best documents that hold all terms."""
-    found = scored(postings, corpus, terms).where(F.col("matched") == len(set(terms)))
+def search(index: Index, query: str, limit: int = 20) -> DataFrame:
+    """The best documents that hold a form of each word of the query; none for a query without words."""
+    terms = query_terms(query)
+    found = scored(index, terms).where(F.col("matched") == len(terms))
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(limit)
 
 
-def retrieve(postings: DataFrame, corpus: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
-    """The best documents that hold all terms or, if there are none, any of them."""
-    found = scored(postings, corpus, terms)
-    best = found.agg(F.max((F.col("matched") == len(set(terms))).cast("int")).alias("all"))
-    rows = found.join(F.broadcast(best)).where((F.col("all") == 0) | (F.col("matched") == len(set(terms))))
+def retrieve(index: Index, query: str, limit: int = 10) -> DataFrame:
+    """The best documents that hold a form of each word of the query or, if there are none, of any."""
+    terms = query_terms(query)
+    found = scored(index, terms)
+    best = found.agg(F.max((F.col("matched") == len(terms)).cast("int")).alias("all"))
+    rows = found.join(F.broadcast(best)).where((F.col("all") == 0) | (F.col("matched") == len(terms)))
     return rows.select("doc_id", "matched", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(limit)
 
 

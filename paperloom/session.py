@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +46,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_table(name: str, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The table of this application by that name: read if it is there whole, else built and written."""
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/kept-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
