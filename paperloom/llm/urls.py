@@ -13,26 +13,48 @@ from pyspark.sql import functions as F
 #: (host, path, verdict). Fixed values of the contract.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: Host and path of invented urls, and whether they are to be blocked.
-LABELLED = (
-    *((x, 0) for x in (
-        "news.morning-post.example/world/2023/index.html", "www.city-library.example/opening-hours", "docs.gardening.example/soil/compost.html",
-        "blog.slow-cooking.example/2021/bread", "www.river-museum.example/exhibits/12", "m.weather-report.example/today", "wiki.birdwatch.example/en/heron",
-        "www.town-council.example/minutes/2020/04", "lectures.physics-notes.example/optics/3", "archive.old-maps.example/de/77", "shop.bookbinder.example/paper",
-        "www.health-service.example/advice/sleep", "blog.hiking-club.example/routes/9.html", "forum.woodwork.example/thread/5512", "www.school-choir.example/concerts",
-        "ththre.example.net/en/825", "www.thering.example.net/en/148.html", "blog.thernd.example.net/de/612", "m.thertion.example.net/fr/10", "therat.example.net/es/32",
-        "www.theren.example.com/en/992", "ththth.example.com/en/464", "blog.thonan.example.com/es/340", "therha.example.com/en/676", "m.therea.example.com/en/860",
-    )),
-    *((x, 1) for x in (
-        "www.cheap-pills.example/buy/now", "cheap-meds.example/order-pills", "free-bets.example/bonus/spin", "casino-bonus.example/free-spins", "m.win-prizes.example/claim",
-        "www.hot-singles.example/chat", "xxx-videos.example/watch/88", "adult-cams.example/live", "fast-loans.example/apply-now", "payday-cash.example/instant",
-        "replica-watches.example/sale", "cheap-replica.example/buy", "free-casino.example/slots/777", "poker-bets.example/bonus", "account-verify.example/login/secure",
-        "secure-login-update.example/bank/verify", "win-free-phone.example/prize", "miracle-diet-pills.example/order", "online-casino.example/jackpot", "sports-bets.example/odds/free",
-        "www.cheap-pills.example.com/en/460", "m.free-bets.example.com/de/216", "cheap-pills.example.net/fr/12", "free-bets.example.net/en/93", "www.casino-slots.example.net/es/7",
-    )),
-)
-
-BUCKETS = 1024
+#: Words of sites that are to be blocked, by kind: those that go first in a name and those that follow.
+BLOCKED = {
+    "gambling": ("casino lucky jackpot mega royal betting poker slots spin bonus vegas roulette free", "slots bet bets win wins casino jackpot poker spins bonus roulette club play"),
+    "pharmacy": ("cheap generic online discount quick rx diet order best canada", "meds pills pill pharmacy tablets drugs viagra slim dose cure"),
+    "adult": ("adult sexy hot naked xxx live erotic mature private wild", "cams cam videos chat singles dating tube girls porn x"),
+    "tracking": ("ads ad track click banner pixel promo popup affiliate traffic", "server track tracker tracking clicks counter network redirect exchange pixels"),
+    "farms": ("spam link backlink seo clone scrape keyword doorway bulk fake", "farm farms links factory network blast boost mill spam ranks"),
+    "phishing": ("secure account verify login update signin wallet bank unlock confirm", "login verify account update alert support billing recovery wallet check"),
+}
+#: Words of plain sites, in the same two places.
+PLAIN = {
+    "press": ("morning evening daily city river north harbour village weekly open", "news post times herald gazette journal review record letter report"),
+    "learning": ("history garden music physics language science art library museum school", "notes lectures archive guide courses lessons wiki books reader club"),
+    "home": ("bread kitchen wood paper cloth tea stone bicycle bird tree", "shop blog forum house works pages studio letters society diary"),
+    "public": ("town county health weather transport water parish forest coast road", "council service office board authority trust centre map maps union"),
+}
+#: Letters of which invented words are made: plain sites whose names mean nothing.
+SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+ENDINGS = ("example.com", "example.net", "site.test", "page.test")
+FRONTS = ("", "www.", "m.", "blog.", "")
+BLOCKED_PATHS = ("/buy/now", "/en/{}", "/click?id={}", "/de/{}.html", "/free/{}", "/", "/fr/{}", "/login", "/offer-{}", "/es/{}")
+PLAIN_PATHS = ("/world/{}.html", "/en/{}", "/de/{}.html", "/about", "/fr/{}", "/2021/{}/notes", "/", "/es/{}", "/wiki/page-{}", "/opening-hours")
+
+
+def labelled(each: int = 30, invented: int = 160) -> tuple[tuple[str, int], ...]:
+    """Host and path of made-up urls, and whether they are to be blocked (1): `each` of every kind, and `invented` ones of
+    syllables. Names join two words by a hyphen, by nothing, or the other way round."""
+    rows = []
+    for label, kinds, paths in ((1, BLOCKED, BLOCKED_PATHS), (0, PLAIN, PLAIN_PATHS)):
+        for k, (first, second) in enumerate(kinds.values()):
+            x, y = first.split(), second.split()
+            for i in range(each):
+                a, b = x[(i * 7 + k) % len(x)], y[(i * 3 + i // len(y) + k) % len(y)]
+                name = (f"{a}-{b}", f"{a}{b}", f"{b}-{a}", f"{a}-{b}")[i % 4]
+                rows.append((FRONTS[(i + k) % 5] + f"{name}.{ENDINGS[(i + i // 4) % 4]}" + paths[(i * 3 + k) % 10].format(i * 37 + k), label))
+    for i in range(invented):
+        name = "".join(SYLLABLES[(i * (1 + j * j) + i // (3 + 4 * j)) % len(SYLLABLES)] for j in range(2 + i % 3))
+        rows.append((FRONTS[i % 5] + f"{name}.{ENDINGS[(i + i // 4) % 4]}" + PLAIN_PATHS[(i * 3) % 10].format(i * 41), 0))
+    return tuple(rows)
+
+
+BUCKETS = 4096
 #: Factors of the three characters of an n-gram in its bucket's number.
 FACTORS = (7919, 131, 17)
 #: Scores are whole numbers so that their sum doesn't depend on the order: one unit is 1/SCALE of log odds.
@@ -44,19 +66,20 @@ def _bucket(gram: str) -> int:
 
 
 @functools.lru_cache(4)
-def train(labelled: tuple = LABELLED, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[int, tuple[int, ...]]:
+def train(rows: tuple = labelled(), steps: int = 200, rate: float = 1.0, ridge: float = 5e-4) -> tuple[int, tuple[int, ...]]:
     """(bias, weight of each bucket) in units of 1/SCALE, from a few hundred labelled urls (host and path, 0 or 1)."""
-    rows = [([_bucket(u[i : i + 3]) for i in range(len(u) - 2)], y) for u, y in labelled]
-    w, b = [0.0] * BUCKETS, -1.0
+    grams = [([_bucket(u[i : i + 3]) for i in range(len(u) - 2)], y) for u, y in rows]
+    used = sorted({g for gs, _ in grams for g in gs})
+    w, b = dict.fromkeys(used, 0.0), -1.0
     for _ in range(steps):
-        slope = [-ridge * x for x in w]
-        for grams, y in rows:
-            z = b + sum(w[g] for g in grams)
-            off = (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) / len(rows)
-            for g in grams:
+        slope = {g: -ridge * x for g, x in w.items()}
+        for gs, y in grams:
+            z = b + sum(map(w.__getitem__, gs))
+            off = (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) / len(grams)
+            for g in gs:
                 slope[g] += off
-        w = [x + rate * s for x, s in zip(w, slope, strict=True)]
-    return round(b * SCALE), tuple(round(x * SCALE) for x in w)
+        w = {g: x + rate * slope[g] for g, x in w.items()}
+    return round(b * SCALE), tuple(round(w.get(g, 0.0) * SCALE) for g in range(BUCKETS))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
