@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.session import checkpointed
+from paperloom.session import checkpointed, dropped, new_table
 
 HUB_SHARE, HUB_SHARE_LARGE, LARGE, HUB_RECORDS, HUB_REACH = 0.6, 0.35, 20, 5, 3
 BREADTH = 5
@@ -21,6 +21,8 @@ ALIKE, STRONG, TEXT_WEIGHT = 0.14, 0.30, 400
 HOLDING = "Everything else"
 #: Texts, and terms of texts, in a block whose vectors travel together; the partial scores of two blocks are one matrix.
 BLOCK_TEXTS, BLOCK_TERMS = 2048, 1 << 20
+#: Ties of a component that is swept in one task; larger ones are swept in waves.
+TASK_TIES = 1 << 22
 #: Products that one vectorized pass holds.
 STEP = 1 << 21
 
@@ -187,13 +189,14 @@ def _near(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
 def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
     """record_id and label: in order of ids, each record takes the label of most weight among its neighbours, ties to the
     smallest, if a neighbour with that label is bound to it, sweep after sweep until nothing changes. `ties` are pairs a, b
-    with weight and binds (see `ties`). A label is the id of a record; records without ties are not listed.
+    with weight and binds (see `ties`), each pair once; rows with a null in them and those that tie a record to itself count
+    for nothing. A label is the id of a record; records without ties are not listed.
 
-    Components are apart from each other and are swept independently, each in one task, since the rule is sequential: a
-    label depends on those just given to smaller ids.
+    Components are apart from each other. Those of TASK_TIES ties at most are swept in one task each; a larger one is swept
+    by all tasks, in waves (`swept`).
     """
-    both = ties.select("a", "b", "weight", "binds").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "binds"))
-    both = checkpointed(both)
+    ties = ties.where("a <> b AND weight IS NOT NULL AND binds IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long"), "weight", "binds")
+    both = checkpointed(ties.union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "binds")))
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component"))
     while True:
         step = both.join(label.select(F.col("a").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
@@ -205,29 +208,74 @@ def communities(ties: DataFrame, sweeps: int = 20) -> DataFrame:
         label = new
         if same:
             break
+    members = both.join(label, "a")
+    large = checkpointed(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * TASK_TIES).select("component"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int, bool]]] = {}
-        for a, b, w, binds in pdf[["a", "b", "weight", "binds"]].itertuples(index=False):
-            near.setdefault(a, []).append((b, w, binds))
-        labels = {a: a for a in near}
+        pdf = pdf.sort_values(["a", "b"])
+        ids, begin = np.unique(pdf["a"].to_numpy(), return_index=True)
+        ends = np.append(begin[1:], len(pdf)).tolist()
+        near, weight, binds = np.searchsorted(ids, pdf["b"].to_numpy()), pdf["weight"].to_numpy(), pdf["binds"].to_numpy()
+        labels = np.arange(len(ids))
         for _ in range(sweeps):
             moved = False
-            for a in sorted(near):
+            for a, (lo, hi) in enumerate(zip(begin.tolist(), ends, strict=True)):
                 votes: dict[int, int] = {}
                 bound = set()
-                for b, w, binds in near[a]:
-                    votes[labels[b]] = votes.get(labels[b], 0) + w
-                    if binds:
-                        bound.add(labels[b])
+                for x, w, tied in zip(labels[near[lo:hi]].tolist(), weight[lo:hi].tolist(), binds[lo:hi].tolist(), strict=True):
+                    votes[x] = votes.get(x, 0) + w
+                    if tied:
+                        bound.add(x)
                 best = min(votes, key=lambda x: (-votes[x], x))
                 if best in bound and best != labels[a]:
                     labels[a], moved = best, True
             if not moved:
                 break
-        return pd.DataFrame({"record_id": list(labels), "label": list(labels.values())})
+        return pd.DataFrame({"record_id": ids, "label": ids[labels]})
 
-    return both.join(label, "a").groupBy("component").applyInPandas(sweep, "record_id long, label long")
+    done = members.join(large, "component", "left_anti").groupBy("component").applyInPandas(sweep, "record_id long, label long")
+    if not large.isEmpty():
+        done = done.union(swept(members.join(large, "component", "left_semi").select("a", "b", "weight", "binds"), sweeps)[0])
+    return done
+
+
+def swept(both: DataFrame, sweeps: int = 20) -> tuple[DataFrame, int, int]:
+    """Labels (record_id, label) as `communities` gives them, the number of waves of a sweep, and that of sweeps; `both` has
+    each tie in both directions.
+
+    A record needs the labels that smaller neighbours have got in this sweep, and those that larger ones had before. So all
+    records without smaller neighbours are decided at once, then those whose smaller neighbours all are, and so on: the wave
+    of a record is one more than the last of its smaller neighbours'. Every wave is a join of its records' ties with the
+    labels, and an aggregate; no task holds a component. Waves are as many as the longest chain of ties with rising ids.
+    """
+    spark = both.sparkSession
+    down = both.where("b < a").select("a", "b")
+    wave = checkpointed(both.select("a").distinct().withColumn("wave", F.lit(0)))
+    while True:
+        above = down.join(wave.select(F.col("a").alias("b"), F.col("wave").alias("before")), "b").groupBy("a").agg((F.max("before") + 1).alias("after"))
+        new = checkpointed(wave.join(above, "a", "left").select("a", F.coalesce("after", "wave").alias("wave"), F.coalesce(F.col("after") > F.col("wave"), F.lit(False)).alias("moved")))
+        moved = new.agg(F.max("moved")).first()[0]
+        dropped(wave)
+        wave = new.drop("moved")
+        if not moved:
+            break
+    # Ties by wave, so that a wave reads its own only.
+    path = new_table(spark)
+    both.join(wave, "a").repartition("wave", F.pmod(F.xxhash64("a"), F.lit(spark.sparkContext.defaultParallelism))).write.partitionBy("wave").parquet(path)
+    tied = spark.read.schema("a long, b long, weight long, binds boolean, wave int").parquet(path)
+    labels = checkpointed(wave.select("a", F.col("a").alias("label"), F.lit(0).alias("changed")))
+    waves, done = [r[0] for r in wave.select("wave").distinct().orderBy("wave").collect()], 0
+    for done in range(1, sweeps + 1):
+        for k in waves:
+            votes = tied.where(F.col("wave") == k).join(labels.select(F.col("a").alias("b"), F.col("label").alias("vote")), "b").groupBy("a", "vote").agg(F.sum("weight").alias("weight"), F.max("binds").alias("binds"))
+            best = votes.groupBy("a").agg(F.min_by(F.struct("vote", "binds"), F.struct(-F.col("weight"), "vote")).alias("best")).where("best.binds").select("a", "best.vote")
+            new = labels.join(best, "a", "left").select("a", F.coalesce("vote", "label").alias("label"), F.when(F.col("vote") != F.col("label"), F.lit(done)).otherwise(F.col("changed")).alias("changed"))
+            new = checkpointed(new)
+            dropped(labels)
+            labels = new
+        if labels.where(F.col("changed") == done).isEmpty():
+            break
+    return labels.select(F.col("a").alias("record_id"), "label"), len(waves), done
 
 
 def voted(groups: DataFrame, least: int = 3) -> DataFrame:

@@ -40,14 +40,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder(spark.sparkContext.applicationId)
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of `df`: its rows from a table in the shared folder, written once (a checkpoint computes them twice)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of checkpointed tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept_table(name: str, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
     """The table of this application by that name: read if it is there whole, else built and written."""
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/kept-{name}"

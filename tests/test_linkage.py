@@ -114,12 +114,12 @@ def test_findings(spark):
     assert [(r.document_id, r.findings) for r in top] == [(1, 5)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_communities_as_a_loop(spark, seed):
+@pytest.mark.parametrize("seed, waves", [(1, True), (2, False), (3, False)])
+def test_communities_as_a_loop(spark, monkeypatch, seed, waves):
     rng = random.Random(seed)
     ties = {}
-    for _ in range(160):
-        a, b = sorted(rng.sample(range(70), 2))
+    for _ in range(50 if waves else 160):
+        a, b = sorted(rng.sample(range(24 if waves else 70), 2))
         ties[a, b] = (rng.randint(1, 4), rng.random() < 0.7)
     near = {}
     for (a, b), (w, binds) in ties.items():
@@ -136,8 +136,13 @@ def test_communities_as_a_loop(spark, seed):
                 labels[a] = best
         if labels == before:
             break
-    df = spark.createDataFrame([(a, b, w, x) for (a, b), (w, x) in ties.items()], "a long, b long, weight long, binds boolean")
+    rows = [(a, b, w, x) for (a, b), (w, x) in ties.items()]
+    df = spark.createDataFrame([*rows, (1, 1, 9, True), (1, None, 9, True), (1, 2, None, True)], "a long, b long, weight long, binds boolean")
     assert {r.record_id: r.label for r in graph.communities(df).collect()} == labels
+    if waves:
+        monkeypatch.setattr(graph, "TASK_TIES", 20)
+        assert {r.record_id: r.label for r in graph.communities(df).collect()} == labels
+        assert graph.communities(df.limit(0)).count() == 0
 
 
 def test_names_of_groups(spark):
