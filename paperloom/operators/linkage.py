@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
 from paperloom.functions import text as T
-from paperloom.session import checkpointed
+from paperloom.session import checkpointed, dropped
 
 
 def _across() -> Column:
@@ -114,28 +114,32 @@ def same_thing(pairs: DataFrame) -> DataFrame:
     shorter = F.when(F.length("a") >= F.length("b"), F.col("b")).otherwise(F.col("a"))
     score = T.trigram_dice(longer, shorter)
     why = F.when(N.short_form(longer, shorter), "short form").when(score >= N.MERGE, "alike")
-    return pairs.select(longer.alias("longer"), shorter.alias("shorter"), why.alias("why")).where("why IS NOT NULL")
+    return pairs.select(longer.alias("longer"), shorter.alias("shorter"), why.alias("why"), *(c for c in pairs.columns if c not in ("a", "b"))).where("why IS NOT NULL")
 
 
-def merged(names: DataFrame, same: DataFrame) -> DataFrame:
+def merged(names: DataFrame, same: DataFrame, kind: str | None = None) -> DataFrame:
     """Each name with its `keeper`: names in order of length (longest first, ties alphabetical) absorb all later ones that
     are the same thing (longer, shorter) and that no name before has absorbed; a name that was absorbed absorbs nothing.
+    With `kind`, names of each kind by themselves. Repeated names are one; null names keep none and have none.
 
     Decided in rounds, each a join: a name is absorbed once the first of its neighbours before it that may still absorb is
     a keeper, and keeps its place once none is left. Rounds are as many as the longest chain of such decisions.
     """
+    keys = [kind] if kind else []
     order = lambda c: F.struct((-F.length(c)).alias("n"), c.alias("name"))
     x, y = F.col("longer"), F.col("shorter")
-    edges = same.select(F.least(order(x), order(y)).alias("before"), F.greatest(order(x), order(y)).alias("after"))
-    edges = checkpointed(edges.select(F.col("before.name").alias("before"), F.col("after.name").alias("after")).distinct())
-    state = checkpointed(names.select("name", F.lit(None).cast("string").alias("keeper")).distinct())
+    edges = same.select(F.least(order(x), order(y)).alias("before"), F.greatest(order(x), order(y)).alias("after"), *keys)
+    edges = checkpointed(edges.select(F.col("before.name").alias("before"), F.col("after.name").alias("after"), *keys).distinct())
+    state = checkpointed(names.where("name IS NOT NULL").select("name", *keys, F.lit(None).cast("string").alias("keeper")).distinct())
     while state.where("keeper IS NULL").limit(1).count():
-        known = state.select(F.col("name").alias("before"), F.col("keeper").alias("of"))
+        known = state.select(F.col("name").alias("before"), F.col("keeper").alias("of"), *keys)
         # Neighbours that were absorbed no longer count.
-        rest = edges.join(known, "before").where("of IS NULL OR of = before")
-        first = rest.groupBy(F.col("after").alias("name")).agg(F.min_by(F.struct("before", "of"), order(F.col("before"))).alias("first"))
+        rest = edges.join(known, ["before", *keys]).where("of IS NULL OR of = before")
+        first = rest.groupBy(F.col("after").alias("name"), *keys).agg(F.min_by(F.struct("before", "of"), order(F.col("before"))).alias("first"))
         new = F.when(F.col("first").isNull(), F.col("name")).otherwise(F.col("first.of"))
-        state = checkpointed(state.join(first, "name", "left").select("name", F.coalesce("keeper", new).alias("keeper")))
+        after = checkpointed(state.join(first, ["name", *keys], "left").select("name", *keys, F.coalesce("keeper", new).alias("keeper")))
+        dropped(state)
+        state = after
     return state
 
 

@@ -230,7 +230,20 @@ def salient_entities(spark, sf_dir):
     return linkage.salient(p).select("document_id", "name", "place", "admitted")
 
 
-@query()
+def _walked_sql(names: str, source: str) -> str:
+    """CTEs, the last one `kept` (kind, name, keeper): names of `names` (kind, name) in order of length, each absorbed by the
+    first name before it that is the same thing and that nothing absorbed, one name a step."""
+    return f"""{names}, o AS (SELECT kind, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS longer, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS shorter FROM (SELECT x.kind, x.name AS a, y.name AS b FROM {source} x JOIN {source} y ON x.kind = y.kind AND x.name < y.name)),
+w AS (SELECT *, string_split(longer, ' ') AS x, string_split(shorter, ' ') AS y, list_distinct(list_transform(range(1, length(longer) + 2), lambda i: substr('  ' || longer || ' ', i, 3))) AS gx, list_distinct(list_transform(range(1, length(shorter) + 2), lambda i: substr('  ' || shorter || ' ', i, 3))) AS gy FROM o),
+same AS (SELECT kind, longer, shorter FROM w WHERE (len(y) < len(x) AND length(shorter) >= 3 AND shorter NOT IN ('the', 'a', 'an', 'and', 'for', 'new', 'old', 'one', 'two', 'st', 'dr', 'mr', 'ms', 'mrs', 'san', 'los', 'las', 'north', 'south', 'east', 'west') AND x[1:len(y)] = y) OR 2.0 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)) >= 0.9),
+near AS (SELECT kind, name, list(other) AS others FROM (SELECT kind, longer AS name, shorter AS other FROM same UNION ALL SELECT kind, shorter, longer FROM same) GROUP BY ALL),
+n AS (SELECT s.kind, s.name, coalesce(others, []) AS others, row_number() OVER (PARTITION BY s.kind ORDER BY length(s.name) DESC, s.name) AS i FROM {source} s LEFT JOIN near USING (kind, name)),
+walk AS (SELECT kind, i, name, name AS keeper, [name] AS keepers FROM n WHERE i = 1 UNION ALL
+ SELECT n.kind, n.i, n.name, coalesce(list_filter(walk.keepers, lambda k: list_contains(n.others, k))[1], n.name), CASE WHEN len(list_filter(walk.keepers, lambda k: list_contains(n.others, k))) = 0 THEN list_append(walk.keepers, n.name) ELSE walk.keepers END FROM walk JOIN n ON n.kind = walk.kind AND n.i = walk.i + 1),
+kept AS (SELECT kind, name, keeper FROM walk)"""
+
+
+@query(PAIRS_SQL.replace("WITH base", "WITH RECURSIVE base").split(",\npairs AS")[0] + ", " + _walked_sql("k AS (SELECT '' AS kind, name FROM v)", "k") + " SELECT name, keeper FROM kept")
 def merged_names(spark, sf_dir):
     """names that are one thing, longest first, and the name that each is merged into."""
     names = spellings(spark, sf_dir)
