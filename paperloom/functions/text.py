@@ -136,7 +136,7 @@ def occurrences(text: Column, part: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """E-mail addresses and phone numbers of ten digits at least, as a sorted set."""
     mails = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), lambda m: F.concat(F.lit("email:"), F.lower(m)))
-    runs = F.transform(F.regexp_extract_all(text, F.lit(r"\+?\d[\d ().-]{8,}\d"), F.lit(0)), lambda p: F.regexp_replace(p, r"\D", ""))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"\+?\d[\d\t\n\f\r\p{Z}().-]{8,}\d"), F.lit(0)), lambda p: F.regexp_replace(p, r"\D", ""))
     phones = F.transform(F.filter(runs, lambda p: F.length(p) >= 10), lambda p: F.concat(F.lit("phone:"), F.right(p, F.lit(10))))
     return F.array_sort(F.array_distinct(F.concat(mails, phones)))
 

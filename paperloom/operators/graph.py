@@ -337,8 +337,9 @@ def divergent(fields: DataFrame) -> DataFrame:
 
 
 def coherence(fields: DataFrame) -> DataFrame:
-    """Of all uses of field names, the share of each category's most used one; 1 without uses."""
-    uses = fields.groupBy("category", "field").agg(F.count(F.lit(1)).alias("uses"))
+    """Of all uses of field names, the share of each category's most used one; 1 without uses. Records without a category
+    (null or empty) count for nothing."""
+    uses = fields.where("category <> ''").groupBy("category", "field").agg(F.count(F.lit(1)).alias("uses"))
     best = uses.groupBy("category").agg(F.max("uses").alias("most"), F.sum("uses").alias("all"))
     return best.agg(F.coalesce(F.round(F.sum("most") / F.sum("all"), 6), F.lit(1.0)).alias("coherence"))
 

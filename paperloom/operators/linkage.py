@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,32 +15,81 @@ from paperloom.functions import text as T
 from paperloom.session import checkpointed, dropped
 
 
+#: Initials of a name up to which each set of them is a key.
+MASKED = 5
+
+
 def _across() -> Column:
     """Whether one name of a pair is on the first side (bit 1 of `side`) and the other on the second (bit 2)."""
     x, y = F.col("side_a"), F.col("side_b")
     return (x.bitwiseAND(1) * y.bitwiseAND(2) + x.bitwiseAND(2) * y.bitwiseAND(1)) > 0
 
 
+def _meeting(left: DataFrame, right: DataFrame, keys: list[str], sides: bool, fits: Column) -> DataFrame:
+    """Pairs a < b of names (name, key) that have a key in common, one from `left` and one from `right`, and that `fits`
+    (a condition on p, from `left`, and q). Keys are hashes: names that meet by chance are put right by `fits`."""
+    own = ["side"] * sides
+    side = lambda df, n: df.select(F.col("name").alias(n), "key", *keys, *(F.col(c).alias(f"side_{n}") for c in own))
+    pairs = side(left, "p").join(side(right, "q"), ["key", *keys]).where((F.col("p") != F.col("q")) & fits)
+    first = F.col("p") < F.col("q")
+    turned = (F.when(first, F.col(f"side_{x}")).otherwise(F.col(f"side_{y}")).alias(n) for x, y, n in (("p", "q", "side_a"), ("q", "p", "side_b")) if sides)
+    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *keys, *turned)
+    return (pairs.where(_across()) if sides else pairs).distinct()
+
+
+def _key(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
 def name_pairs(names: DataFrame, kind: str | None = None, sides: bool = False, nicknames: Column | None = None) -> DataFrame:
-    """Pairs a < b of distinct normalized names (column name) that share a word, a word's beginning or all initials.
+    """Pairs a < b of distinct normalized names (column name) that meet on a rung of the ladder before the last: all words
+    of one in the other in order, initials, or one edit in one word.
 
     With `sides` (column side) only pairs across the sides are made, with side_a and side_b. With `nicknames` words also
-    meet under the full names that they are short for.
+    meet as the full names that they are short for. Each rung has keys of its own, so that few other pairs meet on them:
 
-    Blocking keys: every word, the first three letters of every word, and the initials. All rungs of the ladder but the
-    last have one of them in common; names that are merely alike need not (see `ladder_pairs` and `alike_pairs`).
+    - words: the rarest word of the shorter name, which the longer one has among its words;
+    - initials: an abbreviated name meets names of its initials that have one of its full words at the same place, or
+      initials at all places where it has full words;
+    - an edit: all words but one with the place of that one, and the word itself or without one of its letters, of which two
+      words that are one edit apart have one in common.
     """
-    keys, side = [kind] if kind else [], ["side"] * sides
-    w = N.words(F.col("name"))
-    stems = F.transform(w, lambda x: F.concat(F.lit("~"), F.substring(x, F.lit(1), F.lit(3))))
-    marks = F.concat(F.lit("="), F.array_join(F.transform(w, lambda x: F.substring(x, F.lit(1), F.lit(1))), ""))
-    meet = [w, stems, F.array(marks)]
-    if nicknames is not None:
-        meet.append(F.flatten(F.array_compact(F.transform(w, lambda x: F.try_element_at(nicknames, x)))))
-    blocks = names.select("name", *keys, *side).distinct().withColumn("block", F.explode(F.array_distinct(F.concat(*meet))))
-    a, b = (blocks.withColumnRenamed("name", n).withColumnsRenamed({"side": f"side_{n}"}) for n in ("a", "b"))
-    pairs = a.join(b, ["block", *keys]).where("a < b")
-    return (pairs.where(_across()) if sides else pairs).select("a", "b", *keys, *(f"side_{n}" for n in ("a", "b") if sides)).distinct()
+    keys, own = [kind] if kind else [], ["side"] * sides
+    w, p, q = N.words(F.col("name")), F.col("p"), F.col("q")
+    rows = names.where("name <> ''").select("name", *keys, *own).distinct().withColumn("w", w)
+    every = lambda x: F.array(x) if nicknames is None else F.array_distinct(F.concat(F.array(x), F.coalesce(F.try_element_at(nicknames, x), F.array().cast("array<string>"))))
+
+    # Words. A word is as frequent as all that it stands for.
+    word = rows.select("name", "w", *keys, *own, F.explode(F.array_distinct("w")).alias("word"))
+    word = word.withColumn("stands", F.explode(every(F.col("word"))))
+    df = word.groupBy("stands", *keys).agg(F.count(F.lit(1)).alias("df"))
+    cost = word.join(df, ["stands", *keys]).groupBy("name", *keys, *own, "word").agg(F.sum("df").alias("cost"), F.collect_set("stands").alias("all"))
+    rarest = cost.groupBy("name", *keys, *own).agg(F.min_by("all", F.struct("cost", "word")).alias("all")).select("name", *keys, *own, F.explode("all").alias("stands"))
+    has = word.select("name", *keys, *own, _key("stands").alias("key"))
+    shorter = (F.size(N.words(p)) < F.size(N.words(q))) & N.is_subsequence(p, q, nicknames)
+    same_size = F.lit(False) if nicknames is None else (F.size(N.words(p)) == F.size(N.words(q))) & N.is_subsequence(p, q, nicknames)
+    found = _meeting(rarest.select("name", *keys, *own, _key("stands").alias("key")), has, keys, sides, shorter | same_size)
+
+    # Initials.
+    letters = F.array_join(F.transform("w", lambda x: F.substring(x, F.lit(1), F.lit(1))), "")
+    many = rows.where("size(w) >= 2").withColumn("letters", letters).withColumn("short", F.filter(F.transform("w", lambda x, i: F.when(F.length(x) == 1, i)), lambda i: i.isNotNull()))
+    where = lambda: F.array_join(F.transform("w", lambda x: F.when(F.length(x) == 1, "1").otherwise("0")), "")
+    sign = F.col("letters") if nicknames is None else F.size("w").cast("string")
+    full = F.flatten(F.filter(F.transform("w", lambda x, i: F.when(F.length(x) > 1, F.transform(every(x), lambda y: _key(F.lit("at"), sign, i, y)))), lambda k: k.isNotNull()))
+    # Places of full words, as bits: a name of no more than MASKED initials has a key for each set of its initials.
+    bits = lambda wanted: F.aggregate(F.transform("w", lambda x, i: F.when((F.length(x) == 1) == wanted, F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2), i).cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
+    own_mask = _key(F.lit("mask"), F.col("letters"), bits(False))
+    sets = F.aggregate("short", F.array(F.lit(0).cast("long")), lambda out, i: F.concat(out, F.transform(out, lambda m: m + F.pow(F.lit(2), i).cast("long"))))
+    met = F.when(F.size("short") <= MASKED, F.transform(sets, lambda m: _key(F.lit("mask"), F.col("letters"), m))).otherwise(F.array(_key(F.lit("any"), F.col("letters"))))
+    rest = ["name", *keys, *own]
+    abbreviated = many.where("size(short) > 0").select(*rest, F.explode(F.array_distinct(F.concat(full, F.array(own_mask, _key(F.lit("any"), F.col("letters")))))).alias("key"))
+    others = many.select(*rest, F.explode(F.array_distinct(F.concat(full, met))).alias("key"))
+    found = found.union(_meeting(abbreviated, others, keys, sides, N.initials_match(p, q, nicknames)))
+
+    # One edit.
+    edits = F.flatten(F.transform("w", lambda x, i: F.transform(F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda j: F.concat(F.substring(x, F.lit(1), j - 1), F.substring(x, j + 1, F.length(x))))), lambda v: _key(F.lit("edit"), i, F.array_join(F.slice(F.col("w"), F.lit(1), i), " "), F.array_join(F.slice(F.col("w"), i + 2, F.size("w")), " "), v))))
+    edited = many.select(*rest, F.explode(F.array_distinct(edits)).alias("key"))
+    return found.union(_meeting(edited, edited, keys, sides, (p < q) & N.is_typo(p, q))).distinct()
 
 
 def _combinations(items: Column, k: int) -> Column:
@@ -73,22 +127,100 @@ def alike_pairs(names: DataFrame, least: float, kind: str | None = None) -> Data
     return pairs.where(2.0 * F.size(F.array_intersect("x", "y")) / (x + y) >= least).select("a", "b", *keys)
 
 
-def ladder_pairs(names: DataFrame, kind: str | None = None, sides: bool = False, nicknames: Column | None = None) -> DataFrame:
-    """Pairs a < b of distinct names that can meet on a rung of the ladder: those of `name_pairs`, and for the last rung
-    those whose letters can reach a Jaro-Winkler likeness of SIMILAR.
+def _bags(rows: DataFrame, keys: list[str], both: float, prefix: int) -> DataFrame:
+    """Pairs a < b of words (name) with m letters in common, m / |a| + m / |b| >= `both`, and `prefix` equal letters at the
+    beginning; none is lost.
 
-    Names that share no word and no word's first three letters have two letters of prefix at most, so
-    their Jaro likeness j has SIMILAR <= j + 0.2 (1 - j), and m common letters have m / |a| + m / |b| >= 3 j - 1.
+    Lengths say how many letters two words must share, m, so t = min(m, 4) of them are among the rarest |a| - m + t of each:
+    a word has a key for each length of the other and each choice of t.
     """
-    keys = [kind] if kind else []
-    both = 3 * (N.SIMILAR - 0.2) / 0.8 - 1
     letters = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)))
     # Each letter with how often it came before, so that sets count as bags.
-    letters = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-    pairs = _sharing(names.where("name <> ''"), keys, letters, both - 1, 3, sides)
-    m = F.size(F.array_intersect("x", "y"))
+    bag = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    t = rows.select("name", *keys, F.explode(bag).alias("token"))
+    t = t.join(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    sets = t.groupBy("name", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("bag"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = [], []
+            for i, (name, letters) in enumerate(zip(batch.column("name").to_pylist(), batch.column("bag").to_pylist(), strict=True)):
+                size = len(letters)
+                for other in range(max(1, math.ceil(size * (both - 1) - 1e-9)), math.floor(size / (both - 1) + 1e-9) + 1):
+                    m = math.ceil(both * size * other / (size + other) - 1e-9)
+                    if m <= min(size, other):
+                        t = min(m, 4)
+                        mark = f"{name[:prefix]}|{min(size, other)},{max(size, other)}|"
+                        made = [mark + " ".join(sorted(c)) for c in itertools.combinations(letters[: size - m + t], t)]
+                        row += [i] * len(made)
+                        key += made
+                if len(row) >= 1 << 16:
+                    yield batch.take(pa.array(row)).append_column("key", pa.array(key, pa.string()))
+                    row, key = [], []
+            yield batch.take(pa.array(row, pa.int64())).append_column("key", pa.array(key, pa.string()))
+
+    keyed = sets.select("name", "bag", *keys).mapInArrow(keyed, sets.select("name", "bag", *keys).schema.add("key", "string"))
+    side = lambda n, x: keyed.select(F.col("name").alias(n), F.col("bag").alias(x), "key", *keys)
+    pairs = side("a", "x").join(side("b", "y"), ["key", *keys]).where("a < b")
+    enough = F.size(F.array_intersect("x", "y")) * (1 / F.size("x") + 1 / F.size("y")) >= both - 1e-9
+    return pairs.where(enough).select("a", "b", *keys).distinct()
+
+
+def near_words(words: DataFrame, keys: list[str]) -> DataFrame:
+    """word and near: pairs of distinct words (column word) with a Jaro-Winkler likeness of DISTINGUISHING, both ways round.
+
+    With p letters of prefix their Jaro likeness j has DISTINGUISHING <= j + p (1 - j) / 10, and m common letters have
+    m / |a| + m / |b| >= 3 j - 1. With three letters of prefix and more such words share a key by these; with two or fewer
+    they must have most letters in common (`_bags`), the more the less of a prefix they share.
+    """
+    rows = words.select(F.col("word").alias("name"), *keys).distinct()
+    least = lambda p: 3 * (N.DISTINGUISHING - p / 10) / (1 - p / 10) - 1
+    start = rows.where("length(name) >= 3").select("name", *keys, _key(F.substring("name", 1, 3)).alias("key"))
+    p, q = F.col("p"), F.col("q")
+    # The shorter of two words has m letters in common at most.
+    room = 1 + F.least(F.length(p), F.length(q)) / F.greatest(F.length(p), F.length(q)) >= least(4) - 1e-9
+    found = _meeting(start, start, keys, False, (p < q) & room).union(_bags(rows, keys, least(2), 2)).union(_bags(rows, keys, least(1), 0)).distinct()
+    close = checkpointed(found.where(N.similarity(F.col("a"), F.col("b")) >= N.DISTINGUISHING))
+    turned = lambda x, y: close.select(F.col(x).alias("word"), F.col(y).alias("near"), *keys)
+    return turned("a", "b").union(turned("b", "a"))
+
+
+def similar_pairs(names: DataFrame, kind: str | None = None, sides: bool = False) -> DataFrame:
+    """Pairs a < b of distinct names that can be alike by SIMILAR and, in what they don't share, by DISTINGUISHING.
+
+    Such names have equally many words of two letters and more, and each is a word of the other name or near one
+    (`near_words`, worked out on distinct words). So the two rarest words of one name, or words near them, are two words of
+    the other: a name has a key for each such pair of its two rarest, and one for each two of its own words.
+    """
+    keys, own = [kind] if kind else [], ["side"] * sides
+    rows = names.where("name <> ''").select("name", *keys, *own).distinct().withColumn("w", F.filter(N.words(F.col("name")), lambda x: F.length(x) > 1))
+    word = rows.select("name", *keys, *own, F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    df = word.groupBy("word", *keys).agg(F.count(F.lit(1)).alias("df"))
+    near = near_words(df.select("word", *keys), keys).union(df.select("word", F.col("word").alias("near"), *keys))
+    cost = near.join(df.withColumnRenamed("word", "near"), ["near", *keys]).groupBy("word", *keys).agg(F.sum("df").alias("cost"), F.array_sort(F.collect_set("near")).alias("all"))
+    priced = word.join(cost, ["word", *keys]).groupBy("name", *keys, *own, "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "i", "all"))), 1, 2).alias("two"))
+    both = lambda x, y: _key(F.lit("two"), F.col("n"), F.least(x, y), F.greatest(x, y))
+    first, second = F.get("two", F.lit(0))["all"], F.get("two", F.lit(1))["all"]
+    asks = F.when(F.col("n") == 1, F.transform(first, lambda x: _key(F.lit("one"), x))).otherwise(F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: both(x, y)))))
+    rest = ["name", *keys, *own]
+    has = rows.withColumn("n", F.size("w"))
+    pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda y: both(x, y))))
+    has = has.where("n > 0").select(*rest, F.explode(F.array_distinct(F.when(F.col("n") == 1, F.transform("w", lambda x: _key(F.lit("one"), x))).otherwise(pairs))).alias("key"))
+    # Names of single letters only: what is left of two that are alike is nothing, so they share most letters.
+    single = rows.where("size(w) = 0").select(*rest, F.explode(F.array_distinct(N.words(F.col("name")))).alias("word")).select(*rest, _key(F.lit("letter"), "word").alias("key"))
+    p, q = F.col("p"), F.col("q")
+    shorter, longer = F.least(F.length(p), F.length(q)), F.greatest(F.length(p), F.length(q))
+    # m <= the shorter length; with four letters of prefix the least sum of shares.
+    room = 1 + shorter / longer >= 3 * (N.SIMILAR - 0.4) / 0.6 - 1 - 1e-9
+    found = _meeting(priced.select(*rest, F.explode(F.array_distinct(asks)).alias("key")), has, keys, sides, room)
+    return found.union(_meeting(single, single, keys, sides, room & (p < q))).distinct()
+
+
+def ladder_pairs(names: DataFrame, kind: str | None = None, sides: bool = False, nicknames: Column | None = None) -> DataFrame:
+    """Pairs a < b of distinct names that can meet on a rung of the ladder: those of `name_pairs`, and for the last rung
+    those of `similar_pairs`."""
     found = name_pairs(names, kind, sides, nicknames)
-    return found.union(pairs.where(m / F.size("x") + m / F.size("y") >= both - 1e-9).select(*found.columns)).distinct()
+    return found.union(similar_pairs(names, kind, sides).select(*found.columns)).distinct()
 
 
 def merge_pairs(names: DataFrame, kind: str | None = None) -> DataFrame:

@@ -199,7 +199,7 @@ def divergent_records(spark, sf_dir):
     return graph.divergent(fields(spark, sf_dir))
 
 
-@query("WITH " + FIELDS_SQL + ", u AS (SELECT category, field, count(*) AS uses FROM fields GROUP BY ALL), b AS (SELECT category, max(uses) AS most, sum(uses) AS al FROM u GROUP BY category) SELECT round(sum(most) / sum(al), 6) AS coherence FROM b")
+@query("WITH " + FIELDS_SQL + ", u AS (SELECT category, field, count(*) AS uses FROM fields WHERE category <> '' GROUP BY ALL), b AS (SELECT category, max(uses) AS most, sum(uses) AS al FROM u GROUP BY category) SELECT round(sum(most) / sum(al), 6) AS coherence FROM b")
 def schema_coherence(spark, sf_dir):
     """F13."""
     return graph.coherence(fields(spark, sf_dir))

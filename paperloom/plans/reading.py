@@ -118,7 +118,7 @@ def tidied(spark, sf_dir):
 
 
 @query("""SELECT doc_id, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda m: 'email:' || lower(m)),
- list_transform(list_filter(list_transform(regexp_extract_all(text, '\\+?\\d[\\d ().-]{8,}\\d'), lambda p: regexp_replace(p, '\\D', '', 'g')), lambda p: length(p) >= 10), lambda p: 'phone:' || right(p, 10))))) AS identifiers FROM documents""")
+ list_transform(list_filter(list_transform(regexp_extract_all(text, '\\+?\\d[\\d\\t\\n\\f\\r\\p{Z}().-]{8,}\\d'), lambda p: regexp_replace(p, '\\D', '', 'g')), lambda p: length(p) >= 10), lambda p: 'phone:' || right(p, 10))))) AS identifiers FROM documents""")
 def identifiers(spark, sf_dir):
     """E-mail addresses and phone numbers."""
     return table(spark, sf_dir, "documents").select("doc_id", T.identifiers(F.col("text")).alias("identifiers"))
