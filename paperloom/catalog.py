@@ -1,6 +1,6 @@
 """All queries of the engine's own operators, by name, with the SQL that gives the same rows."""
 
-from paperloom.plans import agenda, graph, identity, messages, reading, retrieval, upkeep  # noqa: F401
+from paperloom.plans import agenda, graph, identity, messages, reading, replies, retrieval, upkeep  # noqa: F401
 from paperloom.registry import ORACLES, QUERIES
 
 
