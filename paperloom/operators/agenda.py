@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
+from paperloom.functions import names as N
 from paperloom.functions import text as T
 from paperloom.session import checkpointed
 
@@ -195,16 +196,41 @@ def profile(facts: DataFrame) -> DataFrame:
     return placed.select("subject_id", "predicate", F.col("f.value").alias("value"), F.when(now, F.col("f.began")).otherwise(F.coalesce("f.until", "f.began")).alias("effective"), "place", now.alias("is_current"))
 
 
-def admitted(proposed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Proposed facts (document_id, subject_id, predicate, object) with why one is refused, or null.
+#: What facts may say, and which of them name another entity.
+PREDICATES = ("works_at", "role", "email", "phone", "located_in", "related_to", "owns", "member_of")
+OF_ENTITIES = ("works_at", "located_in", "related_to", "owns", "member_of")
 
-    A fact needs a known subject, an object of 1 to 120 characters, and that the object appears in the document.
+
+def admitted(proposed: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Proposed facts (document_id, subject, predicate, object) with predicate and object as they are kept, subject_id, and
+    object_id or object_value; or why one is refused: the first of an unknown subject, an unknown predicate, an object that
+    is empty or longer than 120 characters, one that the document (`texts`: document_id, text) doesn't have, one that must
+    be an entity and isn't, and one that is the subject itself.
+
+    `known` are the document's entities by normalized name (document_id, name, entity_id); of two with one name the smaller
+    id counts. Null subjects and objects count as empty. Repeated rows stay.
     """
-    text, value = F.lower("text"), F.lower("object")
+    names = known.groupBy("document_id", "name").agg(F.min("entity_id").alias("entity_id"))
+    named = lambda n, id: names.select("document_id", F.col("name").alias(n), F.col("entity_id").alias(id))
+    kept = lambda c: T.trimmed(F.coalesce(F.col(c), F.lit("")))
+    rows = proposed.select("document_id", kept("subject").alias("subject"), F.lower(kept("predicate")).alias("predicate"), kept("object").alias("object"))
+    rows = rows.withColumns({"__subject": N.normalized(F.col("subject")), "__object": N.normalized(F.col("object"))})
+    rows = rows.join(named("__subject", "subject_id"), ["document_id", "__subject"], "left").join(named("__object", "object_id"), ["document_id", "__object"], "left").join(texts.select("document_id", "text"), "document_id", "left")
+    text, value, entity = F.lower("text"), F.lower("object"), F.col("predicate").isin(*OF_ENTITIES)
     loose = lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}]", "")
     appears = text.contains(value) | ((F.length(loose(value)) >= 3) & loose(text).contains(loose(value)))
-    reason = F.when(F.col("subject_id").isNull(), "unknown subject").when(~F.length("object").between(1, 120), "object length").when(~F.coalesce(appears, F.lit(False)), "not in the document")
-    return proposed.join(texts, "document_id", "left").select("document_id", "subject_id", "predicate", "object", reason.alias("refused"))
+    reason = (
+        F.when(F.col("subject_id").isNull(), "unknown subject")
+        .when(~F.col("predicate").isin(*PREDICATES), "unknown predicate")
+        .when(~F.length("object").between(1, 120), "object length")
+        .when(~F.coalesce(appears, F.lit(False)), "not in the document")
+        .when(entity & F.col("object_id").isNull(), "unknown object")
+        .when(entity & (F.col("object_id") == F.col("subject_id")), "itself")
+    )
+    plain = F.when(F.col("predicate").isin("email", "phone"), value).otherwise(F.col("object"))
+    rows = rows.withColumn("refused", reason)
+    fine = F.col("refused").isNull()
+    return rows.select("document_id", "subject", "predicate", "object", F.when(fine, F.col("subject_id")).alias("subject_id"), F.when(fine & entity, F.col("object_id")).alias("object_id"), F.when(fine & ~entity, plain).alias("object_value"), "refused")
 
 
 NUMBERED = r"(?s)^(.*?)( \(\d+\))*(\.[^.]*)?$"

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
+from paperloom.functions import names as N
 from paperloom.functions import text as T
 from paperloom.operators import agenda
+from paperloom.plans.identity import _normal_sql
 from paperloom.plans.reading import table
 from paperloom.registry import query
 
@@ -162,14 +164,34 @@ def profiles(spark, sf_dir):
     return agenda.profile(e.select(n.alias("id"), F.col("user_id").alias("subject_id"), F.lit("prefers").alias("predicate"), value.alias("value"), *(c.alias(k) for k, c in dates.items())))
 
 
-@query("""WITH p AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS subject_id, 'mentions' AS predicate, CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 2) WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN '' ELSE substr(text, 1, 12) END AS object, text FROM documents)
-SELECT document_id, subject_id, predicate, object, CASE WHEN subject_id IS NULL THEN 'unknown subject' WHEN length(object) NOT BETWEEN 1 AND 120 THEN 'object length' WHEN NOT (contains(lower(text), lower(object)) OR (length(regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')) >= 3 AND contains(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')))) THEN 'not in the document' END AS refused FROM p""")
+_WORD = lambda n: f"split_part(text, ' ', {n})"
+FACTS_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
+    f"p AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'nobody at all' ELSE ' ' || {_WORD(1)} || '.' END AS subject, list_extract(['works_at', ' Role', 'EMAIL', 'phone', 'located_in ', 'invented', 'owns'], CAST(doc_id % 7 + 1 AS INTEGER)) AS predicate, "
+    f"CASE doc_id % 8 WHEN 0 THEN {_WORD(2)} WHEN 1 THEN 'zzzz qqqq' WHEN 2 THEN ' ' WHEN 3 THEN {_WORD(1)} WHEN 4 THEN substr(text, 1, 121) ELSE {_WORD(2)} END AS object FROM d), "
+    "w AS (SELECT doc_id, 'known' AS role, split_part(text, ' ', i) AS name, i FROM d, (SELECT unnest([1, 2]) AS i) UNION ALL SELECT doc_id, 'subject', regexp_replace(subject, '^\\s+|\\s+$', '', 'g'), 0 FROM p UNION ALL SELECT doc_id, 'object', regexp_replace(object, '^\\s+|\\s+$', '', 'g'), 0 FROM p), "
+    + _normal_sql("w", "name", "doc_id, role, i")
+    + """, known AS (SELECT doc_id, n, min(doc_id * 10 + i) AS id FROM norm WHERE role = 'known' GROUP BY ALL),
+t AS (SELECT p.doc_id AS document_id, text, regexp_replace(subject, '^\\s+|\\s+$', '', 'g') AS subject, lower(regexp_replace(predicate, '^\\s+|\\s+$', '', 'g')) AS predicate, regexp_replace(object, '^\\s+|\\s+$', '', 'g') AS object, s.id AS sid, o.id AS oid FROM p
+ JOIN norm x ON x.doc_id = p.doc_id AND x.role = 'subject' LEFT JOIN known s ON s.doc_id = p.doc_id AND s.n = x.n JOIN norm y ON y.doc_id = p.doc_id AND y.role = 'object' LEFT JOIN known o ON o.doc_id = p.doc_id AND o.n = y.n) USING_P
+r AS (SELECT *, predicate IN ('works_at', 'located_in', 'related_to', 'owns', 'member_of') AS entity, CASE WHEN sid IS NULL THEN 'unknown subject' WHEN predicate NOT IN ('works_at', 'role', 'email', 'phone', 'located_in', 'related_to', 'owns', 'member_of') THEN 'unknown predicate' WHEN length(object) NOT BETWEEN 1 AND 120 THEN 'object length'
+ WHEN NOT (contains(lower(text), lower(object)) OR (length(regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')) >= 3 AND contains(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(object), '[^\\p{L}\\p{N}]', '', 'g')))) THEN 'not in the document'
+ WHEN predicate IN ('works_at', 'located_in', 'related_to', 'owns', 'member_of') AND oid IS NULL THEN 'unknown object' WHEN predicate IN ('works_at', 'located_in', 'related_to', 'owns', 'member_of') AND oid = sid THEN 'itself' END AS refused FROM t)
+SELECT document_id, subject, predicate, object, CASE WHEN refused IS NULL THEN sid END AS subject_id, CASE WHEN refused IS NULL AND entity THEN oid END AS object_id, CASE WHEN refused IS NULL AND NOT entity THEN CASE WHEN predicate IN ('email', 'phone') THEN lower(object) ELSE object END END AS object_value, refused FROM r"""
+).replace(" USING_P", ",")
+
+
+@query(FACTS_SQL)
 def admitted_facts(spark, sf_dir):
-    """Proposed facts and why some are refused."""
-    d = table(spark, sf_dir, "documents")
-    n = F.col("doc_id")
-    value = F.when(n % 4 == 0, F.split_part("text", F.lit(" "), F.lit(2))).when(n % 4 == 1, "zzzz qqqq").when(n % 4 == 2, "").otherwise(F.substring("text", 1, 12))
-    return agenda.admitted(d.select(n.alias("document_id"), F.when(n % 5 != 0, n).alias("subject_id"), F.lit("mentions").alias("predicate"), value.alias("object")), d.select(n.alias("document_id"), "text"))
+    """Proposed facts, what they say of whom, and why some are refused."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n, word = F.col("document_id"), lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    subject = F.when(n % 5 == 0, "nobody at all").otherwise(F.concat(F.lit(" "), word(1), F.lit(".")))
+    predicate = F.element_at(F.array(*map(F.lit, ["works_at", " Role", "EMAIL", "phone", "located_in ", "invented", "owns"])), (n % 7 + 1).cast("int"))
+    value = F.when(n % 8 == 1, "zzzz qqqq").when(n % 8 == 2, " ").when(n % 8 == 3, word(1)).when(n % 8 == 4, F.substring("text", 1, 121)).otherwise(word(2))
+    known = d.select("document_id", F.posexplode(F.array(word(1), word(2))).alias("i", "name"))
+    known = known.select("document_id", N.normalized(F.col("name")).alias("name"), (n * 10 + F.col("i") + 1).alias("entity_id"))
+    return agenda.admitted(d.select("document_id", subject.alias("subject"), predicate.alias("predicate"), value.alias("object")), d, known)
 
 
 def unique_sql(names: str, family: str, ext: str) -> str:

@@ -188,3 +188,20 @@ def test_alike_texts_lose_no_pair(spark):
 def test_initials(spark):
     row = spark.range(1).select(N.initials_disagree(F.lit("george w bush"), F.lit("george h w bush")).alias("x"), N.is_abbreviated(F.lit("j chen")).alias("y"), N.initials_disagree(F.lit("kian feiz"), F.lit("kian j feiz")).alias("z")).first()
     assert (row.x, row.y, row.z) == (True, True, False)
+
+
+def test_facts_are_admitted(spark):
+    texts = spark.createDataFrame([(1, "Joanna Ramirez works at Acme Corp. Her mail is JO@acme.example, she is a Welder."), (2, None)], "document_id long, text string")
+    known = spark.createDataFrame([(1, "joanna ramirez", 5), (1, "joanna ramirez", 9), (1, "acme", 6), (2, "acme", 6)], "document_id long, name string, entity_id long")
+    cases = [
+        (("Joanna Ramirez", " Works_At", "Acme Corp."), (5, 6, None, None)), (("joanna ramirez", "email", "JO@ACME.example"), (5, None, "jo@acme.example", None)), (("Joanna Ramirez", "role", " Welder "), (5, None, "Welder", None)),
+        (("Nobody", "role", "Welder"), (None, None, None, "unknown subject")), ((None, "role", "Welder"), (None, None, None, "unknown subject")), (("Acme", "likes", "Welder"), (None, None, None, "unknown predicate")), (("Acme", None, "Welder"), (None, None, None, "unknown predicate")),
+        (("Acme", "role", None), (None, None, None, "object length")), (("Acme", "role", "x" * 121), (None, None, None, "object length")), (("Acme", "role", "Painter"), (None, None, None, "not in the document")),
+        (("Acme", "owns", "Welder"), (None, None, None, "unknown object")), (("Acme", "owns", "ACME"), (None, None, None, "itself")),
+    ]
+    df = spark.createDataFrame([(1, *c, "extra") for c, _ in [*cases, cases[0]]] + [(2, "acme", "role", "x", ""), (3, "acme", "role", "x", "")], "document_id long, subject string, predicate string, object string, text string")
+    out = agenda.admitted(df, texts, known)
+    assert out.columns == ["document_id", "subject", "predicate", "object", "subject_id", "object_id", "object_value", "refused"]
+    got = sorted(((r.subject_id, r.object_id, r.object_value, r.refused) for r in out.collect()), key=repr)
+    assert got == sorted([e for _, e in [*cases, cases[0]]] + [(None, None, None, "not in the document"), (None, None, None, "unknown subject")], key=repr)
+    assert agenda.admitted(df.limit(0), texts, known).count() == 0
