@@ -184,11 +184,13 @@ def vocabulary(path: str) -> Bpe:
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `ids`, binary: the ids of the whole text as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty; an empty text has no ids (empty binary). A column named `ids` is replaced.
+    A null text counts as empty; an empty text has no ids (empty binary). Repeated rows are
+    encoded alike, each a row of its own. A column named `ids` is replaced.
     """
     return append(df, text, lambda piece: [pa.array(map(vocabulary(path).encode, text_of(piece.column(text)).to_pylist()), pa.binary())], f"`{ids}` binary", keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """Adds `text`, the decoding of `ids`; null ids decode to the empty string. A column named `text` is replaced."""
+    """Adds `text`, the decoding of `ids`; null ids decode to the empty string. Repeated rows are decoded
+    alike. A column named `text` is replaced."""
     return append(df, ids, lambda piece: [pa.array([vocabulary(path).decode(x or b"") for x in piece.column(ids).to_pylist()], pa.string())], f"`{text}` string", keep)
