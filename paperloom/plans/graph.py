@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import graph
+from paperloom.plans.agenda import agenda_items
 from paperloom.plans.reading import table
-from paperloom.registry import query
+from paperloom.registry import ORACLES, query
 
 CUSTOMER, SUPPLIER, PART, NATION, STATUS = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000, 5_000_000_000
 
@@ -205,8 +206,10 @@ def schema_coherence(spark, sf_dir):
     return graph.coherence(fields(spark, sf_dir))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM customer) AS people")
+@query("WITH agenda AS (" + ORACLES["agenda_items"] + """) SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM lineitem) AS elements, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM customer) AS people,
+(SELECT count(*) FROM agenda) AS waiting, (SELECT count(*) FROM agenda WHERE horizon = 'overdue') AS overdue""")
 def library_counts(spark, sf_dir):
-    """F14."""
+    """what a library has, and what of it waits for a person."""
     n = lambda t, c: table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias(c))
-    return n("documents", "documents").join(n("orders", "records")).join(n("customer", "people"))
+    waits = agenda_items(spark, sf_dir).agg(F.count(F.lit(1)).alias("waiting"), F.count_if(F.col("horizon") == "overdue").alias("overdue"))
+    return n("documents", "documents").join(n("lineitem", "elements")).join(n("orders", "records")).join(n("customer", "people")).join(waits)
