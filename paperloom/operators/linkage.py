@@ -131,8 +131,9 @@ def _bags(rows: DataFrame, keys: list[str], both: float, prefix: int) -> DataFra
     """Pairs a < b of words (name) with m letters in common, m / |a| + m / |b| >= `both`, and `prefix` equal letters at the
     beginning; none is lost.
 
-    Lengths say how many letters two words must share, m, so t = min(m, 4) of them are among the rarest |a| - m + t of each:
-    a word has a key for each length of the other and each choice of t.
+    Lengths say how many letters two words must share, m, so t <= m of them are among the rarest |a| - m + t of each: a word
+    has a key for each length of the other and each choice of t, which is 4, or less for long words, so that keys grow with
+    the square of the length at most.
     """
     letters = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)))
     # Each letter with how often it came before, so that sets count as bags.
@@ -149,7 +150,7 @@ def _bags(rows: DataFrame, keys: list[str], both: float, prefix: int) -> DataFra
                 for other in range(max(1, math.ceil(size * (both - 1) - 1e-9)), math.floor(size / (both - 1) + 1e-9) + 1):
                     m = math.ceil(both * size * other / (size + other) - 1e-9)
                     if m <= min(size, other):
-                        t = min(m, 4)
+                        t = min(m, 4 if max(size, other) <= 12 else 2 if max(size, other) <= 24 else 1)
                         mark = f"{name[:prefix]}|{min(size, other)},{max(size, other)}|"
                         made = [mark + " ".join(sorted(c)) for c in itertools.combinations(letters[: size - m + t], t)]
                         row += [i] * len(made)
@@ -294,7 +295,7 @@ def compatible(mentions: DataFrame, entities: DataFrame, nicknames: Column | Non
     pairs = matched(ladder_pairs(names, "kind", sides=True, nicknames=nicknames), nicknames)
     turned = lambda x, y: pairs.where(F.col(f"side_{x}").bitwiseAND(1).cast("boolean") & F.col(f"side_{y}").bitwiseAND(2).cast("boolean")).select(F.col(x).alias("name"), F.col(y).alias("full"), "kind", "match")
     fits = turned("a", "b").union(turned("b", "a")).where("match <> 'surname' OR kind = 'person'")
-    last = F.element_at(N.words(F.col("name")), -1)
+    last = F.try_element_at(N.words(F.col("name")), F.lit(-1))
     population = entities.groupBy("kind").agg(F.count(F.lit(1)).alias("population"))
     sharing = entities.where("name <> ''").groupBy("kind", last.alias("surname")).agg(F.count(F.lit(1)).alias("sharing"))
     rows = fits.join(entities.select("entity_id", F.col("name").alias("full"), "kind"), ["full", "kind"]).join(population, "kind")
@@ -341,7 +342,7 @@ def resolved(mentions: DataFrame, entities: DataFrame, identifiers: tuple[DataFr
 
 def surname_frequency(names: DataFrame) -> DataFrame:
     """Each name with the number of names that end with its last word."""
-    last = names.withColumn("surname", F.element_at(N.words(F.col("name")), -1))
+    last = names.withColumn("surname", F.try_element_at(N.words(F.col("name")), F.lit(-1)))
     return last.join(last.groupBy("surname").agg(F.count(F.lit(1)).alias("sharing")), "surname").select("name", "surname", "sharing")
 
 
