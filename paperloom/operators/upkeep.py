@@ -131,7 +131,7 @@ def _files(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put(spark: SparkSession, path: str, text: str) -> None:
     """A new file; an error if it is there, so that of two writers of one version one fails."""
     hadoop, fs = _files(spark, path)
     out = fs.create(hadoop, False)
@@ -166,7 +166,7 @@ def published(spark: SparkSession, folder: str, library: Library, version: int |
     for name, df in library.items():
         paths[name] = f"{folder}/tables/{name}/{latest + 1}-{spark.sparkContext.applicationId}"
         df.write.mode("overwrite").parquet(paths[name])
-    _put(spark, f"{folder}/manifests/{latest + 1}.json", json.dumps(paths))
+    put(spark, f"{folder}/manifests/{latest + 1}.json", json.dumps(paths))
     return latest + 1
 
 
@@ -209,7 +209,7 @@ def migrated(spark: SparkSession, folder: str, changes: Iterable[Change]) -> lis
     if len({c.name for c in changes}) < len(changes):
         raise ValueError("two changes have one name")
     for n, change in enumerate(changes[len(log) :], len(log) + 1):
-        _put(spark, f"{folder}/changes/{n}.json", json.dumps(asdict(change)))
+        put(spark, f"{folder}/changes/{n}.json", json.dumps(asdict(change)))
         new.append(change.name)
     return new
 

@@ -12,6 +12,8 @@ from paperloom.operators import agenda
 from paperloom.plans.identity import _normal_sql
 from paperloom.plans.reading import table
 from paperloom.registry import query
+from paperloom.session import checkpointed, new_table
+from paperloom.streaming import reminders
 
 NOW = "2024-01-15"
 KINDS_SQL = "list_extract(['payment due', 'call back', 'signed', 'term_end', 'ship_by', 'rsvp', 'expires', 'review'], CAST(event_id % 8 + 1 AS INTEGER))"
@@ -61,12 +63,15 @@ def _hash_sql(text: str) -> str:
 STATES_SQL = f", raw AS (SELECT {KEY_SQL} AS key, e.ts AS made, CASE e.event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'snooze' ELSE 'undo' END AS action, CAST(e.ts AS DATE) + 20 AS until FROM dates d JOIN events e ON e.event_id = d.document_id), newest AS (SELECT key, arg_max((action, made, until), (made, action)) AS d FROM raw GROUP BY key), states AS (SELECT key, CASE WHEN d[1] = 'done' THEN d[2] END AS done_at, CASE WHEN d[1] = 'snooze' THEN d[3] END AS snoozed_until, d[2] AS decided_at FROM newest)"
 
 
-def states(spark, sf_dir):
+def decisions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     action = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "snooze").otherwise("undo")
     d = dates(spark, sf_dir).select("document_id", D.task_key(F.col("document_id"), F.col("kind"), F.col("date")).alias("key"))
-    log = e.join(d, F.col("event_id") == F.col("document_id")).select("key", F.col("ts").alias("at"), action.alias("action"), F.date_add(F.to_date("ts"), 20).alias("until"))
-    return agenda.task_states(log)
+    return e.join(d, F.col("event_id") == F.col("document_id")).select("key", F.col("ts").alias("at"), action.alias("action"), F.date_add(F.to_date("ts"), 20).alias("until"))
+
+
+def states(spark, sf_dir):
+    return agenda.task_states(decisions(spark, sf_dir))
 
 
 @query(DATES_SQL + STATES_SQL + " SELECT key, done_at, snoozed_until, decided_at FROM states")
@@ -75,6 +80,20 @@ def task_states(spark, sf_dir):
     return states(spark, sf_dir)
 
 
+@query(DATES_SQL + STATES_SQL + " SELECT key, snoozed_until AS day, decided_at FROM states WHERE snoozed_until <= (SELECT max(made) - INTERVAL 1 HOUR FROM raw)")
+def returned_tasks(spark, sf_dir):
+    """K02 on a stream: put-off tasks that have come back by the end of the log, from timers; the log is one batch."""
+    log, out = checkpointed(decisions(spark, sf_dir)), new_table(spark)
+    for name, value in reminders.STATE_STORE.items():
+        spark.conf.set(name, value)
+    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
+    back = reminders.returning(stream).writeStream.format("parquet").option("path", f"{out}/back").option("checkpointLocation", f"{out}/state")
+    back.trigger(availableNow=True).start().awaitTermination()
+    for name in reminders.STATE_STORE:
+        spark.conf.unset(name)
+    return spark.read.schema("key string, day date, decided_at timestamp").parquet(f"{out}/back")
+
+
 @query(DATES_SQL + STATES_SQL + f" SELECT key, done_at, snoozed_until, decided_at FROM states WHERE done_at IS NOT NULL OR key IN (SELECT {KEY_SQL} FROM dates WHERE date >= DATE '{NOW}')")
 def pruned_states(spark, sf_dir):
     """Decisions on tasks that are gone, here past ones, go; finished ones stay."""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import messages
+from paperloom.operators import messages, upkeep
 from paperloom.plans.agenda import unique_sql
 from paperloom.plans.reading import table
 from paperloom.registry import query
+from paperloom.session import new_table
+from paperloom.sources.mailbox import MailboxSource
+from paperloom.streaming import intake
 
 
 @query("""SELECT conv_id, turn, role, 'Message ' || conv_id AS subject, 'b@example.org' AS sender FROM conversations""")
@@ -57,6 +62,27 @@ def messages_to_fetch(spark, sf_dir):
     return messages.to_fetch(e.select("message_id", "user_id"), e.where("event_type = 'purchase'"))
 
 
+@query("""WITH m AS (SELECT event_id AS cursor, 'm' || (event_id * 7 % ((SELECT count(*) FROM events) * 2 // 3)) AS message_id, event_type AS text, CASE WHEN event_id < (SELECT count(*) FROM events) // 2 THEN 0 ELSE 1 END AS batch FROM events WHERE event_id % 50 <> 3)
+SELECT message_id, min(cursor) AS cursor, arg_min(text, cursor) AS text, min(batch) AS batch FROM m GROUP BY message_id""")
+def synced_mail(spark, sf_dir):
+    """A mailbox of events, taken in from a stream with a partition a page. One line in 50 is damaged. Between two
+    runs half of the events arrive and the mailbox forgets its changes, so that the second starts over and skips what is known."""
+    spark.dataSource.register(MailboxSource)
+    e = table(spark, sf_dir, "events")
+    n, folder = e.count(), new_table(spark)
+    line = F.to_json(F.struct(F.col("event_id").alias("cursor"), F.concat(F.lit("m"), (F.col("event_id") * 7 % (n * 2 // 3)).cast("string")).alias("message_id"), F.col("event_type").alias("text")))
+    lines = e.select("event_id", F.when(F.col("event_id") % 50 == 3, F.substring(line, 2, 20)).otherwise(line).alias("line"))
+
+    for round, which in enumerate([F.col("event_id") < n // 2, F.col("event_id") >= n // 2]):
+        pages = lines.where(which).repartitionByRange("event_id").sortWithinPartitions("event_id").select("line")
+        pages.write.mode("append").option("maxRecordsPerFile", 2000).text(f"{folder}/box")
+        if round:
+            upkeep.put(spark, f"{folder}/box/history.json", json.dumps({"oldest": n + 1}))
+        stream = spark.readStream.format("mailbox").option("path", f"{folder}/box").load()
+        stream.writeStream.foreachBatch(intake.synced(f"{folder}/out")).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return intake.messages(spark, f"{folder}/out").select("message_id", "cursor", "text", "batch")
+
+
 @query("""WITH g AS (SELECT user_id AS speaker, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY speaker ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM g)
 SELECT speaker, "group", min(ts) AS start, max(ts) AS "end", count(*) AS pieces FROM n GROUP BY ALL""")
 def utterance_groups(spark, sf_dir):

@@ -62,10 +62,14 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def kept_table(name: str, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
     """The table of this application by that name: read if it is there whole, else built and written."""
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/kept-{name}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -9,8 +9,8 @@ from paperloom.functions import names as N
 from paperloom.functions import text as T
 from paperloom.operators import graph, linkage, messages, retrieval
 from paperloom.sources import readers
-from paperloom.sources.mailbox import MailboxSource
-from paperloom.streaming import intake
+from paperloom.sources.mailbox import MailboxSource, Pages, planned
+from paperloom.streaming import intake, reminders
 
 
 def archive(files):
@@ -80,6 +80,89 @@ def test_mailbox(spark, tmp_path):
     assert {(r.message_id, r.text) for r in intake.current(spark, str(out), ["message_id"]).collect()} == {("a", "t"), ("b", "new")}
 
 
+def mail(path, *messages):
+    path.write_text("\n".join(m if isinstance(m, str) else json.dumps({"cursor": m[0], "message_id": m[1], "text": m[2]}) for m in messages))
+
+
+def test_mailbox_sync(spark, tmp_path):
+    box, out = tmp_path / "box", str(tmp_path / "out")
+    box.mkdir()
+    spark.dataSource.register(MailboxSource)
+    assert spark.read.format("mailbox").option("path", str(tmp_path / "none")).load().count() == 0
+
+    def sync():
+        stream = spark.readStream.format("mailbox").option("path", f"file://{box}").load()
+        q = stream.writeStream.foreachBatch(intake.synced(out)).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r.cursor, r.message_id, r.text) for r in intake.messages(spark, out).collect()), [tuple(r) for r in intake.reports(spark, out).orderBy("batch").select("cursor", "added", "had", "failed").collect()]
+
+    mail(box / "1.jsonl", (1, "a", "one"), "{damaged", (2, "b", None), (3, "a", "again"))
+    mail(box / "2.jsonl", '{"cursor": 4}', (5, "a", "third"), (6, "c", ""))
+    assert spark.readStream.format("mailbox").option("path", str(box)).load().schema.names == ["cursor", "message_id", "text", "problem"]
+    whole = spark.read.format("mailbox").option("path", str(box)).load()
+    assert whole.rdd.getNumPartitions() == 2 and whole.where("problem IS NOT NULL").count() == 2
+    first = [(1, "a", "one"), (2, "b", None), (6, "c", "")]
+    assert sync() == (first, [(6, 3, 1, 2)])
+    # Nothing new: no batch. Then one message behind a damaged one; the cursor goes on.
+    assert sync() == (first, [(6, 3, 1, 2)])
+    mail(box / "3.jsonl", "[]", (7, "c", "label"), (8, "d", "new"))
+    assert sync() == ([*first, (8, "d", "new")], [(6, 3, 1, 2), (8, 1, 1, 1)])
+    # The mailbox has forgotten what came after 8: all pages are read, what is known is passed over.
+    (box / "1.jsonl").unlink()
+    (box / "history.json").write_text('{"oldest": 20}')
+    mail(box / "4.jsonl", (20, "e", "late"))
+    assert sync() == ([*first, (8, "d", "new"), (20, "e", "late")], [(6, 3, 1, 2), (8, 1, 1, 1), (20, 1, 4, 2)])
+
+
+def test_mailbox_plan(tmp_path):
+    mail(tmp_path / "b.jsonl", *[(i, f"m{i}", "x" * 900) for i in range(10, 110)], "{" * 300_000)
+    mail(tmp_path / "a.jsonl", (1, "m", "t"), (9, "n", "t"))
+    mail(tmp_path / "junk.jsonl", "?", "!")
+    mail(tmp_path / "empty.jsonl")
+    pages = Pages(str(tmp_path))
+    assert [(p.first, p.last) for p in planned(pages, -1)] == [(1, 9), (10, 109)]
+    assert [(p.first, p.last, p.after) for p in planned(pages, 9)] == [(10, 109, 9)] and planned(pages, 109) == []
+    assert [p.first for p in planned(pages, 3, 9)] == [1]
+    assert [r[0] for r in pages.read(planned(pages, 105)[0])] == [106, 107, 108, 109, 109]
+
+
+def test_put_off_tasks_return(spark, tmp_path):
+    for name, value in reminders.STATE_STORE.items():
+        spark.conf.set(name, value)
+    schema = "key string, at timestamp, action string, until date, extra int"
+    n = 0
+
+    def run(*rows):
+        nonlocal n
+        n += 1
+        df = spark.createDataFrame([(*r, 0) for r in rows], "key string, at string, action string, until string, extra int")
+        df.select("key", F.to_timestamp("at").alias("at"), "action", F.to_date("until").alias("until"), "extra").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = reminders.returning(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.key, str(r.day), str(r.decided_at)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    a, b, d, f = ("a", "2024-01-03", "2024-01-01 08:00:00"), ("b", "2024-01-04", "2024-01-02 10:00:00"), ("d", "2024-01-05", "2024-01-01 09:30:00"), ("f", "2024-01-06", "2024-01-05 12:00:00")
+    assert run(
+        ("a", "2024-01-01 08:00:00", "snooze", "2024-01-03"), ("a", "2024-01-01 08:00:00", "snooze", "2024-01-03"), ("b", "2024-01-01 09:00:00", "snooze", "2024-01-02"),
+        ("c", "2024-01-01 09:00:00", "snooze", "2024-01-02"), ("c", "2024-01-01 09:00:00", "undo", None), ("d", "2024-01-01 09:30:00", "snooze", "2024-01-05"), ("e", "2024-01-01 09:00:00", "snooze", None),
+        ("g", "2024-01-01 09:00:00", "snooze", "2024-01-01"), ("h", None, "snooze", "2024-01-02"),
+    ) == []
+    # b is put off again before its day; the clock stands a minute before midnight of a's day.
+    assert run(("b", "2024-01-01 23:00:00", "snooze", "2024-01-08"), ("b", "2024-01-02 10:00:00", "snooze", "2024-01-04"), (None, "2024-01-03 00:59:00", None, None)) == []
+    assert run((None, "2024-01-03 01:01:00", None, None)) == [a]
+    # Each run starts from the checkpoint. A decision older than the latest changes nothing, and none comes back twice.
+    assert run((None, "2024-01-04 02:00:00", None, None)) == [a, b]
+    assert run(("d", "2024-01-01 08:00:00", "undo", None), ("f", "2024-01-05 12:00:00", "snooze", "2024-01-06")) == [a, b, d]
+    assert run(("i", "2024-01-07 12:00:00", "done", None)) == [a, b, d, f]
+    assert run((None, "2024-02-07 12:00:00", None, None)) == [a, b, d, f]
+    for name in reminders.STATE_STORE:
+        spark.conf.unset(name)
+
+
 def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 01:00:00"), ("y", "2024-01-01 02:00:00")], "text string, t string").select("text", F.to_timestamp("t").alias("added_at"))
     docs.write.parquet(str(tmp_path / "in"))
