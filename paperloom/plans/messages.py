@@ -77,7 +77,7 @@ def synced_mail(spark, sf_dir):
         pages = lines.where(which).repartitionByRange("event_id").sortWithinPartitions("event_id").select("line")
         pages.write.mode("append").option("maxRecordsPerFile", 2000).text(f"{folder}/box")
         if round:
-            upkeep.put(spark, f"{folder}/box/history.json", json.dumps({"oldest": n + 1}))
+            upkeep._put(spark, f"{folder}/box/history.json", json.dumps({"oldest": n + 1}))
         stream = spark.readStream.format("mailbox").option("path", f"{folder}/box").load()
         stream.writeStream.foreachBatch(intake.synced(f"{folder}/out")).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     return intake.messages(spark, f"{folder}/out").select("message_id", "cursor", "text", "batch")
