@@ -22,11 +22,21 @@ SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
 class Index(NamedTuple):
-    """postings (doc_id, length, token, tf), vocabulary (token, term: its stem), corpus (one row: n documents, mean length)."""
+    """postings (doc_id, length, token, tf), vocabulary (token, term: its stem), lengths (doc_id, length; documents without
+    words, too)."""
 
     postings: DataFrame
     vocabulary: DataFrame
-    corpus: DataFrame
+    lengths: DataFrame
+
+    @property
+    def corpus(self) -> DataFrame:
+        """One row: n documents, and their mean length."""
+        return _corpus(self.lengths)
+
+
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
 
 
 def tokens(text: Column) -> Column:
@@ -43,10 +53,14 @@ def query_terms(query: str) -> list[str]:
 def index(docs: DataFrame) -> Index:
     """The inverted index of texts (doc_id, text). Null texts count as empty ones, which are documents of length 0; rows with
     a null id have no place in it. Stems are worked out once for each distinct word, not for each occurrence."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    postings = rows.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-    return Index(postings, _vocabulary(postings), rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")))
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.sort_array(words).alias("tokens")).withColumn("length", F.size("tokens"))
+    # A text's words are counted where it is read: a word's run in the sorted words begins where the one before is another.
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: ~F.get("tokens", i - 1).eqNullSafe(F.get("tokens", i)))
+    runs = rows.where("length > 0").withColumn("begins", begins)
+    counted = F.transform("begins", lambda i, k: F.struct(F.get("tokens", i).alias("token"), (F.coalesce(F.get("begins", k + 1), F.col("length")) - i).cast("long").alias("tf")))
+    postings = runs.select("doc_id", "length", F.inline(counted))
+    return Index(postings, _vocabulary(postings), docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("length")))
 
 
 def _vocabulary(postings: DataFrame) -> DataFrame:
@@ -58,31 +72,37 @@ def _vocabulary(postings: DataFrame) -> DataFrame:
 
 
 def written(docs: DataFrame, name: str) -> Index:
-    """The index as tables in the shared folder, made where they aren't there yet. Postings are in order of their words and
-    the vocabulary in that of its stems, so that a query reads a few row groups of each."""
+    """The index as tables in the shared folder, made where they aren't there yet. Postings are written by the tasks that read
+    the texts, each in order of its words, without a shuffle; the vocabulary is in order of its stems, so that a query reads
+    a few row groups of it."""
     made = index(docs)
-    postings = kept_table(f"{name}-postings", lambda: made.postings.repartitionByRange("token").sortWithinPartitions("token"), docs.sparkSession)
+    postings = kept_table(f"{name}-postings", lambda: made.postings.sortWithinPartitions("token"), docs.sparkSession)
     vocabulary = kept_table(f"{name}-vocabulary", lambda: _vocabulary(postings).repartitionByRange("term").sortWithinPartitions("term"), docs.sparkSession)
-    return Index(postings, vocabulary, kept_table(f"{name}-corpus", lambda: made.corpus, docs.sparkSession))
+    return Index(postings, vocabulary, kept_table(f"{name}-lengths", lambda: made.lengths, docs.sparkSession))
 
 
-def scored(index: Index, terms: list[str]) -> DataFrame:
+def scored(index: Index, terms: list[str], within: DataFrame | None = None) -> DataFrame:
     """Documents with any word of the stems `terms`: how many of them match, and the BM25 score (smaller is better, as in
-    SQLite). Only the words of these stems and their postings are read."""
+    SQLite). Postings of other words go where they are read: the words of a few stems are few, and are sent to all tasks. If
+    `within` (doc_id) is given, its documents are the corpus."""
     words = index.vocabulary.where(F.col("term").isin(terms))
-    hit = index.postings.join(words, "token").groupBy("doc_id", "length", "term").agg(F.sum("tf").alias("tf"))
+    hit, lengths = index.postings.join(F.broadcast(words), "token"), index.lengths
+    if within is not None:
+        hit, lengths = (df.join(within, "doc_id", "left_semi") for df in (hit, lengths))
+    hit = hit.groupBy("doc_id", "length", "term").agg(F.sum("tf").alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(F.broadcast(index.corpus))
+    rows = hit.join(F.broadcast(df), "term").join(F.broadcast(_corpus(lengths)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), (-F.sum(part)).alias("score"))
 
 
-def search(index: Index, query: str, limit: int = 20) -> DataFrame:
-    """The best documents that hold a form of each word of the query; none for a query without words."""
+def search(index: Index, query: str, limit: int = 20, within: DataFrame | None = None) -> DataFrame:
+    """The best documents that hold a form of each word of the query; none for a query without words. Of those `within`
+    (doc_id), if it is given."""
     terms = query_terms(query)
-    found = scored(index, terms).where(F.col("matched") == len(terms))
+    found = scored(index, terms, within).where(F.col("matched") == len(terms))
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(limit)
 
 

@@ -72,8 +72,10 @@ SELECT doc_id, layer, score FROM p WHERE k = 1 ORDER BY layer, score, doc_id LIM
 def layered_search(spark, sf_dir):
     """The best records by what was understood of them, then the best texts, each document once."""
     d = table(spark, sf_dir, "documents")
-    understood = d.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.concat_ws(" ", "lang", "source", "text").alias("text"))
-    layers = [retrieval.search(_index(x, sf_dir, n), "licensed work") for x, n in ((understood, "understood"), (d.select("doc_id", "text"), "documents"))]
+    understood = d.select("doc_id", F.concat_ws(" ", "lang", "source", "text").alias("text"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    # All texts are indexed, since it takes less to narrow what is found than to send texts where labels are.
+    layers = [retrieval.search(_index(x, sf_dir, n), "licensed work", within=w) for x, n, w in ((understood, "understood", good), (d.select("doc_id", "text"), "documents", None))]
     return retrieval.layered(layers)
 
 

@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-from paperloom.operators import graph
+from paperloom.operators import graph, retrieval
 
 
 def _plan(df):
@@ -25,3 +25,16 @@ def test_alike_blocks_are_read_not_shuffled(spark, monkeypatch):
     found = graph.alike(spark.createDataFrame(list(texts.items()), "id long, text string"))
     assert not re.search("CoGroup|Exchange", _plan(found))
     assert {(r.a, r.b): round(r.cosine, 9) for r in found.collect()} == {p: round(c, 9) for p, c in cosines.items() if c >= graph.ALIKE}
+
+
+def test_postings_are_counted_where_texts_are_read(spark):
+    docs = spark.createDataFrame([(1, "b a, b! Ä a a"), (2, ""), (3, None), (4, "..."), (None, "a"), (5, "licensed work works")], "doc_id long, text string")
+    index = retrieval.index(docs)
+    assert "Exchange" not in _plan(index.postings)
+    assert {(r.doc_id, r.length, r.token, r.tf) for r in index.postings.collect()} == {(1, 6, "a", 4), (1, 6, "b", 2), (5, 3, "licensed", 1), (5, 3, "work", 1), (5, 3, "works", 1)}
+    assert tuple(index.corpus.first()) == (5, 1.8)
+    within = spark.createDataFrame([(5,), (4,)], "doc_id long")
+    whole, part = (retrieval.scored(index, ["a", "work"], w) for w in (None, within))
+    assert [r.doc_id for r in part.collect()] == [5] and {r.doc_id for r in whole.collect()} == {1, 5}
+    alone = retrieval.scored(retrieval.index(docs.join(within, "doc_id")), ["a", "work"])
+    assert [tuple(r) for r in part.collect()] == [tuple(r) for r in alone.collect()]
