@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import checkpointed
+from paperloom.session import checkpointed, dealt
 
 Library = dict[str, DataFrame]
 
@@ -29,10 +29,11 @@ def keepers(entities: DataFrame, merged: DataFrame) -> DataFrame:
     return of.select("entity_id", F.coalesce("keeper_id", "first").alias("keeper_id")).where("entity_id <> keeper_id")
 
 
-def repointed(rows: DataFrame, ends: list[str], key: list[str], into: DataFrame, id: str = "id") -> DataFrame:
+def repointed(rows: DataFrame, ends: list[str], key: list[str], into: DataFrame, id: str = "id", count: int = 0) -> DataFrame:
     """Rows whose columns `ends` name entities, pointed at the keepers (`into`: entity_id, keeper_id). Where rows meet on the
     unique `key` (none if it is empty), the one that was there before stays, else the one with the smallest id; rows with a
-    null in the key never meet, as in SQL. The map has a row for each absorbed entity only, and is joined once for each end."""
+    null in the key never meet, as in SQL. The map has a row for each absorbed entity only, and is joined once for each end.
+    Rows are dealt by the key in as many partitions as their `count` calls for."""
     changed = F.lit(False)
     out = rows
     for i, end in enumerate(ends):
@@ -47,7 +48,7 @@ def repointed(rows: DataFrame, ends: list[str], key: list[str], into: DataFrame,
     for c in key:
         whole = whole & F.col(c).isNotNull()
     place = F.row_number().over(Window.partitionBy(*key).orderBy("__changed", id))
-    return out.withColumn("__place", F.when(whole, place).otherwise(1)).where("__place = 1").select(*rows.columns)
+    return dealt(out, count, *key).withColumn("__place", F.when(whole, place).otherwise(1)).where("__place = 1").select(*rows.columns)
 
 
 def united_aliases(entities: DataFrame, into: DataFrame) -> DataFrame:
@@ -62,18 +63,19 @@ def united_aliases(entities: DataFrame, into: DataFrame) -> DataFrame:
     return left.select("entity_id", "name", "kind", F.array_distinct(F.concat(own, F.coalesce("more", F.array().cast("array<string>")))).alias("aliases"))
 
 
-def merged_library(library: Library, into: DataFrame) -> Library:
+def merged_library(library: Library, into: DataFrame, count: int = 0) -> Library:
     """The tables entity, link (src, rel, dst; entities as "entity:<id>"), mention (entity_id) and assertion (subject_id,
-    object_id) after a merge. `into` must not chain: a keeper is no one's absorbed entity, as `linkage.merged` gives it. Other tables stay."""
+    object_id) after a merge. `into` must not chain: a keeper is no one's absorbed entity, as `linkage.merged` gives it. Other tables stay. A table
+    has `count` rows or fewer, if that is known."""
     out = dict(library)
     out["entity"] = united_aliases(library["entity"], into)
     if "link" in library:
         name = lambda c: F.concat(F.lit("entity:"), F.col(c).cast("string")).alias(c)
-        out["link"] = repointed(library["link"], ["src", "dst"], ["src", "rel", "dst"], into.select(name("entity_id"), name("keeper_id")))
+        out["link"] = repointed(library["link"], ["src", "dst"], ["src", "rel", "dst"], into.select(name("entity_id"), name("keeper_id")), count=count)
     if "mention" in library:
         out["mention"] = repointed(library["mention"], ["entity_id"], [], into)
     if "assertion" in library:
-        out["assertion"] = repointed(library["assertion"], ["subject_id", "object_id"], ["subject_id", "predicate", "object_key", "document_id"], into)
+        out["assertion"] = repointed(library["assertion"], ["subject_id", "object_id"], ["subject_id", "predicate", "object_key", "document_id"], into, count=count)
     return out
 
 

@@ -8,7 +8,7 @@ from paperloom.operators import linkage, upkeep
 from paperloom.plans.identity import _walked_sql
 from paperloom.plans.reading import table
 from paperloom.registry import query
-from paperloom.session import new_table
+from paperloom.session import dealt, new_table
 
 # Entities are parts under different spellings of their names; lines of orders link, mention and state things of them.
 NAME_SQL = "CASE p_partkey % 5 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name || 's' WHEN 2 THEN p_name || ' ltd' ELSE p_name END"
@@ -28,7 +28,8 @@ def library(spark, sf_dir) -> upkeep.Library:
     name = F.when(n == 0, word).when(n == 1, F.concat(whole, F.lit("s"))).when(n == 2, F.concat(whole, F.lit(" ltd"))).otherwise(whole)
     aliases = F.array(F.concat(F.lit("no "), (F.col("p_partkey") % 4).cast("string")), F.upper("p_name"))
     entity = part.select(F.col("p_partkey").alias("entity_id"), name.alias("name"), F.when(F.col("p_size") % 3 == 0, "org").otherwise("product").alias("kind"), aliases.alias("aliases"))
-    line = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
+    line = dealt(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag"), line.count(), "l_orderkey").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey")
     line = line.agg(F.min(F.struct("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")).alias("first")).select("id", "l_orderkey", "first.*")
     line = line.join(F.broadcast(part.agg(F.count(F.lit(1)).alias("parts")))).withColumn("other", (F.col("l_suppkey") * 7 + F.col("l_partkey")) % F.col("parts") + 1)
     link = line.select("id", F.concat(F.lit("record:"), (F.expr("l_orderkey div 4")).cast("string")).alias("src"), F.col("l_linestatus").alias("rel"), F.concat(F.lit("entity:"), F.col("l_partkey").cast("string")).alias("dst"))
@@ -41,7 +42,7 @@ def _merged(spark, sf_dir) -> upkeep.Library:
     tables = library(spark, sf_dir)
     names = tables["entity"].select("name", "kind").distinct()
     kept = linkage.merged(names, linkage.same_thing(linkage.merge_pairs(names, "kind")), "kind")
-    return upkeep.merged_library(tables, upkeep.keepers(tables["entity"], kept))
+    return upkeep.merged_library(tables, upkeep.keepers(tables["entity"], kept), count=table(spark, sf_dir, "lineitem").count())
 
 
 @query(MERGED_SQL + """, moved AS (SELECT id, src, rel, coalesce('entity:' || keeper_id, dst) AS dst, keeper_id IS NOT NULL AS changed FROM (SELECT id, 'record:' || (l_orderkey // 4) AS src, l_linestatus AS rel, 'entity:' || l_partkey AS dst, l_partkey FROM line) LEFT JOIN map ON entity_id = l_partkey)

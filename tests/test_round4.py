@@ -6,7 +6,8 @@ import random
 import re
 from collections import Counter
 
-from paperloom.operators import graph, retrieval
+from paperloom import session
+from paperloom.operators import graph, retrieval, upkeep
 
 
 def _plan(df):
@@ -38,3 +39,21 @@ def test_postings_are_counted_where_texts_are_read(spark):
     assert [r.doc_id for r in part.collect()] == [5] and {r.doc_id for r in whole.collect()} == {1, 5}
     alone = retrieval.scored(retrieval.index(docs.join(within, "doc_id")), ["a", "work"])
     assert [tuple(r) for r in part.collect()] == [tuple(r) for r in alone.collect()]
+
+
+def test_tasks_on_links_and_facts_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    links = session.dealt(spark.createDataFrame([(r, "names", r % 20 if k else 7) for r in range(60) for k in range(2)], "record_id long, rel string, entity_id long"), 120, "record_id").distinct()
+    records = links.select("record_id").distinct()
+    assert links.rdd.getNumPartitions() == 12
+    # The only shuffle of the links is that which deals them; counts of entities follow.
+    assert _plan(graph.reach(links)).split("Initial Plan")[0].count("REPARTITION_BY_NUM") and "hashpartitioning(entity_id" in _plan(graph.reach(links)) and "hashpartitioning(record_id#" not in re.sub(r"hashpartitioning\(record_id#\d+L, 12\), REPARTITION_BY_NUM", "", _plan(graph.reach(links)))
+    assert {(r.entity_id, r.reach) for r in graph.reach(links).collect()} == {(e, 60 if e == 7 else 3) for e in range(20)}
+    tied = graph.ties(links, records)
+    assert {(r.a, r.b, r.weight) for r in tied.collect()} == {(a, b, 333) for a, b in itertools.combinations(range(60), 2) if a % 20 == b % 20 != 7}
+    assert re.search(r"hashpartitioning\(a#\d+L, 6\), REPARTITION_BY_NUM", _plan(tied))
+    rows = spark.createDataFrame([(i, i % 5, i % 3) for i in range(60)], "id long, entity_id long, key long")
+    into = spark.createDataFrame([(1, 0), (2, 0)], "entity_id long, keeper_id long")
+    kept = upkeep.repointed(rows, ["entity_id"], ["entity_id", "key"], into, count=60)
+    assert re.search(r", 6\), REPARTITION_BY_NUM", _plan(kept))
+    assert sorted(r.id for r in kept.collect()) == sorted({(0 if e in (1, 2) else e, k): min(i for i in range(60) if i % 3 == k and (i % 5 == e if e > 2 else i % 5 == 0)) for e in range(5) for k in range(3)}.values())
