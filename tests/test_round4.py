@@ -57,3 +57,12 @@ def test_tasks_on_links_and_facts_hold_a_bounded_number_of_rows(spark, monkeypat
     kept = upkeep.repointed(rows, ["entity_id"], ["entity_id", "key"], into, count=60)
     assert re.search(r", 6\), REPARTITION_BY_NUM", _plan(kept))
     assert sorted(r.id for r in kept.collect()) == sorted({(0 if e in (1, 2) else e, k): min(i for i in range(60) if i % 3 == k and (i % 5 == e if e > 2 else i % 5 == 0)) for e in range(5) for k in range(3)}.values())
+
+
+def test_rounds_of_a_sweep_are_few_where_decisions_are_apart(spark):
+    # A chain of 40 records with rising ids, in strong pairs.
+    ties = [(a, a + 1, 9 if a % 2 == 0 else 1, True) for a in range(39)]
+    df = spark.createDataFrame([t for a, b, w, x in ties for t in ((a, b, w, x), (b, a, w, x))], "a long, b long, weight long, binds boolean")
+    labels, rounds, sweeps = graph.swept(df)
+    assert {r.record_id: r.label for r in labels.collect()} == {a: a | 1 for a in range(40)}
+    assert rounds < 10 and sweeps == 2
