@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, neardup, packing, suffix, toxicity
-from paperloom.llm._tables import drop, stored
+from paperloom.llm._tables import drop, perhaps, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score from which a document is rejected.
@@ -28,8 +28,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are linked with nothing and stay. Rows with one id are one document here: they stay or go
     together. Rows with a null id are in no group that could name one to keep, and stay."""
-    gone = neardup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = stored(neardup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct(), "gone")
+    docs = perhaps(docs, "doc_id", gone)
+    stay = docs.where("perhaps").join(gone, "doc_id", "left_anti")
+    return docs.where("NOT perhaps").unionByName(stay).select(*COLUMNS)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

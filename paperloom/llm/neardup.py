@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm._arrow import append, bytes_of, mixed, pieces, prefix_hash, span_hash, spans, whole_groups
-from paperloom.llm._tables import drop, stored
+from paperloom.llm._tables import drop, perhaps, stored
 from paperloom.llm.components import components
 
 PERMUTATIONS = 60
@@ -263,7 +263,8 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     grouped = stored(members.join(centre, "bucket").select("bucket", "node", "n", "centre", "centre_n"), "buckets")
     texts = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # Sets of the nodes that meet others, worked out once.
-    sets = stored(_sets(texts.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
+    met = grouped.select(F.col("node").alias("id")).distinct()
+    sets = stored(_sets(perhaps(texts, "id", met).where("perhaps").join(met, "id", "left_semi").select("id", "text"), words), "sets")
     briefs = reps.select(F.col("id").alias("node"), "brief")
     # Against the smallest node of each bucket and, in one bucket of four, another one, so that a node meets several.
     pairs = grouped.where("node <> centre").where(fits).select("node", "centre", "n").distinct()
