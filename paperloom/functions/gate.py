@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as N
@@ -44,29 +44,35 @@ def listed(values: str) -> list[str]:
     return [v.strip() for v in values.split(",")]
 
 
-def handler(name: Column, text: Column) -> Column:
-    """The part in which a text introduces the first occurrence of a name, if it is that of who handled the paper."""
-    low = F.lower(text)
-    at = F.instr(low, F.lower(name))
-    begin = F.greatest(at - LEAD, F.lit(1))
-    lead = F.substring(low, begin, at - begin)
-    return F.when(at > 1, F.coalesce(*(F.when(F.contains(lead, F.lit(h)), h) for h in listed(HANDLERS))))
+def gated(docs: DataFrame, id: str, text: str = "text", names: str = "names") -> DataFrame:
+    """id, name and refused: why a name of a text's `names` is no entity of it, or null. The first reason that holds counts;
+    null names are too short, null texts empty. A text is lower-cased and normalized once, before its names part.
 
-
-def refused(name: Column, text: Column) -> Column:
-    """Why a name is no entity of a text, or null. The first reason that holds counts; null names are too short."""
-    name = trimmed(F.coalesce(name, F.lit("")))
-    plain, body = N.normalized(name), N.normalized(F.coalesce(text, F.lit("")))
-    role = handler(name, F.coalesce(text, F.lit("")))
+    A handler is the part, HANDLERS, in which the text introduces the first occurrence of the name."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    once = docs.select(id, F.lower(t).alias("__low"), N.normalized(t).alias("__body"), F.col(names).alias("__names"))
+    rows = once.select(id, "__low", "__body", F.explode("__names").alias("name"))
+    bare = trimmed(F.coalesce("name", F.lit("")))
+    rows = rows.withColumns({"__name": bare, "__plain": N.normalized(bare)})
+    name, plain = F.col("__name"), F.col("__plain")
     ending = plain.rlike("(" + "|".join(listed(ROLE_ENDINGS)) + ")$")
-    return (
+    word = (
         F.when(F.length(plain) < 2, "too short")
         .when(~name.rlike(r"\p{L}"), "no letters")
         .when(plain.rlike(r"^[\p{N}\s]*$"), "just a number")
         .when(plain.isin(listed(ROLES)), "generic role")
         .when(plain.isin(listed(PAPERWORK)), "paperwork term")
         .when(~F.contains(plain, F.lit(" ")) & ending & (F.length(plain) > 5), "generic role")
-        .when(role.isNotNull(), F.concat(F.lit("named as the "), role))
+    )
+    # Columns of their own, so that each is worked out once; the text is searched only for names that are left.
+    rows = rows.withColumn("__word", word)
+    rows = rows.withColumn("__at", F.when(F.col("__word").isNull(), F.instr("__low", F.lower(name))))
+    begin = F.greatest(F.col("__at") - LEAD, F.lit(1))
+    rows = rows.withColumn("__lead", F.when(F.col("__at") > 1, F.substring("__low", begin, F.col("__at") - begin)))
+    role = F.coalesce(*(F.when(F.contains(F.col("__lead"), F.lit(h)), h) for h in listed(HANDLERS)))
+    seen = (
+        F.when(role.isNotNull(), F.concat(F.lit("named as the "), role))
         .when(plain.isin(listed(REGIONS)), "too broad a place")
-        .when(~F.contains(body, plain), "not in the document")
+        .when(~F.contains(F.col("__body"), plain), "not in the document")
     )
+    return rows.select(id, "name", F.when(F.col("__word").isNotNull(), F.col("__word")).otherwise(seen).alias("refused"))

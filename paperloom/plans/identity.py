@@ -216,8 +216,7 @@ def gated_names(spark, sf_dir):
     part = lambda n: F.split_part(F.col("text"), F.lit(" "), F.lit(n))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     names = F.array(part(2), F.concat(part(9), F.lit(" "), part(10)), *map(F.lit, PROPOSED))
-    rows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(names, T.trimmed))).alias("name"))
-    return rows.select("doc_id", "name", gate.refused(F.col("name"), F.col("text")).alias("refused"))
+    return gate.gated(docs.withColumn("names", F.array_distinct(F.transform(names, T.trimmed))), "doc_id")
 
 
 @query("""WITH p AS (SELECT l_suppkey AS document_id, l_partkey AS name, max(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.75 END) AS confidence, count(*) AS mentions FROM lineitem GROUP BY ALL),
