@@ -148,27 +148,33 @@ def blocks(df: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
 
 
 #: Numbers, words and strings of all languages; a string that isn't closed ends with its line.
-_WORD, _NUMBER = r"[\p{L}_][\p{L}\p{N}_]*", r"\p{N}[\p{N}._]*"
+_WORD, _NUMBER = r"[\p{L}_][\p{L}\p{N}_]*+", r"\p{N}[\p{N}._]*"
 _STRING = "|".join(rf"{q}[^{q}\\\n]*+(?:\\(?:[\s\S]|\z)[^{q}\\\n]*+)*+{q}?" for q in ('"', "'", "`"))
-_HASH, _SLASH = r"#[^\n]*", r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+#: Comments by their language, and what is none: a lookahead before what is plain.
+_HASH, _SLASH = (r"#[^\n]*", "(?!#)"), (r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)", r"(?!/[/*])")
+
+
+def _spans(code: Column, comment: tuple[str, str], keywords: tuple[str, ...]) -> Column:
+    """Texts of the spans: comments, strings, numbers, keywords, and what lies between them as one, however long."""
+    keyword = rf"(?:{'|'.join(keywords)})(?![\p{{L}}\p{{N}}_])"
+    plain = rf"(?:(?!{keyword}){_WORD}|{comment[1]}[^\p{{L}}\p{{N}}_\"'`])++"
+    return F.regexp_extract_all(code, F.lit(f"{comment[0]}|{_STRING}|{_NUMBER}|{keyword}|{plain}"), F.lit(0))
 
 
 def highlighted(df: DataFrame, code: str = "code", language: str | None = None, spans: str = "spans") -> DataFrame:
     """Adds spans: an array of text and kind (plain, keyword, string, comment or number) that put together give the code
     again; none for null and empty code. A column named `spans` is replaced."""
     lang = F.coalesce(F.col(language), F.lit("")) if language else F.lit("")
-    hashes = lang.isin(*HASH_COMMENTS)
-    lexer = lambda comment: F.regexp_extract_all(F.col(code), F.lit(f"{comment}|{_STRING}|{_NUMBER}|{_WORD}|[\\s\\S]"), F.lit(0))
+    texts = F.when(lang.isin(*HASH_COMMENTS), _spans(F.col(code), _HASH, ANY_KEYWORDS)).otherwise(_spans(F.col(code), _SLASH, ANY_KEYWORDS))
+    # The last language that has the name counts.
     words = F.array(*map(F.lit, ANY_KEYWORDS))
     for names, keywords in KEYWORDS.items():
+        mine = [_spans(F.col(code), c, keywords) for c in (_HASH, _SLASH)]
+        texts = F.when(lang.isin(*names), F.when(lang.isin(*HASH_COMMENTS), mine[0]).otherwise(mine[1])).otherwise(texts)
         words = F.when(lang.isin(*names), F.array(*map(F.lit, keywords))).otherwise(words)
     # Columns of their own, so that a lambda reads them and doesn't work them out again.
-    df = df.withColumns({"__tokens": F.coalesce(F.when(hashes, lexer(_HASH)).otherwise(lexer(_SLASH)), F.array().cast("array<string>")), "__words": words, "__hashes": hashes})
+    df = df.withColumns({"__texts": F.coalesce(texts, F.array().cast("array<string>")), "__words": words, "__hashes": lang.isin(*HASH_COMMENTS)})
     comment = lambda x: (F.col("__hashes") & x.startswith("#")) | (~F.col("__hashes") & (x.startswith("//") | x.startswith("/*")))
-    kind = lambda x: F.when(comment(x), "comment").when(x.rlike("^[\"'`]"), "string").when(x.rlike(r"^\p{N}"), "number").when(F.array_contains("__words", x), "keyword").otherwise("plain")
-    df = df.withColumn("__kinds", F.transform("__tokens", kind))
-    # Plain tokens side by side are one span: a span begins at each token but a plain one after a plain one.
-    at = lambda i: F.get("__kinds", i)
-    df = df.withColumn("__begins", F.filter(F.transform("__tokens", lambda x, i: F.when((i == 0) | (at(i) != "plain") | (at(i - 1) != "plain"), i)), lambda i: i.isNotNull()))
-    made = F.transform("__begins", lambda i, k: F.struct(F.array_join(F.slice("__tokens", i + 1, F.coalesce(F.get("__begins", k + 1), F.size("__tokens")) - i), "").alias("text"), at(i).alias("kind")))
-    return df.withColumn(spans, made).drop("__tokens", "__words", "__hashes", "__kinds", "__begins")
+    kind = lambda x: F.when(comment(x), "comment").when(F.left(x, F.lit(1)).isin('"', "'", "`"), "string").when(x.rlike(r"\A\p{N}"), "number").when(F.array_contains("__words", x), "keyword").otherwise("plain")
+    made = F.transform("__texts", lambda x: F.struct(x.alias("text"), kind(x).alias("kind")))
+    return df.withColumn(spans, made).drop("__texts", "__words", "__hashes")
