@@ -118,20 +118,27 @@ BINS, FIRST_BIN, LAST_BIN, FREE_BINS = 100, 25, 75, 3
 LINE = 0.012
 
 
-def gutters(boxes: DataFrame) -> DataFrame:
-    """page_id and gutter: where the widest run of free parts in the middle of a page is, if it is wide enough. Of equal
-    ones the leftmost counts; a run that reaches the end of the middle is one part shorter."""
-    low, high = F.greatest(F.lit(0), (F.col("x") * BINS).cast("int")), F.least(F.lit(BINS - 1), ((F.col("x") + F.col("width")) * BINS).cast("int"))
-    spans = boxes.select("page_id", F.greatest(low, F.lit(FIRST_BIN)).alias("low"), F.least(high, F.lit(LAST_BIN)).alias("high"))
-    bins = spans.select("page_id", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high")).otherwise(F.array(F.lit(-1)))).alias("bin"))
-    taken = bins.groupBy("page_id").agg(F.array_sort(F.collect_set(F.when(F.col("bin") >= 0, F.col("bin")))).alias("taken"))
-    before = lambda i: F.coalesce(F.get("taken", i - 1), F.lit(FIRST_BIN - 1))
+def bins_taken(x: Column, width: Column) -> Column:
+    """The parts in the middle of a page that an element takes, a bit for each."""
+    low, high = (x * BINS).cast("int"), F.least(F.lit(BINS - 1), ((x + width) * BINS).cast("int"))
+    low, high = F.greatest(low, F.lit(FIRST_BIN)) - FIRST_BIN, F.least(high, F.lit(LAST_BIN)) - FIRST_BIN
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    return F.when(low <= high, bit(high + 1) - bit(low)).otherwise(F.lit(0).cast("long"))
+
+
+def with_gutter(rows: DataFrame, taken: str, once: Column) -> DataFrame:
+    """Adds gutter to rows where `once` holds: where the widest run of free parts in the middle of a page is, given the bits of
+    those that are `taken`, if it is wide enough. Of equal ones the leftmost counts; a run that reaches the end of the middle is
+    one part shorter."""
+    ends = F.filter(F.sequence(F.lit(FIRST_BIN), F.lit(LAST_BIN)), lambda k: F.getbit(F.col(taken), k - FIRST_BIN) == 1)
+    rows = rows.withColumn("__ends", F.when(once, ends))
+    before = lambda i: F.coalesce(F.get("__ends", i - 1), F.lit(FIRST_BIN - 1))
     run = lambda width, k, at: F.struct(width.cast("int").alias("width"), (-k).cast("int").alias("k"), at.cast("double").alias("at"))
-    inner = F.transform("taken", lambda end, i: run(end - before(i) - 1, i, (before(i) + 1 + end) / 2.0 / BINS))
-    start = F.coalesce(F.try_element_at("taken", F.lit(-1)), F.lit(FIRST_BIN - 1)) + 1
-    last = run(F.lit(LAST_BIN) - start, F.size("taken"), start / BINS + (F.lit(LAST_BIN) - start) / 2.0 / BINS)
-    best = F.array_max(F.concat(inner, F.array(last)))
-    return taken.select("page_id", best.alias("best")).where(F.col("best.width") >= FREE_BINS).select("page_id", F.col("best.at").alias("gutter"))
+    inner = F.transform("__ends", lambda end, i: run(end - before(i) - 1, i, (before(i) + 1 + end) / 2.0 / BINS))
+    start = F.coalesce(F.try_element_at("__ends", F.lit(-1)), F.lit(FIRST_BIN - 1)) + 1
+    last = run(F.lit(LAST_BIN) - start, F.size("__ends"), start / BINS + (F.lit(LAST_BIN) - start) / 2.0 / BINS)
+    rows = rows.withColumn("__best", F.when(once, F.array_max(F.concat(inner, F.array(last)))))
+    return rows.withColumn("gutter", F.when(F.col("__best.width") >= FREE_BINS, F.col("__best.at"))).drop("__ends", "__best")
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -144,8 +151,11 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     """
     whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull()
     page = Window.partitionBy("page_id")
-    rows = boxes.withColumn("whole", (F.count(F.lit(1)).over(page) > 3) & F.min(whole).over(page))
-    rows = rows.join(gutters(rows.where("whole")), "page_id", "left")
+    # All by page, so that rows are shuffled once; a page's gutter is worked out in one of its rows.
+    rows = boxes.withColumn("taken", F.when(whole, bins_taken(F.col("x"), F.col("width"))))
+    rows = rows.withColumns({"whole": (F.count(F.lit(1)).over(page) > 3) & F.min(whole).over(page), "taken": F.bit_or("taken").over(page), "top": F.min("position").over(page)})
+    rows = with_gutter(rows, "taken", F.col("whole") & (F.col("position") == F.col("top"))).drop("taken", "top")
+    rows = rows.withColumn("gutter", F.max("gutter").over(page))
     right_edge = F.col("x") + F.col("width")
     side = F.when((F.col("x") < F.col("gutter")) & (right_edge > F.col("gutter")), 0).when(right_edge <= F.col("gutter"), 1).when(F.col("gutter").isNotNull(), 2)
     rows = rows.withColumn("side", side)
