@@ -106,10 +106,9 @@ def refutes_itself(detail: Column) -> Column:
     return F.coalesce(F.contains(detail, F.lit("=")) & F.array_contains(figures(left), first), F.lit(False))
 
 
-def signature(detail: Column) -> Column:
-    """What makes two findings one: their figures, else their first long words."""
+def signature(detail: Column, numbers: Column) -> Column:
+    """What makes two findings one: their sorted figures, else their first long words."""
     words = F.filter(F.split(F.lower(detail), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) > 3)
-    numbers = F.array_sort(figures(detail))
     return F.when(F.size(numbers) > 0, F.array_join(numbers, " ")).otherwise(F.array_join(F.slice(F.array_sort(words), F.lit(1), F.lit(8)), " "))
 
 
@@ -120,27 +119,29 @@ def vetted(reported: DataFrame) -> DataFrame:
     themselves, the first of each signature, and PER_DOCUMENT of a document at most. What the detail says decides on the
     kind, then the label.
     """
-    d = F.trim(F.regexp_replace("detail", r"^\s+|\s+$", ""))
     label = F.col("label") if "label" in reported.columns else F.lit(None).cast("string")
+    sure, d = F.col("sure"), F.col("detail")
     rows = reported.select("document_id", "position", "detail", label.alias("label")).withColumn("sure", F.coalesce(F.col("label") == "impossible_date", F.lit(False)))
-    sure = rows.where("sure").select("document_id", "position", F.lit("impossibleDate").alias("kind"), "detail", "sure")
-    rest = rows.where("NOT sure").withColumn("detail", d)
-    d = F.col("detail")
-    rest = rest.where(F.length(d).between(8, 300) & ~refutes_itself(d)).withColumn("signature", signature(d))
-    first = F.row_number().over(Window.partitionBy("document_id", "signature").orderBy("position"))
-    rest = rest.withColumn("first", first).where("first = 1")
-    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("position"))).where(F.col("place") <= PER_DOCUMENT)
-    rest = rest.select("document_id", "position", F.coalesce(finding_kind(d), labelled_kind(F.col("label"))).alias("kind"), "detail", "sure")
+    # One pass over all, in which what is sure passes every test.
+    rows = rows.withColumn("detail", F.when(sure, d).otherwise(T.trimmed(d)))
+    rows = rows.where(sure | (F.length(d).between(8, 300) & ~refutes_itself(d)))
+    rows = rows.withColumn("numbers", F.when(~sure, F.array_sort(figures(d))))
+    rows = rows.withColumn("signature", F.when(~sure, signature(d, F.col("numbers")))).drop("numbers")
+    first = F.row_number().over(Window.partitionBy("document_id", "sure", "signature").orderBy("position"))
+    rows = rows.withColumn("first", first).where(sure | (F.col("first") == 1))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("document_id", "sure").orderBy("position"))).where(sure | (F.col("nth") <= PER_DOCUMENT))
+    kind = F.when(sure, "impossibleDate").otherwise(F.coalesce(finding_kind(d), labelled_kind(F.col("label"))))
     place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("sure"), "position"))
-    return sure.union(rest).select("document_id", place.alias("place"), "kind", "detail")
+    return rows.select("document_id", place.alias("place"), kind.alias("kind"), "detail")
 
 
 def flagged(findings: DataFrame, limit: int = 200) -> DataFrame:
     """document_id, findings (how many) and details of the documents with most findings (document_id, detail), most first,
     ties by id; `limit` documents at most."""
-    top = findings.groupBy("document_id").agg(F.count(F.lit(1)).alias("findings")).orderBy(F.desc("findings"), "document_id").limit(limit)
-    details = findings.join(F.broadcast(top.select("document_id")), "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list("detail")).alias("details"))
-    return top.join(details, "document_id").orderBy(F.desc("findings"), "document_id")
+    # Findings are made once: no list of details is longer than the longest of the result, so that all may be gathered.
+    each = findings.groupBy("document_id").agg(F.count(F.lit(1)).alias("findings"), F.collect_list("detail").alias("details"))
+    top = each.orderBy(F.desc("findings"), "document_id").limit(limit)
+    return top.select("document_id", "findings", F.array_sort("details").alias("details")).orderBy(F.desc("findings"), "document_id")
 
 
 def derived_deadlines(dates: DataFrame, notices: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ vetted AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER
 
 
 def reported(spark, sf_dir):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("document_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     n, s = F.col("l_partkey") % 10, F.col("l_partkey").cast("string")
     said = {0: F.concat(F.lit("Part "), s, F.lit(" appears twice")), 1: F.concat(F.lit("Total "), s, F.lit(" does not match (5 + 5 = "), s, F.lit(")")), 2: F.concat(F.lit("The sum of "), s, F.lit(".50 should be 1,2")), 3: F.lit("short")}
     said |= {4: F.lit("  Word is misspelt here "), 5: F.lit("Stated as red but elsewhere blue"), 7: F.concat(F.lit("Two dates on row "), s), 8: F.lit("bad")}
@@ -144,7 +144,8 @@ def reported(spark, sf_dir):
         detail = detail.when(n == k, text)
     for k, text in labels.items():
         label = label.when(n == k, text)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).alias("position"), detail.otherwise("Something odd about this row").alias("detail"), label.otherwise("whatever").alias("label"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "document_id")
+    return lines.select("document_id", F.row_number().over(order).alias("position"), detail.otherwise("Something odd about this row").alias("detail"), label.otherwise("whatever").alias("label"))
 
 
 @query("WITH " + REPORTED_SQL + " SELECT * FROM vetted")
