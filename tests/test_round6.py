@@ -26,3 +26,11 @@ def test_an_entity_of_many_records_is_paired_in_chunks(spark, monkeypatch):
     links = spark.createDataFrame([(r, r % 5) for r in range(60)], "record_id long, entity_id long")
     tied = graph.ties(links, links.select("record_id"))
     assert sorted((r.a, r.b, r.weight) for r in tied.collect()) == [(a, b, 83) for a in range(60) for b in range(a + 1, 60) if a % 5 == b % 5]
+
+
+def test_an_empty_text_is_measured(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, "a ü"), (4, "\u00fc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in catalog.queries()["text_measures"](spark, str(tmp_path)).collect()}
+    assert math.isnan(out[1]["readable"]) and (out[1]["anchored"], out[1]["tokens"], out[1]["plain_length"]) == (False, 0, 0)
+    assert [out[k]["readable"] for k in (2, 3, 4)] == [None, 0.666667, 0.0]
