@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from paperloom import catalog
 from paperloom.operators import graph
@@ -34,3 +35,35 @@ def test_an_empty_text_is_measured(spark, tmp_path):
     out = {r["doc_id"]: r for r in catalog.queries()["text_measures"](spark, str(tmp_path)).collect()}
     assert math.isnan(out[1]["readable"]) and (out[1]["anchored"], out[1]["tokens"], out[1]["plain_length"]) == (False, 0, 0)
     assert [out[k]["readable"] for k in (2, 3, 4)] == [None, 0.666667, 0.0]
+
+
+def some_texts(n):
+    rng = random.Random(7)
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90)]
+    return {k: " ".join(rng.choices(words, [1 / (i + 1) for i in range(90)], k=rng.randint(0, 14))) for k in range(n)}
+
+
+def test_common_terms_are_columns_of_matrices(spark, monkeypatch):
+    """Whatever share of the terms is multiplied as matrices, and in however small pieces: the same pairs, each in one tile."""
+    texts = spark.createDataFrame(list(some_texts(150).items()), "id long, text string")
+    found = []
+    for dense, columns, step, tile in ((1 / 256, 7, 100, 6), (2, 7, 1 << 17, 2), (0, 1024, 1 << 17, 6)):
+        for name, value in dict(DENSE=dense, COLUMNS=columns, STEP=step, TILE=tile, BLOCK_TERMS=400, BLOCK_TEXTS=16).items():
+            monkeypatch.setattr(graph, name, value)
+        found.append(sorted((r.a, r.b, round(r.cosine, 9)) for r in graph.alike(texts).collect()))
+    assert len(found[0]) == len({x[:2] for x in found[0]}) > 300 and all(len(x) == len(found[0]) for x in found) and found[0] == found[1] == found[2]
+
+
+def test_ties_of_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_TEXTS", 16)
+    texts = some_texts(60)
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items() if k % 7], "id long, text string")
+    links = spark.createDataFrame([(k, k % 11) for k in texts] + [(k, 100 + j) for k in (1, 2, 12, 23) for j in range(5)] + [(None, 3), (5, None)], "record_id long, entity_id long")
+    records = spark.createDataFrame([(k,) for k in texts], "id long")
+    tied = graph.ties(links, records, rows)
+    assert "Exchange" not in tied._jdf.queryExecution().executedPlan().toString()
+    bare = {(r.a, r.b): r.weight for r in graph.ties(links, records).collect()}
+    near = {(r.a, r.b): r.cosine for r in graph.alike(rows).collect()}
+    of = lambda k: {k % 11} | ({100 + j for j in range(5)} if k in (1, 2, 12, 23) else set())
+    expected = {p: (bare.get(p, 0) + math.floor(400 * round(near.get(p, 0), 6)), p in bare or round(near[p], 6) >= 0.3 or bool(of(p[0]) & of(p[1]))) for p in bare.keys() | near.keys()}
+    assert {(r.a, r.b): (r.weight, r.binds) for r in tied.collect()} == expected and tied.count() == len(expected)
