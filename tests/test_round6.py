@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from paperloom import catalog
 from paperloom.operators import graph
+from paperloom.streaming import reminders
 
 
 def test_records_are_tied_by_all_their_links(spark, tmp_path):
@@ -67,3 +70,20 @@ def test_ties_of_texts_are_not_shuffled(spark, monkeypatch):
     of = lambda k: {k % 11} | ({100 + j for j in range(5)} if k in (1, 2, 12, 23) else set())
     expected = {p: (bare.get(p, 0) + math.floor(400 * round(near.get(p, 0), 6)), p in bare or round(near[p], 6) >= 0.3 or bool(of(p[0]) & of(p[1]))) for p in bare.keys() | near.keys()}
     assert {(r.a, r.b): (r.weight, r.binds) for r in tied.collect()} == expected and tied.count() == len(expected)
+
+
+def test_put_off_tasks_share_states(spark, tmp_path, monkeypatch):
+    """A state is that of many tasks, so a batch asks the store a few times, not once and more for each task."""
+    monkeypatch.setattr(reminders, "BUCKETS", 3)
+    rows = [(f"k{i}", f"2024-01-01 00:{i % 60:02}:00", "snooze", f"2024-01-0{2 + i % 4}") for i in range(200)] + [("k0", "2024-01-04 12:00:00", "done", None), ("é", "2024-01-01 01:00:00", "undo", None)]
+    df = spark.createDataFrame(rows, "key string, at string, action string, until string").select("key", F.to_timestamp("at").alias("at"), "action", F.to_date("until").alias("until"))
+    df.write.parquet(str(tmp_path / "in"))
+    for name, value in reminders.STATE_STORE.items():
+        spark.conf.set(name, value)
+    q = reminders.returning(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for name in reminders.STATE_STORE:
+        spark.conf.unset(name)
+    out = sorted((r.key, str(r.day)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert out == sorted((k, d) for k, _, a, d in rows if a == "snooze" and k != "k0" and d <= "2024-01-04")
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
