@@ -87,3 +87,17 @@ def test_put_off_tasks_share_states(spark, tmp_path, monkeypatch):
     out = sorted((r.key, str(r.day)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert out == sorted((k, d) for k, _, a, d in rows if a == "snooze" and k != "k0" and d <= "2024-01-04")
     assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_communities_are_swept_without_shuffles(spark, monkeypatch):
+    """Components need not be found, and a round reads the ties as they were dealt once."""
+    rng = random.Random(5)
+    ties = {tuple(sorted(rng.sample(range(3, 900, 7), 2))): (rng.randint(1, 3), rng.random() < 0.8) for _ in range(400)}
+    df = spark.createDataFrame([(a, b, w, x) for (a, b), (w, x) in ties.items()], "a long, b long, weight long, binds boolean")
+    found = []
+    for most in (1 << 22, 30):
+        monkeypatch.setattr(graph, "TASK_TIES", most)
+        labels = graph.communities(df)
+        assert "Exchange" not in labels._jdf.queryExecution().executedPlan().toString()
+        found.append({r.record_id: r.label for r in labels.collect()})
+    assert found[0] == found[1] and set(found[0]) == {k for p in ties for k in p} and len(set(found[0].values())) < len(found[0]) / 2
